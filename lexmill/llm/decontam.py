@@ -29,6 +29,10 @@ def _windows(words: Column, length: int, of) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: of(words, i))).otherwise(none)
 
 
+def _shingles(text_words: Column, length: int, of) -> Column:
+    return _for(text_words, lambda w: _windows(w, length, of))
+
+
 def _hash(length: int):
     return lambda w, i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(length)])
 
@@ -52,8 +56,8 @@ def item_sketches(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         one = own.select(
             "item_id",
             "len",
-            F.array_distinct(_for(F.col("w"), lambda w, n=length: _windows(w, n, _string(n)))).alias("shingles"),
-            F.array_sort(F.array_distinct(_for(F.col("w"), lambda w, n=length: _windows(w, n, _hash(n))))).alias("hashes"),
+            F.array_distinct(_shingles(F.col("w"), length, _string(length))).alias("shingles"),
+            F.array_sort(F.array_distinct(_shingles(F.col("w"), length, _hash(length)))).alias("hashes"),
         )
         parts = one if parts is None else parts.unionByName(one)
     n = F.size("hashes")
@@ -82,7 +86,7 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     keyed = hint_if_small(keyed, BROADCAST_ROWS)
     found = None
     for length in sorted(lengths):
-        hashes = _for(words_of(F.col("text")), lambda w, n=length: _windows(w, n, _hash(n)))
+        hashes = _shingles(words_of(F.col("text")), length, _hash(length))
         rows = docs.select(F.xxhash64("text").alias("text_key"), hashes.alias("h")).select("text_key", F.size("h").alias("windows"), F.explode("h").alias("hash"))
         near = rows.join(keyed.where(F.col("len") == length), "hash").where("windows >= need").select("text_key", "item_id")
         found = near if found is None else found.unionByName(near)
@@ -94,7 +98,7 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     pairs = texts.join(hint_if_small(wanted, 20_000), "text_key")
     own = F.lit(None).cast("array<string>")
     for length in sorted(lengths):
-        own = F.when(F.col("len") == length, _for(words_of(F.col("text")), lambda w, n=length: _windows(w, n, _string(n)))).otherwise(own)
+        own = F.when(F.col("len") == length, _shingles(words_of(F.col("text")), length, _string(length))).otherwise(own)
     matched = F.size(F.array_intersect("shingles", own))
     checked = pairs.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "need", matched.alias("matched"))
     return checked.where("matched >= need").select("doc_id", "item_id", "n_shingles", "matched", (F.col("matched") / F.col("n_shingles")).alias("containment"))

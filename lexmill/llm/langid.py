@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,20 +18,23 @@ MAX_TRAIN = 20_000
 UNKNOWN = "und"
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each code point, itself if it is a letter, else 0 (a gap)."""
-    table = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            table[c] = c
-    return table
+_BMP: list[np.ndarray] = []
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Code points, with 0 (a gap) for those that are no letters."""
+    if not _BMP:
+        _BMP.append(np.fromiter((c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else 0 for c in range(0x10000)), np.uint32, 0x10000))
+    out = _BMP[0][np.minimum(raw, 0xFFFF)]
+    for c in np.unique(raw[raw > 0xFFFF]).tolist():
+        out[raw == c] = c if chr(c).isalpha() else 0
+    return out
 
 
 def _codes(text: str | None) -> np.ndarray:
     """Lower-case letters as numbers with one gap (0) before, after and between words."""
     raw = np.frombuffer(("\n" + (text or "").lower() + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    code = _letters()[raw]
+    code = _letters(raw)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
     return code[keep]
@@ -166,11 +168,11 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", lan
     existing columns of the two names are replaced.  Whole texts are scored, very
     long ones piece by piece.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # slots by languages: a fixed bound
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.logp))  # slots by languages: a fixed bound
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        names, scores = LanguageModel(*shared.value).predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang": names, "score": scores})
 
     kept = [c for c in docs.columns if c not in (lang, score)]

@@ -190,7 +190,7 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     rows = docs.withColumn("m_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
     if repeated:
         rows = rows.dropDuplicates(["doc_id", "source", "m_crc"])
-    keys = keys.where("m_uses > 0")
-    same = rows["doc_id"].eqNullSafe(keys["doc_id"]) & rows["source"].eqNullSafe(keys["source"]) & (rows["m_crc"] == keys["text_crc32"])
-    joined = rows.join(keys, same).select(*[rows[c] for c in docs.columns], "m_uses")
+    keys = keys.where("m_uses > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_crc32").alias("m_text"), "m_uses")
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_crc") == F.col("m_text"))
+    joined = rows.join(keys, same).select(*docs.columns, "m_uses")
     return joined.withColumn("m_copy", F.explode(F.expr("sequence(1, cast(m_uses as int))"))).drop("m_uses", "m_copy")

@@ -53,6 +53,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     in both stay together in the shard of the first of them.
     """
     keys = shard_documents(docs, shards).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
-    named = docs.drop("shard").withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    same = named["doc_id"].eqNullSafe(keys["doc_id"]) & (named["text_crc32"] == keys["text_crc32"])
-    named.join(keys, same).select(*[named[c] for c in docs.columns if c not in ("shard", "text_crc32")], keys["shard"]).write.partitionBy("shard").parquet(path)
+    keys = keys.select(F.col("doc_id").alias("s_id"), F.col("text_crc32").alias("s_crc"), "shard")
+    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.crc32(F.coalesce(F.col("text"), F.lit(""))) == F.col("s_crc"))
+    docs.drop("shard").join(keys, same).drop("s_id", "s_crc").write.partitionBy("shard").parquet(path)

@@ -47,13 +47,17 @@ def symbol(char: str) -> int:
     return 27 + ord(char) % (SYMBOLS - 27) if char.isalpha() else 0
 
 
-_TABLE: list[np.ndarray] = []
+_BMP: list[np.ndarray] = []
 
 
 def _symbols(text: str) -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(np.fromiter((0 if 0xD800 <= c < 0xE000 else symbol(chr(c)) for c in range(0x110000)), np.int64, 0x110000))
-    return _TABLE[0][np.frombuffer(("  " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")]
+    if not _BMP:
+        _BMP.append(np.fromiter((0 if 0xD800 <= c < 0xE000 else symbol(chr(c)) for c in range(0x10000)), np.uint8, 0x10000))
+    raw = np.frombuffer(("  " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _BMP[0][np.minimum(raw, 0xFFFF)]
+    for c in np.unique(raw[raw > 0xFFFF]).tolist():
+        out[raw == c] = symbol(chr(c))
+    return out.astype(np.int64)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +221,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabu
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, score: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1 of the restored text; null and empty texts get that of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary and character model: fixed bounds
+    parts = (model.restorer.logp, model.weights, model.bias)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # character model and vocabulary: fixed bounds
+    loaded: list[ToxicityModel] = []  # one for each task, so that spans already read are kept
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t if isinstance(t, str) else None) for t in texts], dtype=float)
+        if not loaded:
+            logp, weights, bias = shared.value
+            loaded.append(ToxicityModel(Restorer(logp), weights, bias))
+        return pd.Series([loaded[0].score(t if isinstance(t, str) else None) for t in texts], dtype=float)
 
     kept = [c for c in docs.columns if c != score]
     return docs.select(*kept, of("text").alias(score))
