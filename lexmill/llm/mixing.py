@@ -101,7 +101,7 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], m
 
 
 def mix_documents(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_uses: int = 3, seed: int = 42, members: str | None = None, max_patterns: int = 20_000
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_uses: int = 3, seed: int = 42, members: str | None = None, max_patterns: int = 20_000, max_passes: int = 5
 ) -> DataFrame:
     """Choose how often each document enters a mix whose sources meet target weights.
 
@@ -110,8 +110,9 @@ def mix_documents(
     Documents are summed up by membership pattern, and a min-cost flow routes each
     pattern's words, the second and third use at rising cost, to the sources'
     quotas.  A pattern then gives all its documents as many whole times as its
-    flow holds, and for the rest documents in seeded order, closed by the one
-    document that comes nearest to what is still missing.
+    flow holds, and for the rest documents in seeded order: as far as they fit,
+    then, where more than a hundredth of the target is open, those that fit what
+    is open, and at last the one document that comes nearest to what is missing.
 
     The flow is solved on the driver over one row for each pattern; more than
     ``max_patterns`` of them raise an error, none are dropped.
@@ -148,30 +149,51 @@ def mix_documents(
     targets = dict(zip(names, fill_targets(sizes, shares, max_uses) if sum(sizes) == whole else _overlap_targets(sizes, shares, max_uses, whole)))
     quotas = dict(zip(names, whole_quotas([targets[s] for s in names])))
     flows = route(patterns, quotas, max_uses)
-    source_size, plan, offset = dict(zip(names, sizes)), [], 0
+    source_size, plan = dict(zip(names, sizes)), []
     for i, ((p, n), f) in enumerate(zip(patterns, flows)):
-        plan.append((list(p), i, offset, f // n if n else 0, f % n if n else 0, sum(source_size[s] for s in p), float(sum(targets[s] for s in p))))
-        offset += n
+        plan.append((list(p), i, f // n if n else 0, f % n if n else 0, sum(source_size[s] for s in p), float(sum(targets[s] for s in p))))
     spark = docs.sparkSession
-    schema = "pattern array<string>, p long, p_offset long, rounds long, rest long, source_size long, target double"
+    schema = "pattern array<string>, p long, rounds long, gap long, source_size long, target double"
     table = F.broadcast(spark.createDataFrame(plan, schema).coalesce(1))  # at most max_patterns rows
-    keyed = narrow.join(table, "pattern").drop("pattern")
-    order = ["p", "draw", "doc_id", "text_crc32", "row_no"]
-    placed = cut(global_prefix(keyed, order, "size").withColumn("start", F.col("g_before") - F.col("p_offset")).drop("g_before", "p_offset"))
-    fits = F.col("start") + F.col("size") <= F.col("rest")
-    done = placed.groupBy("p").agg(F.coalesce(F.max(F.when(fits, F.col("start") + F.col("size"))), F.lit(0)).alias("done"))
-    placed = placed.join(F.broadcast(done), "p")  # a row for each pattern
-    miss = F.abs(F.col("rest") - F.col("done") - F.col("size"))
+    rows = narrow.join(table, "pattern").drop("pattern").withColumn("more", F.lit(0))
+    gaps = {p[1]: p[3] for p in plan}
+    for _ in range(max_passes):
+        rows, gaps, settled = _take_in_order(rows, gaps, {p[1]: p[5] for p in plan})
+        if settled:
+            break
+    miss = F.abs(F.col("gap") - F.col("size"))
     last = (
-        placed.where(~fits & (miss < F.col("rest") - F.col("done")))
+        rows.where((F.col("more") == 0) & (miss < F.col("gap")))
         .groupBy("p")
-        .agg(F.min(F.struct(miss.alias("miss"), F.col("g_seq"))).getField("g_seq").alias("last"))
+        .agg(F.min(F.struct(miss.alias("miss"), F.col("draw"), F.col("row_no"))).getField("row_no").alias("last"))
     )
-    taken = placed.join(F.broadcast(last), "p", "left")
-    uses = (F.col("rounds") + F.when(fits | (F.col("g_seq") == F.col("last")), 1).otherwise(0)).cast("int")
+    taken = rows.join(F.broadcast(last), "p", "left")  # a row for each pattern
+    uses = (F.col("rounds") + F.when((F.col("more") == 1) | (F.col("row_no") == F.col("last")), 1).otherwise(0)).cast("int")
     return taken.select("doc_id", "source", "text_crc32", "size", "source_size", "target", (F.col("size") * uses).alias("taken"), uses.alias("uses"))
 
 
+def _take_in_order(rows: DataFrame, gaps: dict[int, int], targets: dict[int, float]) -> tuple[DataFrame, dict[int, int], bool]:
+    """Take untaken documents that fit their pattern's gap, in seeded order, as far as they fill it.
+
+    Returns the rows, marked in ``more``, with their new ``gap``; the gaps; and
+    whether another pass has nothing to do: every gap is below a hundredth of its
+    target, or nothing was taken.
+    """
+    spark = rows.sparkSession
+    able = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    placed = global_prefix(rows.where(able), ["p", "draw", "doc_id", "text_crc32", "row_no"], "size").drop("g_seq")
+    placed = cut(placed)
+    first = placed.groupBy("p").agg(F.min("g_before").alias("first"))  # a row for each pattern
+    end = F.col("g_before") - F.col("first") + F.col("size")
+    placed = placed.join(F.broadcast(first), "p").withColumn("more", (end <= F.col("gap")).cast("int")).drop("g_before", "first")
+    rows = cut(placed.unionByName(rows.where(~able)))
+    done = {r["p"]: r["done"] for r in placed.where("more = 1").groupBy("p").agg(F.sum("size").alias("done")).collect()}
+    left = {p: g - done.get(p, 0) for p, g in gaps.items()}
+    table = spark.createDataFrame(list(left.items()) or [(-1, 0)], "p long, gap long").coalesce(1)
+    rows = rows.drop("gap").join(F.broadcast(table), "p")
+    return rows, left, not done or all(g <= 0.01 * targets[p] for p, g in left.items())
+
+
 def _overlap_targets(sizes: list[int], shares: list[float], cap: float, whole: int) -> list[float]:
     """Targets where documents have several sources: the words to share are those of the documents."""
     scale = sum(sizes) / whole if whole else 1.0

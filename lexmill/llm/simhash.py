@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexmill.llm.common import cut, hint_if_small, shuffle_partitions
 
@@ -45,7 +46,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     out = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
     return pd.Series(out.view(np.int64))

@@ -23,11 +23,15 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "ø": "o", "#": "h",
 }
 #: Log chances of the channel: a letter stands for itself, for another, is repeated, is a separator, is noise.
-SAME, LEETED, REPEATED, SEPARATOR, NOISE = -0.05, -0.7, -0.9, -0.3, -6.0
+SAME, LEETED, REPEATED, SEPARATOR, NOISE = -0.05, -0.7, -0.9, -0.3, -12.0
 #: Longest span that is decoded as one lattice; longer ones are decoded in windows that follow one another.
 SPAN = 64
 #: Bounds: labelled rows, words of the vocabulary.
 MAX_TRAIN, VOCABULARY = 8_000, 2_048
+#: Documents with a word from which its share of toxic ones is taken at its word.
+SURE = 8
+#: Lengths of the word beginnings that are features beside the whole words.
+PREFIXES = (5, 7)
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _MARKS = r"0-9@$!|+(€£¡ø#"
@@ -38,6 +42,7 @@ _SUSPECT = re.compile(
     rf"|[{_MARKS}]+[^\W\d_]{{2,}}[^\s]*"  # $tupid
     r"|[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*"  # stuuupid
     r"|[^\W\d_]{1,3}(?:[.\-_*][^\W\d_]{1,3}){2,}"  # st-up-id
+    r"|[^\W\d_]+[*_][^\W\d_]+"  # stu*pid
 )
 
 
@@ -60,6 +65,52 @@ def _symbols(text: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Kinds of characters: letters, white space, marks that may stand for letters, separators inside words.
+LETTER, SPACE, MARK, BETWEEN = 1, 2, 4, 8
+_KINDS: list[np.ndarray] = []
+
+
+def _kind(c: int) -> int:
+    char = chr(c)
+    return LETTER * char.isalpha() | SPACE * char.isspace() | MARK * (char.isdigit() or char in "@$!|+(€£¡ø#") | BETWEEN * (char in ".-_*")
+
+
+def suspect_windows(low: str) -> list[tuple[int, int]]:
+    """Where a lower-case text may be disguised: windows, in order, that end at white space.
+
+    Found by the kinds of neighbouring characters, for whole texts at once: a mark
+    before a letter, a separator between letters, three equal letters in a row,
+    and characters that stand alone between white space.
+    """
+    if not _KINDS:
+        _KINDS.append(np.fromiter((0 if 0xD800 <= c < 0xE000 else _kind(c) for c in range(0x10000)), np.uint8, 0x10000))
+    code = np.frombuffer(f" {low}    ".encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _KINDS[0][np.minimum(code, 0xFFFF)]
+    letter, space = (kind & LETTER) > 0, (kind & SPACE) > 0
+    hit = ((kind[1:-4] & MARK) > 0) & letter[2:-3]
+    hit |= ((kind[1:-4] & BETWEEN) > 0) & letter[:-5] & letter[2:-3]
+    hit |= letter[1:-4] & (code[1:-4] == code[2:-3]) & (code[2:-3] == code[3:-2])
+    alone = ~space[1:-1] & space[:-2] & space[2:]
+    spaced = alone[:-3] & alone[2:-1]
+    hit[: len(spaced)] |= spaced[: len(hit)]
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    gaps = np.flatnonzero(space[1:-4])
+    last = np.searchsorted(gaps, at)
+    lo = np.where(last > 0, gaps[np.maximum(last - 1, 0)] + 1, 0) if len(gaps) else np.zeros(len(at), np.int64)
+    reach = at + np.where(hit[at] & np.append(spaced, np.zeros(max(0, len(hit) - len(spaced)), bool))[at], 3, 0)
+    after = np.searchsorted(gaps, reach)
+    hi = np.where(after < len(gaps), gaps[np.minimum(after, max(len(gaps) - 1, 0))], len(low)) if len(gaps) else np.full(len(at), len(low))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, np.int64)
     for batch in batches:
@@ -90,92 +141,143 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 4 * p2) / (counts.sum(axis=2, keepdims=True) + 4))
 
 
+def with_lexicon(counts: np.ndarray, words: list[str], share: float = 1e-4) -> np.ndarray:
+    """Counts in which each word of a lexicon makes up at least that share of all symbols: what disguises hide."""
+    out, each = counts.copy(), max(10.0, share * counts.sum())
+    for word in words:
+        s = [0, 0, *map(symbol, word), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            out[a, b, c] += each
+    return out
+
+
+def _choices(char: str, before: str, run: int, pairs: bool) -> list[tuple[str, float]]:
+    """What a character of a span may have been written for: letters or nothing, with the channel's log chance.
+
+    run: how often the character stands in a row; with ``pairs`` two in a row are both meant.
+    """
+    out = [(char, SAME)] if char.isalpha() else []
+    out += [(c, LEETED) for c in LEET.get(char, "")]
+    if char == before and not (pairs and run == 2):
+        out.append(("", REPEATED))
+    if not char.isalnum():
+        out.append(("", NOISE / 2 if char in LEET else SEPARATOR))
+    return out or [("", NOISE)]
+
+
 @dataclass
 class Restorer:
-    """Viterbi decoding of disguised spans under a character model and a word list."""
+    """Viterbi decoding of disguised spans under a character model."""
 
     logp: np.ndarray
-    words: dict[str, float] = field(default_factory=dict)
     known: dict[str, str] = field(default_factory=dict)
 
-    def choices(self, char: str, before: str) -> list[tuple[str, float]]:
-        """What a character of the span may have been written for: letters or nothing, with the channel's log chance."""
-        out = []
-        if char.isalpha():
-            out.append((char, SAME))
-        if char in LEET:
-            out += [(c, LEETED) for c in LEET[char]]
-        if char == before and char.isalnum() or char in LEET and char == before:
-            out.append(("", REPEATED))
-        if not char.isalnum():
-            out.append(("", SEPARATOR if char not in LEET else NOISE / 2))
-        elif char.isdigit():
-            out.append(("", NOISE))
-        return out or [("", NOISE)]
-
-    def decode(self, span: str) -> str:
+    def decode(self, span: str, pairs: bool) -> str:
         """The likeliest letters of a span: Viterbi over states of the last two symbols."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for char in span:
+        for i, char in enumerate(span):
+            run = 1
+            while i + run < len(span) and span[i + run] == char:
+                run += 1
+            back = i
+            while back and span[back - 1] == char:
+                back -= 1
             after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
-                for letter, chance in self.choices(char, before):
+            for letter, chance in _choices(char, span[i - 1] if i else "", run + i - back, pairs):
+                for (a, b), (score, text) in paths.items():
                     if letter:
                         c = symbol(letter)
-                        state, new = (b, c), (score + chance + self.logp[a, b, c], text + letter)
+                        state, new = (b, c), (score + chance + float(self.logp[a, b, c]), text + letter)
                     else:
                         state, new = (a, b), (score + chance, text)
-                    if state not in after or new[0] > after[state][0]:
+                    if state not in after or new > after[state]:
                         after[state] = new
-            paths, before = after, char
-        return max(((s + self.logp[a, b, 0], t) for (a, b), (s, t) in paths.items()))[1]
+            paths = after
+        return max((s + float(self.logp[a, b, 0]), t) for (a, b), (s, t) in paths.items())[1]
 
     def readings(self, span: str) -> str:
-        """Decoded span, with the letters alone and the runs shortened beside it, as words."""
+        """What a span most likely says, with doubled letters read as one and as two."""
         got = self.known.get(span)
         if got is None:
-            parts = [span[i : i + SPAN] for i in range(0, len(span), SPAN)]
-            got = " ".join(dict.fromkeys(self.decode(p) for p in parts))
-            if len(self.known) > 1 << 18:
+            own = span.strip("!?.,;:\"'()[]|*_- ")
+            parts = [own[i : i + SPAN] for i in range(0, len(own), SPAN)]
+            got = " ".join(dict.fromkeys("".join(self.decode(p, pairs) for p in parts) for pairs in (False, True)))
+            if len(self.known) > 1 << 17:
                 self.known.clear()
             self.known[span] = got
         return got
 
     def restore(self, text: str) -> str:
         """The text in lower case with disguised spans replaced by what they most likely say."""
-        return _SUSPECT.sub(lambda m: " " + self.readings(m.group(0)) + " ", text.lower())
+        low, out, at = text.lower(), [], 0
+        for lo, hi in suspect_windows(low):
+            out += [low[at:lo], _SUSPECT.sub(lambda m: f" {self.readings(m.group(0))} ", low[lo:hi])]
+            at = hi
+        return "".join([*out, low[at:]])
 
     def tokens(self, text: str | None) -> set[str]:
+        """The words of the restored text."""
         return set(_WORDS.findall(self.restore(text))) if text else set()
 
 
+def features(word: str) -> list[str]:
+    """A word and its first letters, each with its kind."""
+    return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
+
+
 @dataclass
 class ToxicityModel:
     restorer: Restorer
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        self.lengths = {len(w) - 1 for w in self.weights if w.endswith("~")}
+
     def score(self, text: str | None) -> float:
-        w = self.weights
-        x = self.bias + sum(w[t] for t in self.restorer.tokens(text) if t in w)
+        w, tokens = self.weights, self.restorer.tokens(text)
+        x = self.bias + sum(w[t] for t in tokens if t in w)
+        for k in PREFIXES:
+            if k in self.lengths:
+                x += sum(w[t] for t in {f"{t[:k]}~" for t in tokens if len(t) > k} if t in w)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit_weights(rows: list[tuple[list[int], int]], size: int, rounds: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on word presence, by accelerated gradient steps."""
+def _descend(at: np.ndarray, col: np.ndarray, y: np.ndarray, size: int, l1: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence features with l1 and l2 penalties, by accelerated proximal steps."""
+    n = len(y)
+    x, top = np.ones(size + 1), 1.0
+    for _ in range(20):  # the largest curvature, by power iteration; the last coordinate is the bias
+        z = np.bincount(at, x[col], n) + x[-1]
+        x = np.append(np.bincount(col, z[at], size), z.sum()) / n
+        top = np.linalg.norm(x)
+        x /= top
+    step = 3.5 / top
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    w = np.append(np.zeros(size), math.log(share / (1 - share)))
+    v, t = w.copy(), 1.0
+    for _ in range(rounds):
+        z = np.bincount(at, v[col], n) + v[-1]
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        new = v - step * (np.append(np.bincount(col, r[at], size), r.sum()) + l2 * np.append(v[:-1], 0))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * l1, 0)
+        t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        v, w = new + (before - 1) / t * (new - w), new
+    return w[:-1], float(w[-1])
+
+
+def fit_weights(rows: list[tuple[list[int], int]], size: int) -> tuple[np.ndarray, float]:
+    """Weights of words: an l1 penalty picks few words, then their weights are fitted without it."""
     y = np.array([r[1] for r in rows], float)
-    at = np.concatenate([np.full(len(r[0]), i) for i, r in enumerate(rows)] or [np.empty(0)]).astype(np.int64)
-    col = np.concatenate([np.array(r[0], np.int64) for r in rows] or [np.empty(0)]).astype(np.int64)
-    share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-    w, b, vw, vb = np.zeros(size), math.log(share / (1 - share)), np.zeros(size), 0.0
-    for _ in range(rounds if len(y) else 0):
-        z = b + np.bincount(at, w[col], len(y))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        vw = 0.9 * vw - 4.0 * (np.bincount(col, g[at], size) + l2 * w / 10)
-        vb = 0.9 * vb - 0.5 * g.sum()
-        w, b = w + vw, b + vb
-    return w, b
+    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    col = np.concatenate([np.array(r[0], np.int64) for r in rows] or [np.empty(0, np.int64)])
+    picked, _ = _descend(at, col, y, size, 0.2 / math.sqrt(len(y)) * max(y.mean(), 0.02) ** 0.5 / 2, 0, 1500)
+    of = np.cumsum(picked != 0) - 1
+    stay = picked[col] != 0
+    w, b = _descend(at[stay], of[col[stay]], y, int((picked != 0).sum()), 0, 1e-5, 2000)
+    out = np.zeros(size)
+    out[picked != 0] = w
+    return out, b
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabulary: int = VOCABULARY) -> ToxicityModel:
@@ -185,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabu
     id.  The vocabulary holds the words whose presence tells most; words met in
     fewer than three documents are left out of it.
     """
-    logp = language_model(character_counts(docs))
+    counts = character_counts(docs)
+    logp = language_model(counts)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(logp)  # SYMBOLS to the third: fixed
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -199,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabu
         for batch in batches:
             ids, toxic, found = [], [], []
             for i, text, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids.append(i), toxic.append(y), found.append(sorted(restorer.tokens(text)))
+                ids.append(i), toxic.append(y), found.append(sorted({f for t in restorer.tokens(text) for f in features(t)}))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(toxic, pa.int32()), "words": pa.array(found, pa.list_(pa.string()))})
 
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # about max_train rows
@@ -211,12 +314,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabu
     seen = read.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     share = toxic / total
     telling = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    vocab = sorted(r["w"] for r in seen.orderBy(F.desc(telling), "w").limit(vocabulary).collect())
+    told = {r["w"]: (r["t"], r["n"]) for r in seen.orderBy(F.desc(telling), "w").limit(vocabulary).collect()}
+    vocab = sorted(told)
     at = {w: i for i, w in enumerate(vocab)}
     known = F.array(*map(F.lit, vocab)) if vocab else F.lit(None).cast("array<string>")
     rows = read.select("doc_id", "toxic", F.array_intersect("words", known).alias("w")).orderBy("doc_id").collect()
     weights, bias = fit_weights([([at[w] for w in r["w"] or []], r["toxic"]) for r in rows], len(vocab))
-    return ToxicityModel(Restorer(logp), {w: float(x) for w, x in zip(vocab, weights)}, float(bias))
+    kept = {w: float(x) for w, x in zip(vocab, weights) if x}
+    for w, x in kept.items():  # a picked word that was met often enough counts alone for what it told alone
+        t, n = told[w]
+        if x > 0 and n >= SURE:
+            kept[w] = max(x, math.log((t + 0.5) / (n - t + 0.5)) - float(bias))
+    lexicon = [w for w, x in kept.items() if x > 1 and not w.endswith("~")]
+    return ToxicityModel(Restorer(language_model(with_lexicon(counts, lexicon))), kept, float(bias))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, score: str = "toxicity") -> DataFrame:
