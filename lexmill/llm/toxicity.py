@@ -28,7 +28,7 @@ SAME, LEETED, REPEATED, SEPARATOR, NOISE = -0.05, -0.7, -0.9, -0.3, -12.0
 SPAN = 64
 #: Bounds: labelled rows, words of the vocabulary.
 MAX_TRAIN, VOCABULARY = 8_000, 2_048
-#: Documents with a word from which its share of toxic ones is taken at its word.
+#: Documents with a word from which on its share of toxic ones is believed, if nine in ten are.
 SURE = 8
 #: Lengths of the word beginnings that are features beside the whole words.
 PREFIXES = (5, 7)
@@ -323,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabu
     kept = {w: float(x) for w, x in zip(vocab, weights) if x}
     for w, x in kept.items():  # a picked word that was met often enough counts alone for what it told alone
         t, n = told[w]
-        if x > 0 and n >= SURE:
+        if x > 0 and n >= SURE and t >= 0.9 * n:
             kept[w] = max(x, math.log((t + 0.5) / (n - t + 0.5)) - float(bias))
     lexicon = [w for w, x in kept.items() if x > 1 and not w.endswith("~")]
     return ToxicityModel(Restorer(language_model(with_lexicon(counts, lexicon))), kept, float(bias))
