@@ -93,9 +93,9 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     if found is None:
         return docs.select("doc_id").withColumns({"item_id": F.lit(None).cast("long"), "n_shingles": F.lit(0), "matched": F.lit(0), "containment": F.lit(0.0)}).where("false")
     candidates = cut(found.distinct())
-    wanted = candidates.join(sketches.select("item_id", "len", "n", "need", "shingles"), "item_id")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    pairs = texts.join(hint_if_small(wanted, 20_000), "text_key")
+    wanted = hint_if_small(sketches.select("item_id", "len", "n", "need", "shingles"), 10_000)
+    pairs = texts.join(hint_if_small(candidates, BROADCAST_ROWS), "text_key").join(wanted, "item_id")
     own = F.lit(None).cast("array<string>")
     for length in sorted(lengths):
         own = F.when(F.col("len") == length, _shingles(words_of(F.col("text")), length, _string(length))).otherwise(own)
