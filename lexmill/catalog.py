@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import retrieval
+from lexmill.plans import analytics, checks, retrieval, trees
 
-MODULES = (retrieval,)
+MODULES = (retrieval, analytics, trees, checks)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -79,8 +79,6 @@ def safe_filename(name: Column) -> Column:
 # The boilerplate of legal documents.
 _PAGE_LINES = [(r"\n\s*[-']*\s*\d{1,3}\s*\n", "\n"), (r"(?m)^\s*\d{1,3}\s*$", ""), (r"\n\s*[-_]{3,}\s*\n", "\n")]
 _SIGNATURE = r"(?isu)Chủ\s+tịch\s+Quốc\s+hội.*"
-_RECIPIENTS = r"(?isu)Nơi\s+nhận\s*:.*"
-_FORM_HEAD = r"(?s)(?:HỘ,\s*CÁ\s+NHÂN\s+KINH|SỔ\s+DOANH\s+THU\s+BÁN\s+HÀNG).*"
 
 
 def clean_document(text: Column) -> Column:
@@ -95,9 +93,9 @@ def clean_document(text: Column) -> Column:
 
 def clean_content(text: Column) -> Column:
     """A node's text, cut at the list of recipients and at a form's head, on one line."""
-    cut = F.when(text.rlike(_RECIPIENTS), F.regexp_replace(F.regexp_replace(text, _RECIPIENTS, ""), r"[ \n\t,./]+$", "")).otherwise(text)
-    cut = F.when(cut.rlike(_FORM_HEAD), F.regexp_replace(F.regexp_replace(cut, _FORM_HEAD, ""), r"[ \n\t,.:]+$", "")).otherwise(cut)
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, "\n", " "), "  +", " "))
+    cut = F.regexp_replace(text, r"(?isu)[ \n\t,./]*Nơi\s+nhận\s*:.*", "")
+    cut = F.regexp_replace(cut, r"(?s)[ \n\t,.:]*(?:HỘ,\s*CÁ\s+NHÂN\s+KINH|SỔ\s+DOANH\s+THU\s+BÁN\s+HÀNG).*", "")
+    return F.trim(F.regexp_replace(cut, "\n| {2,}", " "))
 
 
 # Misreadings of scanned pages and what they stand for, in order.

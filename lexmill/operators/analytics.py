@@ -147,7 +147,7 @@ def pending_citations(answers: DataFrame, manifest: DataFrame) -> DataFrame:
     """Answers that cite, by number and year, documents not yet in force: (answer_id, doc_id)."""
     pending = manifest.where("status = 'pending'").select("doc_id", F.regexp_extract("doc_number", r"^(\d+/\d{4})", 1).alias("no")).where("no <> ''")
     text = F.concat(F.lit(" "), F.col("answer"), F.lit(" "))
-    return answers.join(F.broadcast(pending), text.rlike(F.concat(F.lit(r"[^\p{L}\p{N}_]"), F.col("no"), F.lit(r"[^\p{L}\p{N}_]")))).select("answer_id", "doc_id")
+    return answers.join(F.broadcast(pending), F.regexp_like(text, F.concat(F.lit(r"[^\p{L}\p{N}_]"), F.col("no"), F.lit(r"[^\p{L}\p{N}_]")))).select("answer_id", "doc_id")
 
 
 def law_section(manifest: DataFrame) -> DataFrame:

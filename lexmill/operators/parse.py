@@ -7,8 +7,6 @@ are resolved from the top down, so that a dropped orphan never becomes a parent.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +82,7 @@ def classified(lines: DataFrame) -> DataFrame:
     """Lines with their types, up to the list of recipients, without blank lines and without what stands in form templates."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("t", line_type(F.col("line"))).select("doc_id", "line_no", "line", "t.kind", "t.index", "t.content")
+    rows = lines.select("doc_id", "line_no", "line", F.inline(F.array(line_type(F.col("line")))))  # a generator: evaluated once for each line
     rows = rows.withColumn("stopped", F.max(F.col("line").rlike(STOP_LINE).cast("int")).over(so_far)).where("stopped = 0 and trim(line) <> ''")
     mark = F.when(F.trim("line").rlike(FORM_LINE), 1).when(F.col("kind").isin("dieu", "chuong", "muc", "phan"), 0)
     rows = rows.withColumn("in_form", F.coalesce(F.last(mark, ignorenulls=True).over(so_far), F.lit(0)))
@@ -95,12 +93,12 @@ def build_nodes(docs: DataFrame) -> DataFrame:
     """Nodes of every document: doc_id, seq, parent_seq, depth, path, kind, index, node_id, title, lead_in, trailing, content, breadcrumb.
 
     Lines of a level that finds no parent are dropped, as is text before the
-    first node.  Text goes to the last standing node: before its first child it
-    leads in, behind children it trails.
+    first node.  Text goes to the last standing node: it leads in, or trails if it
+    is set in less than the node.  Everything is windows over a document's lines
+    and one grouping; there is no join and no level loop.
     """
     rows = classified(lines_of(docs))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    past = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     # pointers from the top down: a node stands until a line of its own or a higher level
     rows = rows.withColumn("p_phan", F.last(F.when(F.col("kind") == "phan", F.col("line_no")), True).over(w))
     last = lambda kind, frame: F.last(F.when(F.col("kind") == kind, F.col("line_no")), True).over(frame)
@@ -117,52 +115,57 @@ def build_nodes(docs: DataFrame) -> DataFrame:
     for kind, parent in (("khoan", "dieu"), ("diem", "khoan"), ("tiet", "diem")):
         rows = rows.where((F.col("kind") != kind) | F.col(f"p_{parent}").isNotNull())
         rows = rows.withColumn(f"r_{kind}", last(kind, w)).withColumn(f"p_{kind}", F.when(F.col(f"r_{kind}") > F.col(f"p_{parent}"), F.col(f"r_{kind}")))
-    order = ["tiet", "diem", "khoan", "dieu", "muc", "chuong", "phan", "phu_luc"]
     is_node = F.col("kind") != "text"
     parent = F.lit(None).cast("int")
     for kind, options in PARENTS.items():
         held = [F.col(f"p_{o}") for o in options if o]
         parent = F.when(F.col("kind") == kind, F.coalesce(*held) if held else F.lit(None).cast("int")).otherwise(parent)
-    owner = F.coalesce(*[F.col(f"p_{k}") for k in order[:-1]])
-    owner = F.when(F.col("p_phu_luc") > F.coalesce(owner, F.lit(-1)), F.col("p_phu_luc")).otherwise(owner)
-    rows = rows.withColumn("parent_seq", F.when(is_node, parent)).withColumn("owner", F.when(~is_node, owner)).select("doc_id", "line_no", "line", "kind", "index", "content", "parent_seq", "owner")
-    nodes = rows.where(is_node).select("doc_id", F.col("line_no").alias("seq"), "parent_seq", "kind", "index", F.col("content").alias("own"))
-    first_child = nodes.where("parent_seq is not null").groupBy("doc_id", F.col("parent_seq").alias("owner")).agg(F.min("seq").alias("first_child"))
-    text = rows.where("kind = 'text' and owner is not null").join(first_child, ["doc_id", "owner"], "left")
-    late = F.col("first_child").isNotNull() & (F.col("line_no") > F.col("first_child"))
-    texts = text.groupBy("doc_id", F.col("owner").alias("seq")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~late, F.struct("line_no", "content")))), lambda x: x["content"]), "\n").alias("lead_in"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(late, F.struct("line_no", "content")))), lambda x: x["content"]), "\n").alias("trailing"),
-    )
-    nodes = nodes.join(texts, ["doc_id", "seq"], "left").fillna("", ["lead_in", "trailing"])
+    pointers = [f"p_{k}" for k in LEVELS]
+    deepest = F.coalesce(*map(F.col, reversed(pointers)))
+    owner = F.when(F.col("p_phu_luc") > F.coalesce(deepest, F.lit(-1)), F.col("p_phu_luc")).otherwise(deepest)
+    rows = rows.withColumn("parent_seq", F.when(is_node, parent)).withColumn("seq", F.when(is_node, F.col("line_no")).otherwise(owner)).where("seq is not null")
+    # a node's row and its text lines meet in one group; text set in less than its node trails
+    indent = F.length("line") - F.length(F.ltrim("line"))
+    owner_kind = F.last(F.when(is_node, F.col("kind")), True).over(w)
+    late = indent < F.when(owner_kind == "diem", 3).when(owner_kind == "tiet", 6).otherwise(0)
+    rows = rows.withColumn("late", ~is_node & late)
+    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", "content")))), lambda x: x["content"]), "\n")
+    own = lambda c: F.max(F.when(is_node, F.col(c))).alias(c)
+    nodes = rows.groupBy("doc_id", "seq").agg(own("parent_seq"), own("kind"), own("index"), F.max(F.when(is_node, F.col("content"))).alias("own"), *map(own, pointers), joined(~is_node & ~F.col("late")).alias("lead_in"), joined(F.col("late")).alias("trailing"))
     # siblings of the same index get their count as a suffix
     twins = Window.partitionBy("doc_id", "parent_seq", "kind", "index").orderBy("seq")
-    nodes = nodes.withColumn("nth", F.row_number().over(twins)).withColumn("segment", F.concat_ws("_", "kind", F.nullif("index", F.lit("")), F.when(F.col("nth") > 1, F.col("nth").cast("string"))))
-    return _with_ancestry(nodes.drop("nth"))
+    nodes = nodes.withColumn("nth", F.row_number().over(twins))
+    segment = F.concat_ws("_", "kind", F.nullif("index", F.lit("")), F.when(F.col("nth") > 1, F.col("nth").cast("string")))
+    return _with_ancestry(nodes.withColumn("segment", segment).drop("nth"))
+
+
+#: Levels that nest, from the top.
+LEVELS = ["phan", "chuong", "muc", "dieu", "khoan", "diem", "tiet"]
 
 
-def _with_ancestry(nodes: DataFrame, levels: int = 7) -> DataFrame:
-    """Path, depth, node_id and breadcrumb, level by level from the roots; a document has at most ``levels`` levels."""
+def _with_ancestry(nodes: DataFrame) -> DataFrame:
+    """Path, depth, node_id and breadcrumb: of each level, the last node whose pointer still stands is the ancestor."""
     label = F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])
     titled = F.col("kind").isin("phan", "chuong", "muc", "phu_luc", "dieu")
     nodes = nodes.withColumn("title", F.when(titled, F.nullif(F.trim("own"), F.lit("")))).withColumn("body", F.when(~titled, F.col("own")).otherwise(F.lit("")))
     crumb = F.concat(F.concat_ws(" ", F.try_element_at(label, F.col("kind")), F.nullif("index", F.lit(""))), F.coalesce(F.concat(F.lit(": "), "title"), F.lit("")))
-    nodes = nodes.withColumn("crumb", crumb)
-    level = nodes.where("parent_seq is null").select("*", F.concat(F.lit("doc_"), "doc_id", F.lit("_"), "segment").alias("node_id"), F.col("crumb").alias("breadcrumb"), F.array("seq").alias("path"), F.lit(0).alias("depth"))
-    out = [level]
-    for depth in range(1, levels):
-        above = level.select("doc_id", F.col("seq").alias("parent_seq"), F.col("node_id").alias("p_id"), F.col("breadcrumb").alias("p_crumb"), F.col("path").alias("p_path"))
-        level = nodes.join(above, ["doc_id", "parent_seq"]).select(
-            *nodes.columns, F.concat_ws("_", "p_id", "segment").alias("node_id"), F.concat_ws(" > ", "p_crumb", "crumb").alias("breadcrumb"), F.concat("p_path", F.array("seq")).alias("path"), F.lit(depth).alias("depth")
-        )
-        out.append(level)
-    return reduce(DataFrame.unionByName, out).drop("crumb", "segment", "own")
+    nodes = nodes.withColumn("here", F.struct("seq", "segment", crumb.alias("crumb")))
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    above = [F.when(F.col(f"p_{k}").isNotNull(), F.last(F.when(F.col("kind") == k, F.col("here")), True).over(w)) for k in LEVELS]
+    chain = F.when(F.col("kind") == "phu_luc", F.array("here")).otherwise(F.filter(F.array(*above), lambda x: x.isNotNull()))
+    nodes = nodes.withColumn("chain", chain)
+    part = lambda name: F.transform("chain", lambda x: x[name])
+    return nodes.select(
+        "doc_id", "seq", "parent_seq", "kind", "index", "lead_in", "trailing", "title", "body",
+        F.concat_ws("_", F.concat(F.lit("doc_"), "doc_id"), F.array_join(part("segment"), "_")).alias("node_id"),
+        F.array_join(part("crumb"), " > ").alias("breadcrumb"), part("seq").alias("path"), (F.size("chain") - 1).alias("depth"),
+    )
 
 
 def finish_nodes(nodes: DataFrame) -> DataFrame:
     """Second pass: titles that go on in the lead-in, texts of leaves joined, unfinished parents, cleaned content."""
-    parents = nodes.where("parent_seq is not null").select("doc_id", F.col("parent_seq").alias("seq")).distinct().withColumn("has_children", F.lit(True))
-    rows = nodes.join(parents, ["doc_id", "seq"], "left").fillna(False, ["has_children"])
+    below = F.lead("depth").over(Window.partitionBy("doc_id").orderBy("seq"))  # a node's first child follows it
+    rows = nodes.withColumn("has_children", F.coalesce(below > F.col("depth"), F.lit(False)))
     lead = F.col("lead_in") != ""
     takes = F.col("kind").isin("chuong", "muc") & F.col("title").isNull() & lead
     goes_on = (F.col("kind") == "dieu") & F.col("has_children") & lead & ~F.rtrim("lead_in").endswith(":")
@@ -174,7 +177,9 @@ def finish_nodes(nodes: DataFrame) -> DataFrame:
     content = F.when(~F.col("has_children"), joined).when(unfinished, F.lit("")).otherwise(F.col("body"))
     lead_in = F.when(~F.col("has_children"), F.lit("")).when(unfinished, F.concat_ws(" ", "body", blank("lead_in"))).otherwise(F.col("lead_in"))
     trailing = F.when(~F.col("has_children"), F.lit("")).otherwise(F.col("trailing"))
-    return rows.select("*", clean_content(content).alias("content"), clean_content(lead_in).alias("lead"), trailing.alias("tail")).drop("body", "lead_in", "trailing").withColumnRenamed("lead", "lead_in").withColumnRenamed("tail", "trailing")
+    kept = [c for c in rows.columns if c not in ("body", "lead_in", "trailing")]
+    made = rows.select(*kept, F.inline(F.array(F.struct(content.alias("c__"), lead_in.alias("l__"), trailing.alias("trailing")))))
+    return made.select(*kept, clean_content(F.col("c__")).alias("content"), clean_content(F.col("l__")).alias("lead_in"), "trailing")
 
 
 # Forms of references.
@@ -220,8 +225,8 @@ def find_references(nodes: DataFrame, text: str = "text") -> DataFrame:
     gap = F.substring(t, F.col("end") + 1, F.col("next.start") - F.col("end"))
     near = (F.col("kind") == "internal") & F.col("next").isNotNull() & (F.col("next.start") - F.col("end") <= REACH) & ~gap.rlike(r"[.\n]|này")
     each = each.withColumn("of", F.when(near, F.col("next.match"))).withColumn("of_start", F.when(near, F.col("next.start")))
-    used = each.where("of_start is not null").select("doc_id", "node_id", F.col("of_start").alias("start")).distinct()
-    each = each.join(used, ["doc_id", "node_id", "start"], "left_anti")
+    claimed = F.collect_set("of_start").over(Window.partitionBy("doc_id", "node_id"))
+    each = each.withColumn("claimed", claimed).where(~F.array_contains("claimed", F.col("start"))).drop("claimed")
     point, clause, article = (F.regexp_extract("match", INTERNAL, i) for i in (1, 2, 3))
     sub = F.concat_ws("_", F.concat(F.lit("dieu_"), article), F.when(clause != "", F.concat(F.lit("khoan_"), clause)), F.when(point != "", F.concat(F.lit("diem_"), F.lower(point))))
     articles = nodes.where("kind = 'dieu'").groupBy("doc_id", F.col("index").alias("article")).agg(F.max_by("node_id", "seq").alias("base")) if "kind" in nodes.columns else None

@@ -145,7 +145,7 @@ def cache_hits(asked: DataFrame, cache: DataFrame, version: Column, least: float
 
 def fresh(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     """Entries that users made within the last day, and all others."""
-    age = now.cast("timestamp").cast("long") - F.col("created_at").cast("long")
+    age = now.cast("timestamp").cast("long") - F.col("created_at").cast("timestamp").cast("long")
     return cache.where((F.col("source_round") != "user") | (age <= ttl))
 
 
