@@ -1,0 +1,335 @@
+"""Corpus operators against brute-force versions, on small tables with odd rows."""
+
+import gzip
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lexmill.llm import decontam, langid, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, target int"
+
+
+def words(n, seed, bag=None):
+    r = random.Random(seed)
+    return " ".join(r.choice(bag) if bag else "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = [words(60, i) for i in range(12)]
+    texts = [*base, base[0], base[0] + " end", base[1].upper(), "", None, "one", "\x0b\t", "a" * 50_000, words(5000, 99), "日本語 text ñ"]
+    out = [(i, t, "en" if i % 5 else None, [None, "s1", "s2", "s3"][i % 4], 0, "x", "y", 1) for i, t in enumerate(texts)]
+    return [*out, out[3], out[3], (None, base[2], "en", None, 0, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def size_of(t):
+    return len((t or "").encode()) + 16
+
+
+def test_shards(docs, none, rows):
+    got = sharding.shard_documents(docs, shards=5).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((r[0] is not None, r[0] or 0, size_of(r[1]), zlib.crc32((r[1] or "").encode())) for r in rows)
+    got.sort(key=lambda r: (r.shard, r.slot))
+    at, total = 0, sum(r.size for r in got)
+    for r in got:  # contiguous, gapless, cut at equal targets
+        assert r.start_byte == at and r.shard == min(4, (2 * at + r.size) * 5 // (2 * total))
+        at += r.size
+    ids = [r.doc_id for r in got]
+    assert ids == [None, None, *sorted(i for i in ids if i is not None)]
+    for s in range(5):
+        slots = [r.slot for r in got if r.shard == s]
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(none).count() == 0
+
+
+def test_targets():
+    assert mixing.fill_targets([10, 10, 10], [5, 2, 1], 3) == [18.75, 7.5, 3.75]
+    t = mixing.fill_targets([1, 50, 49], [5, 2, 1], 3)
+    assert t[0] == 3 and abs(sum(t) - 100) < 1e-9 and abs(t[1] / t[2] - 2) < 1e-9
+    assert mixing.fill_targets([], [], 3) == [] and mixing.fill_targets([0, 5], [5, 2], 3)[0] == 0
+
+
+def test_flow_prefers_first_uses():
+    flows = mixing.route([(("a",), 10), (("a", "b"), 10), (("b",), 4)], {"a": 12, "b": 12}, 3)
+    assert sum(flows) == 24 and flows == [10, 10, 4]
+    assert mixing.route([(("a",), 10)], {"a": 25}, 3) == [25]
+    best = min(  # brute force of the convex cost
+        (sum(max(0, f - n) + 2 * max(0, f - 2 * n) for f, n in zip((x, 30 - x), (10, 8))), x) for x in range(31) if x <= 30 and 30 - x <= 24
+    )
+    got = mixing.route([(("a",), 10), (("a", "b"), 8)], {"a": 30, "b": 0}, 3)
+    assert sum(max(0, f - n) + 2 * max(0, f - 2 * n) for f, n in zip(got, (10, 8))) == best[0]
+
+
+def test_mix(spark, docs, none, rows):
+    many = spark.createDataFrame([(i, words(5 + i % 17, i), "en", f"s{i % 3}" if i % 7 else None, 0, "x", "y", 1) for i in range(400)], SCHEMA)
+    got = mixing.mix_documents(many).collect()
+    by = {}
+    for r in got:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", many_text(r.doc_id))) and 0 <= r.taken <= 3 * r.size
+        s = by.setdefault(r.source, [0, 0, r.target, r.source_size])
+        s[0], s[1] = s[0] + r.size, s[1] + r.taken
+    assert all(s[0] == s[3] and abs(s[1] - s[2]) <= 0.02 * s[2] for s in by.values())
+    names = sorted(k for k in by if k) + [None]
+    want = mixing.fill_targets([by[n][0] for n in names], [(5, 2, 1)[i % 3] for i in range(4)], 3)
+    assert [round(by[n][2], 6) for n in names] == [round(w, 6) for w in want]
+    again = mixing.mix_documents(many.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    assert mixing.mix_documents(docs).count() == len(rows) and mixing.mix_documents(none).count() == 0
+    taken = {r.doc_id: r.uses for r in got}
+    out = mixing.apply_mix(many).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in out} == {k: v for k, v in taken.items() if v} and mixing.apply_mix(docs).columns == docs.columns
+
+
+def many_text(i):
+    return words(5 + i % 17, i)
+
+
+def plain_print(t):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode()))
+    s = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def plain_components(prints):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash(docs, none, rows):
+    got = simhash.near_duplicates(docs).collect()
+    prints = [plain_print(r[1]) for r in rows]
+    comp = plain_components(prints)
+    least = {}
+    for r, c in zip(rows, comp):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    want = sorted((r[0] is not None, r[0] or 0, p, least.get(c, -1)) for r, p, c in zip(rows, prints, comp))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.print % 2**64, -1 if r.component_id is None else r.component_id) for r in got) == want
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
+
+
+def test_simhash_links_are_complete(spark, monkeypatch):
+    r = random.Random(3)
+    prints = set()
+    for _ in range(150):
+        p = r.getrandbits(64)
+        prints.add(p)
+        for _ in range(4):
+            q = p
+            for b in r.sample(range(64), r.randrange(1, 7)):
+                q ^= 1 << b
+            prints.add(q)
+    centre = r.getrandbits(64)  # one crowded anchor, cut into tiles
+    prints |= {centre ^ (1 << a) ^ (1 << b) for a in range(40, 64) for b in range(a)}
+    prints = sorted(prints)
+    comp = plain_components(prints)
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "print long")
+    for tile in (simhash.TILE, 60):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        root = {r.node: r.root for r in simhash.components(simhash.near_links(df)).collect()}
+        groups = {}
+        for p, c in zip(signed, comp):
+            groups.setdefault(c, []).append(p)
+        for members in groups.values():
+            assert len({root.get(p, p) for p in members}) == 1
+        assert len({root.get(p, p) for p in signed}) == len(groups)
+
+
+def test_coder_round_trip():
+    r = np.random.default_rng(1)
+    blocks = [r.integers(0, 49408, n).astype(np.uint16) for n in (0, 1, 7, 500)] + [np.tile([5, 6, 7, 65535], 300).astype(np.uint16), np.zeros(900, np.uint16)]
+    coded = tokenfile.encode_blocks(blocks)
+    back = tokenfile.decode_blocks(coded, [len(b) for b in blocks])
+    assert all((a == b).all() for a, b in zip(blocks, back)) and len(coded[4]) < 200
+
+
+def test_token_file(spark, docs, none, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = docs.where("length(text) < 5000 or text is null").where("doc_id is not null")
+    got = sorted(map(tuple, tokenfile.round_trip(few, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    tok, at, want = Tokenizer.from_file(path), 0, []
+    for i, t in sorted(((r[0], r[1]) for r in rows if r[0] is not None and len(r[1] or "") < 5000), key=lambda x: x[0]):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and tokenfile.round_trip(none, path).count() == 0
+
+
+def test_damaged_block_is_found(spark, docs, tmp_path):
+    import public_tokenizers
+
+    path = str(tmp_path / "ids")
+    tokenfile.write_token_file(docs.where("length(text) < 500"), path, public_tokenizers.path("word_bpe_49k.json"))
+    bad = spark.read.parquet(path).withColumn("ids_crc32", F.col("ids_crc32") + 1)
+    bad.write.parquet(path + "_bad")
+    with pytest.raises(Exception, match="damaged"):
+        tokenfile.read_token_file(spark, path + "_bad").count()
+
+
+def test_secrets(spark, none):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f9aa"
+    texts = [f'so token = "{key}" and more', f"commit {key}", "number 2353820953013749 of it", "api_key=your_token_here", None, "", "einandersetzungsgesellschaft"]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.candidate): r for r in secrets.scan(docs, path="source").collect()}
+    assert got[0, key].is_secret and not got[1, key].is_secret and not got[2, "2353820953013749"].is_secret
+    assert all(not r.is_secret for (i, _), r in got.items() if i)
+    found = secrets.scan(docs, path="source")
+    assert secrets.redact(docs, found).where("doc_id = 0").first().text == 'so token = "[secret]" and more'
+    assert secrets.scan(none).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    pages = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (5, "u", ""), (7, "u\r\nX: y", "long " * 300_000), (4, "d", "only"), (4, "d", "only"), (None, "n", "lone")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=str)
+    first = {}
+    for p, _, h in pages:
+        if p is not None:
+            first[h or ""] = min(first.get(h or "", p), p)
+    want, seen = [], set()
+    for p, _, h in pages:
+        h = h or ""
+        lead = (p == first.get(h) and (p, h) not in seen) or h not in first
+        seen.add((p, h))
+        want.append((p, len(h.encode()), warc.payload_digest(h.encode()), "response" if lead else "revisit", None if lead else first[h]))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_reader_framing():
+    a = warc.write_record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:" + warc.payload_digest(b"x" * 100))], b"x" * 100)
+    b = warc.write_record([("WARC-Type", "warcinfo")], b"")
+    data = a + b
+    for step in (1, 7, 1000):
+        assert [r.block for r in warc.WarcReader(data[i : i + step] for i in range(0, len(data), step))] == [b"x" * 100, b""]
+    assert gzip.GzipFile(fileobj=io.BytesIO(data)).read().count(b"WARC/1.1") == 2
+    wrong = warc.write_record([("WARC-Block-Digest", "sha1:AAAA")], b"x")
+    for bad in (data[:-3], wrong, gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), gzip.compress(b"hello")):
+        with pytest.raises(ValueError):
+            list(warc.WarcReader([bad]))
+
+
+def test_language(spark, docs, none, rows):
+    made = [(i, words(30, i, ["the", "and", "thing"]) if i % 2 else words(30, i, ["der", "und", "ß"]), "en" if i % 2 else "de", "s", 0, "x", "y", 1) for i in range(60)]
+    df = spark.createDataFrame([*made, (900, None, "en", "s", 0, "", "", 1), (901, "123 !!", "de", "s", 0, "", "", 1), (None, "the and", None, None, 0, "", "", 1)], SCHEMA)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert all(got[i].lang_pred == m[2] for i, m in enumerate(made)) and got[900].lang_pred == got[901].lang_pred == "und"
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.values())
+    assert langid.identify(none).count() == 0 and langid.identify(docs).count() == len(rows)
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == 61
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    text = words(400, 5)
+    whole = langid.ngram_counts(text)
+    assert whole.sum() == sum(len(langid._codes(text)) - k + 1 for k in langid.ORDERS)
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, words(20, 1000)), (2, "a b"), (3, None), (4, words(40, 1001)), (4, words(40, 1001)), (5, "!!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    w = words(40, 1001).split()
+    texts = [f"x y {words(20, 1000).upper()}, z", "pre a, B post", " ".join(w[:35]), " ".join(w[:30]), None, "", words(3000, 7) + " " + words(20, 1000), f"x y {words(20, 1000).upper()}, z"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_shingles int")
+
+    def grams(t, n):
+        v = re.findall(r"[a-z0-9]+", (t or "").lower())
+        return {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
+
+    want = set()
+    for i, t in enumerate(texts):
+        for k, s in items:
+            n = min(5, len(re.findall(r"[a-z0-9]+", (s or "").lower())))
+            g = grams(s, n) if n else set()
+            if g and len(g & grams(t, n)) >= 0.8 * len(g) - 1e-9:
+                want.add((i, k, len(g), len(g & grams(t, n))))
+    got = decontam.contained_items(df, bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.matched) for r in got} == want and len(got) == len(want)
+    assert {(0, 1), (1, 2), (6, 1), (7, 1), (2, 4)} <= {(a, b) for a, b, *_ in want}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect()) == sorted(set(range(8)) - {a for a, *_ in want})
+    assert decontam.contained_items(none, bench).count() == 0 and decontam.contained_items(df, bench.limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    r = random.Random(5)
+    vec = [[r.gauss(0, 0.3) for _ in range(8)] for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(vec)] + [(300 + i, vec[7]) for i in range(20)] + [(400, None), (450, [None] * 8), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [0.5]), (650, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    own = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in (i for i in own if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(own[q], v)), i) for i, v in own.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    got = pivots.top_k(df, F.col("vec_id") % 50 == 0, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert pivots.top_k(df.limit(0), F.lit(True)).count() == 0 and pivots.top_k(df.where("vec_id = 50"), F.lit(True)).count() == 0
+
+
+def test_pivots_spare_work():
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 100, (20, 16))
+    c = (centres[r.integers(0, 20, 4000)] + r.normal(0, 3, (4000, 16))).astype(np.int64)
+    *_, done = pivots.search_block(np.arange(10, dtype=np.int64), c[:10], np.arange(4000, dtype=np.int64), c, 5)
+    assert done < 10 * 4000 / 2
+
+
+def test_toxicity(spark, docs, none):
+    bad = ["idiot", "stupid", "trash"]
+    made = [(i, words(30, i) + (" " + bad[i % 3] if i % 4 == 0 else "") + " " + words(20, i + 5000)) for i in range(600)]
+    odd = [(1000, "what an 1d10t here"), (1001, "so s t u p i d now"), (1002, "plain words here"), (1003, None), (1004, ""), (1005, "tr@@@sh")]
+    df = spark.createDataFrame([*made, *odd], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in made] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(df, labels).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i, _ in made if got[i].held_out]) > 0.97
+    assert [got[i].predicted for i in range(1000, 1006)] == [1, 1, 0, 0, 0, 1]
+    assert toxicity.score_documents(none, labels).count() == 0
+    assert toxicity.score_documents(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [words(200, i) for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(50, texts[0], "en", "s0", 1), (51, "12 34", None, "s1", 5), (52, texts[5] + " " + words(30, 777), "en", "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, words(30, 777))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in got}
+    assert ids <= set(range(40)) and len(ids) > 20 and all(0 <= r.shard < 40 for r in got)
