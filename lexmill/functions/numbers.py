@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -184,3 +188,28 @@ def percentile_rounded(value: Column, p: int) -> Column:
 def nearest_rank(values: Column, share: float) -> Column:
     """The element at position floor(n * share) of an array, sorted."""
     return F.get(F.array_sort(values), F.floor(F.size(values) * share).cast("int"))
+
+
+def _in_words(grouped: re.Match) -> str:
+    """A grouped number in billions or millions, as far as it reaches them."""
+    value = int(re.sub(r"[.,]", "", grouped.group(0)))
+    for unit, by in (("tỷ", 1_000_000_000), ("triệu", 1_000_000)):
+        if value >= by:
+            return f"{value // by} {unit}" if value % by == 0 else f"{value / by:.1f} {unit}"
+    return str(value)
+
+
+@F.pandas_udf(StringType())
+def canonical_amount(text: pd.Series) -> pd.Series:
+    """Amounts written alike: short units, decimal points, grouped numbers in words, no leading zeros, no currency."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = re.sub(r"(tỷ|triệu|nghìn) (?:đồng|vnđ|vnd)", r"\1", t.lower().strip())
+        t = re.sub(r"\b\d{1,3}(?:[.,]\d{3})+\b", _in_words, t)
+        t = re.sub(r"(\d),(\d)", r"\1.\2", t)
+        t = re.sub(r"\b0+(\d)", r"\1", re.sub(r"\b(?:vnd|vnđ|đồng)\b", "", t))
+        return " ".join(t.split())
+
+    return text.map(one)

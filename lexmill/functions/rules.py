@@ -100,6 +100,8 @@ VAT_RATES = {"goods": 0.01, "services": 0.05, "manufacturing": 0.03, "other": 0.
 PIT_RATES = {"goods": 0.005, "services": 0.02, "manufacturing": 0.015, "other": 0.01, "real_estate": 0.05}
 PROFIT_BRACKETS = [(0.0, 5e8, 0.0), (5e8, 3e9, 0.15), (3e9, 5e10, 0.17), (5e10, None, 0.20)]
 INCOME_BRACKETS = [(0.0, 1.2e8, 0.05), (1.2e8, 3.6e8, 0.10), (3.6e8, 7.2e8, 0.20), (7.2e8, 1.2e9, 0.30), (1.2e9, None, 0.35)]
+# the monthly scale of the former law, which no calculator uses
+MONTHLY_BRACKETS = [(0.0, 5e6, 0.05), (5e6, 1e7, 0.10), (1e7, 1.8e7, 0.15), (1.8e7, 3.2e7, 0.20), (3.2e7, 5.2e7, 0.25), (5.2e7, 8e7, 0.30), (8e7, None, 0.35)]
 SELF_DEDUCTION, DEPENDENT_DEDUCTION = 15_500_000, 6_200_000
 OLD_SELF_DEDUCTION, OLD_DEPENDENT_DEDUCTION = 11_000_000, 4_400_000
 EXEMPT_UP_TO, PROFIT_FROM, MONTHLY_FROM = 5e8, 3e9, 5e10
@@ -135,3 +137,12 @@ FACTS = [
     (r"(?iu)\d+\s*(?:ngày|tháng|năm)(?![\p{L}\p{N}])", "numeric"),
     (r"(?iu)(?:điều|khoản|điểm|mục|chương)\s+\d+[a-zđ]?(?:\s+(?:điều|khoản|điểm)\s+\d+[a-zđ]?)*", "citation"),
 ]
+
+# Fixed value: words that name a household business without doubt; its documents are only added to a search behind them.
+HOUSEHOLD_GATE = (
+    r"(?iu)hộ kinh doanh|hkd(?![\p{L}\p{N}_])|hộ gia đình kinh doanh|đăng ký kinh doanh hộ|"
+    r"thuế khoán|phương pháp khoán|doanh thu trừ chi phí|phương pháp lợi nhuận|"
+    r"kê khai theo doanh thu thực tế|chế độ kế toán hộ"
+)
+# Lines that close an open node, by its level.
+CLOSES = {"dieu": ["dieu"], "khoan": ["khoan", "dieu"], "diem": ["diem", "khoan", "dieu"], "tiet": ["tiet", "diem", "khoan", "dieu"]}

@@ -180,3 +180,9 @@ def bad_transitions(log: DataFrame, allowed: dict[str, list[str]] = TRANSITIONS)
 def event_frame(stage: Column, payload: Column) -> Column:
     """A server-sent event as text."""
     return F.concat(F.lit("event: "), stage, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))
+
+
+def answer_sections(answer: Column, quote: str = "## Trích dẫn", reply: str = "## Trả lời") -> Column:
+    """An answer with its two section marks, the first of each, as headings."""
+    once = lambda c, pattern, new: F.regexp_replace(c, rf"(?isu)^(.*?){pattern}", "$1\n\n" + new + "\n\n")
+    return once(once(answer, r"\*{0,2}\s*📌\s*Trích\s*dẫn\s*\*{0,2}[\s:>]*", quote), r"\*{0,2}\s*💬\s*Trả\s*lời\s*\*{0,2}[\s:]*", reply)

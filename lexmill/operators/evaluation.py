@@ -32,11 +32,39 @@ def tier2_citations(expected: Column, cited: Column) -> Column:
     return F.round(recall * F.least(F.lit(1.0), F.coalesce(precision, F.lit(0.0)) / 0.5), 3)
 
 
-def tier3_tools(used: Column, best: Column, fine: Column) -> Column:
-    """How well tools fit: the best ones 1, fine ones 0.8, both kinds mixed with others 0.5, a search 0.3, none 0."""
-    hit, ok = F.arrays_overlap(used, best), F.arrays_overlap(used, fine)
-    others = F.size(F.array_except(used, F.array_union(best, fine))) > 0
-    return F.when(F.size(used) == 0, 0.0).when(hit & ~others, 1.0).when(hit, 0.8).when(ok, 0.5).otherwise(0.3)
+# Tools that fit a topic, and those that calculate.
+TOPIC_TOOLS = {
+    "Thuế hộ kinh doanh": ["calculate_tax_hkd", "calculate_tax_hkd_profit", "evaluate_tax_obligation", "search_legal_docs", "get_article"],
+    "Thuế thu nhập cá nhân": ["calculate_tncn_progressive", "calculate_deduction", "search_legal_docs", "get_article"],
+    "Thuế thương mại điện tử": ["calculate_tax_hkd", "evaluate_tax_obligation", "search_legal_docs", "get_article", "get_guidance"],
+    "Nghĩa vụ kê khai": ["evaluate_tax_obligation", "search_legal_docs", "get_article"],
+    "Kế toán HKD": ["search_legal_docs", "get_guidance"],
+    "Xử phạt vi phạm": ["search_legal_docs", "get_article"],
+    "Thủ tục hành chính": ["search_legal_docs", "get_article", "get_guidance"],
+    "Thủ tục hoàn thuế": ["search_legal_docs", "get_article"],
+    "Hiệu lực pháp luật": ["check_doc_validity", "get_article_with_amendments", "search_legal_docs"],
+    "Miễn giảm thuế": ["evaluate_tax_obligation", "search_legal_docs", "get_article"],
+    "Thuế tài sản": ["search_legal_docs"],
+    "Bất khả kháng": ["search_legal_docs"],
+}
+CALCULATORS = ["calculate_tax_hkd", "calculate_tax_hkd_profit", "calculate_tncn_progressive", "calculate_deduction", "evaluate_tax_obligation"]
+
+
+def tier3_tools(used: Column, topic: Column, needs_calculation: Column, answer: Column, table: dict[str, list[str]] = TOPIC_TOOLS) -> Column:
+    """How well the tools used fit a topic.
+
+    No tool: 0.3 with an answer of some length, else 0.  A calculation without a
+    calculator: 0.  A fitting tool: 1; only others: 0.5; a topic without a list: 0.8.
+    """
+    lists = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    fitting = F.try_element_at(lists, topic)
+    return (
+        F.when(F.size(used) == 0, F.when(F.length(answer) > 50, 0.3).otherwise(0.0))
+        .when(needs_calculation & ~F.arrays_overlap(used, F.array(*map(F.lit, CALCULATORS))), 0.0)
+        .when(fitting.isNull(), 0.8)
+        .when(F.arrays_overlap(used, fitting), 1.0)
+        .otherwise(0.5)
+    )
 
 
 def _guarded(fact: Column, answer: Column) -> Column:

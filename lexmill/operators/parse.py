@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.rules import CLOSES
 from lexmill.functions.text import clean_content, clean_law_name, slugify
 
 # Forms of headings, in the order in which they are tried.
@@ -73,6 +74,12 @@ def line_type(line: Column) -> Column:
     return made.otherwise(F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("index"), line.alias("content")))
 
 
+def closes(kind: Column, level: Column) -> Column:
+    """True if a line of a kind ends an open node of a level."""
+    table = F.create_map(*[x for k, v in CLOSES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.array_contains(F.try_element_at(table, level), kind), F.lit(False))
+
+
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line)."""
     return docs.select(doc_id, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))

@@ -299,6 +299,17 @@ def inject(queries: DataFrame, items: DataFrame, docs_of: DataFrame, pool: DataF
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "n__", "chunk_id"))).drop("n__")
 
 
+def scope_injection(queries: DataFrame, scopes: DataFrame, scope_docs: DataFrame, have: DataFrame, gate: str) -> DataFrame:
+    """(query_id, doc_id) of household-business documents to add: only behind the gate, not for online trade, not twice.
+
+    scopes (query_id, scopes), have (query_id, doc_id): what other rules have added.
+    """
+    fits = F.array_contains("scopes", "HKD") & ~F.array_contains("scopes", "TMDT")
+    asked = queries.where(F.col("text").rlike(gate)).join(scopes, "query_id").where(fits).select("query_id")
+    wanted = asked.join(F.broadcast(scope_docs.where("scope = 'HKD'").select("doc_id")), F.lit(True))
+    return wanted.join(have, ["query_id", "doc_id"], "left_anti")
+
+
 def search(queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scopes: DataFrame | None = None, scope_docs: DataFrame | None = None) -> DataFrame:
     """The whole ranked query for a batch: queries (query_id, text, q), chunks (chunk_id, doc_id, text, v, refs, superseded).
 

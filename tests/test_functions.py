@@ -98,3 +98,23 @@ def test_classification(spark):
     s = one(spark, "bán hàng trên shopee", lambda c: classify.classify_scope(c, F.lit(None).cast("string")))
     assert s.scopes == ["HKD", "TMDT"] and s.confidence == 0.5
     assert one(spark, "xin chào", lambda c: classify.classify_scope(c, F.lit("CALCULATION"))).scopes == ["PIT", "HKD"]
+
+
+@pytest.mark.parametrize("given,want", [("01 tỷ", "1 tỷ"), ("1 tỷ đồng", "1 tỷ"), ("4.000.000", "4 triệu"), ("4,000,000", "4 triệu"), ("15,5 triệu", "15.5 triệu"), ("500.000.000 VND", "500 triệu"), (None, None)])
+def test_canonical_amount(spark, given, want):
+    assert one(spark, given, numbers.canonical_amount) == want
+
+
+def test_schemas_parse(spark):
+    from lexmill.functions import schemas
+
+    for name in ("NODES", "EDGES", "TABLES", "DOCUMENT", "CHUNKS", "REGISTRY", "CLASSIC", "ANNOTATION", "KEY_FACT", "RESULT", "CACHE", "ANSWER_LOG", "PATCHES", "HITS", "TURNS"):
+        assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+
+
+def test_tools_tier(spark):
+    from lexmill.operators.evaluation import tier3_tools
+
+    rows = [([], "Thuế tài sản", False, "x" * 60), (["search_legal_docs"], "Thuế hộ kinh doanh", True, ""), (["search_legal_docs"], "Thuế tài sản", False, ""), (["other"], "Thuế tài sản", False, ""), (["other"], "?", False, "")]
+    df = spark.createDataFrame(rows, "u array<string>, t string, c boolean, a string")
+    assert [r.s for r in df.select(tier3_tools(F.col("u"), F.col("t"), F.col("c"), F.col("a")).alias("s")).collect()] == [0.3, 0.0, 1.0, 0.5, 0.8]
