@@ -10,12 +10,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, new_table, shuffle_partitions
+from lexmill.llm.common import cut, hint_if_small, new_table
 
-#: An archive is closed beyond so many compressed bytes; it is stored in pieces of PIECE bytes.
+#: An archive is closed beyond so many compressed bytes; a piece of it is closed behind the record that fills PIECE bytes.
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 20
 #: Longest head of a record that the reader takes.
 HEAD_LIMIT = 1 << 20
@@ -118,45 +118,45 @@ def _payload(head: dict[str, str], block: bytes) -> bytes | None:
 
 
 def _to_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html, refers_to, is_revisit) to pieces of archives, one or more for each task."""
+    """Rows (page_id, url, html, refers_to, is_revisit) to pieces of archives, one or more archives for each task."""
     name, piece, buffer, size = uuid.uuid4().hex, 0, bytearray(), 0
-
-    def give(data: bytes, last: bool) -> pa.RecordBatch:
-        nonlocal piece
-        piece += 1
-        return pa.RecordBatch.from_pydict({"archive": [name], "piece": pa.array([piece - 1], pa.int64()), "data": pa.array([data], pa.binary())})
-
     for batch in batches:
         for page, url, html, refers, revisit in zip(*(batch.column(i) for i in range(5))):
-            page, url, refers = page.as_py(), url.as_py(), refers.as_py()
-            payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-            digest = payload_digest(payload)
-            http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-            revisit = revisit.as_py()
-            block = http if revisit else http + payload
-            head = [
-                ("WARC-Type", "revisit" if revisit else "response"),
-                ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"),
-                ("WARC-Date", "1970-01-01T00:00:00Z"),
-                ("WARC-Target-URI", url or ""),
-                ("Content-Type", "application/http; msgtype=response"),
-                ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
-                ("WARC-Payload-Digest", f"sha1:{digest}"),
-                ("X-Payload-Length", str(len(payload))),
-                *([] if page is None else [("X-Page-Id", str(page))]),
-            ]
-            if revisit:
-                head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}')}>"), ("X-Refers-To-Page", str(refers))]
-            buffer += write_record(head, block)
-            while len(buffer) >= PIECE:
-                size += PIECE
-                yield give(bytes(buffer[:PIECE]), False)
-                del buffer[:PIECE]
+            buffer += _page_record(page.as_py(), url.as_py(), html.as_py(), refers.as_py(), revisit.as_py())
+            if len(buffer) >= PIECE:
+                yield _piece(name, piece, buffer)
+                size, piece, buffer = size + len(buffer), piece + 1, bytearray()
             if size >= ARCHIVE_BYTES:
-                yield give(bytes(buffer), True)
-                name, piece, buffer, size = uuid.uuid4().hex, 0, bytearray(), 0
+                name, piece, size = uuid.uuid4().hex, 0, 0
     if buffer:
-        yield give(bytes(buffer), True)
+        yield _piece(name, piece, buffer)
+
+
+def _piece(name: str, number: int, data: bytearray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"archive": [name], "piece": pa.array([number], pa.int64()), "data": pa.array([bytes(data)], pa.binary())})
+
+
+def _page_record(page: int | None, url: str | None, html: str | None, refers: int | None, revisit: bool) -> bytes:
+    """The record of one page: the whole response, or a revisit that names the response and its payload."""
+    payload = (html or "").encode("utf-8", "surrogatepass")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    block = http if revisit else http + payload
+    name = lambda of: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{of}')}>"
+    head = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", name(page)),
+        ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Target-URI", url or ""),
+        ("Content-Type", "application/http; msgtype=response"),
+        ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
+        ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"),
+        ("X-Payload-Length", str(len(payload))),
+    ]
+    if page is not None:
+        head.append(("X-Page-Id", str(page)))
+    if revisit:
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", name(refers)), ("X-Refers-To-Page", str(refers))]
+    return write_record(head, block)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -170,31 +170,28 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
     An archive is a sequence of gzip members.  As executors share no file system
     but Spark's, its bytes are stored in numbered pieces in a table; ``pieces``
-    in order are a ``.warc.gz`` file (see ``export_archive``).  Hot payloads are
-    grouped by digest with pre-aggregation; no group meets in one task.
+    in order are a ``.warc.gz`` file (see ``export_archive``).  A piece ends with
+    a record, so that pieces can be read in any task.  Hot payloads are grouped by
+    digest with pre-aggregation; no group meets in one task.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("row_no", F.monotonically_increasing_id())
-    narrow = cut(
-        rows.select("page_id", "row_no", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= min_bytes)
-    )
-    first = narrow.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_no")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    digest = F.sha1(F.coalesce("html", F.lit("")))
-    long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes
-    keyed = rows.withColumn("digest", F.when(long_enough, digest)).join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first.page_id"))) & F.col("first.page_id").isNotNull()
-    again = F.col("first").isNotNull() & F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("page_id").isNotNull() & (F.col("row_no") != F.col("first.row_no"))
-    marked = keyed.select("page_id", "url", "html", F.col("first.page_id").alias("refers_to"), F.coalesce(revisit | again, F.lit(False)).alias("revisit"))
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html").withColumn("digest", F.when(F.octet_length(html) >= min_bytes, F.sha1(html)))
+    narrow = cut(rows.where("digest is not null").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")))
+    named = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("n"))
+    first = narrow.groupBy("digest").agg(F.min(named).alias("first"), F.sum("n").alias("copies")).where("copies > 1 and first.page_id is not null")
+    first = cut(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("first_n")))
+    keyed = rows.join(hint_if_small(first, 200_000), "digest", "left")
+    leads = F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
+    out = lambda df, revisit: df.select("page_id", "url", "html", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
+    if first.where("first_n > 1").limit(1).count():  # pages that repeat their id and payload: one row of each is the response
+        twice = leads & (F.col("first_n") > 1)
+        nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+        marked = out(keyed.where(~twice), F.col("first_id").isNotNull() & ~leads).unionByName(out(keyed.where(twice).withColumn("nth", nth), F.col("nth") > 1))
+    else:
+        marked = out(keyed, F.col("first_id").isNotNull() & ~leads)
     marked.mapInArrow(_to_archives, "archive string, piece long, data binary").write.option("compression", "none").parquet(path)
 
 
-def _in_order(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, Iterator[bytes]]]:
-    """Group consecutive pieces by archive."""
-    import itertools
-
-    for name, group in itertools.groupby(rows, lambda r: r[0]):
-        yield name, (r[1] for r in group)
-
-
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -226,20 +223,25 @@ def _packed(records: Iterable[Record], with_payload: bool) -> Iterator[pa.Record
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Read archives back, each sequentially: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+    """Read archives back, each piece sequentially: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     A revisit holds no payload; its size and digest are those of the full payload,
     as its head gives them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = ((a, d.as_py()) for b in batches for a, d in zip(b.column(0).to_pylist(), b.column(1)))
-        for _, data in _in_order(pieces):
-            yield from _packed(WarcReader(data), with_payload)
+        for batch in batches:
+            for piece in batch.column(0):
+                yield from _packed(WarcReader(_slices(piece)), with_payload)
 
     stored = spark.read.schema("archive string, piece long, data binary").parquet(path)
-    dealt = stored.repartition(shuffle_partitions(spark), "archive").sortWithinPartitions("archive", "piece")
-    return dealt.select("archive", "data").mapInArrow(run, RECORD_SCHEMA)
+    return stored.select("data").mapInArrow(run, RECORD_SCHEMA)
+
+
+def _slices(data: pa.BinaryScalar, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a value, some at a time."""
+    view = memoryview(data.as_buffer())
+    return (bytes(view[i : i + step]) for i in range(0, len(view), step))
 
 
 def read_warc_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -248,8 +250,7 @@ def read_warc_files(spark: SparkSession, path: str, with_payload: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = memoryview(content.as_buffer())
-                yield from _packed(WarcReader(bytes(data[i : i + PIECE]) for i in range(0, len(data), PIECE)), with_payload)
+                yield from _packed(WarcReader(_slices(content)), with_payload)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
 
