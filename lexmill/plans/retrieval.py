@@ -279,7 +279,7 @@ def amendment_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 AMENDMENT_SQL = """
 WITH c AS (SELECT l_suppkey || '_' || l_orderkey || '_' || l_linenumber AS chunk_id, l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey || '_' || l_orderkey || '_' || l_linenumber) AS pos FROM lineitem),
 a AS (SELECT o_custkey AS query_id, l_suppkey, min(o_orderkey) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)
-SELECT query_id, chunk_id, CAST(k AS VARCHAR) AS amendment_of FROM a JOIN c USING (l_suppkey) WHERE pos <= 3"""
+SELECT query_id, chunk_id, CAST(min(k) AS VARCHAR) AS amendment_of FROM a JOIN c USING (l_suppkey) WHERE pos <= 3 GROUP BY 1, 2"""
 
 
 def ood_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
