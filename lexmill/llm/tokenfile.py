@@ -9,8 +9,8 @@ Model.  For each id, an order-2 and an order-1 context (the hash of the last two
 ids, the last id) each predict one id with a confidence.  Whether a prediction
 holds is coded with the mean, weighted by confidence, of what both contexts'
 adaptive counters say.  An id that no context predicts is coded with the order-0
-model, an adaptive binary tree over the id's 16 bits.  All binary decisions drive
-one carry-less 32-bit arithmetic coder for each block.
+model, adaptive shares of each four bits behind those before.  All decisions drive
+one carry-less range coder for each block.
 
 Many blocks of a task are coded in lock step, as lanes of numpy arrays.
 """
@@ -28,183 +28,299 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import cut, new_table, shuffle_partitions
 
 #: Ids in a block, lanes that are coded at once, and slots of a context table.
-BLOCK, LANES, SLOTS = 4096, 1024, 4096
+BLOCK, LANES, SLOTS = 4096, 512, 4096
 #: Bits of a probability, and how fast counters move (a power of two).
 PBITS, RATE = 12, 4
 ID_BITS = 16
+#: Bits of the sum of the shares of four bits, how fast they move, and the bounds of the coder's interval.
+CBITS, SHARE_RATE = 14, 4
+TOP, BOTTOM, WORD = 1 << 32, 1 << 28, np.uint64(32)
+#: The four digits of an id: their shift, the first of their tables, and the bits before them that choose the table.
+DIGITS = ((12, 0, 0), (8, 1, 15), (4, 17, 255), (0, 273, 4095))
+NODES = 273 + 4096
 
 
 class _Coder:
-    """Binary arithmetic coding of one decision for each active lane."""
+    """Range coding, one decision at a time for many lanes, without carries.
+
+    The interval is (low, low + range) of 64 bits.  Its leading 32 bits go out
+    once they are settled, or once the range has become too small, which is then
+    cut so that they settle.  Between two calls of ``settle`` decisions may take
+    28 bits.
+    """
 
     def __init__(self, lanes: int, data: list[bytes] | None, room: int) -> None:
-        self.low = np.zeros(lanes, np.uint32)
-        self.high = np.full(lanes, 0xFFFFFFFF, np.uint32)
-        self.decode = data is not None
-        self.at = np.zeros(lanes, np.int64)
+        self.low = np.zeros(lanes, np.uint64)
+        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.code = np.zeros(lanes, np.uint64)
+        self.reads = data is not None
+        self.room = max(map(len, data), default=0) // 4 + 8 if data is not None else room // 4 + 8
+        self.buf = np.zeros(lanes * self.room, ">u4")
+        for i, d in enumerate(data or ()):
+            self.buf[i * self.room : i * self.room + len(d) // 4] = np.frombuffer(d, ">u4")
+        self.buf = self.buf.astype(np.uint32)
+        self.at = np.arange(lanes) * self.room
         if data is not None:
-            room = max(map(len, data), default=0) + 8
-            self.buf = np.zeros((lanes, room), np.uint8)
-            for i, d in enumerate(data):
-                self.buf[i, : len(d)] = np.frombuffer(d, np.uint8)
-            head = self.buf[:, :4].astype(np.uint32)
-            self.code = (head[:, 0] << 24) | (head[:, 1] << 16) | (head[:, 2] << 8) | head[:, 3]
-            self.at += 4
-        else:
-            self.buf = np.zeros((lanes, room), np.uint8)
-
-    def step(self, lane: np.ndarray, p1: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code ``bit`` (or find it) for the given lanes; p1: chance of 1, in 1..4095 of 4096."""
-        low, high = self.low[lane], self.high[lane]
-        mid = low + (((high - low).astype(np.uint64) * p1.astype(np.uint64)) >> np.uint64(PBITS)).astype(np.uint32)
-        if bit is None:
-            bit = self.code[lane] <= mid
-        low, high = np.where(bit, low, mid + np.uint32(1)), np.where(bit, mid, high)
-        out = np.flatnonzero((low ^ high) < 0x1000000)
+            for _ in range(2):
+                self.code = (self.code << WORD) | self.buf[self.at]
+                self.at += 1
+
+    def take(self, lane: np.ndarray | slice) -> list[np.ndarray]:
+        return [self.low[lane], self.range[lane], self.code[lane], self.at[lane]]
+
+    def put(self, lane: np.ndarray, state: list[np.ndarray]) -> None:
+        self.low[lane], self.range[lane], self.code[lane], self.at[lane] = state
+
+    def settle(self, state: list[np.ndarray]) -> None:
+        low, width, code, at = state
+        out = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
         while len(out):
-            k = lane[out]
-            if self.decode:
-                self.code[k] = (self.code[k] << np.uint32(8)) | self.buf[k, np.minimum(self.at[k], self.buf.shape[1] - 1)]
+            lo, w, where = low[out], width[out], at[out]
+            w = np.where((lo ^ (lo + w)) >= TOP, (np.uint64(0) - lo) & np.uint64(BOTTOM - 1), w)
+            if self.reads:
+                code[out] = (code[out] << WORD) | self.buf.take(where, mode="clip")
             else:
-                self.buf[k, self.at[k]] = low[out] >> np.uint32(24)
-            self.at[k] += 1
-            low[out] <<= np.uint32(8)
-            high[out] = (high[out] << np.uint32(8)) | np.uint32(255)
-            out = out[(low[out] ^ high[out]) < 0x1000000]
-        self.low[lane], self.high[lane] = low, high
+                self.buf[where] = lo >> WORD
+            at[out] = where + 1
+            lo, w = lo << WORD, w << WORD
+            low[out], width[out] = lo, w
+            out = out[((lo ^ (lo + w)) < TOP) | (w < BOTTOM)]
+
+    def bit(self, state: list[np.ndarray], p1: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code a yes or no, or find it, in place; p1: chance of yes, in 1..4095 of 4096."""
+        low, width, code, _ = state
+        bound = (width >> np.uint64(PBITS)) * p1
+        if bit is None:
+            bit = code - low < bound
+        low += np.where(bit, np.uint64(0), bound)
+        np.subtract(width, bound, out=bound, where=~bit)
+        width[:] = bound
         return bit
 
+    def symbol(self, state: list[np.ndarray], cum: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        """Code one of sixteen, or find it, in place; cum: rows of starts of the shares of 2^CBITS, the first one 0."""
+        low, width, code, _ = state
+        unit = width >> np.uint64(CBITS)
+        if value is None:
+            target = np.minimum((code - low) // unit, np.uint64((1 << CBITS) - 1)).astype(np.int16)
+            value = (cum <= target[:, None]).sum(axis=1) - 1
+        row = np.arange(0, 16 * len(value), 16) + value
+        flat = cum.ravel()
+        start = flat[row]
+        end = np.where(value == 15, np.int16(1 << CBITS), flat.take(row + 1, mode="clip"))
+        low += unit * start.astype(np.uint64)
+        np.multiply(unit, (end - start).astype(np.uint64), out=width)
+        return value
+
     def finish(self) -> list[bytes]:
-        ends = [(int(v) >> 24, (int(v) >> 16) & 255, (int(v) >> 8) & 255, int(v) & 255) for v in self.high]
-        return [self.buf[i, : self.at[i]].tobytes() + bytes(e) for i, e in enumerate(ends)]
+        out = []
+        for i, low in enumerate(self.low.tolist()):
+            words = [*self.buf[i * self.room : self.at[i]].tolist(), low >> 32, low & 0xFFFFFFFF]
+            out.append(np.array(words, ">u4").tobytes())
+        return out
+
+
+#: Where shares start, at first and for a table in which one symbol has nearly all: the goals that shares move to.
+_EVEN = (np.arange(16) * (1 << CBITS) // 16).astype(np.int16)
+_GOAL = np.array([[j * 8 if j <= s else (1 << CBITS) - (16 - j) * 8 for j in range(16)] for s in range(16)], np.int16)
 
 
 class _Model:
-    """Predictions and counters of each lane; the same for writer and reader."""
+    """Predictions and counters of each lane, in flat tables; the same for writer and reader."""
 
     def __init__(self, lanes: int) -> None:
-        self.guess2 = np.zeros((lanes, SLOTS), np.uint16)
-        self.guess1 = np.zeros((lanes, SLOTS), np.uint16)
-        self.trust2 = np.zeros((lanes, SLOTS), np.uint8)
-        self.trust1 = np.zeros((lanes, SLOTS), np.uint8)
+        half = 1 << (PBITS + 3)
+        self.guess2, self.guess1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
+        self.trust2, self.trust1 = np.zeros(lanes * SLOTS, np.uint8), np.zeros(lanes * SLOTS, np.uint8)
         #: Chance that a guess holds, by its confidence (0 to 7) and whether both agree.
-        self.hold2 = np.full((lanes, 16), 1 << (PBITS + 3), np.uint16)
-        self.hold1 = np.full((lanes, 16), 1 << (PBITS + 3), np.uint16)
-        self.tree = np.full((lanes, 1 << ID_BITS), 1 << (PBITS + 3), np.uint16)
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.hold2, self.hold1 = np.full(lanes * 16, half, np.uint16), np.full(lanes * 16, half, np.uint16)
+        #: Order-0: shares of each four bits, behind those before.
+        self.share = np.tile(_EVEN, (lanes * NODES, 1))
+        self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.slot = np.arange(lanes, dtype=np.int64) * SLOTS
 
 
-def _move(table: np.ndarray, lane: np.ndarray, at: np.ndarray, bit: np.ndarray) -> None:
-    p = table[lane, at].astype(np.int32)
-    table[lane, at] = p + np.where(bit, (65535 - p) >> RATE, -(p >> RATE))
+def _move(table: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) -> None:
+    """Counters ``p``, from places ``at``, towards what has happened."""
+    table[at] = np.where(bit, p + ((np.uint16(65535) - p) >> np.uint16(RATE)), p - (p >> np.uint16(RATE)))
 
 
 def _chance(p16: np.ndarray) -> np.ndarray:
-    return np.clip(p16 >> (16 - PBITS), 1, (1 << PBITS) - 1).astype(np.uint32)
-
-
-def _advance(m: _Model, coder: _Coder, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code the next id of each lane, or find it."""
-    h2 = ((m.last[lane] * 40503 + m.last2[lane] * 30011) >> 3) % SLOTS
-    h1 = (m.last[lane] * 2654435761 >> 7) % SLOTS
-    g2, g1 = m.guess2[lane, h2].astype(np.int64), m.guess1[lane, h1].astype(np.int64)
-    t2, t1 = m.trust2[lane, h2].astype(np.int64), m.trust1[lane, h1].astype(np.int64)
-    same = (g2 == g1).astype(np.int64) * 8
-    got = np.zeros(len(lane), np.int64) if ids is None else ids
+    p = (p16 >> (16 - PBITS)).astype(np.uint64)
+    return np.minimum(np.maximum(p, np.uint64(1)), np.uint64((1 << PBITS) - 1), out=p)
+
+
+def _advance(m: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
+    """Code the next id of the first ``n`` lanes, or find it."""
+    last, last2 = m.last[:n], m.last2[:n]
+    h2 = m.slot[:n] + (((last * np.uint32(40503)) ^ (last2 * np.uint32(2654435761))) >> np.uint32(20))
+    h1 = m.slot[:n] + ((last * np.uint32(2654435761)) >> np.uint32(20))
+    g2, g1, t2, t1 = m.guess2[h2], m.guess1[h1], m.trust2[h2], m.trust1[h1]
+    agree = g2 == g1
+    row = (m.slot[:n] >> 8) + agree * 8  # SLOTS is 16 * 256: sixteen counters for each lane
+    a2, a1 = row + t2, row + t1
+    p2, p1 = m.hold2[a2], m.hold1[a1]
     # does the order-2 guess hold? both orders vote, by confidence
-    a, b = m.hold2[lane, t2 + same].astype(np.int64), m.hold1[lane, t1 + same].astype(np.int64)
-    w2, w1 = 1 + 2 * t2, np.where(same > 0, 1 + t1, 0)
-    hit = coder.step(lane, _chance((a * w2 + b * w1) // (w2 + w1)), None if ids is None else ids == g2)
-    _move(m.hold2, lane, t2 + same, hit)
-    got = np.where(hit, g2, got)
+    w2, w1 = 1 + 2 * t2.astype(np.uint32), np.where(agree, 1 + t1, 0).astype(np.uint32)
+    every = coder.take(slice(0, n))
+    coder.settle(every)
+    hit = coder.bit(every, _chance((p2 * w2 + p1 * w1) // (w2 + w1)), None if ids is None else ids == g2)
+    _move(m.hold2, a2, p2, hit)
+    got = np.where(hit, g2, 0).astype(np.int64) if ids is None else ids.copy()
     # does the order-1 guess, if it is another one?
-    left = np.flatnonzero(~hit & (same == 0))
-    hit1 = np.zeros(len(lane), bool)
+    left = np.flatnonzero(~(hit | agree))
+    missed = ~hit
     if len(left):
-        k = lane[left]
-        hit1[left] = coder.step(k, _chance(m.hold1[k, t1[left]].astype(np.int64)), None if ids is None else ids[left] == g1[left])
-        _move(m.hold1, k, t1[left], hit1[left])
-        got = np.where(hit1, g1, got)
-    # else the id itself, bit by bit, by the order-0 model
-    rest = np.flatnonzero(~hit & ~hit1)
+        state = coder.take(left)
+        p = p1[left]
+        hit1 = coder.bit(state, _chance(p), None if ids is None else ids[left] == g1[left])
+        coder.put(left, state)
+        _move(m.hold1, a1[left], p, hit1)
+        got[left[hit1]] = g1[left[hit1]]
+        missed[left[hit1]] = False
+    # else the id itself, four bits at a time, by the order-0 model
+    rest = np.flatnonzero(missed)
     if len(rest):
-        k, node = lane[rest], np.ones(len(rest), np.int64)
-        value = None if ids is None else ids[rest]
-        for i in range(ID_BITS - 1, -1, -1):
-            bit = coder.step(k, _chance(m.tree[k, node].astype(np.int64)), None if value is None else ((value >> i) & 1).astype(bool))
-            _move(m.tree, k, node, bit)
-            node = 2 * node + bit
-        got[rest] = node - (1 << ID_BITS)
+        state, base = coder.take(rest), rest * NODES
+        coder.settle(state)
+        value, found = None if ids is None else ids[rest], np.zeros(len(rest), np.int64)
+        for shift, first, mask in DIGITS:
+            at = base + first + (found & mask)
+            cum = m.share.take(at, axis=0)
+            digit = coder.symbol(state, cum, None if value is None else (value >> shift) & 15)
+            m.share[at] = cum + ((_GOAL.take(digit, axis=0) - cum) >> SHARE_RATE)
+            found = found * 16 + digit
+            if shift == 8:
+                coder.settle(state)
+        coder.put(rest, state)
+        got[rest] = found
+    got16 = got.astype(np.uint16)
     for guess, trust, h, g, t in ((m.guess2, m.trust2, h2, g2, t2), (m.guess1, m.trust1, h1, g1, t1)):
-        right = g == got
-        trust[lane, h] = np.where(right, np.minimum(t + 1, 7), t >> 1)
-        guess[lane, h] = np.where(right | (t > 1), g, got)
-    m.last2[lane], m.last[lane] = m.last[lane], got
+        right = g == got16
+        trust[h] = np.where(right, np.minimum(t + 1, 7), t >> 1)
+        guess[h] = np.where(right | (t > 1), g, got16)
+    m.last2[:n], m.last[:n] = last.copy(), got
     return got
 
 
+def _by_length(sizes: list[int]) -> list[np.ndarray]:
+    """Numbers of blocks, longest first, in groups of at most LANES that are coded together."""
+    order = np.argsort(-np.asarray(sizes, np.int64), kind="stable")
+    return [order[i : i + LANES] for i in range(0, len(order), LANES)]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Code arrays of ids below 65536, each by itself."""
-    out: list[bytes] = []
-    for lo in range(0, len(blocks), LANES):
-        part = blocks[lo : lo + LANES]
-        size = np.array([len(b) for b in part])
-        longest = int(size.max(initial=0))
-        ids = np.zeros((len(part), longest), np.int64)
-        for i, b in enumerate(part):
-            ids[i, : len(b)] = b
-        model, coder = _Model(len(part)), _Coder(len(part), None, 5 * longest + 64)
-        for t in range(longest):
-            lane = np.flatnonzero(size > t)
-            _advance(model, coder, lane, ids[lane, t])
-        out += coder.finish()
+    out: list[bytes] = [b""] * len(blocks)
+    for group in _by_length([len(b) for b in blocks]):
+        size = np.array([len(blocks[i]) for i in group])
+        ids = np.zeros((int(size[0]), len(group)), np.int64)
+        for k, i in enumerate(group):
+            ids[: size[k], k] = blocks[i]
+        model, coder = _Model(len(group)), _Coder(len(group), None, 6 * int(size[0]) + 64)
+        for t, n in enumerate(_active(size)):
+            _advance(model, coder, n, ids[t, :n])
+        for i, data in zip(group, coder.finish()):
+            out[i] = data
     return out
 
 
 def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The arrays that ``encode_blocks`` has coded."""
-    out: list[np.ndarray] = []
-    for lo in range(0, len(data), LANES):
-        size = np.array(sizes[lo : lo + LANES], np.int64)
-        longest = int(size.max(initial=0))
-        ids = np.zeros((len(size), longest), np.int64)
-        model, coder = _Model(len(size)), _Coder(len(size), data[lo : lo + LANES], 0)
-        for t in range(longest):
-            lane = np.flatnonzero(size > t)
-            ids[lane, t] = _advance(model, coder, lane, None)
-        out += [ids[i, :n] for i, n in enumerate(size.tolist())]
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(data)
+    for group in _by_length(sizes):
+        size = np.array([sizes[i] for i in group])
+        ids = np.zeros((int(size[0]), len(group)), np.int64)
+        model, coder = _Model(len(group)), _Coder(len(group), [data[i] for i in group], 0)
+        for t, n in enumerate(_active(size)):
+            ids[t, :n] = _advance(model, coder, n, None)
+        for k, i in enumerate(group):
+            out[i] = ids[: size[k], k].copy()
     return out
 
 
-def _tokenize(path: str, end_id: int, most: int = 1 << 19):
-    """Ids of each text, as bytes of 16-bit integers.
+def _active(size: np.ndarray) -> list[int]:
+    """How many of the lanes, sorted by falling size, still have an id at each step."""
+    return (len(size) - np.searchsorted(np.sort(size), np.arange(int(size[0])), side="right")).tolist()
+
+
+#: Signs that can end a word; behind letters they are a piece of their own in the vocabulary's splitting.
+SIGNS = ".,;:!?"
+
+
+class _Pieces:
+    """Ids, as bytes of 16-bit integers, of the parts of a text between white space.
 
     The vocabulary's splitting never joins what white space parts, so a text's ids
-    are those of its parts one after the other; ids of parts already met are kept.
+    are those of its parts one after the other.  A part of letters alone is one
+    piece and ends with an id that carries the end-of-word mark; many of them are
+    encoded as one text and told apart by that mark.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.get_vocab_size() > 1 << ID_BITS:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << ID_BITS:
             raise ValueError("ids must be below 65536")
-        known: dict[str, bytes] = {}
-        tail = np.array([end_id], "<u2").tobytes()
+        self.ends = np.zeros(1 << ID_BITS, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.most = most
+
+    def learn(self, parts: set[str]) -> None:
+        """Put the ids of parts into ``known``; beyond a bound what was known is given up first."""
+        if len(self.known) + len(parts) > self.most:
+            self.known.clear()
+        letters, rest, joined = set(), [], []
+        for p in parts:
+            stem = p.rstrip(SIGNS)
+            if not stem.isalpha():
+                rest.append(p)
+                continue
+            letters.add(stem)
+            if len(stem) < len(p):
+                joined.append((p, stem, p[len(stem) :]))
+        rest += {sign for *_, sign in joined if sign not in self.known}
+        self._one_by_one(rest)
+        todo = [w for w in letters if w not in self.known]
+        for lo in range(0, len(todo), 4096):
+            some = todo[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(some):
+                self._one_by_one(some)
+                continue
+            raw, at = ids.tobytes(), (2 * at).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *at], at))
+        self.known.update((p, self.known[stem] + self.known[sign]) for p, stem, sign in joined)
+
+    def _one_by_one(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), 4096):
+            some = parts[lo : lo + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, "<u2").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        parts = text.split() if text else []
+        if any(p not in self.known for p in parts):
+            self.learn(set(parts))
+        return b"".join([self.known[p] for p in parts])
+
+
+def _tokenize(path: str, end_id: int):
+    """Ids of each text, with the end id, as bytes of 16-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, tail = _Pieces(path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                parts = text.split() if text else []
-                fresh = [p for p in set(parts) if p not in known]
-                if len(known) + len(fresh) > most:
-                    known.clear()
-                    fresh = list(set(parts))
-                for lo in range(0, len(fresh), 4096):
-                    some = fresh[lo : lo + 4096]
-                    for p, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                        known[p] = np.array(e.ids, "<u2").tobytes()
-                out.append(b"".join([known[p] for p in parts]) + tail)
+            texts = batch.column(1).to_pylist()
+            out: list[bytes] = []
+            for lo in range(0, len(texts), 256):  # parts of some texts are learnt together
+                some = texts[lo : lo + 256]
+                pieces.learn({p for t in some if t for p in t.split() if p not in pieces.known})
+                out += [pieces.encode(t) + tail for t in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
 
     return run
@@ -275,7 +391,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     bounds = sorted({int(b) for b in bounds})
     part = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
     coded = docs.select("doc_id", "text", part.cast("int").alias("part")).mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, part int, ids binary")
-    sorted_rows = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
+    sorted_rows = coded.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
     sorted_rows.mapInArrow(_write_blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
