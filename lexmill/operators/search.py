@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import staged
 from lexmill.functions.text import expand_synonyms, tokenize
 
 # Constants of the ranking.
@@ -310,18 +311,22 @@ def scope_injection(queries: DataFrame, scopes: DataFrame, scope_docs: DataFrame
     return wanted.join(have, ["query_id", "doc_id"], "left_anti")
 
 
-def search(queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scopes: DataFrame | None = None, scope_docs: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scopes: DataFrame | None = None, scope_docs: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The whole ranked query for a batch: queries (query_id, text, q), chunks (chunk_id, doc_id, text, v, refs, superseded).
 
     Two pools, injected documents before them, fusion, authority and recency,
     supersession, scope, reference expansion, validity.  May give more than n rows.
+    Queries and chunks without a vector take part in the keyword pool alone; ``vectors``
+    (chunk_id, v) are those of the chunks where a table of its own holds them.
     """
-    vector = vector_top(queries.select("query_id", "q"), chunks.select("chunk_id", "v"), min(3 * n, 50))
+    vectors = chunks if vectors is None else vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    vector = vector_top(queries.where("q is not null").select("query_id", "q"), vectors.where("v is not null").select("chunk_id", "v"), min(3 * n, 50))
     words = bm25(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), 3 * n, doc_id="chunk_id")
     if rules is not None:
         extra = inject(queries, chunks, triggered(queries, rules), vector.unionByName(words))
         vector, words = prepend(vector, extra), prepend(words, extra)
-    hits = rrf([(vector, VECTOR_WEIGHT), (words, BM25_WEIGHT)], n).join(chunks.select("chunk_id", "doc_id", "superseded"), "chunk_id")
+    fused = staged(rrf([(vector, VECTOR_WEIGHT), (words, BM25_WEIGHT)], n))  # n rows a query, read by rescoring and expansion
+    hits = fused.join(chunks.select("chunk_id", "doc_id", "superseded"), "chunk_id")
     hits = boost_authority(hits, registry, as_of)
     old = queries.select("query_id", speaks_of_old_law(F.col("text"), F.lit(None).cast("int")).alias("old"))
     hits = penalise_superseded(hits.join(old, "query_id"), F.col("old")).drop("old")

@@ -323,14 +323,14 @@ SELECT p_partkey, round(least(0.15, CASE WHEN p_partkey % 3 = 1 THEN 0.05 ELSE 0
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ranked query, for a batch of test items over documents with vectors."""
+    """The whole ranked query, for all test items over all documents; those without a vector are met by their words alone."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    docs = table(spark, sf_dir, "documents").join(v, F.col("doc_id") == F.col("vec_id"))
-    chunks = docs.select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), F.col("source").alias("doc_id"), "text", "v", F.array(F.concat(F.lit("c"), F.col("doc_id") + 1)).alias("refs"), (F.col("doc_id") % 5 == 0).alias("superseded"))
-    items = table(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("v").alias("q"))
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), F.col("source").alias("doc_id"), "text", F.array(F.concat(F.lit("c"), F.col("doc_id") + 1)).alias("refs"), (F.col("doc_id") % 5 == 0).alias("superseded"))
+    items = table(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("v").alias("q"))
     reg = spark.createDataFrame([(f"src{i}", i % 5 + 1, "2020-01-01", None if i % 4 else "2021-01-01") for i in range(20)], "doc_id string, legal_level int, f string, t string")
     reg = reg.select("doc_id", "legal_level", F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to")).coalesce(1)
-    return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01"))).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "expanded_from")
+    return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "expanded_from")
 
 
 QUERIES = [bm25_topk, bm25_topk_filtered, vector_topk, vector_topk_filtered, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, search_batch]

@@ -91,6 +91,20 @@ def test_rrf_and_ties(spark):
     assert [r.chunk_id for r in got] == ["y", "x", "z"] and got[0].rrf_score == round(0.7 / 62 + 0.3 / 61, 6)
 
 
+def test_search_batch_without_vectors(spark, tmp_path):
+    from lexmill.plans.retrieval import search_batch
+
+    docs = [(i, f"common word{i} filler", "src1") for i in range(6)]
+    vectors = [(i, [1.0, float(i)]) for i in range(2)]
+    items = [(0, "word5"), (9, "word4")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.query_id, r.chunk_id) for r in search_batch(spark, str(tmp_path)).collect()}
+    assert (0, "c5") in got and (9, "c4") in got  # neither document has a vector, nor has item 9
+    assert (0, "c0") in got and (0, "c1") in got and not {(9, "c0"), (9, "c1")} & got  # the vector pool holds vectors alone
+
+
 def test_fact_check(spark):
     a = spark.createDataFrame([(1, "trên 500 triệu"), (2, "được miễn thuế"), (3, "mức 77 triệu"), (4, "không rõ")], "answer_id int, answer string")
     c = spark.createDataFrame([(1, "dưới 500 triệu"), (2, "phải nộp"), (3, "mức 20 triệu"), (4, "x")], "answer_id int, text string")
