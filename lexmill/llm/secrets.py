@@ -11,9 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate, and the one before it with its sign of assignment.
+#: A candidate where no other goes on; what stands before it, which no match consumes: at least REACH characters, or all.
 TOKEN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-FINDING = rf"""(?:(?<!\S)\S{{1,40}}[ \t]*)??(?:(?<=[\s\w"'])(?:=|:|:=|=>)[ \t]*)?["']?(?<![A-Za-z0-9+/_\-]){TOKEN}"""
+REACH = 96
+BEFORE = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{{16}})(?<=(\A[\s\S]{{0,{REACH - 1}}}|[\s\S]{{{REACH},{2 * REACH}}}))"
+#: The context at the end of that: a word with its sign of assignment and quote.
+CONTEXT = r"""(?:(?<!\S)\S{1,40}[ \t]*)?(?:(?<=[\s\w"'])(?:=|:|:=|=>)[ \t]*)?["']?\z"""
 #: Words next to secrets, words next to what only looks like one, and words of placeholders. Fixed values.
 NEAR = r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private|access|key)"
 HARMLESS = r"(?i)(sha\d*|md5|digest|checksum|commit|uuid|guid|hash|etag|version|order|isbn|phone|card)"
@@ -51,13 +54,15 @@ def with_features(findings: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Every candidate of every whole text: doc_id, candidate, context (what stands before it), path."""
+    """Every candidate of every whole text: doc_id, candidate, context (what stands before it), path.
+
+    A candidate may stand in the context of the next one as well.
+    """
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    hits = docs.select("doc_id", where.alias("path"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(FINDING), F.lit(0))).alias("hit"))
-    cand = F.regexp_extract("hit", f"({TOKEN})$", 1)
-    return hits.withColumn("candidate", cand).where("candidate <> ''").select(
-        "doc_id", "candidate", F.expr("left(hit, length(hit) - length(candidate))").alias("context"), "path"
-    )
+    text = F.coalesce("text", F.lit(""))
+    all_of = lambda group: F.regexp_extract_all(text, F.lit(f"{BEFORE}({TOKEN})"), F.lit(group))
+    hits = docs.select("doc_id", where.alias("path"), F.explode(F.arrays_zip(all_of(2).alias("candidate"), all_of(1).alias("before"))).alias("hit"))
+    return hits.select("doc_id", F.col("hit.candidate").alias("candidate"), F.regexp_extract("hit.before", CONTEXT, 0).alias("context"), "path")
 
 
 def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, int]]:
