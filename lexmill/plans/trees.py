@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.staging import staged
@@ -58,14 +58,22 @@ SELECT doc_id, CAST(run - 1 AS INTEGER) AS table_index, CAST(min(i) AS INTEGER)
 
 
 def _legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legal texts made of the documents' first sentences."""
+    """Legal texts made of the whole documents: four sentences or lines an article, as its title, a clause and two points."""
     d = table(spark, sf_dir, "documents")
-    s = F.regexp_replace(F.col("text"), r"\s+", " ")
-    piece = lambda i: F.substring(s, F.lit(1 + 60 * i), F.lit(60))
-    text = F.concat_ws(
-        "\n", F.lit("Chương I"), F.lit("QUY ĐỊNH CHUNG"), F.concat(F.lit("Điều 1. "), piece(0)), F.concat(F.lit("1. Theo khoản 2 Điều 2 và "), piece(1)), F.lit("a) nội dung thứ nhất"), F.lit("b) nội dung thứ hai"),
-        F.lit("2. Luật này áp dụng theo Nghị định số 20/2026/NĐ-CP."), F.concat(F.lit("Điều 2. "), piece(2)), F.lit("1. Trừ trường hợp quy định tại Điều 1"), F.lit("2. Điều khoản cuối cùng"), F.lit("Nơi nhận: như trên"),
-    )
+    s = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n"), lambda x: x.rlike(r"\S"))
+    pieces = F.transform(s, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    number = lambda g: g.cast("string")
+
+    def article(p: Column, g: Column) -> Column:
+        piece = lambda i: F.get(p, 4 * (g - 1) + i)
+        return F.concat_ws(
+            "\n", F.concat(F.lit("Điều "), number(g), F.lit(". "), piece(0)), F.concat(F.lit("1. Theo khoản 2 Điều "), number(g + 1), F.lit(" và "), piece(1)), F.concat(F.lit("a) "), piece(2)), F.concat(F.lit("b) "), piece(3)),
+            F.lit("2. Luật này áp dụng theo Nghị định số 20/2026/NĐ-CP."), F.when(g > 1, F.concat(F.lit("3. Trừ trường hợp quy định tại Điều "), number(g - 1))),
+        )
+
+    articles = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.size(p) / 4).cast("int"), F.lit(1))), lambda g: article(p, g))
+    made = lambda p: F.concat_ws("\n", F.lit("Chương I"), F.lit("QUY ĐỊNH CHUNG"), articles(p), F.lit("4. Điều khoản cuối cùng"), F.lit("Nơi nhận: như trên"))
+    text = F.element_at(F.transform(F.array(pieces), made), 1)  # split once for each document
     return d.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), text.alias("text"))
 
 

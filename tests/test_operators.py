@@ -105,6 +105,21 @@ def test_search_batch_without_vectors(spark, tmp_path):
     assert (0, "c0") in got and (0, "c1") in got and not {(9, "c0"), (9, "c1")} & got  # the vector pool holds vectors alone
 
 
+def test_legal_texts_hold_whole_documents(spark, tmp_path):
+    from lexmill.plans import trees
+
+    said = [f"câu{i} nói điều{i} này." for i in range(90)]
+    docs = [(1, " ".join(said[:45]) + "\n" + " ".join(said[45:])), (2, "một"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r for r in trees.parse_tree(spark, str(tmp_path)).collect() if r.doc_id == "d1"]
+    text = " ".join(f"{r.title} {r.content} {r.lead_in}" for r in got)
+    assert all(s.rstrip(".") in text for s in said) and sum(r.kind == "dieu" for r in got) == 23
+    assert trees.reference_detect(spark, str(tmp_path)).where("doc_id = 'd1'").count() >= 23
+    held = " ".join(r.text for r in trees.chunk_index(spark, str(tmp_path)).where("doc_id = 'd1'").collect())
+    assert all(s.rstrip(".") in held for s in said)
+    assert trees.exception_index(spark, str(tmp_path)).count() == 22
+
+
 def test_fact_check(spark):
     a = spark.createDataFrame([(1, "trên 500 triệu"), (2, "được miễn thuế"), (3, "mức 77 triệu"), (4, "không rõ")], "answer_id int, answer string")
     c = spark.createDataFrame([(1, "dưới 500 triệu"), (2, "phải nộp"), (3, "mức 20 triệu"), (4, "x")], "answer_id int, text string")
