@@ -17,6 +17,7 @@ Many blocks of a task are coded in lock step, as lanes of numpy arrays.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -248,6 +249,16 @@ def _active(size: np.ndarray) -> list[int]:
 SIGNS = ".,;:!?"
 
 
+#: Separators that str.split() takes for white space and the vocabulary for signs; parts between Unicode's White_Space.
+_CONTROL = re.compile("[\x1c-\x1f]")
+_PART = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _parts(text: str) -> list[str]:
+    """The parts of a text between the tokenizer's white space."""
+    return _PART.findall(text) if _CONTROL.search(text) else text.split()
+
+
 class _Pieces:
     """Ids, as bytes of 16-bit integers, of the parts of a text between white space.
 
@@ -303,7 +314,7 @@ class _Pieces:
                 self.known[p] = np.array(e.ids, "<u2").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        parts = text.split() if text else []
+        parts = _parts(text) if text else []
         if any(p not in self.known for p in parts):
             self.learn(set(parts))
         return b"".join([self.known[p] for p in parts])
@@ -319,7 +330,7 @@ def _tokenize(path: str, end_id: int):
             out: list[bytes] = []
             for lo in range(0, len(texts), 256):  # parts of some texts are learnt together
                 some = texts[lo : lo + 256]
-                pieces.learn({p for t in some if t for p in t.split() if p not in pieces.known})
+                pieces.learn({p for t in some if t for p in _parts(t) if p not in pieces.known})
                 out += [pieces.encode(t) + tail for t in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
 

@@ -201,6 +201,16 @@ def test_damaged_block_is_found(spark, docs, tmp_path):
         tokenfile.read_token_file(spark, path + "_bad").count()
 
 
+def test_token_file_control_characters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, pieces = Tokenizer.from_file(path), tokenfile._Pieces(path)
+    for t in ["a\x1cb", "one,\x1c.two", "\x1d", "x \x1e y\x1f", "\x1f\x1c word\x1dword.", "a\x85b\xa0c\u2028d\u3000e\x1cf"]:
+        assert np.frombuffer(pieces.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_secrets(spark, none):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f9aa"
     texts = [f'so token = "{key}" and more', f"commit {key}", "number 2353820953013749 of it", "api_key=your_token_here", None, "", "einandersetzungsgesellschaft"]
