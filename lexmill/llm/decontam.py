@@ -75,27 +75,28 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     Words are lower-case runs of letters and digits, shingles have five of them; a
     text of fewer holds no five-word shingle.  Null and empty texts hold nothing.
     Candidates are kept by text hash, so copies are searched like others and all
-    returned; repeated rows give repeated pairs.  Extra columns are not read, and
-    items are joined by broadcast only while few.
+    returned; repeated rows give repeated pairs.  Items are told apart by id and
+    shingles, so those without item_id are searched too and reported with none.
+    Extra columns are not read, and items are joined by broadcast only while few.
 
     Returns doc_id, item_id, n_shingles (of the item, distinct), matched, containment.
     """
-    sketches = cut(item_sketches(items.select("item_id", "text"), similarity).dropDuplicates(["item_id", "shingles"]))
+    sketches = cut(item_sketches(items.select("item_id", "text"), similarity).dropDuplicates(["item_id", "shingles"]).withColumn("item_key", F.xxhash64("item_id", "shingles")))
     lengths = [r[0] for r in sketches.select("len").distinct().collect()]  # at most WORDS values
-    keyed = sketches.select("item_id", "len", "need", F.explode("sketch").alias("hash"))
+    keyed = sketches.select("item_key", "len", "need", F.explode("sketch").alias("hash"))
     keyed = hint_if_small(keyed, BROADCAST_ROWS)
     found = None
     for length in sorted(lengths):
         hashes = _shingles(words_of(F.col("text")), length, _hash(length))
         rows = docs.select(F.xxhash64("text").alias("text_key"), hashes.alias("h")).select("text_key", F.size("h").alias("windows"), F.explode("h").alias("hash"))
-        near = rows.join(keyed.where(F.col("len") == length), "hash").where("windows >= need").select("text_key", "item_id")
+        near = rows.join(keyed.where(F.col("len") == length), "hash").where("windows >= need").select("text_key", "item_key")
         found = near if found is None else found.unionByName(near)
     if found is None:
         return docs.select("doc_id").withColumns({"item_id": F.lit(None).cast("long"), "n_shingles": F.lit(0), "matched": F.lit(0), "containment": F.lit(0.0)}).where("false")
     candidates = cut(found.distinct())
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    wanted = hint_if_small(sketches.select("item_id", "len", "n", "need", "shingles"), 10_000)
-    pairs = texts.join(hint_if_small(candidates, BROADCAST_ROWS), "text_key").join(wanted, "item_id")
+    wanted = hint_if_small(sketches.select("item_key", "item_id", "len", "n", "need", "shingles"), 10_000)
+    pairs = texts.join(hint_if_small(candidates, BROADCAST_ROWS), "text_key").join(wanted, "item_key")
     own = F.lit(None).cast("array<string>")
     for length in sorted(lengths):
         own = F.when(F.col("len") == length, _shingles(words_of(F.col("text")), length, _string(length))).otherwise(own)

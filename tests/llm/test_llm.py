@@ -201,6 +201,13 @@ def test_damaged_block_is_found(spark, docs, tmp_path):
         tokenfile.read_token_file(spark, path + "_bad").count()
 
 
+def test_decontamination_without_item_id(spark):
+    docs = spark.createDataFrame([(1, words(40, 1) + " " + words(30, 2)), (2, words(40, 3) + " " + words(30, 4)), (3, words(70, 5))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words(30, 2)), (None, words(30, 6)), (7, words(30, 4))], "item_id long, text string")
+    assert sorted(map(str, ((r.doc_id, r.item_id) for r in decontam.contained_items(docs, items).collect()))) == ["(1, None)", "(2, 7)"]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_token_file_control_characters():
     import public_tokenizers
     from tokenizers import Tokenizer
