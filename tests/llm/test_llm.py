@@ -329,12 +329,44 @@ def test_top_k(spark):
     assert pivots.top_k(df.limit(0), F.lit(True)).count() == 0 and pivots.top_k(df.where("vec_id = 50"), F.lit(True)).count() == 0
 
 
-def test_pivots_spare_work():
+def test_pivots_spare_work(spark):
     r = np.random.default_rng(2)
-    centres = r.normal(0, 100, (20, 16))
-    c = (centres[r.integers(0, 20, 4000)] + r.normal(0, 3, (4000, 16))).astype(np.int64)
-    *_, done = pivots.search_block(np.arange(10, dtype=np.int64), c[:10], np.arange(4000, dtype=np.int64), c, 5)
-    assert done < 10 * 4000 / 2
+    centres = r.normal(0, 0.4, (20, 16))
+    near = centres[r.integers(0, 20, 3000)] + r.normal(0, 0.02, (3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<double>").repartition(5)
+    share = pivots.evaluated(df, F.col("vec_id") % 50 == 0, pivots=8).first()
+    assert share.pairs == 60 * 3000 and share.evaluated < share.pairs / 4
+
+
+def test_pivot_bounds_hold():
+    r = np.random.default_rng(4)
+    v = np.vstack([r.integers(-300, 300, (200, 12)), np.zeros((3, 12), np.int64), r.integers(-300, 300, (1, 12)).repeat(4, 0)])
+    for n in (1, 2, 5, 13, 40):
+        table = pivots.PivotTable(np.arange(len(v)), v[:150], n)
+        d = table.distances(v)
+        top = table.ceilings(v, d, v, d)
+        assert (top >= v @ v.T).all()
+        plain = np.abs(np.sqrt(d)[:, None, :] - np.sqrt(d)[None]).max(2)  # the bound by single pivots is never the better one
+        norms = (v * v).sum(1)
+        assert (top <= (norms[:, None] + norms - plain**2) / 2 + 2).all()
+
+
+def test_top_k_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "GROUP_BYTES", 5000)
+    r = np.random.default_rng(6)
+    v = r.integers(-40, 40, (400, 6)) / 16
+    ids = [i // 2 for i in range(400)]  # every id twice
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    whole = np.floor(256 * v).astype(np.int64)
+    want = []
+    for i in range(400):
+        if ids[i] % 40 == 0:
+            want += [(ids[i], int(whole[i] @ whole[j]), ids[j]) for j in range(400) if ids[j] != ids[i]]
+    best = {}
+    for q, s, j in sorted(want, key=lambda x: (x[0], -x[1], x[2])):
+        best.setdefault(q, []).append((q, len(best.get(q, [])) + 1, j, s))
+    got = sorted(map(tuple, pivots.top_k(df, F.col("vec_id") % 40 == 0, 3, pivots=4).collect()))
+    assert got == sorted(x for rows in best.values() for x in rows[:3])
 
 
 def test_toxicity(spark, docs, none):
