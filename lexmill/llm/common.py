@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as white space in the word-based operators; Java and Python read it alike.
@@ -62,14 +62,41 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (looks at no more than one row beyond)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def hint_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows one; otherwise as it is."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+def hint_if_small(df: DataFrame, width: Column | int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, an already cut table, with a broadcast hint if its measured bytes allow one; otherwise as it is.
+
+    ``width`` gives the bytes of a row: a number for rows of fixed columns, or a
+    column that adds up those of its texts and arrays.
+    """
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width).alias("b")).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which holds each key once with the number ``n`` of its rows; ``n`` is dropped.
+
+    Keys with more than a HOT-th of all ``total`` rows are broadcast: there are
+    fewer than HOT of them, whatever the size, and their rows stay where they are.
+    Only the rows of the other keys are shuffled, none of which can fill a task.
+    """
+    often = F.col("n") > max(1, total // HOT)
+    hot, cold = table.where(often).drop("n"), table.where(~often).drop("n")
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(apart.join(cold, key))
+
+
+#: Share of all rows, as one in HOT, from which on a key is hot.
+HOT = 1000
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that ``df`` does not have (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(2, len(taken) + 3))) if n.lower() not in taken)
 
 
 def global_prefix(rows: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -78,7 +105,8 @@ def global_prefix(rows: DataFrame, order: list[str], size: str) -> DataFrame:
     ``rows`` must be a narrow, already cut table and ``order`` a total order on it.
     Rows are dealt into ranges of that order; each range gives one total, the
     totals are summed up (as many rows as there are ranges), and every range
-    finishes its own rows.  No task sees more than one range.
+    finishes its own rows, sorted by themselves: a task may finish several ranges,
+    one after the other.
     """
     spark = rows.sparkSession
     n = shuffle_partitions(spark)

@@ -1,15 +1,24 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search [native]."""
+"""Benchmark decontamination: size-partitioned MinHash containment search [native].
+
+Items are partitioned by size, that is by their number of distinct shingles, in
+powers of two.  An item's sketch is its smallest shingle hashes; the largest hash
+in the sketches of a partition is the partition's cut-off.  Documents are
+partitioned by size too: a document can only hold items of the partitions that
+need no more shingles than it has, and its sketch is what it has of hashes below
+the highest cut-off among those.  Long documents are thus met by a share of their
+shingles that follows the similarity, short ones are not searched for large items.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, hint_if_small
+from lexmill.llm.common import cut, fresh, hint_if_small
 
 WORDS, SIMILARITY = 5, 0.8
-#: Rows up to which a side of a join may be broadcast (about 50 bytes each).
-BROADCAST_ROWS = 200_000
+#: Hashes that an item's sketch holds beyond those that a text may lack: so many hits, and one more, make a candidate.
+SPARE = 1
 
 
 def words_of(text: Column) -> Column:
@@ -41,64 +50,92 @@ def _string(length: int):
     return lambda w, i: F.array_join(F.slice(w, i, length), " ")
 
 
-def item_sketches(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per item: shingles, their number, the size class, and the MinHash sketch.
+def item_sketches(items: DataFrame, similarity: float = SIMILARITY, spare: int = SPARE) -> DataFrame:
+    """Per item: shingles, their number, the size class, the MinHash sketch and the hits that it asks for.
 
     An item of fewer than five words has one shingle, all its words; items without
-    words are left out.  The sketch holds the n - ceil(similarity * n) + 1 smallest
-    shingle hashes: a text that contains at least that share of the item lacks at
-    most n - ceil(similarity * n) shingles, so it holds one of the sketch.
+    words are left out.  A text that contains at least the given share of an item's
+    n shingles lacks at most n - ceil(similarity * n) of them.  The sketch holds
+    1 + ``spare`` hashes more than that, the smallest ones, so such a text holds at
+    least 1 + ``spare`` of the sketch (fewer where the item has no more).
     """
     shaped = items.select("item_id", words_of(F.col("text")).alias("w")).withColumn("len", F.least(F.lit(WORDS), F.size("w"))).where("len > 0")
-    parts = None
+    shingles, hashes = F.lit(None).cast("array<string>"), F.lit(None).cast("array<bigint>")
     for length in range(1, WORDS + 1):
-        own = shaped.where(F.col("len") == length)
-        one = own.select(
-            "item_id",
-            "len",
-            F.array_distinct(_shingles(F.col("w"), length, _string(length))).alias("shingles"),
-            F.array_sort(F.array_distinct(_shingles(F.col("w"), length, _hash(length)))).alias("hashes"),
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    n = F.size("hashes")
-    return parts.withColumn("n", F.size("shingles")).withColumn("need", F.ceil(F.col("n") * similarity - 1e-9).cast("int")).withColumn("class", F.floor(F.log2(n)).cast("int")).withColumn("sketch", F.expr("slice(hashes, 1, greatest(1, size(hashes) - need + 1))"))
+        own = F.col("len") == length
+        shingles = F.when(own, _shingles(F.col("w"), length, _string(length))).otherwise(shingles)
+        hashes = F.when(own, _shingles(F.col("w"), length, _hash(length))).otherwise(hashes)
+    parts = shaped.select("item_id", "len", F.array_distinct(shingles).alias("shingles"), F.array_sort(F.array_distinct(hashes)).alias("hashes"))
+    parts = parts.withColumn("n", F.size("shingles")).withColumn("need", F.ceil(F.col("n") * similarity - 1e-9).cast("int"))
+    parts = parts.withColumn("class", F.floor(F.log2("n")).cast("int"))
+    size = F.least(F.size("hashes"), F.col("n") - F.col("need") + 1 + spare)
+    # hashes that fall together are counted once on both sides, so the hits asked for fall by as many
+    hits = F.greatest(F.lit(1), size - (F.col("n") - F.col("need")))
+    return parts.withColumn("hits", hits).withColumn("sketch", F.slice("hashes", 1, size)).drop("hashes")
+
+
+def size_partitions(sketches: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(shingle length, size class, fewest shingles needed, cut-off) of each partition of items: at most WORDS times 31 rows."""
+    rows = sketches.groupBy("len", "class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("cutoff")).collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def document_sketches(docs: DataFrame, partitions: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(text_key, len, windows, hash): of each text, per shingle length, the distinct hashes up to the cut-off of its size.
+
+    One pass over the texts: words are found once, and all lengths come from them.
+    """
+
+    def of(words: Column) -> Column:
+        all_of = []
+        for length in sorted({p[0] for p in partitions}):
+            windows = F.size(words) - length + 1
+            cutoff = F.lit(None).cast("long")
+            for _, _, need, value in (p for p in partitions if p[0] == length):
+                cutoff = F.greatest(cutoff, F.when(windows >= need, F.lit(value)))  # greatest skips nulls
+            low = F.array_distinct(F.filter(_windows(words, length, _hash(length)), lambda h: h <= cutoff))
+            own = F.when(cutoff.isNotNull(), low)
+            all_of.append(F.struct(F.lit(length).alias("len"), windows.alias("windows"), own.alias("low")))
+        return F.array(*all_of)
+
+    rows = docs.select(F.xxhash64("text").alias("text_key"), F.explode(_for(words_of(F.col("text")), of)).alias("s"))
+    return rows.select("text_key", "s.len", "s.windows", F.explode("s.low").alias("hash"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs of a document and a test item whose shingles it holds to at least ``similarity``.
 
-    Search: every window hash of every document, whole texts, is joined with the
-    items' sketches; a document whose size class is below what an item needs is
-    no candidate.  Candidates are then verified on the shingles themselves.  The
-    sketch bounds make the search lossless.
+    Search: documents' sketches, cut at the cut-off of their size, meet the items'
+    sketches; pairs with as many common hashes as the item asks for are candidates.
+    Candidates are then verified on the shingles themselves.  The sketch bounds
+    make the search lossless: every document is hashed whole.
 
     Words are lower-case runs of letters and digits, shingles have five of them; a
     text of fewer holds no five-word shingle.  Null and empty texts hold nothing.
     Candidates are kept by text hash, so copies are searched like others and all
     returned; repeated rows give repeated pairs.  Items are told apart by id and
-    shingles, so those without item_id are searched too and reported with none.
-    Extra columns are not read, and items are joined by broadcast only while few.
+    shingles, so those without item_id are searched too and reported with none;
+    repeated items count once.  Very long texts are searched whole.  An empty table
+    on either side gives no pairs.  Extra columns are not read.  A side is broadcast
+    only where its measured bytes are few; else both sides are shuffled by hash.
 
     Returns doc_id, item_id, n_shingles (of the item, distinct), matched, containment.
     """
-    sketches = cut(item_sketches(items.select("item_id", "text"), similarity).dropDuplicates(["item_id", "shingles"]).withColumn("item_key", F.xxhash64("item_id", "shingles")))
-    lengths = [r[0] for r in sketches.select("len").distinct().collect()]  # at most WORDS values
-    keyed = sketches.select("item_key", "len", "need", F.explode("sketch").alias("hash"))
-    keyed = hint_if_small(keyed, BROADCAST_ROWS)
-    found = None
-    for length in sorted(lengths):
-        hashes = _shingles(words_of(F.col("text")), length, _hash(length))
-        rows = docs.select(F.xxhash64("text").alias("text_key"), hashes.alias("h")).select("text_key", F.size("h").alias("windows"), F.explode("h").alias("hash"))
-        near = rows.join(keyed.where(F.col("len") == length), "hash").where("windows >= need").select("text_key", "item_key")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
+    sketches = item_sketches(items.select("item_id", "text"), similarity).dropDuplicates(["item_id", "shingles"])
+    sketches = cut(sketches.withColumn("item_key", F.xxhash64("item_id", "shingles")))
+    partitions = size_partitions(sketches)
+    if not partitions:
         return docs.select("doc_id").withColumns({"item_id": F.lit(None).cast("long"), "n_shingles": F.lit(0), "matched": F.lit(0), "containment": F.lit(0.0)}).where("false")
-    candidates = cut(found.distinct())
+    keyed = hint_if_small(sketches.select("item_key", "len", "need", "hits", F.explode("sketch").alias("hash")))
+    met = document_sketches(docs, partitions).join(keyed, ["len", "hash"]).where("windows >= need")
+    common = met.select("text_key", "item_key", "hits", "hash").distinct().groupBy("text_key", "item_key", "hits").agg(F.count(F.lit(1)).alias("n"))
+    candidates = cut(common.where("n >= hits").select("text_key", "item_key"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    wanted = hint_if_small(sketches.select("item_key", "item_id", "len", "n", "need", "shingles"), 10_000)
-    pairs = texts.join(hint_if_small(candidates, BROADCAST_ROWS), "text_key").join(wanted, "item_key")
+    wide = 64 + F.aggregate("shingles", F.lit(0), lambda s, x: s + F.octet_length(x) + 32)
+    wanted = hint_if_small(sketches.select("item_key", "item_id", "len", "n", "need", "shingles"), wide)
+    pairs = texts.join(hint_if_small(candidates), "text_key").join(wanted, "item_key")
     own = F.lit(None).cast("array<string>")
-    for length in sorted(lengths):
+    for length in sorted({p[0] for p in partitions}):
         own = F.when(F.col("len") == length, _shingles(words_of(F.col("text")), length, _string(length))).otherwise(own)
     matched = F.size(F.array_intersect("shingles", own))
     checked = pairs.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "need", matched.alias("matched"))
@@ -106,10 +143,12 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that hold a test item; rows without doc_id are judged by the others' rule too."""
-    bad = cut(contained_items(docs, items, similarity).select("doc_id").distinct())
-    kept = docs.join(hint_if_small(bad.where("doc_id is not null"), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    if bad.where("doc_id is null").count():
-        texts = contained_items(docs.where("doc_id is null").withColumn("doc_id", F.xxhash64("text")), items, similarity).select(F.col("doc_id").alias("x__")).distinct()
-        kept = kept.join(texts, F.col("doc_id").isNull() & (F.xxhash64("text") == F.col("x__")), "left_anti")
-    return kept
+    """``docs`` without those that hold a test item; all columns stay.
+
+    Texts are told apart by their hash, so a row without doc_id, or one that
+    shares its doc_id with another text, is judged by its own text.  Null, empty and repeated texts, very long ones and empty tables
+    are as in ``contained_items``.
+    """
+    key, own = fresh(docs, "doc_id__"), F.xxhash64("text")
+    bad = cut(contained_items(docs.select(own.alias("doc_id"), "text"), items, similarity).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(hint_if_small(bad), own == F.col(key), "left_anti")

@@ -7,10 +7,12 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, cut, global_prefix
+from lexmill.llm.common import WORD, cut, fresh, global_prefix
 
 #: Weights by rank of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Passes over open gaps in seeded order, before the largest documents go first.
+SEEDED_PASSES = 3
 #: Extra cost of a word's first, second and third use: convex, so repeats come last.
 REPEAT_COST = (0, 1, 3)
 #: Marks a source name; the mark of the null source sorts behind it.
@@ -101,7 +103,7 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], m
 
 
 def mix_documents(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_uses: int = 3, seed: int = 42, members: str | None = None, max_patterns: int = 20_000, max_passes: int = 5
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_uses: int = 3, seed: int = 42, members: str | None = None, max_patterns: int = 20_000
 ) -> DataFrame:
     """Choose how often each document enters a mix whose sources meet target weights.
 
@@ -111,15 +113,18 @@ def mix_documents(
     pattern's words, the second and third use at rising cost, to the sources'
     quotas.  A pattern then gives all its documents as many whole times as its
     flow holds, and for the rest documents in seeded order: as far as they fit,
-    then, where more than a hundredth of the target is open, those that fit what
-    is open, and at last the one document that comes nearest to what is missing.
+    then, while more than a hundredth of the target is open, those that fit what
+    is open (after SEEDED_PASSES the largest first, so that each pass at least
+    halves what is open), and at last the one document that comes nearest to what
+    is missing.
 
     The flow is solved on the driver over one row for each pattern; more than
     ``max_patterns`` of them raise an error, none are dropped.
 
     Nulls: a null source is a source of its own, ranked last; null text has size 0
-    and is never taken.  Equal documents may be taken unequally often.  An empty
-    table gives no rows.  Other columns are not read.  Reruns agree.
+    and is never taken.  Equal documents may be taken unequally often.  Very long
+    texts are counted whole.  An empty table gives no rows.  Other columns are not
+    read.  Reruns agree.
 
     Returns doc_id, source, text_crc32, size, source_size and target (of the
     document's sources, summed where it has several), taken (words, repeats
@@ -156,11 +161,10 @@ def mix_documents(
     schema = "pattern array<string>, p long, rounds long, gap long, source_size long, target double"
     table = F.broadcast(spark.createDataFrame(plan, schema).coalesce(1))  # at most max_patterns rows
     rows = narrow.join(table, "pattern").drop("pattern").withColumn("more", F.lit(0))
-    gaps = {p[1]: p[3] for p in plan}
-    for _ in range(max_passes):
-        rows, gaps, settled = _take_in_order(rows, gaps, {p[1]: p[5] for p in plan})
-        if settled:
-            break
+    gaps, seeded, settled = {p[1]: p[3] for p in plan}, SEEDED_PASSES, False
+    while not settled:
+        rows, gaps, settled = _take_in_order(rows, gaps, {p[1]: p[5] for p in plan}, largest_first=seeded <= 0)
+        seeded -= 1
     miss = F.abs(F.col("gap") - F.col("size"))
     last = (
         rows.where((F.col("more") == 0) & (miss < F.col("gap")))
@@ -172,8 +176,8 @@ def mix_documents(
     return taken.select("doc_id", "source", "text_crc32", "size", "source_size", "target", (F.col("size") * uses).alias("taken"), uses.alias("uses"))
 
 
-def _take_in_order(rows: DataFrame, gaps: dict[int, int], targets: dict[int, float]) -> tuple[DataFrame, dict[int, int], bool]:
-    """Take untaken documents that fit their pattern's gap, in seeded order, as far as they fill it.
+def _take_in_order(rows: DataFrame, gaps: dict[int, int], targets: dict[int, float], largest_first: bool) -> tuple[DataFrame, dict[int, int], bool]:
+    """Take untaken documents that fit their pattern's gap, in seeded order or the largest first, as far as they fill it.
 
     Returns the rows, marked in ``more``, with their new ``gap``; the gaps; and
     whether another pass has nothing to do: every gap is below a hundredth of its
@@ -181,7 +185,8 @@ def _take_in_order(rows: DataFrame, gaps: dict[int, int], targets: dict[int, flo
     """
     spark = rows.sparkSession
     able = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-    placed = global_prefix(rows.where(able), ["p", "draw", "doc_id", "text_crc32", "row_no"], "size").drop("g_seq")
+    fits = rows.where(able).withColumn("turn", -F.col("size") if largest_first else F.lit(0))
+    placed = global_prefix(fits, ["p", "turn", "draw", "doc_id", "text_crc32", "row_no"], "size").drop("g_seq", "turn")
     placed = cut(placed)
     first = placed.groupBy("p").agg(F.min("g_before").alias("first"))  # a row for each pattern
     end = F.col("g_before") - F.col("first") + F.col("size")
@@ -204,15 +209,18 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns stay as they are.
 
     Rows that agree in doc_id, source and text are one document that is taken as
-    often as all of them together.
+    often as all of them together.  Nulls, empty and very long texts and empty
+    tables are as in ``mix_documents``; columns of any name are kept.
     """
     mixed = cut(mix_documents(docs, **options).select("doc_id", "source", "text_crc32", "uses"))
-    keys = mixed.groupBy("doc_id", "source", "text_crc32").agg(F.sum("uses").alias("m_uses"), F.count(F.lit(1)).alias("m_rows"))
-    repeated = bool(keys.where("m_rows > 1").limit(1).count())
-    rows = docs.withColumn("m_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    keys = mixed.groupBy("doc_id", "source", "text_crc32").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("rows"))
+    repeated = bool(keys.where("rows > 1").limit(1).count())
+    crc, uses, copy = fresh(docs, "m_crc"), fresh(docs, "m_uses"), fresh(docs, "m_copy")
+    m_id, m_source, m_text = fresh(docs, "m_id"), fresh(docs, "m_source"), fresh(docs, "m_text")
+    rows = docs.withColumn(crc, F.crc32(F.coalesce(F.col("text"), F.lit(""))))
     if repeated:
-        rows = rows.dropDuplicates(["doc_id", "source", "m_crc"])
-    keys = keys.where("m_uses > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_crc32").alias("m_text"), "m_uses")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_crc") == F.col("m_text"))
-    joined = rows.join(keys, same).select(*docs.columns, "m_uses")
-    return joined.withColumn("m_copy", F.explode(F.expr("sequence(1, cast(m_uses as int))"))).drop("m_uses", "m_copy")
+        rows = rows.dropDuplicates(["doc_id", "source", crc])
+    keys = keys.where("uses > 0").select(F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("text_crc32").alias(m_text), F.col("uses").alias(uses))
+    same = F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source)) & (F.col(crc) == F.col(m_text))
+    joined = rows.join(keys, same).select(*docs.columns, uses)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(uses).cast("int")))).drop(uses, copy)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, global_prefix
+from lexmill.llm.common import cut, fresh, global_prefix
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
@@ -18,7 +18,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     and can leave a neighbouring shard empty.  A hot group of equal rows is split
     like any other rows.
 
-    Nulls: a null text counts as empty, a null ``doc_id`` sorts first.  Equal rows
+    Very long texts are measured whole.  Nulls: a null text counts as empty, a null ``doc_id`` sorts first.  Equal rows
     are in arbitrary order among themselves, which does not show in the result.
     An empty table gives no rows.  Other columns of ``docs`` are not read.
 
@@ -46,13 +46,17 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write ``docs`` as Parquet partitioned by shard.
+def write_shards(docs: DataFrame, path: str, shards: int = 40) -> str:
+    """Write ``docs`` as Parquet partitioned by shard; gives the name of the partition column.
 
-    Rows are tied to their shard by doc_id and text checksum; rows that are equal
-    in both stay together in the shard of the first of them.
+    That is ``shard``, or ``shard_2`` and so on where ``docs`` has a column of that
+    name, which is kept.  Rows are tied to their shard by doc_id and text checksum,
+    nulls included; rows that are equal in both stay together in the shard of the
+    first of them.  An empty table writes no shard.
     """
     keys = shard_documents(docs, shards).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
-    keys = keys.select(F.col("doc_id").alias("s_id"), F.col("text_crc32").alias("s_crc"), "shard")
-    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.crc32(F.coalesce(F.col("text"), F.lit(""))) == F.col("s_crc"))
-    docs.drop("shard").join(keys, same).drop("s_id", "s_crc").write.partitionBy("shard").parquet(path)
+    own_id, own_crc, name = fresh(docs, "s_id"), fresh(docs, "s_crc"), fresh(docs, "shard")
+    keys = keys.select(F.col("doc_id").alias(own_id), F.col("text_crc32").alias(own_crc), F.col("shard").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.crc32(F.coalesce(F.col("text"), F.lit(""))) == F.col(own_crc))
+    docs.join(keys, same).drop(own_id, own_crc).write.partitionBy(name).parquet(path)
+    return name

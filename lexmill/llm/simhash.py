@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexmill.llm.common import cut, hint_if_small, shuffle_partitions
+from lexmill.llm.common import cut, fresh, hint_if_small, join_counted, shuffle_partitions
 
 SEED = 42
 #: The 64 bits in three blocks; of 4 differing bits at most 1 is in one of the blocks.
@@ -165,13 +165,13 @@ def near_links(prints: DataFrame) -> DataFrame:
     rows by visiting rows, so that no task holds an unbounded anchor.
     """
     n = shuffle_partitions(prints.sparkSession)
-    members = prints.mapInArrow(_to_anchors, "anchor int, print long, home boolean")
+    members = cut(prints.mapInArrow(_to_anchors, "anchor int, print long, home boolean"))  # read to count and to compare
     hot = members.groupBy("anchor").count().where(F.col("count") > TILE)
     hot = cut(hot.select("anchor", F.ceil(F.col("count") / TILE).cast("int").alias("cuts")))
     plain = members.withColumn("tile", F.lit(0).cast("long"))
     if hot.limit(1).count():
         own = F.pmod(F.xxhash64("print"), F.col("cuts"))
-        cuts = members.join(hint_if_small(hot, 100_000), "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+        cuts = members.join(hint_if_small(hot, 16), "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
         spread = cuts.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
         as_home = spread.where("home").withColumn("tile", own * F.col("cuts") + F.col("other"))
         as_visitor = spread.where("cuts > 1 or not home").withColumn("tile", F.col("other") * F.col("cuts") + own).withColumn("home", F.lit(False))
@@ -186,17 +186,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (each: the smallest neighbour by a
     pre-aggregated minimum, then one join) until nothing changes; every round is
-    cut, so a lost executor costs one round.
+    cut, so a lost executor costs one round.  Nodes with very many neighbours are
+    joined by broadcast, so no task holds a whole star.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    before = (edges.count(), None)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_counted(large, low, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -227,23 +228,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Returns doc_id, print (long), component_id (smallest doc_id of the component).
     """
     own = cut(docs.select("doc_id", _fingerprints("text").alias("print")))
-    distinct = cut(own.groupBy("print").agg(F.min("doc_id").alias("least_id")))
+    distinct = cut(own.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     joined = components(near_links(distinct.select("print")))
-    rooted = distinct.join(joined, distinct["print"] == joined["node"], "left").select("print", "least_id", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = rooted.join(named, "root").select("print", "component_id")
-    return own.join(of_print, "print", "left").select("doc_id", "print", "component_id")
+    rooted = cut(distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "n", "least_id", F.coalesce("root", "print").alias("root")))
+    prints, rows = rooted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_print = join_counted(rooted.select("print", "root", F.col("n").alias("copies")), named, "root", prints)
+    return join_counted(own, of_print.select("print", "component_id", F.col("copies").alias("n")), "print", rows or 0).select("doc_id", "print", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of smallest ``doc_id`` of every component.
+    """``docs`` with one row of every component: of smallest ``doc_id``, then of smallest text hash; all columns stay.
 
-    Rows without ``doc_id`` cannot be told from one another and stay, and so do
-    rows that share the ``doc_id`` of a kept document but have another text.
+    A row without ``doc_id`` stays only where its component has no other; rows
+    that agree in doc_id and text are one document and give one row.  Null and
+    empty texts are near duplicates of one another.  Very long texts are read
+    whole; an empty table gives an empty one.
     """
-    marked = cut(near_duplicates(docs).select("doc_id", "component_id"))
-    heads = marked.where("doc_id = component_id").select("doc_id")
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct().join(heads, "doc_id", "left_anti")
-    kept = docs.join(hint_if_small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    repeated = marked.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])) if repeated else kept
+    key, row = fresh(docs, "text_key__"), fresh(docs, "doc_key__")
+    marked = near_duplicates(docs.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c")).alias("doc_id"), "text"))
+    heads = cut(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("n", F.col("doc_id.b").alias(row), F.col("doc_id.c").alias(key)))
+    same = F.col("doc_id").eqNullSafe(F.col(row)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    kept = docs.join(hint_if_small(heads, 32), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if heads.where("n > 1").limit(1).count() else kept

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, hint_if_small, new_table
+from lexmill.llm.common import cut, hint_if_small, new_table, shuffle_partitions
 
 #: An archive is closed beyond so many compressed bytes; a piece of it is closed behind the record that fills PIECE bytes.
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 20
@@ -22,6 +25,9 @@ HEAD_LIMIT = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_BREAKS = re.compile(r"[\r\n]+")
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -35,8 +41,8 @@ class Record:
 
 
 def write_record(head: list[tuple[str, str]], block: bytes) -> bytes:
-    """A record as one gzip member."""
-    lines = "".join(f"{k}: {' '.join(str(v).split())}\r\n" for k, v in [*head, ("Content-Length", len(block))])
+    """A record as one gzip member; line breaks in a field's value, which would end it, become blanks."""
+    lines = "".join(f"{k}: {_BREAKS.sub(' ', str(v))}\r\n" for k, v in [*head, ("Content-Length", len(block))])
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -89,7 +95,7 @@ class WarcReader:
             version, *lines = bytes(buffer[:end]).decode("utf-8", "surrogatepass").split("\r\n")
             if not version.startswith("WARC/"):
                 raise ValueError("not a WARC record")
-            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            head = {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines)}
             length = int(head.get("content-length", "-1"))
             if length < 0:
                 raise ValueError("a record without Content-Length")
@@ -102,7 +108,7 @@ class WarcReader:
                 raise ValueError("a record's block does not have its Content-Length")
             block = bytes(buffer[:length])
             for name, data in (("warc-block-digest", block), ("warc-payload-digest", _payload(head, block))):
-                want = head.get(name, "").removeprefix("sha1:")
+                want = head.get(name, "").strip().removeprefix("sha1:")
                 if want and data is not None and want != payload_digest(data):
                     raise ValueError(f"{name} does not hold")
             yield Record(head, block)
@@ -171,7 +177,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     An archive is a sequence of gzip members.  As executors share no file system
     but Spark's, its bytes are stored in numbered pieces in a table; ``pieces``
     in order are a ``.warc.gz`` file (see ``export_archive``).  A piece ends with
-    a record, so that pieces can be read in any task.  Hot payloads are grouped by
+    a record, so that pieces can be read in any task.  Very long pages are records
+    of their own size; an empty table writes no piece; other columns of ``pages``
+    are not read.  Hot payloads are grouped by
     digest with pre-aggregation; no group meets in one task.
     """
     html = F.coalesce("html", F.lit(""))
@@ -180,7 +188,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     named = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("n"))
     first = narrow.groupBy("digest").agg(F.min(named).alias("first"), F.sum("n").alias("copies")).where("copies > 1 and first.page_id is not null")
     first = cut(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("first_n")))
-    keyed = rows.join(hint_if_small(first, 200_000), "digest", "left")
+    keyed = rows.join(hint_if_small(first, 128), "digest", "left")
     leads = F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
     out = lambda df, revisit: df.select("page_id", "url", "html", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
     if first.where("first_n > 1").limit(1).count():  # pages that repeat their id and payload: one row of each is the response
@@ -245,14 +253,38 @@ def _slices(data: pa.BinaryScalar, step: int = 1 << 16) -> Iterator[bytes]:
 
 
 def read_warc_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Read ``.warc.gz`` files from any store that Spark reads; one task a file."""
+    """Read ``.warc.gz`` files: page_id and the other columns of ``read_archives``.
+
+    Spark lists the files; each is read as a stream in its task, some bytes at a
+    time, whatever its size.  Stores that Arrow does not know are read by Spark, a
+    file at a time, which then takes files below 2 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, inner = pa.fs.FileSystem.from_uri(_arrow_uri(name))
+                with store.open_input_stream(inner, compression=None) as stream:
+                    yield from _packed(WarcReader(iter(lambda: stream.read(1 << 16), b"")), with_payload)
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 yield from _packed(WarcReader(_slices(content)), with_payload)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    names = cut(files.select("path"))  # the contents are not read
+    first = names.first()
+    if first is None or first[0].partition(":")[0] in ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss"):
+        return names.repartition(shuffle_partitions(spark)).mapInArrow(run, RECORD_SCHEMA)
+    return files.select("content").mapInArrow(run_whole, RECORD_SCHEMA)
+
+
+def _arrow_uri(name: str) -> str:
+    """A file's name as Arrow takes it: Spark writes file:/x and s3a://, and leaves names unquoted."""
+    if name.startswith("file:"):
+        return "file://" + quote("/" + name.removeprefix("file:").lstrip("/"))
+    return name.replace("s3a://", "s3://", 1)
 
 
 def export_archive(spark: SparkSession, path: str, archive: str) -> Iterator[bytes]:
