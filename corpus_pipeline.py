@@ -9,27 +9,42 @@ from lexmill.llm.common import new_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be identified."""
-    return langid.keep_identified(docs)
+    """Documents of a learnt language, predicted with a score of 0.65 or more and as likely as is usual in it; ``lang`` is filled where null.
+
+    Null and empty texts and those without letters go; very long texts are read
+    whole; repeated rows stay; an empty table stays empty; other columns stay.
+    """
+    return langid.keep_languages(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, that of smallest doc_id.
+
+    A row without doc_id stays only where its group has no other; repeated rows
+    give one; empty texts are near duplicates of one another.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none, nor does anything if the benchmark is empty;
+    rows are judged by their own text, repeated ones alike.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those that it does not take, and texts without words, go.
+
+    A null source is a source of its own, ranked last.
+    """
     return mixing.apply_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in contiguous shards of near equal bytes."""
+    """The mix in contiguous shards of near equal bytes, in doc_id order, null first; equal rows may be parted."""
     return sharding.shard_documents(docs)
 
 
@@ -41,7 +56,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Fingerprints and seeded draws have no counterpart in SQL; tests compare with a plain version.
+#: Fingerprints and seeded draws have no counterpart in SQL; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
