@@ -58,7 +58,7 @@ def _slots(code: np.ndarray, order: int) -> np.ndarray:
 
 
 def _pieces(code: np.ndarray) -> Iterator[np.ndarray]:
-    """Cut very long texts so that each n-gram is met once for the longest order (shorter ones overlap by one or two)."""
+    """Very long texts in parts: each with the CHUNK places at which its n-grams start, and what these reach beyond."""
     for lo in range(0, len(code), CHUNK):
         yield code[lo : lo + CHUNK + max(ORDERS) - 1]
 
@@ -69,7 +69,7 @@ def ngram_counts(text: str | None) -> np.ndarray:
     for piece in _pieces(code):
         for order in ORDERS:
             if len(piece) >= order:
-                out += np.bincount(_slots(piece, order), minlength=SLOTS)
+                out += np.bincount(_slots(piece[: CHUNK + order - 1], order), minlength=SLOTS)
     return out
 
 
@@ -108,7 +108,7 @@ class LanguageModel:
                         continue
                     slots = _slots(code, order)
                     for k, (i, c) in enumerate(batch):  # n-grams across two texts are left out
-                        own = slots[starts[k] : max(starts[k], starts[k + 1] - order + 1)]
+                        own = slots[starts[k] : max(starts[k], min(starts[k] + CHUNK, starts[k + 1] - order + 1))]
                         grams[i] += len(own)
                         if len(own):
                             total[i] += self.logp.take(own, axis=0).sum(axis=0, dtype=np.float64)

@@ -339,14 +339,85 @@ def test_language(spark, docs, none, rows):
     assert all(got[i].lang_pred == m[2] for i, m in enumerate(made)) and got[900].lang_pred == got[901].lang_pred == "und"
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.values())
     assert langid.identify(none).count() == 0 and langid.identify(docs).count() == len(rows)
-    kept = langid.keep_identified(df)
-    assert kept.columns == df.columns and kept.count() == 61
 
 
-def test_long_texts_are_counted_whole(monkeypatch):
-    text = words(400, 5)
-    whole = langid.ngram_counts(text)
-    assert whole.sum() == sum(len(langid._codes(text)) - k + 1 for k in langid.ORDERS)
+def test_language_filter(spark, none):
+    made = [(i, words(60, i, ["the", "and", "thing", "of"]) if i % 2 else words(60, i, ["der", "und", "ß", "nicht"]), "en" if i % 2 else "de", "s", 0, "x", "y", 1) for i in range(80)]
+    odd = [(900, None, "en"), (901, "123 !!", "de"), (902, words(60, 1, ["qxzk", "wvjq", "zzxq"]), "en"), (903, "the thing", None), (None, "the and of the thing", None), (904, words(50, 2, ["čeština", "žluťoučký", "kůň"]), None)]
+    df = spark.createDataFrame([*made, *[(i, t, lang, "s", 0, "x", "y", 1) for i, t, lang in odd]], SCHEMA)
+    kept = langid.keep_languages(df)
+    assert kept.columns == df.columns
+    got = {r.doc_id: r.lang for r in kept.collect()}
+    assert set(got) == {*range(80), 903, None} and got[903] == got[None] == "en"
+    english = langid.keep_languages(df, ["en"]).collect()
+    assert {r.doc_id for r in english} == {*range(1, 80, 2), 903, None}
+    assert langid.keep_languages(none).count() == 0
+
+
+def plain_slots(text):
+    code = [0]
+    for c in (text or "").lower():
+        if c.isalpha() or code[-1]:
+            code.append(ord(c) if c.isalpha() else 0)
+    code += [0] if code[-1] else []
+    out = []
+    for order in langid.ORDERS:
+        for i in range(len(code) - order + 1):
+            h = order * 0x9E3779B1 % 2**32
+            for c in code[i : i + order]:
+                h = (h ^ c) * 0x01000193 % 2**32
+                h ^= h >> 15
+            out.append(h % langid.SLOTS)
+    return out
+
+
+def test_language_against_plain_bayes(spark):
+    bags = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["lorem", "vox", "ñandú"], "cc": ["quod", "erat", "dolor"]}
+    rows = [(i, words(1 + i % 9, i, bags[lang]) if i % 23 else "", lang) for i in range(120) for lang in [sorted(bags)[i % 3]]]
+    rows = [(i, t, None if i % 17 == 0 else lang) for i, t, lang in rows]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[2]]
+    counts = {lang: [0.5] * langid.SLOTS for lang in bags}
+    docs = {lang: 1 for lang in bags}
+    for _, t, lang in train:
+        docs[lang] += 1
+        for x in plain_slots(t):
+            counts[lang][x] += 1
+    total = {lang: sum(c) for lang, c in counts.items()}
+    want = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t):
+            want[i] = ("und", 0.0)
+            continue
+        x = {lang: np.log(docs[lang] / sum(docs.values())) + sum(np.log(counts[lang][k] / total[lang]) for k in plain_slots(t)) for lang in bags}
+        best = max(sorted(x), key=x.get)
+        want[i] = (best, 1 / sum(np.exp(v - x[best]) for v in x.values()))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    texts = [words(400, 5), words(30, 6), None, "x", words(900, 7)]
+    whole = [langid.ngram_counts(t) for t in texts]
+    r = np.random.default_rng(0)
+    model = langid.LanguageModel(["a", "b"], np.zeros(2), np.log(r.random((langid.SLOTS, 2)) / langid.SLOTS).astype(np.float32))
+    before = model.predict(texts)
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    for t, w in zip(texts, whole):
+        assert w.sum() == len(plain_slots(t)) and (langid.ngram_counts(t) == w).all()
+    after = model.predict(texts)
+    assert before[0] == after[0] and np.allclose(before[1], after[1])
+
+
+def test_language_model_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(i, words(50, i, ["un", "dos"] if i % 2 else ["one", "two"]), "es" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    for fitted in (False, True):
+        model = langid.train(rows, with_fit=fitted)
+        langid.save(model, spark, str(tmp_path / f"m{fitted}"))
+        back = langid.load(spark, str(tmp_path / f"m{fitted}"))
+        assert back.langs == model.langs and np.allclose(back.logp, model.logp) and np.allclose(back.prior, model.prior)
+        assert (back.typical is None) == (not fitted)
 
 
 def test_decontamination(spark, docs, none):
@@ -443,13 +514,125 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_disguises(spark):
+    bad = ["idiot", "stupid", "trash", "hate", "dumbass"]
+    made = [(i, words(30, i) + (" " + bad[i % 5] if i % 4 == 0 else "") + " " + words(20, i + 5000) + " you are a person") for i in range(1200)]
+    hidden = ["you are a s t u p i d person", "y o u i d i o t", "such dumba55", "what an idio7", "so h4t3 it", "trrash here", "stuupid", "st-up-id", "stu*pid", "t.r.a.s.h"]
+    clean = ["you are a person", "a b c of it", "see v2 and x9", "word$$$ thing### here%%%", "well-known co-op re-do", "bookkeeper committee"]
+    rows = [*made, *[(2000 + i, t) for i, t in enumerate(hidden)], *[(3000 + i, t) for i, t in enumerate(clean)]]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in made], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert [got[2000 + i] for i in range(len(hidden))] == [1] * len(hidden)
+    assert [got[3000 + i] for i in range(len(clean))] == [0] * len(clean)
+
+
+def test_lattice_against_all_paths():
+    """Viterbi finds the best of all readings that a span's lattice has."""
+    import itertools
+
+    r = np.random.default_rng(3)
+    counts = np.zeros((toxicity.SYMBOLS,) * 3)
+    counts[:27, :27, :27] = r.integers(0, 50, (27, 27, 27))
+    logp = toxicity.language_model(counts)
+    restorer = toxicity.Restorer(logp)
+    for span in ["5tu", "a s s", "h4t3", "ii0t", "b.4.d", "c|ue", "aaa1", "x y1", "zz"]:
+        for pairs in (False, True):
+            options = []
+            for i, char in enumerate(span):
+                run = len(re.search(re.escape(char) + "*$", span[: i + 1]).group()) + len(re.match(re.escape(char) + "*", span[i + 1 :]).group())
+                options.append(toxicity._choices(char, span[i - 1] if i else "", run, pairs))
+            best = -np.inf
+            for path in itertools.product(*options):
+                s = [0, 0, *[toxicity.symbol(x) for x, _ in path if x], 0]
+                best = max(best, sum(c for _, c in path) + sum(logp[a, b, c] for a, b, c in zip(s, s[1:], s[2:])))
+            found = restorer.decode(span, pairs)
+            reached = max(
+                sum(c for _, c in path) + sum(logp[a, b, c] for s in [[0, 0, *[toxicity.symbol(x) for x, _ in path if x], 0]] for a, b, c in zip(s, s[1:], s[2:]))
+                for path in itertools.product(*options)
+                if "".join(x for x, _ in path) == found
+            )
+            assert abs(reached - best) < 1e-9
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(i, words(5 + i % 9, i), "user", i) for i in range(40)] + [(None, None, "u", 1), (3, words(8, 3), "user", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Shard string, s_id long")
+    name = sharding.write_shards(df, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert name == "shard_2" and set(back.columns) == {*df.columns, name}
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert sharding.write_shards(df.drop("Shard"), str(tmp_path / "t"), 4) == "shard"
+
+
+def test_clashing_names(spark):
+    rows = [(i, words(20, i), "a", i, 2, 3, "k", "p") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m_crc long, m_uses int, m_copy int, text_key__ string, p__ string")
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns and {(r.doc_id, r.m_crc, r.m_uses) for r in out.collect()} <= {(i, i, 2) for i in range(4)}
+    kept = simhash.drop_near_duplicates(df)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    labelled = df.withColumn("lang", F.lit("x"))
+    assert langid.keep_languages(labelled).columns == labelled.columns
+    assert decontam.drop_contaminated(df, spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")).count() == 3
+
+
+def test_warc_files(spark, tmp_path):
+    pages = [(i, f"http://x/a  b?{i}", words(20, i % 7)) for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(df, str(tmp_path / "a"))
+    names = [r[0] for r in spark.read.parquet(str(tmp_path / "a")).select("archive").distinct().collect()]
+    for n in names:
+        (tmp_path / "f i" / f"{n}.warc.gz").parent.mkdir(exist_ok=True)
+        (tmp_path / "f i" / f"{n}.warc.gz").write_bytes(b"".join(warc.export_archive(spark, str(tmp_path / "a"), n)))
+    got = warc.read_warc_files(spark, str(tmp_path / "f i")).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [(i, u) for i, u, _ in pages]
+    first = {h: min(i for i, _, g in pages if g == h) for _, _, h in pages}
+    assert all(r.payload.decode() == pages[r.page_id][2] for r in got if r.record_type == "response") and {r.page_id for r in got if r.record_type == "response"} == set(first.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
+    """Every stage on its own input against a plain version."""
     import corpus_pipeline
 
-    texts = [words(200, i) for i in range(40)]
-    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(50, texts[0], "en", "s0", 1), (51, "12 34", None, "s1", 5), (52, texts[5] + " " + words(30, 777), "en", "s1", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, words(30, 777))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in got}
-    assert ids <= set(range(40)) and len(ids) > 20 and all(0 <= r.shard < 40 for r in got)
+    texts = [words(120 + i, i) for i in range(60)]
+    item = words(30, 777)
+    rows = [(i, t, "en", f"s{i % 3}" if i % 10 else None, len(t)) for i, t in enumerate(texts)]
+    rows += [(70, texts[0], "en", "s0", 1), (71, "12 34", None, "s1", 5), (72, texts[5] + " " + item, "en", "s1", 1), (73, texts[9] + " z", "en", "s2", 1), (None, words(100, 500), None, None, None), (74, None, None, "s1", 0), (75, "", "en", "s1", 0), (70, texts[0], "en", "s0", 1), (76, words(90, 3, ["żółć", "źdźbło", "ękąś"]), None, "s1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        seen[name] = [tuple(r) for r in spark.read.parquet(path).collect()]
+        if name != "sharding":
+            assert out.columns == docs.columns
+            docs = spark.read.parquet(path)
+    first = seen["language_id"]
+    assert sorted(map(str, first)) == sorted(str((i, t, lang or "en", s, n)) for i, t, lang, s, n in rows if i not in (71, 74, 75, 76))
+    second, prints = seen["simhash_near_dedup"], [plain_print(r[1]) for r in first]
+    groups = {}
+    for r, c in zip(first, plain_components(prints)):
+        groups.setdefault(c, []).append(r)
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert sorted(map(str, second)) == sorted(map(str, want)) and len(second) < len(first)
+    grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    third = seen["benchmark_decontamination"]
+    assert sorted(map(str, third)) == sorted(str(r) for r in second if len(grams(item) & grams(r[1])) < 0.8 * len(grams(item))) and len(third) < len(second)
+    fourth = seen["source_mix"]
+    times = {r: fourth.count(r) for r in set(fourth)}
+    assert set(times) <= set(third) and max(times.values()) <= 3
+    size = lambda r: len(r[1].split())
+    names = sorted({r[3] for r in third if r[3]}) + [None]
+    targets = mixing.fill_targets([sum(size(r) for r in third if r[3] == n) for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
+    for n, t in zip(names, targets):
+        assert abs(sum(size(r) * k for r, k in times.items() if r[3] == n) - t) <= max(200, 0.02 * t)
+    last = sorted(seen["sharding"], key=lambda r: (r[3], r[4]))
+    assert sorted((r[0] is not None, r[0] or 0, r[1], r[2]) for r in last) == sorted((r[0] is not None, r[0] or 0, size_of(r[1]), zlib.crc32(r[1].encode())) for r in fourth)
+    at, total = 0, sum(r[1] for r in last)
+    for r in last:
+        assert r[3] == min(39, (2 * at + r[1]) * 40 // (2 * total))
+        at += r[1]
+    assert sorted(map(str, seen["sharding"])) == sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
