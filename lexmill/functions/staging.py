@@ -1,19 +1,111 @@
-"""Tables that several later steps read are written once to the shared checkpoint folder."""
+"""Tables that several later steps read are written once to the shared folder; sides of joins are broadcast by measured bytes."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Contexts whose checkpoint folder is removed when the driver ends.
+_HELD: set[str] = set()
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as written to the session's checkpoint folder; in local mode one is made where none is set."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    It is read from ``spark.checkpoint.dir``.  Where that is unset, a folder of
+    this machine is taken, but only in local mode.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="lexmill-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    own = sc.getCheckpointDir()  # a folder of this context alone, below the named one
+    if own not in _HELD:
+        _HELD.add(own)
+        atexit.register(drop_table, spark, own)
+    return named
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as written to the session's checkpoint folder, so that a lost executor costs a reread; removed when the driver ends."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def new_table(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lexmill-{kind}-{uuid.uuid4().hex}"
+    atexit.register(drop_table, spark, path)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a path from the shared folder; a session that has ended leaves it."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
+def byte_size(df: DataFrame, width: Column | int = 64) -> int:
+    """Bytes of a table: ``width`` is those of a row, a number or a column that adds up its texts and arrays."""
+    return df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+
+
+def hint_if_small(df: DataFrame, width: Column | int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured bytes allow one; otherwise as it is."""
+    return F.broadcast(df) if byte_size(df, width) <= most else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def met_in_blocks(rows: DataFrame, asked: DataFrame, row_key: Column, asked_key: Column, asked_width: Column | int) -> DataFrame:
+    """Every row with every one of a stated set of asked rows.
+
+    While the asked rows' measured bytes are few they are broadcast.  Beyond, they
+    are cut into blocks by key and met block by block: rows are dealt by key too,
+    so a task holds one share of the rows and one block.  Both keys must be unique
+    enough to spread; the columns of both sides must have different names.
+    """
+    size = byte_size(asked, asked_width)
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(asked), F.lit(True))
+    spark = rows.sparkSession
+    blocks, shares = -(-size // BROADCAST_BYTES), shuffle_partitions(spark)
+    left = rows.withColumn("share__", F.pmod(F.xxhash64(row_key), F.lit(shares))).withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    right = asked.withColumn("block__", F.pmod(F.xxhash64(asked_key), F.lit(blocks))).withColumn("share__", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
+    return left.join(right, ["block__", "share__"]).drop("block__", "share__")
+
+
+#: Phrases that a block of them holds at most.
+PHRASES = 512
+
+
+def phrases_in(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """(columns of ``texts``, phrase): which distinct phrases each text holds, whatever the case.
+
+    Phrases are packed into blocks, and a text is held against a block in one
+    expression, so rows are as many as texts and blocks, not as pairs, before the
+    hits are taken out.
+    """
+    low = phrases.select(F.lower(phrase).alias("p")).where("p <> ''").distinct()
+    n = low.count()
+    block = F.pmod(F.xxhash64("p"), F.lit(max(1, -(-n // PHRASES))))
+    packed = low.groupBy(block.alias("b__")).agg(F.collect_list("p").alias("ps__"))
+    wide = F.aggregate("ps__", F.lit(0), lambda s, p: s + F.octet_length(p) + 24)
+    met = met_in_blocks(texts.withColumn("low__", F.lower(text)), packed, F.col("low__"), F.col("b__"), wide)
+    hits = met.withColumn("hits__", F.filter("ps__", lambda p: F.contains(F.col("low__"), p)))
+    return hits.select(*texts.columns, F.explode("hits__").alias("phrase"))

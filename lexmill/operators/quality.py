@@ -102,7 +102,7 @@ def pack_list(values: Column) -> Column:
 
 
 def unpack_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tree_metrics(nodes: DataFrame) -> DataFrame:

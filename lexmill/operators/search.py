@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.staging import staged
+from lexmill.functions.staging import BROADCAST_BYTES, byte_size, hint_if_small, met_in_blocks, phrases_in, shuffle_partitions, staged
 from lexmill.functions.text import expand_synonyms, tokenize
+from lexmill.operators.classify import classify_scope
 
 # Constants of the ranking.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -53,20 +54,22 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.select(doc_id, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and the corpus row (n, avgdl).
+def term_weights(docs: DataFrame, terms: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
+    """(term, idf) of ``terms`` (term), and the mean length of a document.
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one becomes epsilon times
-    the mean over all terms.  Statistics are those of the whole corpus whatever a
-    later filter keeps.
+    the mean over all terms.  Statistics are those of the whole corpus, taken in
+    one pass: a term that no text can have counts the documents and their words.
     """
     words = docs.select(tokenize(F.coalesce(text, F.lit(""))).alias("w"))
-    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(corpus.select("n")), F.lit(True)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), F.lit(True)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return idf, corpus
+    marks = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("dl")))
+    counted = staged(words.select(F.inline(F.concat(marks, whole))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words")))
+    n, total = counted.where("term = ''").select("df", "words").first() or (0, 0)
+    raw = counted.where("term <> ''").select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    asked = raw.join(terms.select("term").distinct(), "term", "left_semi")
+    return asked.select("term", F.when(F.col("raw") < 0, EPSILON * F.lit(mean)).otherwise(F.col("raw")).alias("idf")), total / n if n else 0.0
 
 
 def query_terms(queries: DataFrame, widen: bool = True) -> DataFrame:
@@ -75,22 +78,36 @@ def query_terms(queries: DataFrame, widen: bool = True) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", keep: Column | None = None, widen: bool = True) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", keep: Column | None = None, widen: bool = True, within: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query by BM25, scores above 0: (query_id, doc_id, rank, score).
 
     Documents are cut down to the queries' terms before they are counted, so what
-    is shuffled follows the queries and not the corpus.  ``keep`` filters what is
-    ranked, not what the statistics are taken from.  Ties go to the smaller id.
+    is shuffled follows the queries and not the corpus.  The queries' terms, with
+    their weights, are broadcast while their bytes are few; beyond, terms meet
+    documents in as many shares as there are shuffle partitions, so that a frequent
+    term does not fill a task.  ``keep`` filters what is ranked, not what the
+    statistics are taken from; ``within`` (query_id, doc_id) names what each query
+    may find.  Ties go to the smaller id.
     """
-    idf, corpus = term_weights(docs)
-    asked = query_terms(queries, widen)
+    asked = staged(query_terms(queries, widen))
+    idf, average = term_weights(docs, asked)
+    asked = staged(asked.join(idf, "term"))
     ranked = docs if keep is None else docs.where(keep)
     words = ranked.select(doc_id, tokenize(F.coalesce("text", F.lit(""))).alias("w"))
-    hits = words.select(doc_id, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    each = tf.join(idf, "term").join(F.broadcast(corpus), F.lit(True)).select(doc_id, "term", weight.alias("w"))
-    scored = each.join(asked, "term").groupBy("query_id", doc_id).agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    terms = hint_if_small(asked.groupBy("term").agg(F.first("idf").alias("idf")), 24 + F.octet_length("term"))
+    hits = words.select(doc_id, F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term")
+    tf = hits.groupBy(doc_id, "dl", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (average or 1.0)))
+    each, wanted = tf.select(doc_id, "term", weight.alias("w")), asked.select("query_id", "term", "times")
+    if byte_size(wanted, 32 + F.octet_length("term")) <= BROADCAST_BYTES:
+        met = each.join(F.broadcast(wanted), "term")
+    else:
+        shares = shuffle_partitions(docs.sparkSession)
+        dealt = each.withColumn("share__", F.pmod(F.xxhash64(doc_id), F.lit(shares)))
+        met = dealt.join(wanted.withColumn("share__", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))), ["term", "share__"])
+    scored = met.groupBy("query_id", doc_id).agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    if within is not None:
+        scored = scored.join(within, ["query_id", doc_id], "left_semi")
     return top(scored.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col(doc_id)).select("query_id", doc_id, "rank", "score")
 
 
@@ -105,15 +122,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_top(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id", keep: Column | None = None) -> DataFrame:
+def vector_top(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id", keep: Column | None = None, within: DataFrame | None = None) -> DataFrame:
     """The k nearest items of each query by cosine: queries (query_id, q), items (item_id, v).
 
-    A stated set of queries meets all items in one pass over the items; each task
-    keeps k rows a query before anything is shuffled.
+    A stated set of queries meets all items in one pass over the items, in blocks
+    where the queries are many; lengths are found once for each vector, and each
+    task keeps k rows a query before anything is shuffled.  ``within`` (query_id,
+    item_id) names what each query may find.
     """
-    pool = items if keep is None else items.where(keep)
-    met = pool.join(queries, F.lit(True)).select("query_id", item_id, F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return top(met, k, F.desc("score"), F.col(item_id)).select("query_id", item_id, "rank", "score")
+    pool = (items if keep is None else items.where(keep)).select(item_id, "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("v_len"))
+    asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("q_len"))
+    if within is None:
+        met = met_in_blocks(pool, asked, F.col(item_id), F.col("query_id"), 64 + 8 * F.size("q"))
+    else:
+        met = pool.join(within.select("query_id", item_id), item_id).join(asked, "query_id")
+    score = dot(F.col("q"), F.col("v")) / F.nullif(F.col("q_len") * F.col("v_len"), F.lit(0.0))
+    scored = met.select("query_id", item_id, F.round(score, 6).alias("score"))
+    return top(scored, k, F.desc("score"), F.col(item_id)).select("query_id", item_id, "rank", "score")
 
 
 # --- fusion and rescoring --------------------------------------------------------------------
@@ -195,7 +220,7 @@ def exception_factor(similarity: Column, upper: Column, lower: Column) -> Column
 def boost_scope(hits: DataFrame, scopes: DataFrame, scope_docs: DataFrame, boost: float = 1.3, double: float = 1.5) -> DataFrame:
     """Lift hits of documents of a query's scopes: hits, (query_id, scopes), (scope, doc_id)."""
     each = scopes.select("query_id", F.explode("scopes").alias("scope"), (F.array_contains("scopes", "TMDT") & F.array_contains("scopes", "HKD")).alias("both"))
-    lifted = each.join(F.broadcast(scope_docs), "scope").groupBy("query_id", "doc_id").agg(F.max("both").alias("both"))
+    lifted = each.join(hint_if_small(scope_docs, 48), "scope").groupBy("query_id", "doc_id").agg(F.max("both").alias("both"))
     factor = F.when(F.col("both").isNull(), 1.0).when(F.col("both"), double).otherwise(boost)
     return rerank(hits.join(lifted, ["query_id", "doc_id"], "left").withColumn("rrf_score", F.round(F.col("rrf_score") * factor, 6)).drop("both"))
 
@@ -258,7 +283,7 @@ def expand_amendments(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def drop_expired(hits: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     """Without hits of documents whose validity has ended; unknown documents stay."""
     ended = registry.where(F.col("effective_to") < as_of).select("doc_id")
-    return hits.join(F.broadcast(ended), "doc_id", "left_anti")
+    return hits.join(hint_if_small(ended, 32), "doc_id", "left_anti")
 
 
 def exclude(hits: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -287,8 +312,8 @@ def confidence_label(score: Column) -> Column:
 
 def triggered(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, rule, doc_id) of rules (rule, keyword, doc_id) with a keyword that the query holds."""
-    met = queries.join(F.broadcast(rules), F.contains(F.lower(queries["text"]), F.lower(rules["keyword"])))
-    return met.select("query_id", "rule", "doc_id").distinct()
+    met = phrases_in(queries.select("query_id", "text"), "text", rules, "keyword").select("query_id", F.col("phrase").alias("keyword"))
+    return met.join(hint_if_small(rules.select(F.lower("keyword").alias("keyword"), "rule", "doc_id"), 96), "keyword").select("query_id", "rule", "doc_id").distinct()
 
 
 def inject(queries: DataFrame, items: DataFrame, docs_of: DataFrame, pool: DataFrame, k: int = TOPIC_K) -> DataFrame:
@@ -307,36 +332,106 @@ def scope_injection(queries: DataFrame, scopes: DataFrame, scope_docs: DataFrame
     """
     fits = F.array_contains("scopes", "HKD") & ~F.array_contains("scopes", "TMDT")
     asked = queries.where(F.col("text").rlike(gate)).join(scopes, "query_id").where(fits).select("query_id")
-    wanted = asked.join(F.broadcast(scope_docs.where("scope = 'HKD'").select("doc_id")), F.lit(True))
+    documents = scope_docs.where("scope = 'HKD'").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_id"))  # one row: the documents of a scope
+    wanted = asked.join(F.broadcast(documents), F.lit(True)).withColumn("doc_id", F.explode("doc_id"))
     return wanted.join(have, ["query_id", "doc_id"], "left_anti")
 
 
-def search(queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scopes: DataFrame | None = None, scope_docs: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """The whole ranked query for a batch: queries (query_id, text, q), chunks (chunk_id, doc_id, text, v, refs, superseded).
+#: What a hit is: found, or added by one of the expansions.
+FOUND, REFERENCE, EXCEPTION, SIBLING, CHILD, AMENDMENT = "hit", "reference", "exception", "sibling", "child", "amendment"
 
-    Two pools, injected documents before them, fusion, authority and recency,
-    supersession, scope, reference expansion, validity.  May give more than n rows.
-    Queries and chunks without a vector take part in the keyword pool alone; ``vectors``
-    (chunk_id, v) are those of the chunks where a table of its own holds them.
+
+def _appended(results: DataFrame, more: DataFrame, kind: str, source: str | None, *order: Column) -> DataFrame:
+    """Results with what an expansion found behind them, ranks counted on."""
+    extra = more.select("query_id", "chunk_id", "rrf_score", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "chunk_id")).alias("n__"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"))
+    last = results.groupBy("query_id").agg(F.max("rank").alias("last__"))
+    ranked = extra.join(last, "query_id").select("query_id", "chunk_id", "rrf_score", (F.col("last__") + F.col("n__")).cast("int").alias("rank"), F.lit(kind).alias("kind"), "source")
+    return staged(results.unionByName(ranked))
+
+
+def search(
+    queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scope_docs: DataFrame | None = None, gate: str = "(?s).*",
+    exceptions: DataFrame | None = None, excluded: DataFrame | None = None, general: bool = True, vectors: DataFrame | None = None, within: DataFrame | None = None,
+) -> DataFrame:
+    """The whole ranked query for a batch: (query_id, chunk_id, doc_id, rrf_score, rank, kind, source).
+
+    queries (query_id, text, q); chunks (chunk_id, doc_id, text) and, where the
+    steps are wanted, v, refs, superseded, parent and number, parent_id, seq and
+    amended_by, specific_entity; registry (doc_id, legal_level, effective_from,
+    effective_to); rules (rule, keyword, doc_id); scope_docs (scope, doc_id);
+    exceptions (rule_chunk_id, exception_chunk_ids); excluded (query_id, doc_id).
+
+    In this order: vector and keyword pool; documents that rules, then scopes, ask
+    for before both; fusion to n; authority and recency; supersession; scope;
+    then references, exceptions, siblings, children and amendments, each of all
+    that is there; exclusions; validity; documents of single entities where the
+    question is general.  May give more than n rows.  ``within`` (query_id, doc_id)
+    restricts a query to documents: then neither rules, scopes, authority nor
+    supersession apply.
+
+    Queries and chunks without a vector take part in the keyword pool alone;
+    ``vectors`` (chunk_id, v) are those of the chunks where a table holds them.
     """
-    vectors = chunks if vectors is None else vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    vector = vector_top(queries.where("q is not null").select("query_id", "q"), vectors.where("v is not null").select("chunk_id", "v"), min(3 * n, 50))
-    words = bm25(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), 3 * n, doc_id="chunk_id")
-    if rules is not None:
-        extra = inject(queries, chunks, triggered(queries, rules), vector.unionByName(words))
+    has = set(chunks.columns)
+    vectors = chunks.select("chunk_id", "doc_id", "v") if vectors is None else vectors.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    able = None if within is None else within.join(chunks.select("chunk_id", "doc_id"), "doc_id").select("query_id", "chunk_id")
+    vector = vector_top(queries.where("q is not null").select("query_id", "q"), vectors.where("v is not null").select("chunk_id", "v"), min(3 * n, 50), within=able)
+    words = bm25(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), 3 * n, doc_id="chunk_id", within=able)
+    vector, words = staged(vector), staged(words)  # 3n rows a query
+    scopes = None
+    if within is None and rules is not None:
+        extra = inject(queries, vectors, triggered(queries, rules), vector.unionByName(words))
+        vector, words = staged(prepend(vector, extra)), staged(prepend(words, extra))
+    if within is None and scope_docs is not None:
+        scopes = queries.select("query_id", classify_scope(F.col("text"), F.lit(None).cast("string"))["scopes"].alias("scopes")).where(~F.array_contains("scopes", "ALL"))
+        have = vector.unionByName(words, allowMissingColumns=True).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "doc_id").distinct() if rules is None else triggered(queries, rules).select("query_id", "doc_id").distinct()
+        extra = inject(queries, vectors, scope_injection(queries, scopes, scope_docs, have, gate), vector.select("query_id", "chunk_id").limit(0))
         vector, words = prepend(vector, extra), prepend(words, extra)
     fused = staged(rrf([(vector, VECTOR_WEIGHT), (words, BM25_WEIGHT)], n))  # n rows a query, read by rescoring and expansion
-    hits = fused.join(chunks.select("chunk_id", "doc_id", "superseded"), "chunk_id")
-    hits = boost_authority(hits, registry, as_of)
-    old = queries.select("query_id", speaks_of_old_law(F.col("text"), F.lit(None).cast("int")).alias("old"))
-    hits = penalise_superseded(hits.join(old, "query_id"), F.col("old")).drop("old")
-    if scopes is not None and scope_docs is not None:
+    about = chunks.select("chunk_id", "doc_id", (F.col("superseded") if "superseded" in has else F.lit(False)).alias("superseded"))
+    hits = fused.join(about, "chunk_id")
+    if within is None:
+        hits = boost_authority(hits, registry, as_of)
+        old = queries.select("query_id", speaks_of_old_law(F.col("text"), F.lit(None).cast("int")).alias("old"))
+        hits = penalise_superseded(hits.join(old, "query_id"), F.col("old")).drop("old")
+    if scopes is not None:
         hits = boost_scope(hits, scopes, scope_docs)
-    more = expand_references(hits, chunks).join(chunks.select("chunk_id", "doc_id", "superseded"), "chunk_id")
-    both = hits.withColumn("expanded_from", F.lit(None).cast("string")).unionByName(
-        more.withColumn("rank", 1000 + F.col("src_rank") * 10 + F.col("pos")).select("query_id", "chunk_id", "doc_id", "superseded", "rrf_score", "rank", "expanded_from")
-    )
-    return drop_expired(rerank(both), registry, as_of)
+    results = staged(hits.select("query_id", "chunk_id", "rrf_score", "rank", F.lit(FOUND).alias("kind"), F.lit(None).cast("string").alias("source")))
+    by_rank = (F.col("src_rank"), F.col("pos"))
+    with_chunks = lambda *columns: results.join(chunks.select("chunk_id", *columns), "chunk_id")
+    if "refs" in has:
+        results = _appended(results, expand_references(results, chunks), REFERENCE, "expanded_from", *by_rank)
+    if exceptions is not None:
+        found = expand_exceptions(results, exceptions).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        results = _appended(results, found, EXCEPTION, "exception_of", *by_rank)
+    if {"parent", "number"} <= has:
+        results = _appended(results, expand_siblings(with_chunks("text", "parent", "number"), chunks), SIBLING, None, F.desc("rrf_score"))
+    if {"parent_id", "number"} <= has:
+        results = _appended(results, expand_children(with_chunks("text"), chunks), CHILD, "child_expansion_of", F.col("pos"))
+    if {"amended_by", "seq"} <= has:
+        results = _appended(results, expand_amendments(with_chunks("amended_by"), chunks), AMENDMENT, "amendment_of", *by_rank)
+    out = results.join(chunks.select("chunk_id", "doc_id", *(["specific_entity"] if "specific_entity" in has else [])), "chunk_id")
+    if excluded is not None:
+        out = exclude(out, excluded)
+    out = drop_expired(out, registry, as_of)
+    if "specific_entity" in has and within is None:
+        out = drop_specific(out, F.lit(general))
+    return out.select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
+
+
+def with_co_retrieval(results: DataFrame, queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, rules: DataFrame, n: int = 5, **options: object) -> DataFrame:
+    """Results with what co-retrieval rules add: for each rule that fires, the k best of its target, before or behind the others.
+
+    queries hold doc_filter as well; rules (when_filter, keywords, target, k, place).
+    """
+    found = results.groupBy("query_id").agg(F.collect_set("doc_id").alias("found_docs"))
+    base = queries.select("query_id", "text", "doc_filter").join(found, "query_id", "left").withColumn("found_docs", F.coalesce("found_docs", F.array().cast("array<string>")))
+    asked = staged(co_retrieve(base, rules))
+    more = search(queries, chunks, registry, as_of, n, within=asked.select("query_id", F.col("target").alias("doc_id")).distinct(), **options).where(F.col("kind") == FOUND)
+    best = more.join(asked.select("query_id", F.col("target").alias("doc_id"), "k", "place"), ["query_id", "doc_id"]).withColumn("n__", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))).where("n__ <= k")
+    both = results.select("*", F.lit(1).alias("o__"), F.lit(0).alias("n__")).unionByName(best.select(*results.columns, F.when(F.col("place") == "prepend", 0).otherwise(2).alias("o__"), "n__"))
+    order = Window.partitionBy("query_id").orderBy("o__", "n__", "rank", "doc_id", "chunk_id")
+    return both.withColumn("rank", F.row_number().over(order)).drop("o__", "n__")
 
 
 def co_retrieve(base: DataFrame, rules: DataFrame) -> DataFrame:
@@ -347,7 +442,7 @@ def co_retrieve(base: DataFrame, rules: DataFrame) -> DataFrame:
     """
     low = F.lower(F.col("text"))
     fires = (F.size("keywords") == 0) | F.exists("keywords", lambda w: F.contains(low, w))
-    met = base.join(F.broadcast(rules), F.col("doc_filter") == F.col("when_filter")).where(fires & ~F.array_contains("found_docs", F.col("target")))
+    met = base.join(hint_if_small(rules, 256), F.col("doc_filter") == F.col("when_filter")).where(fires & ~F.array_contains("found_docs", F.col("target")))
     return met.select("query_id", "text", "target", "k", "place")
 
 

@@ -187,15 +187,15 @@ SHARES_SQL = f"SELECT failure, count(*) AS n, round(100.0 * count(*) / (SELECT c
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cache = v.where("vec_id % 5 = 0 and vec_id % 50 <> 0 or vec_id % 5 = 1").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("v"), F.lit(1).alias("cache_version"), (F.col("vec_id") % 3 == 0).alias("is_stale"))
+    asked = v.where("vec_id % 100 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    cache = v.select(F.col("vec_id").alias("entry_id"), F.transform("embedding", lambda x, i: F.when(i > 0, x).otherwise(-x)).alias("v"), F.lit(1).alias("cache_version"), (F.col("vec_id") % 3 == 0).alias("is_stale"))
     return state.cache_hits(asked, cache, F.lit(1), least=0.3)
 
 
 CACHE_SQL = """
-WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) AS score
-  FROM d q, d c WHERE q.vec_id % 25 = 0 AND (c.vec_id % 5 = 0 AND c.vec_id % 50 <> 0 OR c.vec_id % 5 = 1)),
+WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_concat([-v[1]], v[2:]) AS u FROM embeddings),
+s AS (SELECT 'q' || q.vec_id AS query_id, c.vec_id AS entry_id, round(list_dot_product(q.v, c.u) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.u, c.u))), 6) AS score
+  FROM d q, d c WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS n FROM s)
 SELECT query_id, entry_id, score FROM r WHERE n = 1 AND score >= 0.3 AND entry_id % 3 <> 0"""
 

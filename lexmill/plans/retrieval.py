@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import hint_if_small
 from lexmill.operators import classify, search
 from lexmill.plans.common import table
 
@@ -43,7 +44,7 @@ SELECT query_id, doc_id, rank, score FROM r WHERE rank <= {k}"""
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
-    return v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"), "label")
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"), "label")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def vector_sql(keep: str = "true", k: int = 10) -> str:
     d = lambda a, b: f"list_dot_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
     return f"""
 WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({d("q", "c")} / (sqrt({d("q", "q")}) * sqrt({d("c", "c")})), 6) AS score
-           FROM embeddings q, embeddings c WHERE q.vec_id < 10 AND c.{keep}),
+           FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.{keep}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, chunk_id, rank, score FROM r WHERE rank <= {k}""".replace("c.true", "true")
 
@@ -296,7 +297,7 @@ SELECT c_custkey AS query_id, top1, round(top1 - top2, 6) AS gap, coalesce(top1
 def exception_router_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("d"))
-    sims = v.join(F.broadcast(first), "label").select(F.col("label").cast("string").alias("doc_id"), (F.col("vec_id") % 2 == 0).alias("should_match"), F.round(search.cosine(F.col("embedding"), F.col("d")), 6).alias("similarity"))
+    sims = v.join(hint_if_small(first, 64 + 4 * F.size("d")), "label").select(F.col("label").cast("string").alias("doc_id"), (F.col("vec_id") % 2 == 0).alias("should_match"), F.round(search.cosine(F.col("embedding"), F.col("d")), 6).alias("similarity"))
     return search.calibrate(sims)
 
 
@@ -330,7 +331,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("v").alias("q"))
     reg = spark.createDataFrame([(f"src{i}", i % 5 + 1, "2020-01-01", None if i % 4 else "2021-01-01") for i in range(20)], "doc_id string, legal_level int, f string, t string")
     reg = reg.select("doc_id", "legal_level", F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to")).coalesce(1)
-    return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "expanded_from")
+    return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
 
 
 QUERIES = [bm25_topk, bm25_topk_filtered, vector_topk, vector_topk_filtered, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, search_batch]

@@ -57,16 +57,25 @@ COLUMNS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 
 
 def dialogue_states(turns: DataFrame, **tables: dict[str, list[str]]) -> DataFrame:
-    """The tracker's state after every user turn, by an ordered fold for each conversation."""
+    """The tracker's state after every user turn, by windows over each conversation.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for row in _rows(pdf.sort_values("turn", kind="stable")):
-            state, intent = _next(state, row)
-            out.append(_out(row.conv_id, row.turn, state, intent))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return turn_signals(turns, **tables).groupBy("conv_id").applyInPandas(fold, STATE_SCHEMA)
+    A turn that starts anew names both entity and tax, so what was known of these
+    before never depends on earlier starts: the turns that start anew are found
+    first, and the other slots are kept from each start on.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    was = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    slots = ("entity", "tax", "income", "scenario")
+    rows = turn_signals(turns, **tables).withColumns({f"was_{c}": was(c, before) for c in slots})
+    empty = F.coalesce(*[F.col(f"was_{c}") for c in slots]).isNull()
+    other = lambda c: F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    anew = ~F.col("refs_prev") & ~empty & other("tax") & other("entity")
+    intent = F.when(anew, "new_topic").when(F.col("refs_prev"), "continuation").when(empty, "new").when(F.coalesce("tax", "entity").isNotNull(), "continuation").otherwise("clarification")
+    rows = rows.withColumn("intent", intent).withColumn("topic", F.sum(anew.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("conv_id", "topic").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    known = [was(c, own).alias(name) for c, name in zip(slots, ("entity_type", "tax_type", "income_info", "scenario"))]
+    return rows.select("conv_id", "turn", *known, F.count(F.lit(1)).over(own).cast("int").alias("turn_count"), "intent")
 
 
 def dialogue_states_no_reset(turns: DataFrame, **tables: dict[str, list[str]]) -> DataFrame:
@@ -116,7 +125,7 @@ def stale_entries(cache: DataFrame, manifest: DataFrame, as_of: Column) -> DataF
     """
     day = F.coalesce("status_changed_date", "effective_from")
     changes = manifest.where(F.col("status").isin("active", "active_until_superseded", "superseded")).select(day.alias("d")).where((F.col("d") >= F.lit(FIRST_CHANGE).cast("date")) & (F.col("d") <= as_of))
-    dates = changes.agg(F.array_sort(F.collect_set("d")).alias("dates"))
+    dates = changes.agg(F.array_sort(F.collect_set("d")).alias("dates"))  # one row: days on which the law changed
     late = F.filter("dates", lambda d: d.cast("timestamp") > F.col("created_at"))
     return cache.join(F.broadcast(dates), F.lit(True)).withColumn("next_change", F.get(late, F.lit(0))).drop("dates").withColumn("is_stale", F.col("next_change").isNotNull())
 
@@ -126,8 +135,8 @@ def next_event(rows: DataFrame, events: DataFrame, key: str, at: str, event_at:
     both = rows.select(key, F.col(at).alias("t"), F.lit(0).alias("is_event"), F.struct(*rows.columns).alias("r")).unionByName(
         events.select(key, F.col(event_at).alias("t"), F.lit(1).alias("is_event")), allowMissingColumns=True
     )
-    after = Window.partitionBy(key).orderBy("t", F.desc("is_event")).rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("next_at", F.min(F.when(F.col("is_event") == 1, F.col("t"))).over(after))
+    later = Window.partitionBy(key).orderBy(F.desc("t"), "is_event").rowsBetween(Window.unboundedPreceding, -1)  # grows by a row at a time
+    found = both.withColumn("next_at", F.min(F.when(F.col("is_event") == 1, F.col("t"))).over(later))
     return found.where("is_event = 0").select("r.*", "next_at")
 
 
@@ -149,6 +158,22 @@ def fresh(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     return cache.where((F.col("source_round") != "user") | (age <= ttl))
 
 
+def cache_by_key(asked: DataFrame, cache: DataFrame, as_of: Column, now: Column) -> DataFrame:
+    """Entries of the same question: asked (query_id, question, doc_ids), cache (entry_id, source_round, created_at); entries past their day are none."""
+    keyed = asked.withColumn("entry_id", numbers.question_key(F.col("question"), as_of, F.col("doc_ids")))
+    return keyed.join(fresh(cache, now), "entry_id").select("query_id", "entry_id")
+
+
+def flushed(cache: DataFrame, source_round: str | None = None) -> DataFrame:
+    """The cache emptied, or without the entries of one origin; as a table it is written over the old one."""
+    return cache.limit(0) if source_round is None else cache.where(F.col("source_round") != source_round)
+
+
+def cache_counts(cache: DataFrame) -> DataFrame:
+    """How many entries there are of each origin."""
+    return cache.groupBy("source_round").agg(F.count(F.lit(1)).alias("n"))
+
+
 def store_new(cache: DataFrame, entries: DataFrame) -> DataFrame:
     """The cache with entries whose id it does not have."""
     return cache.unionByName(entries.join(cache.select("entry_id"), "entry_id", "left_anti").select(*cache.columns))
@@ -156,29 +181,25 @@ def store_new(cache: DataFrame, entries: DataFrame) -> DataFrame:
 
 # Rate limits.
 TOKENS_PER_MINUTE, CALL_TOKENS, DAY_WARN, DAY_LIMIT, LEAST_GAP = 1_800_000, 22_000, 6_500, 10_000, 0.1
-BUCKET_SCHEMA = "key long, seq long, t double, start double, waited double"
 
 
 def token_bucket(calls: DataFrame, capacity: float = TOKENS_PER_MINUTE, cost: float = CALL_TOKENS) -> DataFrame:
-    """When calls (key, seq, t in seconds) may start under a bucket that is empty at first: an ordered fold for each key.
+    """When calls (key, seq, t in seconds) may start under a bucket that is empty at first: (key, seq, t, start, waited).
 
-    The bucket refills steadily up to its capacity; a call waits until its cost is there.
+    The bucket refills steadily up to its capacity; a call waits until its cost is
+    there.  Let z be the time from which the bucket, refilled steadily, would hold
+    what it holds: a call moves it to max(z, t - fill time) + cost time, as the
+    capacity cuts off what is older, and may start at z.  Unrolled, z is a running
+    maximum, so one window gives all starts.
     """
     rate = capacity / 60.0
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], kind="stable")
-        level, last, out = 0.0, None, []
-        for key, seq, t in pdf[["key", "seq", "t"]].itertuples(index=False):
-            now = t if last is None else max(t, last)
-            level = min(capacity, level + ((now - last) * rate if last is not None else 0.0))
-            wait = max(0.0, (cost - level) / rate)
-            start = now + wait
-            level, last = level + wait * rate - cost, start
-            out.append((key, seq, t, start, round(start - t, 6)))
-        return pd.DataFrame(out, columns=["key", "seq", "t", "start", "waited"])
-
-    return calls.groupBy("key").applyInPandas(fold, BUCKET_SCHEMA)
+    w = Window.partitionBy("key").orderBy("t", "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = calls.withColumn("n__", F.row_number().over(w))
+    old = F.max(F.col("t") - capacity / rate - (F.col("n__") - 1) * (cost / rate)).over(so_far)
+    first = F.first("t").over(so_far)
+    start = F.greatest(F.col("t"), F.greatest(first, old) + F.col("n__") * (cost / rate))
+    return rows.select("key", "seq", "t", start.alias("start"), F.round(start - F.col("t"), 6).alias("waited"))
 
 
 def rate_gaps(calls: DataFrame, key: str, t: str, least: float = LEAST_GAP) -> DataFrame:
