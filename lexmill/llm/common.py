@@ -2,78 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What counts as white space in the word-based operators; Java and Python read it alike.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``.  Where that is unset, a folder of
-    this machine is taken, but only in local mode.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="lexmill-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from what was written.
-
-    Used for narrow tables that are read more than once, so that a lost executor
-    costs a reread and not a recomputation.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+from lexmill.functions.staging import hint_if_small, new_table, shared_dir, shuffle_partitions
+from lexmill.functions.staging import staged as cut
 
-def new_table(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/lexmill-{kind}-{uuid.uuid4().hex}"
-    atexit.register(drop_table, spark, path)
-    return path
+__all__ = ["WORD", "cut", "fresh", "global_prefix", "hint_if_small", "join_counted", "new_table", "shared_dir", "shuffle_partitions"]
 
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-#: Bytes up to which a side of a join is broadcast.
-BROADCAST_BYTES = 16 << 20
-
-
-def hint_if_small(df: DataFrame, width: Column | int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, an already cut table, with a broadcast hint if its measured bytes allow one; otherwise as it is.
-
-    ``width`` gives the bytes of a row: a number for rows of fixed columns, or a
-    column that adds up those of its texts and arrays.
-    """
-    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width).alias("b")).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+#: What counts as white space in the word-based operators; Java and Python read it alike.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
