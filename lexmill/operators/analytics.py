@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import rules
+from lexmill.functions.staging import hint_if_small
 
 
 def _rate(category: Column, table: dict[str, float]) -> Column:
@@ -128,7 +129,7 @@ def validity(asked: DataFrame, manifest: DataFrame, missing: DataFrame, as_of: C
     """
     m = manifest.select("doc_id", F.lit(True).alias("found"), "status", "effective_from", "effective_to", "name", "note", "superseded_by")
     n = missing.select("doc_id", F.col("name").alias("n_name"), F.col("note").alias("n_note"), F.lit(True).alias("known"))
-    both = asked.join(F.broadcast(m), "doc_id", "left").join(F.broadcast(n), "doc_id", "left")
+    both = asked.join(hint_if_small(m, 256), "doc_id", "left").join(hint_if_small(n, 256), "doc_id", "left")
     valid = F.when(F.col("status") == "active", True).when(F.col("status") == "active_until_superseded", F.col("effective_to").isNull() | (as_of <= F.col("effective_to"))).otherwise(False)
     return both.select(
         *asked.columns,
@@ -147,7 +148,7 @@ def pending_citations(answers: DataFrame, manifest: DataFrame) -> DataFrame:
     """Answers that cite, by number and year, documents not yet in force: (answer_id, doc_id)."""
     pending = manifest.where("status = 'pending'").select("doc_id", F.regexp_extract("doc_number", r"^(\d+/\d{4})", 1).alias("no")).where("no <> ''")
     text = F.concat(F.lit(" "), F.col("answer"), F.lit(" "))
-    return answers.join(F.broadcast(pending), F.regexp_like(text, F.concat(F.lit(r"[^\p{L}\p{N}_]"), F.col("no"), F.lit(r"[^\p{L}\p{N}_]")))).select("answer_id", "doc_id")
+    return answers.join(hint_if_small(pending, 64), F.regexp_like(text, F.concat(F.lit(r"[^\p{L}\p{N}_]"), F.col("no"), F.lit(r"[^\p{L}\p{N}_]")))).select("answer_id", "doc_id")
 
 
 def law_section(manifest: DataFrame) -> DataFrame:
@@ -177,3 +178,13 @@ def chunk_conflicts(pairs: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The last row of each key: an idempotent upsert is the union of old and new rows, cut down to this."""
     return rows.withColumn("n__", F.row_number().over(Window.partitionBy(*key).orderBy(order.desc()))).where("n__ = 1").drop("n__")
+
+
+def by_category(registry: DataFrame, category: str) -> DataFrame:
+    """Registered documents of a category, the highest rank first by ``legal_level``: (…, place)."""
+    return registry.where(F.col("category") == category).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("legal_level", "doc_id")))
+
+
+def registry_list(registry: DataFrame) -> DataFrame:
+    """Documents as they are listed: active if they have a date of effect."""
+    return registry.select("doc_id", "name", F.when(F.col("effective_from").isNotNull(), "active").otherwise("unknown").alias("status"))

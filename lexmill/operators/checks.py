@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import rules
 from lexmill.functions.numbers import digits_only
+from lexmill.functions.staging import hint_if_small, phrases_in, staged
 from lexmill.operators.classify import holds_any
 
 
@@ -36,21 +37,23 @@ def verify_facts(facts: DataFrame, nodes: DataFrame, least: float = 0.6) -> Data
     A fact needs that share of its terms of more than three letters; confidence is
     0.8 times the share.  Facts by rule pass.
     """
-    terms = facts.withColumn("terms", F.array_distinct(F.filter(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.length(t) > 3)))
-    held = terms.where("source = 'llm'").join(nodes.select("node_id", "seq", F.lower("text").alias("low")), F.lit(True))
-    scored = held.withColumn("met", F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    every = scored.groupBy("value").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"), F.max(F.size("terms")).alias("n"), F.max_by("node_id", F.struct(F.size("met"), -F.col("seq"))).alias("node")
-    )
+    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.length(t) > 3))
+    asked = staged(facts.where("source = 'llm'").select("value", terms.alias("terms")).distinct())
+    each = asked.select("value", F.size("terms").alias("n"), F.explode("terms").alias("phrase"))
+    held = phrases_in(nodes.select("node_id", "seq", "text"), "text", each, "phrase").select("node_id", "seq", "phrase")
+    met = staged(each.join(held, "phrase"))  # terms that nodes hold, fact by fact
+    every = met.groupBy("value", "n").agg(F.count_distinct("phrase").alias("met"))
+    node = met.groupBy("value", "node_id", "seq").agg(F.count(F.lit(1)).alias("own")).groupBy("value").agg(F.max_by("node_id", F.struct("own", -F.col("seq"))).alias("node"))
     ratio = F.col("met") / F.greatest("n", F.lit(1))
-    good = every.where(ratio >= least).select("value", F.bround(0.8 * ratio, 2).alias("confidence"), "node")
+    good = every.where(ratio >= least).select("value", F.bround(0.8 * ratio, 2).alias("confidence")).join(node, "value")
     ruled = facts.where("source = 'regex'").select("*", F.lit(1.0).alias("confidence"))
     return ruled.unionByName(facts.where("source = 'llm'").join(good, "value").withColumn("evidence_node", F.coalesce("node", "evidence_node")).drop("node"))
 
 
-def order_facts(facts: DataFrame) -> DataFrame:
+def order_facts(facts: DataFrame, *per: str) -> DataFrame:
+    """Facts with their place: numbers, then conditions, then others, the surest first; within ``per`` columns."""
     kind = F.when(F.col("fact_type") == "numeric", 0).when(F.col("fact_type") == "condition", 1).otherwise(2)
-    return facts.orderBy(kind, F.desc("confidence"), "value")
+    return facts.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(kind, F.desc("confidence"), "value")))
 
 
 def fact_recall(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,6 +142,72 @@ def context_budget(chunks: DataFrame, budget: int = 12_000, cap: int = 8, key: s
     return used.where((F.col("position") <= cap) & (F.col("used") <= budget))
 
 
+# Phrases of exceptions that a context keeps room for, and how many chunks it takes.
+EXCEPTION_WORDS = [
+    "trừ trường hợp", "ngoại lệ", "không phải khai", "không phải nộp",
+    "miễn thuế", "được miễn", "không chịu thuế", "không bắt buộc",
+    "không phải đăng ký", "không phải xuất", "trừ khi",
+]
+CONTEXT_CHUNKS = 8
+
+
+def order_context(chunks: DataFrame, cap: int = CONTEXT_CHUNKS) -> DataFrame:
+    """Chunks (query_id, chunk_id, doc_id, rank, text) that a context takes, with their position.
+
+    Rules come first, then exceptions, which keep up to two places.  A document
+    that has none of the places gets one for its best chunk: a free place, and
+    beyond these the last one, where the last such document stays.
+    """
+    per = Window.partitionBy("query_id")
+    is_exception = holds_any(F.lower(F.coalesce("text", F.lit(""))), EXCEPTION_WORDS)
+    rows = chunks.withColumn("late", is_exception.cast("int"))
+    rows = rows.withColumn("n_late", F.sum("late").over(per)).withColumn("n_rule", F.count(F.lit(1)).over(per) - F.col("n_late"))
+    rules_kept = F.least("n_rule", F.greatest(F.lit(1), cap - F.least("n_late", F.lit(2))))
+    nth = F.row_number().over(Window.partitionBy("query_id", "late").orderBy("rank", "chunk_id"))
+    rows = rows.withColumn("kept", rules_kept).withColumn("nth", nth)
+    place = F.when((F.col("late") == 0) & (F.col("nth") <= F.col("kept")), F.col("nth")).when((F.col("late") == 1) & (F.col("nth") <= cap - F.col("kept")), F.col("kept") + F.col("nth"))
+    rows = rows.withColumn("place", F.when(place <= cap, place)).withColumn("taken", F.count("place").over(per))
+    of_doc = Window.partitionBy("query_id", "doc_id")
+    rows = rows.withColumn("has", F.max("place").over(of_doc)).withColumn("best", F.row_number().over(of_doc.orderBy("rank", "chunk_id")))
+    lacking = rows.where("has is null and best = 1").withColumn("j", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))).withColumn("m", F.count(F.lit(1)).over(per))
+    room = cap - F.col("taken")
+    swapped = F.when((F.col("m") > room) & (F.col("j") == F.col("m")), F.lit(cap)).when(F.col("j") <= room, F.col("taken") + F.col("j"))
+    added = lacking.withColumn("position", swapped).where("position is not null").select("query_id", "chunk_id", "position", F.lit(1).alias("late_place"))
+    own = rows.where("place is not null").select("query_id", "chunk_id", F.col("place").alias("position"), F.lit(0).alias("late_place"))
+    # of two chunks for the last place, the one of the last lacking document
+    both = own.unionByName(added.withColumn("late_place", F.lit(1) + F.when(F.col("position") == cap, 1).otherwise(0)))
+    last = F.row_number().over(Window.partitionBy("query_id", "position").orderBy(F.desc("late_place"), F.desc("chunk_id")))
+    return both.withColumn("n__", last).where("n__ = 1").select("query_id", "chunk_id", F.col("position").cast("int").alias("position"))
+
+
+def top_score(scores: Column) -> Column:
+    """The best score of what was retrieved; null where nothing was."""
+    return F.array_max(scores)
+
+
+def short_value(field: Column, value: Column) -> Column:
+    """A result's field as it is logged: long texts cut at 200 characters."""
+    long = field.isin("full_text", "content") & (F.length(value) > 200)
+    return F.when(long, F.concat(F.substring(value, 1, 200), F.lit("..."))).otherwise(value)
+
+
+def short_args(args: Column) -> Column:
+    """Arguments (array of name, text, number) of a call as one line: numbers above a million in millions, texts cut at 30."""
+    one = lambda a: F.concat(a["name"], F.lit("="), F.when(a["number"] > 1_000_000, F.concat(F.bround(a["number"] / 1e6).cast("long").cast("string"), F.lit("M"))).otherwise(F.substring(a["text"], 1, 30)))
+    return F.array_join(F.transform(args, one), ", ")
+
+
+def correction_text(issues: Column) -> Column:
+    """What a draft with critical issues (array of key_fact, severity) is told to leave out; empty without any."""
+    bad = F.transform(F.filter(issues, lambda i: i["severity"] == "critical"), lambda i: F.concat(F.lit("  - "), i["key_fact"]))
+    # Fixed value: the wording of the instruction.
+    head, tail = (
+        "BẢN NHÁP TRƯỚC BỊ LOẠI DO VI PHẠM QUY TẮC.\nTUYỆT ĐỐI KHÔNG đề cập các thông tin sau:\n",
+        "\nChỉ sử dụng dữ liệu có trong chunks được cung cấp.\nNếu không đủ cơ sở pháp lý → viết đúng câu: 'Không đủ cơ sở pháp lý để xác định [vấn đề].'",
+    )
+    return F.when(F.size(bad) == 0, F.lit("")).otherwise(F.concat(F.lit(head), F.array_join(bad, "\n"), F.lit(tail)))
+
+
 def validate_citations(cited: DataFrame, retrieved: DataFrame, fallback: int = 2) -> DataFrame:
     """Citations (answer_id, doc_id, pos) of retrieved documents; where none holds, the first retrieved ones."""
     kept = cited.join(retrieved.select("answer_id", "doc_id").distinct(), ["answer_id", "doc_id"], "left_semi").select("answer_id", "doc_id", "pos", F.lit(False).alias("is_fallback"))
@@ -149,7 +218,7 @@ def validate_citations(cited: DataFrame, retrieved: DataFrame, fallback: int = 2
 
 def hierarchy_conflicts(hits: DataFrame, manifest: DataFrame) -> DataFrame:
     """Queries whose hits hold a document and the one that superseded it: (query_id, doc_id, superseded_by)."""
-    old = hits.join(F.broadcast(manifest.where("superseded_by is not null").select("doc_id", "superseded_by")), "doc_id").select("query_id", "doc_id", "superseded_by").distinct()
+    old = hits.join(hint_if_small(manifest.where("superseded_by is not null").select("doc_id", "superseded_by"), 96), "doc_id").select("query_id", "doc_id", "superseded_by").distinct()
     new = hits.select("query_id", F.col("doc_id").alias("superseded_by")).distinct()
     return old.join(new, ["query_id", "superseded_by"], "left_semi").select("query_id", "doc_id", "superseded_by")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexmill.functions import numbers
+from lexmill.functions.staging import phrases_in
 from lexmill.functions.text import expand_abbreviations, plain_paraphrase, strip_markdown
 
 # Thresholds of the tiers and the pass rule.
@@ -181,9 +182,9 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 
 def missing_facts(facts: DataFrame, retrieved: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where a missing fact (question_id, fact) was lost: synthesis, retrieval_miss, chunk_missing or doc_missing."""
-    has = lambda df, cols, name: df.join(facts, F.contains(F.lower(df["text"]), F.lower(facts["fact"]))).select(*cols).distinct().withColumn(name, F.lit(True))
+    has = lambda df, name: phrases_in(df.select("text"), "text", facts, "fact").select(F.col("phrase").alias("low")).distinct().withColumn(name, F.lit(True))
     got = retrieved.join(facts, "question_id").where(F.contains(F.lower("text"), F.lower("fact"))).select("question_id", "fact").distinct().withColumn("in_hits", F.lit(True))
-    out = facts.join(got, ["question_id", "fact"], "left").join(has(chunks, ["fact"], "in_chunks"), "fact", "left").join(has(nodes, ["fact"], "in_nodes"), "fact", "left")
+    out = facts.join(got, ["question_id", "fact"], "left").withColumn("low", F.lower("fact")).join(has(chunks, "in_chunks"), "low", "left").join(has(nodes, "in_nodes"), "low", "left")
     kind = F.when(F.col("in_hits"), "synthesis").when(F.col("in_chunks"), "retrieval_miss").when(F.col("in_nodes"), "chunk_missing").otherwise("doc_missing")
     return out.select("question_id", "fact", kind.alias("lost_in"))
 
@@ -193,18 +194,39 @@ def false_refusal(answer: Column, expected: Column, retrieved: Column, refusal:
     return answer.rlike(refusal) & F.coalesce(F.arrays_overlap(expected, retrieved), F.lit(False))
 
 
-def select_questions(rows: DataFrame, ids: list[int] | None = None, topic: str | None = None, difficulty: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Questions by id, topic (contained, whatever its case) and difficulty, then a page of them by id."""
+def select_questions(
+    rows: DataFrame, ids: list[int] | None = None, topic: str | None = None, difficulty: str | None = None, needs_calculation: bool | None = None, annotated: list[str] | None = None, offset: int = 0, limit: int | None = None
+) -> DataFrame:
+    """Questions by id, topic (contained, whatever its case), difficulty, need of a calculation and state of annotation, then a page of them by id."""
     if ids:
         rows = rows.where(F.col("id").isin(ids))
     if topic:
         rows = rows.where(F.contains(F.lower("topic"), F.lit(topic.lower())))
     if difficulty:
         rows = rows.where(F.col("difficulty") == difficulty)
+    if needs_calculation is not None:
+        rows = rows.where(F.col("needs_calculation") == needs_calculation)
+    if annotated:
+        rows = rows.where(F.col("annotated").isin(annotated))
     rows = rows.orderBy("id").offset(offset)
     return rows if limit is None else rows.limit(limit)
 
 
+def document_texts(nodes: DataFrame) -> DataFrame:
+    """All text of each document, its nodes' contents in order: (doc_id, text)."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("t")))), lambda x: x["t"])
+    return nodes.groupBy("doc_id").agg(F.array_join(F.filter(own, lambda t: t != ""), "\n").alias("text"))
+
+
+def document_ids(nodes: DataFrame) -> DataFrame:
+    return nodes.select("doc_id").distinct()
+
+
+def chunks_of(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """All chunks of the documents asked for: docs (doc_id)."""
+    return chunks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def resume(questions: DataFrame, old: DataFrame) -> DataFrame:
     """Questions that an older run has not passed."""
     return questions.join(old.where("passed").select(F.col("question_id").alias("id")), "id", "left_anti")

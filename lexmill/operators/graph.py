@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import hint_if_small, phrases_in, staged
+
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
     """One row for each node id, the last one loaded (load_seq)."""
@@ -18,10 +20,8 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, resets: DataFrame
     Every round joins the frontier with the edges (src, dst) and drops what was
     reached at no greater depth.  An edge of ``resets`` (src, dst) leads to depth 0
     again.  Only whether the frontier is empty comes to the driver; each round is
-    checkpointed if the session has a folder for it.
+    written to the shared folder, so that a lost executor costs one round.
     """
-    sc = seeds.sparkSession.sparkContext
-    cut = lambda df: df.checkpoint() if sc.getCheckpointDir() else df
     seen = seeds.select("query_id", "node_id", F.lit(0).alias("depth")).distinct()
     frontier, rounds = seen, depth if resets is None else max_rounds
     for _ in range(rounds):
@@ -31,10 +31,10 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, resets: DataFrame
             step = step.unionByName(jump)
         step = step.groupBy("query_id", "node_id").agg(F.min("depth").alias("depth"))
         known = seen.withColumnRenamed("depth", "old")
-        frontier = cut(step.join(known, ["query_id", "node_id"], "left").where(F.col("old").isNull() | (F.col("depth") < F.col("old"))).select("query_id", "node_id", "depth"))
+        frontier = staged(step.join(known, ["query_id", "node_id"], "left").where(F.col("old").isNull() | (F.col("depth") < F.col("old"))).select("query_id", "node_id", "depth"))
         if resets is not None and frontier.limit(1).count() == 0:
             break
-        seen = cut(seen.unionByName(frontier).groupBy("query_id", "node_id").agg(F.min("depth").alias("depth")))
+        seen = staged(seen.unionByName(frontier).groupBy("query_id", "node_id").agg(F.min("depth").alias("depth")))
     return seen
 
 
@@ -45,7 +45,9 @@ def resolve_external(targets: DataFrame, documents: DataFrame, nodes: DataFrame)
     like the target the shortest id is taken.
     """
     low = F.lower("target_id")
-    met = targets.where(low.startswith("external_")).join(F.broadcast(documents), F.contains(low, F.col("keyword")))
+    asked = targets.where(low.startswith("external_")).select("target_id").distinct()
+    met = phrases_in(asked, "target_id", documents, "keyword").select("target_id", F.col("phrase").alias("keyword"))
+    met = met.join(hint_if_small(documents.withColumn("keyword", F.lower("keyword")), 96), "keyword")
     first = met.groupBy("target_id").agg(F.min_by("doc_id", "priority").alias("of"))
     tail = F.regexp_extract(low, r"(_dieu_.*)$", 1)
     asked = first.withColumn("tail", tail).where("tail <> ''")
@@ -65,8 +67,9 @@ def first_article(nodes: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def holds_phrase(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase_id, id) of texts that hold a phrase."""
-    return texts.join(F.broadcast(phrases), F.contains(F.lower(texts["text"]), F.lower(phrases["phrase"]))).select("phrase_id", "id")
+    """(phrase_id, id) of texts (id, text) that hold a phrase (phrase_id, phrase), whatever the case."""
+    met = phrases_in(texts.select("id", "text"), "text", phrases, "phrase").select("id", "phrase")
+    return met.join(phrases.select("phrase_id", F.lower("phrase").alias("phrase")), "phrase").select("phrase_id", "id")
 
 
 def article_context(articles: DataFrame, clauses: DataFrame, points: DataFrame) -> DataFrame:
@@ -88,10 +91,12 @@ def valid_at(docs: DataFrame, day: Column) -> DataFrame:
     return docs.where((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") > day)))
 
 
-def by_rank(docs: DataFrame) -> DataFrame:
-    """Conflicting documents, the highest rank and then the newest first."""
-    return docs.orderBy("legal_level", F.desc("effective_from"), "doc_id")
+def by_rank(docs: DataFrame, *per: str) -> DataFrame:
+    """Conflicting documents with their place: the highest rank and then the newest first; within ``per`` columns."""
+    return docs.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy("legal_level", F.desc("effective_from"), "doc_id")))
 
 
 def explanations(edges: DataFrame, least: float = 0.82) -> DataFrame:
-    return edges.where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "src", "dst")
+    """Edges sure enough to explain their source, each with its place: the surest first."""
+    w = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
+    return edges.where(F.col("confidence") >= least).withColumn("place", F.row_number().over(w))

@@ -7,11 +7,14 @@ are resolved from the top down, so that a dropped orphan never becomes a parent.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.rules import CLOSES
-from lexmill.functions.text import clean_content, clean_law_name, slugify
+from lexmill.functions.staging import hint_if_small, staged
+from lexmill.functions.text import clean_content, clean_document, clean_law_name, nfc, slugify
 
 # Forms of headings, in the order in which they are tried.
 LINE_FORMS = [
@@ -24,6 +27,7 @@ LINE_FORMS = [
     ("diem", r"^([a-zđ])\)\s+(.*)$"),
     ("tiet", r"^([a-zđ]\.\d+)\)\s+(.*)$"),
 ]
+# Lines that only look like a clause, and heads of form templates.
 NO_CLAUSE = [
     r"(?iu)^\d+\s+(triệu|tỷ|nghìn|%|năm|tháng|ngày)",
     r"^\d{4}\s",
@@ -226,9 +230,9 @@ def find_references(nodes: DataFrame, text: str = "text") -> DataFrame:
     w = Window.partitionBy("doc_id", "node_id", "start").orderBy(order)
     each = each.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__").withColumn("end", F.col("start") + F.length("match"))
     # the nearest external reference behind each internal one
-    follow = Window.partitionBy("doc_id", "node_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy("doc_id", "node_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)  # grows by a row at a time
     external = F.when(F.col("kind").isin("law", "decree"), F.struct("start", "match"))
-    each = each.withColumn("next", F.first(external, ignorenulls=True).over(follow))
+    each = each.withColumn("next", F.last(external, ignorenulls=True).over(behind))
     gap = F.substring(t, F.col("end") + 1, F.col("next.start") - F.col("end"))
     near = (F.col("kind") == "internal") & F.col("next").isNotNull() & (F.col("next.start") - F.col("end") <= REACH) & ~gap.rlike(r"[.\n]|này")
     each = each.withColumn("of", F.when(near, F.col("next.match"))).withColumn("of_start", F.when(near, F.col("next.start")))
@@ -288,11 +292,12 @@ def apply_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
 
     set_field: the last value of each field holds; remove_node takes its subtree;
     add_node puts a node behind another (value: its content, field: its id);
-    applying them again changes nothing.
+    applying them again changes nothing.  Tables and references have functions of
+    their own.
     """
     gone = patches.where("op = 'remove_node'").select("doc_id", F.col("node_id").alias("top"))
     cond = (nodes["doc_id"] == gone["doc_id"]) & ((nodes["node_id"] == gone["top"]) | nodes["node_id"].startswith(F.concat(gone["top"], F.lit("_"))))
-    kept = nodes.join(F.broadcast(gone), cond, "left_anti")
+    kept = nodes.join(hint_if_small(gone, 128), cond, "left_anti")
     sets = patches.where("op = 'set_field'").groupBy("doc_id", "node_id").pivot("field", ["title", "content", "lead_in"]).agg(F.max_by("value", "op_seq"))
     both = kept.join(sets.select("doc_id", "node_id", *[F.col(c).alias(f"n_{c}") for c in ("title", "content", "lead_in")]), ["doc_id", "node_id"], "left")
     out = both.select(*[F.coalesce(f"n_{c}", c).alias(c) if c in ("title", "content", "lead_in") else both[c] for c in nodes.columns])
@@ -303,12 +308,61 @@ def apply_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     return out.unionByName(added)
 
 
+TABLE_VALUE = "table_index int, page_number int, headers array<string>, rows array<array<string>>"
+
+
+def add_tables(tables: DataFrame, patches: DataFrame) -> DataFrame:
+    """Tables (doc_id, table_index, page_number, headers, rows) with those that patches add, by their JSON value.
+
+    A table of an index that is there already stays as it is, so applying patches
+    again changes nothing; of two patches for one index the first holds.
+    """
+    asked = patches.where("op = 'add_table'").select("doc_id", "op_seq", F.from_json("value", TABLE_VALUE).alias("t")).where("t.table_index is not null")
+    first = asked.groupBy("doc_id", "t.table_index").agg(F.min_by("t", "op_seq").alias("t")).select("doc_id", "t.*")
+    return tables.unionByName(first.join(tables.select("doc_id", "table_index"), ["doc_id", "table_index"], "left_anti").select(*tables.columns))
+
+
+def stale_patches(docs: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches (doc_id, op_seq, sha256) made for another text than the document has now: they are applied, with a warning."""
+    now = docs.select("doc_id", F.sha2("text", 256).alias("now"))
+    return patches.where("sha256 is not null").join(now, "doc_id").where("sha256 <> now").select("doc_id", "op_seq", "sha256", "now")
+
+
 def add_references(edges: DataFrame, patches: DataFrame) -> DataFrame:
     """Edges (doc_id, node_id, match, target_id) with those that patches add, each once."""
     more = patches.where("op = 'add_reference'").select("doc_id", "node_id", F.col("field").alias("match"), F.col("value").alias("target_id"))
     return edges.unionByName(more).dropDuplicates(["doc_id", "node_id", "match", "target_id"])
 
 
+@dataclass
+class Parsed:
+    """What parsing a corpus gives: nodes, the references between them, sections of papers without a tree, and issues."""
+
+    nodes: DataFrame
+    references: DataFrame
+    sections: DataFrame
+    issues: DataFrame
+
+
+def parse_documents(docs: DataFrame, patches: DataFrame | None = None) -> Parsed:
+    """Raw texts (doc_id, text) to trees: clean, classify, build, finish, patch, find references, check.
+
+    Documents in which no node is found are cut into guidance sections.  Null and
+    empty texts give nothing; texts are read whole.
+    """
+    from lexmill.operators.quality import stage_invariants
+
+    clean = staged(docs.select("doc_id", clean_document(nfc("text")).alias("text")))
+    nodes = finish_nodes(build_nodes(clean))
+    nodes = staged(nodes if patches is None else apply_patches(nodes, patches))
+    references = find_references(nodes.withColumn("text", F.concat_ws(" ", "content", "lead_in")))
+    if patches is not None:
+        found = add_references(references.select("doc_id", "node_id", "match", "target_id"), patches)
+        references = found.join(references, ["doc_id", "node_id", "match", "target_id"], "left")
+    bare = clean.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
+    return Parsed(nodes, references, guidance_sections(lines_of(bare)), stage_invariants(nodes))
+
+
 # Document types by their heading, in order, and forms of dates of effect.
 TYPES = [("Thông tư", r"(?m)^\s*THÔNG\s+TƯ\b"), ("Nghị định", r"(?m)^\s*NGHỊ\s+ĐỊNH\b"), ("Quyết định", r"(?m)^\s*QUYẾT\s+ĐỊNH\b"), ("Nghị quyết", r"(?m)^\s*NGHỊ\s+QUYẾT\b"), ("Luật", r"(?m)^\s*LUẬT\b")]
 

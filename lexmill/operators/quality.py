@@ -52,6 +52,20 @@ def validate(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f(nodes) for f in (duplicate_siblings, missing_ids, bad_breadcrumbs, bad_targets, empty_articles)])
 
 
+def stage_invariants(nodes: DataFrame) -> DataFrame:
+    """What a parse must never give: an appendix whose title is a mention (kind phu_luc), and nodes without an id."""
+    mention = (F.col("kind") == "phu_luc") & F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("kèm theo"))
+    bare = F.coalesce(F.trim("node_id"), F.lit("")) == ""
+    return _issues(nodes.where(mention), "appendix_mention", "warning", F.col("title")).unionByName(_issues(nodes.where(bare), "missing_id", "warning", F.col("index")))
+
+
+def spot_checks(nodes: DataFrame, expected: DataFrame) -> DataFrame:
+    """Whether nodes hold what is expected of them: expected (doc_id, node_id, field, value), a title or a part of the content."""
+    both = expected.join(nodes.select("doc_id", "node_id", "title", "content"), ["doc_id", "node_id"], "left")
+    holds = F.when(F.col("field") == "title", F.col("title") == F.col("value")).otherwise(F.contains("content", F.col("value")))
+    return both.select("doc_id", "node_id", "field", F.coalesce(holds, F.lit(False)).alias("holds"))
+
+
 def ingest_gate(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """Counts by severity for every document, and whether it may be taken in."""
     counted = issues.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

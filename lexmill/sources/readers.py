@@ -102,18 +102,18 @@ def split_tables(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text").mapInPandas(run, f"path string, text string, tables {TABLE_TYPE}")
 
 
-NODE_SCHEMA = "doc_id string, node_id string, parent_id string, seq int, depth int, node_type string, node_index string, title string, content string, lead_in string, trailing string, breadcrumb string, refs array<string>"
+NODE_SCHEMA = "doc_id string, node_id string, parent_id string, seq int, depth int, node_type string, node_index string, title string, content string, lead_in string, trailing string, breadcrumb string, refs array<string>, error string"
 
 
 def _walk(doc: str, nodes: list[dict], parent: str | None, depth: int, out: list[tuple]) -> None:
     for n in nodes or []:
         text = lambda k, n=n: n.get(k) or ""
-        out.append((doc, n.get("node_id"), parent, len(out), depth, n.get("node_type"), n.get("node_index"), n.get("title"), text("content"), text("lead_in_text"), text("trailing_text"), text("breadcrumb"), [r.get("target_id") for r in n.get("references") or []]))
+        out.append((doc, n.get("node_id"), parent, len(out), depth, n.get("node_type"), n.get("node_index"), n.get("title"), text("content"), text("lead_in_text"), text("trailing_text"), text("breadcrumb"), [r.get("target_id") for r in n.get("references") or []], None))
         _walk(doc, n.get("children"), n.get("node_id"), depth + 1, out)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents in JSON as a flat node table; files that are no JSON are skipped."""
+    """Parsed documents in JSON as a flat node table; a file that is none gives one row with its name and error alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,8 +124,8 @@ def read_parsed(spark: SparkSession, path: str) -> DataFrame:
                     rows: list[tuple] = []
                     _walk((doc.get("metadata") or {}).get("document_id") or re.sub(r".*/|\.json$", "", p), doc.get("data"), None, 0, rows)
                     out += rows
-                except (ValueError, AttributeError):
-                    continue
+                except (ValueError, AttributeError) as e:
+                    out.append((re.sub(r".*/|\.json$", "", p), *[None] * 12, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
     return read_texts(spark, path).mapInPandas(run, NODE_SCHEMA)
@@ -200,9 +200,36 @@ def first_of_doc(store: DataFrame, doc: str, n: int) -> DataFrame:
     return store.where(F.col("doc_id") == doc).withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= n).drop("n__")
 
 
-def write_store(chunks: DataFrame, path: str) -> None:
-    """Chunks as Parquet by document, so that a document's scan reads its own files."""
-    chunks.write.mode("overwrite").partitionBy("doc_id").parquet(path)
+#: Folders of a store: chunks are spread by the hash of their document.
+BUCKETS = 64
+
+
+def write_store(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Chunks as Parquet in a fixed number of folders by hash of their document, sorted by document and kind.
+
+    A document's scan reads one folder, and in it the row groups of its range.
+    """
+    dealt = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    dealt.repartition(buckets, "bucket", F.pmod(F.xxhash64(*chunks.columns[:2]), F.lit(8))).sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def scan_store(spark: SparkSession, path: str, doc: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """All chunks of a store, or those of one document from its own folder."""
+    rows = spark.read.parquet(path)
+    if doc is not None:
+        bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc)), F.lit(buckets)).cast("int")).first()[0]
+        rows = rows.where((F.col("bucket") == bucket) & (F.col("doc_id") == doc))
+    return rows.drop("bucket")
+
+
+def count_store(store: DataFrame) -> DataFrame:
+    """How many chunks each document has."""
+    return store.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def delete_docs(store: DataFrame, docs: DataFrame) -> DataFrame:
+    """A store without the chunks of documents: docs (doc_id)."""
+    return store.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def export_document(chunks: DataFrame) -> DataFrame:
@@ -227,6 +254,19 @@ def sessions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(title.alias("title"), F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("messages")).orderBy(F.desc("updated_at"), "conv_id")
 
 
+def save_sessions(store: DataFrame, messages: DataFrame) -> DataFrame:
+    """A store of messages (conv_id, turn, role, text, ts) with sessions put in; a session saved again replaces its old messages."""
+    return store.join(messages.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(messages.select(*store.columns))
+
+
+def load_session(store: DataFrame, conv: int) -> DataFrame:
+    return store.where(F.col("conv_id") == conv).orderBy("turn")
+
+
+def delete_sessions(store: DataFrame, convs: DataFrame) -> DataFrame:
+    return store.join(convs.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
 def read_registry_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Documents of the classic nested model; dates in ISO, unknown fields left out, bad rows kept aside."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True)
