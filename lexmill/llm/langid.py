@@ -16,8 +16,8 @@ from lexmill.llm.common import fresh
 
 #: Hash slots, n-gram lengths, characters that are worked on at once.
 SLOTS, ORDERS, CHUNK = 1 << 15, (1, 2, 3), 1 << 20
-#: Bound on the labelled rows from which the counts are taken.
-MAX_TRAIN = 20_000
+#: Bounds on the labelled rows from which the counts are taken, and of those, on the ones that tell what is usual.
+MAX_TRAIN, MAX_USUAL = 20_000, 4_000
 UNKNOWN = "und"
 #: Spread of the log probability of single n-grams (three n-grams share a letter), and the least spread between texts.
 GRAM_SPREAD, LEAST_SPREAD = 6.0, 0.25
@@ -161,13 +161,13 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", max_train: in
     (default: the text), so that reruns take the same.  Rows whose label or text
     is null are left out; without rows the model knows no language.  Counts are
     summed up on the executors; the driver gets at most slots times languages.
-    ``with_fit`` reads the same rows once more, to learn how likely the n-grams of
-    a text of each language are.
+    ``with_fit`` reads at most about MAX_USUAL of them once more, to learn how
+    likely the n-grams of a text of each language are.
     """
     labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.xxhash64(text) if key is None else F.xxhash64(key)).alias("draw"))
     n = rows.where(F.col(lang).isNotNull()).count()
-    if n > max_train:
-        labelled = labelled.where(F.pmod("draw", F.lit(1_000_000)) < int(1_000_000 * max_train / n) + 1)
+    drawn = lambda most: labelled.where(F.pmod("draw", F.lit(1_000_000)) < int(1_000_000 * most / n) + 1) if n > most else labelled
+    labelled, usual_rows = drawn(max_train), drawn(min(max_train, MAX_USUAL))
     counts = labelled.select("lang", "text").mapInArrow(_count_batches, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})
     at = {name: i for i, name in enumerate(langs)}
@@ -189,7 +189,7 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", max_train: in
                     means.append(float(counts @ shared.value[1][:, at[name]].astype(np.float64)) / counts.sum() if counts.sum() else None)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(means, pa.float64())], ["lang", "mean"])
 
-        usual = labelled.select("lang", "text").mapInArrow(likelihoods, "lang string, mean double").groupBy("lang").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s")).collect()
+        usual = usual_rows.select("lang", "text").mapInArrow(likelihoods, "lang string, mean double").groupBy("lang").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s")).collect()
         found = {r["lang"]: (r["m"], r["s"]) for r in usual}
         model.typical = np.array([found.get(n, (None, None))[0] or 0.0 for n in langs])
         model.spread = np.array([max(LEAST_SPREAD, found.get(n, (None, None))[1] or 0.0) for n in langs])
@@ -207,10 +207,11 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", lan
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.logp, model.typical, model.spread))  # slots by languages: a fixed bound
 
     @F.pandas_udf("lang string, score double, fit double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def score_texts(texts: pd.Series) -> pd.DataFrame:
         names, scores, fits = LanguageModel(*shared.value).predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang": names, "score": scores, "fit": fits})
 
+    predict = score_texts.asNondeterministic()  # so that a filter on what it gives does not score the texts once more
     names = {"lang": lang, "score": score, **({"fit": fit} if fit else {})}
     kept = [c for c in docs.columns if c not in names.values()]
     found = fresh(docs, "p__")
