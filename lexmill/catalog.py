@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import analytics, cases, checks, retrieval, trees
+from lexmill.plans import analytics, cases, checks, relations, retrieval, trees
 
-MODULES = (retrieval, analytics, trees, checks, cases)
+MODULES = (retrieval, analytics, trees, checks, cases, relations)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from lexmill.functions import numbers, rules, text
-from lexmill.operators import analytics
+from lexmill.operators import analytics, parse, search
 
 #: Tools that take and give tables: name to (input columns, function of the columns).
 TOOLS: dict[str, tuple[list[str], Callable]] = {
@@ -21,15 +22,36 @@ TOOLS: dict[str, tuple[list[str], Callable]] = {
 }
 
 
-def run_tool(name: str, rows: DataFrame) -> DataFrame:
-    """``rows`` with struct ok/error of a tool; an unknown name or a missing column is an error in every row."""
-    if name not in TOOLS:
-        return rows.withColumn("error", F.lit(f"unknown tool {name}"))
-    needs, f = TOOLS[name]
+#: Tools that answer rows from tables: name to (input columns, function of the rows and named tables).
+TABLE_TOOLS: dict[str, tuple[list[str], Callable]] = {
+    "search_legal_docs": (["query_id", "text", "q"], lambda rows, chunks, registry, as_of, **more: search.search(rows, chunks, registry, as_of, **more)),
+    "check_doc_validity": (["doc_id"], lambda rows, manifest, missing, as_of: analytics.validity(rows, manifest, missing, as_of)),
+}
+
+
+def run_tool(name: str, rows: DataFrame, **tables: object) -> DataFrame:
+    """A tool over ``rows``: each with ``ok`` and ``error``, and with ``result`` or, for tools on tables, the columns found.
+
+    An unknown name, a missing column or table is an error in every row; a tool
+    whose own result says what is wrong gives that as the error.
+    """
+    failed = lambda message: rows.withColumns({"ok": F.lit(False), "error": F.lit(message)})
+    if name not in TOOLS and name not in TABLE_TOOLS:
+        return failed(f"unknown tool {name}")
+    needs, f = TOOLS.get(name) or TABLE_TOOLS[name]
     lacking = [c for c in needs if c not in rows.columns]
     if lacking:
-        return rows.withColumn("error", F.lit(f"missing {', '.join(lacking)}"))
-    return rows.withColumn("result", f(*map(F.col, needs))).withColumn("error", F.lit(None).cast("string"))
+        return failed(f"missing {', '.join(lacking)}")
+    if name in TABLE_TOOLS:
+        try:
+            found = f(rows, **tables)
+        except TypeError as e:  # a table that the tool needs was not given
+            return failed(str(e))
+        return found.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")})
+    out = rows.withColumn("result", f(*map(F.col, needs)))
+    said = F.col("result.error") if "error" in out.schema["result"].dataType.names else F.lit(None).cast("string")
+    wrong = F.coalesce(said, F.when(F.col("result").isNull(), F.lit("no result")))
+    return out.withColumns({"ok": wrong.isNull(), "error": wrong})
 
 
 @udtf(returnType="bracket int, slice double, rate double, tax double")
@@ -43,9 +65,45 @@ class ProgressiveBrackets:
                 yield i, part, rate, part * rate
 
 
+@udtf(returnType="line_no int, kind string, number string, content string")
+class DocumentLines:
+    """Lines of a document with their kind and number, by the forms of headings."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        for i, line in enumerate((text or "").split("\n")):
+            for kind, pattern in LINE_PATTERNS:
+                found = pattern.match(line.strip())
+                if found:
+                    yield i, kind, found.group(1) or "", found.group(2)
+                    break
+            else:
+                yield i, "text", None, line
+
+
+#: The forms of headings for use in Python; the flags that Java takes for Unicode are Python's default.
+LINE_PATTERNS = [(kind, re.compile(pattern.replace("(?iu)", "(?i)"))) for kind, pattern in parse.LINE_FORMS]
+
+
+@udtf(returnType="part int, body string")
+class TableChunks:
+    """A table's lines packed into parts of bounded length that repeat its head."""
+
+    def eval(self, head: str, lines: list, chars: int) -> Iterator[tuple]:
+        part, held = 0, ""
+        for line in lines or []:
+            if held and len(head) + 1 + len(held) + 1 + len(line) > chars:
+                yield part, f"{head}\n{held}" if head else held
+                part, held = part + 1, ""
+            held = f"{held}\n{line}" if held else line
+        if held:
+            yield part, f"{head}\n{held}" if head else held
+
+
 def register(spark: SparkSession) -> None:
     """Make the table function and SQL macros of the scalar functions known to a session."""
     spark.udtf.register("progressive_brackets", ProgressiveBrackets)
+    spark.udtf.register("document_lines", DocumentLines)
+    spark.udtf.register("table_chunks", TableChunks)
     spark.udf.register("nfc", text.nfc)
     spark.udf.register("fix_merged_words", text.fix_merged_words)
 
