@@ -243,6 +243,17 @@ WITH t AS (SELECT conv_id, turn, {_label_sql(ENTITIES)} AS e, {_label_sql(TAXES)
 SELECT conv_id, turn, last_value(e IGNORE NULLS) OVER w AS entity_type, last_value(x IGNORE NULLS) OVER w AS tax_type, CAST(count(*) OVER w AS INTEGER) AS turn_count FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+DIALOGUE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, {_label_sql(ENTITIES)} AS e, {_label_sql(TAXES)} AS x, nullif(regexp_extract(coalesce(text, ''), '(?i)(\\d+)\\s*(người phụ thuộc|npt|con nhỏ|con|người thân)', 1) || ' ' || regexp_extract(coalesce(text, ''), '(?i)(\\d+)\\s*(người phụ thuộc|npt|con nhỏ|con|người thân)', 2), ' ') AS s,
+  contains(lower(coalesce(text, '')), '{GOES_ON[0]}') AS g FROM conversations WHERE role = 'user'),
+w AS (SELECT *, last_value(e IGNORE NULLS) OVER b AS we, last_value(x IGNORE NULLS) OVER b AS wx, last_value(s IGNORE NULLS) OVER b AS ws FROM t WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, coalesce(we, wx, ws) IS NULL AS bare, NOT g AND coalesce(we, wx, ws) IS NOT NULL AND x IS NOT NULL AND x IS DISTINCT FROM wx AND e IS NOT NULL AND e IS DISTINCT FROM we AS anew FROM w),
+p AS (SELECT *, sum(CASE WHEN anew THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS topic FROM n)
+SELECT conv_id, turn, last_value(e IGNORE NULLS) OVER o AS entity_type, last_value(x IGNORE NULLS) OVER o AS tax_type, CAST(NULL AS VARCHAR) AS income_info, last_value(s IGNORE NULLS) OVER o AS scenario, CAST(count(*) OVER o AS INTEGER) AS turn_count,
+  CASE WHEN anew THEN 'new_topic' WHEN g THEN 'continuation' WHEN bare THEN 'new' WHEN x IS NOT NULL OR e IS NOT NULL THEN 'continuation' ELSE 'clarification' END AS intent
+FROM p WINDOW o AS (PARTITION BY conv_id, topic ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
 def daily_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.daily_counts(table(spark, sf_dir, "events"))
 
@@ -281,7 +292,15 @@ DUPLICATE_SQL = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return state.token_bucket(calls)
+    return state.token_bucket(calls, capacity=600.0, cost=60.0 * 3600.0 / 6).select("key", "seq", F.round("waited", 4).alias("waited"))
+
+
+# Each call after the one before: when it may start is the later of its time and of what the calls from any earlier one on have used up.
+BUCKET_SQL = """
+WITH e AS (SELECT user_id % 8 AS key, event_id AS seq, epoch_us(ts) / 1e6 AS t FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS n, min(t) OVER (PARTITION BY key) AS first FROM e),
+z AS (SELECT *, max(t - 60.0 - (n - 1) * 3600.0) OVER (PARTITION BY key ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS old FROM n)
+SELECT key, seq, round(greatest(t, greatest(first, old) + n * 3600.0) - t, 4)::DOUBLE AS waited FROM z"""
 
 
 def router_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +332,9 @@ SQL = {
     "law_staleness_asof": STALE_SQL,
     "cache_ttl": TTL_SQL,
     "next_purchase": NEXT_SQL,
+    "dialogue_state": DIALOGUE_SQL,
     "dialogue_windows": WINDOWS_SQL,
+    "token_bucket": BUCKET_SQL,
     "daily_counter": DAILY_SQL,
     "rate_gap": GAP_SQL,
     "consecutive_errors": STREAK_SQL,

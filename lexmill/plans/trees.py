@@ -169,13 +169,6 @@ g AS (SELECT parent_id, coalesce(string_agg(CASE WHEN nth <= 5 AND used <= 60 AN
 SELECT parent_id, md5(t || CASE WHEN total > shown THEN chr(10) || '[... còn ' || (total - shown) || ' điểm nữa]' ELSE '' END) AS digest, shown, total FROM g"""
 
 
-def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tables of their lines, packed."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("l"))
-    t = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_index"), F.array(F.lit("part"), F.lit("quantity")).alias("headers"), F.transform("l", lambda x: F.array(x["l_partkey"].cast("string"), x["l_quantity"].cast("int").cast("string"))).alias("rows"))
-    return chunks.table_chunks(t, chars=48).select("doc_id", "part", "chunk_id", "text")
-
-
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.operators.evaluation import token_stats
 
@@ -211,7 +204,7 @@ WITH RECURSIVE w(root, doc_id, hop) AS (SELECT c_custkey, c_custkey, 0 FROM cust
 SELECT root, doc_id, CAST(min(hop) AS INTEGER) AS hop FROM w WHERE hop > 0 GROUP BY 1, 2"""
 
 
-QUERIES = [line_classify, guidance_sections, merge_split_tables, parse_tree, reference_detect, chunk_index, exception_index, patch_apply, validate_nodes, tree_metrics, chunk_tree, chunk_tables, chunk_stats, bfs_expand, impl_chain]
+QUERIES = [line_classify, guidance_sections, merge_split_tables, parse_tree, reference_detect, chunk_index, exception_index, patch_apply, validate_nodes, tree_metrics, chunk_tree, chunk_stats, bfs_expand, impl_chain]
 SQL = {
     "line_classify": LINE_SQL,
     "guidance_sections": GUIDANCE_SQL,
