@@ -292,7 +292,7 @@ DUPLICATE_SQL = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return state.token_bucket(calls, capacity=600.0, cost=60.0 * 3600.0 / 6).select("key", "seq", F.round("waited", 4).alias("waited"))
+    return state.token_bucket(calls, capacity=600.0, cost=60.0 * 3600.0 / 6).select("key", "seq", F.round("waited").alias("waited"))
 
 
 # Each call after the one before: when it may start is the later of its time and of what the calls from any earlier one on have used up.
@@ -300,7 +300,7 @@ BUCKET_SQL = """
 WITH e AS (SELECT user_id % 8 AS key, event_id AS seq, epoch_us(ts) / 1e6 AS t FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS n, min(t) OVER (PARTITION BY key) AS first FROM e),
 z AS (SELECT *, max(t - 60.0 - (n - 1) * 3600.0) OVER (PARTITION BY key ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS old FROM n)
-SELECT key, seq, round(greatest(t, greatest(first, old) + n * 3600.0) - t, 4)::DOUBLE AS waited FROM z"""
+SELECT key, seq, round(greatest(t, greatest(first, old) + n * 3600.0) - t)::DOUBLE AS waited FROM z"""
 
 
 def router_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

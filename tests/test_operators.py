@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import zipfile
 
 import pytest
@@ -162,6 +163,21 @@ def test_dialogue_stream_agrees(spark, tmp_path):
     assert sorted(map(tuple, spark.table("dialogue").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_dialogue_windows_equal_the_fold(spark):
+    r = random.Random(4)
+    says = ["hộ kinh doanh", "công ty", "tôi", "thuế khoán", "shopee", "gtgt", "lương 20 triệu/tháng", "2 người phụ thuộc", "ngoài ra", "xin chào", "phạt vi phạm"]
+    rows = [(i, j, "user" if r.random() < 0.8 else "assistant", " ".join(r.sample(says, r.randrange(0, 4)))) for i in range(60) for j in range(12)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = []
+    by_conv = {}
+    for row in state.turn_signals(turns).orderBy("conv_id", "turn").collect():
+        held, intent = state._next(by_conv.get(row.conv_id, {}), row)
+        by_conv[row.conv_id] = held
+        want.append(state._out(row.conv_id, row.turn, held, intent))
+    got = sorted(map(tuple, state.dialogue_states(turns).collect()))
+    assert got == sorted(want) and {g[-1] for g in got} == {"new", "continuation", "clarification", "new_topic"}
+
+
 def test_daily_stream(spark, tmp_path):
     ev = spark.sql("select timestamp'2024-01-01 16:59:59' ts union all select timestamp'2024-01-01 17:00:00' union all select timestamp'2024-01-05 17:00:00'")
     ev.write.parquet(str(tmp_path / "e"))
@@ -177,6 +193,24 @@ def test_token_bucket(spark):
     assert got == [10.0, 20.0, 30.0]
 
 
+def test_token_bucket_equals_the_fold(spark):
+    r = random.Random(8)
+    calls, want = [], {}
+    capacity, cost = 60.0, 7.0  # a token a second
+    for key in range(4):
+        t, level, last = 0.0, 0.0, None
+        for seq in range(200):
+            t += r.choice([0, 1, 2, 5, 5, 20, 90])
+            now = t if last is None else max(t, last)
+            level = min(capacity, level + (0.0 if last is None else now - last))
+            wait = max(0.0, cost - level)
+            level, last = level + wait - cost, now + wait
+            calls.append((key, seq, t))
+            want[key, seq] = last
+    got = state.token_bucket(spark.createDataFrame(calls, "key long, seq long, t double"), capacity, cost).collect()
+    assert {(g.key, g.seq): round(g.start, 6) for g in got} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_docx_and_pipes(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     cell = lambda s: f"<w:tc><w:p><w:r><w:t>{s}</w:t></w:r></w:p></w:tc>"
@@ -194,7 +228,9 @@ def test_docx_and_pipes(spark, tmp_path):
 def test_tools(spark):
     rows = spark.createDataFrame([(1e9, "goods")], "annual_revenue double, business_category string")
     assert registry.run_tool("calculate_tax_hkd", rows).first().result.total_tax == 15_000_000
+    assert registry.run_tool("calculate_tax_hkd", rows).first().ok and not registry.run_tool("calculate_tax_hkd", rows.withColumn("annual_revenue", F.lit(-1.0))).first().ok
     assert registry.run_tool("nothing", rows).first().error == "unknown tool nothing"
+    assert "missing" in registry.run_tool("check_doc_validity", rows.withColumn("doc_id", F.lit("a"))).first().error
     registry.register(spark)
     assert spark.sql("select sum(tax) t from progressive_brackets(200000000)").first().t == 14_000_000
 
@@ -205,3 +241,134 @@ def test_patches_are_idempotent(spark):
     once = parse.apply_patches(n, p)
     assert sorted((r.node_id, r.title, r.content) for r in once.collect()) == [("b", "x", "c"), ("b2", "x", "new")]
     assert sorted(map(tuple, parse.apply_patches(once, p).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_table_patches(spark):
+    held = spark.createDataFrame([("d", 0, 1, ["h"], [["a"]])], "doc_id string, table_index int, page_number int, headers array<string>, rows array<array<string>>")
+    new = '{"table_index": 1, "page_number": 2, "headers": ["x"], "rows": [["1"]]}'
+    patches = spark.createDataFrame([("d", 1, "add_table", new), ("d", 2, "add_table", new.replace("x", "y")), ("d", 3, "add_table", new.replace('"table_index": 1', '"table_index": 0')), ("d", 4, "add_table", "no json")], "doc_id string, op_seq int, op string, value string")
+    once = parse.add_tables(held, patches)
+    assert sorted((r.table_index, r.headers) for r in once.collect()) == [(0, ["h"]), (1, ["x"])]
+    assert sorted(map(str, parse.add_tables(once, patches).collect())) == sorted(map(str, once.collect()))
+    docs = spark.createDataFrame([("d", "text")], "doc_id string, text string")
+    asked = spark.createDataFrame([("d", 1, "bad"), ("d", 2, None)], "doc_id string, op_seq int, sha256 string")
+    assert [r.op_seq for r in parse.stale_patches(docs, asked).collect()] == [1]
+
+
+def test_blocks_meet_everything(spark, monkeypatch):
+    from lexmill.functions import staging
+
+    rows = spark.range(50).select(F.col("id").alias("a"))
+    asked = spark.range(30).select(F.col("id").alias("b"))
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 200)
+    met = staging.met_in_blocks(rows, asked, F.col("a"), F.col("b"), 64)
+    assert met.distinct().count() == met.count() == 1500
+    monkeypatch.setattr(staging, "PHRASES", 3)
+    texts = spark.createDataFrame([(1, "The Cat sat"), (2, "a dog"), (3, None)], "id int, text string")
+    words = spark.createDataFrame([(w,) for w in ["cat", "SAT", "dog", "", "at", "x", "y", "z"]], "w string")
+    assert sorted((r.id, r.phrase) for r in staging.phrases_in(texts, "text", words, "w").collect()) == [(1, "at"), (1, "cat"), (1, "sat"), (2, "dog")]
+
+
+def test_bm25_in_shares(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the " * (i % 3 + 1) + ("cat " if i % 4 == 0 else "dog ") + f"w{i % 7}") for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "the cat"), (2, "dog w3 w3"), (3, "nothing"), (4, None)], "query_id long, text string")
+    want = sorted(map(tuple, search.bm25(queries, docs, 5).collect()))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert want and sorted(map(tuple, search.bm25(queries, docs, 5).collect())) == want
+
+
+def test_whole_ranked_query(spark):
+    """Every step of the ranked query against a plain version on a small corpus."""
+    import datetime
+    import math
+    import re
+
+    r = random.Random(12)
+    bag = ["thuế", "khoán", "hộ", "kinh", "doanh", "lương", "phạt", "kê", "khai", "mức", "nộp"]
+    chunks = []
+    for i in range(40):
+        d = f"d{i % 5}"
+        chunks.append({
+            "chunk_id": f"{d}_dieu_{i}_chunk", "doc_id": d, "text": " ".join(r.choice(bag) for _ in range(r.randrange(4, 12))) + (" theo quy định" if i % 3 == 0 else ":" if i % 4 == 0 else ""), "v": [r.gauss(0, 1) for _ in range(6)],
+            "refs": [f"d{(i + k) % 5}_dieu_{(i + k) % 40}_chunk" for k in (5, 9, 13, 17)], "superseded": d == "d1", "parent": f"p{i // 4}", "number": i % 4 + 1, "parent_id": f"d{(i // 4) % 5}_dieu_{i // 4}_chunk", "seq": i,
+            "amended_by": ["d3"] if d == "d2" else [], "specific_entity": i % 17 == 5,
+        })
+    queries = [(1, "thuế khoán hộ kinh doanh", [r.gauss(0, 1) for _ in range(6)]), (2, "lương kê khai năm trước", [r.gauss(0, 1) for _ in range(6)]), (3, "mức phạt", None)]
+    registry_rows = [("d0", 1, datetime.date(2024, 1, 1), None), ("d1", 3, datetime.date(2020, 1, 1), None), ("d2", 5, datetime.date(2025, 1, 1), None), ("d3", 4, datetime.date(2022, 6, 1), datetime.date(2025, 12, 1))]
+    rules_rows, exceptions, excluded = [("r", "khoán", "d4")], {"d0_dieu_0_chunk": ["d1_dieu_1_chunk", "d2_dieu_2_chunk"], "d4_dieu_4_chunk": ["d0_dieu_10_chunk"]}, {(1, "d2")}
+    as_of, n = datetime.date(2026, 1, 1), 4
+    words = lambda t: re.findall(r"\w+", t.lower())
+    by_id = {x["chunk_id"]: x for x in chunks}
+    df, lengths = {}, [len(words(x["text"])) for x in chunks]
+    for x in chunks:
+        for w in set(words(x["text"])):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(len(chunks) - f + 0.5) - math.log(f + 0.5) for w, f in df.items()}
+    idf = {w: 0.25 * sum(raw.values()) / len(raw) if v < 0 else v for w, v in raw.items()}
+    avg = sum(lengths) / len(chunks)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {}
+    for qid, text, q in queries:
+        vec = [] if q is None else sorted(((-round(cos(q, x["v"]), 6), x["chunk_id"]) for x in chunks))[: min(3 * n, 50)]
+        score = lambda x: sum(idf.get(w, 0) * (f := words(x["text"]).count(w)) * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(words(x["text"])) / avg)) for w in words(text))  # noqa: E731, B023
+        key = sorted((-round(score(x), 6), x["chunk_id"]) for x in chunks if score(x) > 0)[: 3 * n]
+        pools = [[i for _, i in vec], [i for _, i in key]]
+        if "khoán" in text and q is not None:
+            near = sorted((-round(cos(q, x["v"]), 6), x["chunk_id"]) for x in chunks if x["doc_id"] == "d4")[:3]
+            extra = [i for _, i in near if i not in pools[0] + pools[1]]
+            pools = [extra + p for p in pools]
+        fused, first = {}, {}
+        for p, (pool, w) in enumerate(zip(pools, (0.7, 0.3))):
+            for rank, i in enumerate(pool, 1):
+                fused[i] = fused.get(i, 0) + w / (60 + rank)
+                first.setdefault(i, (p, rank))
+        hits = [(i, round(fused[i], 6)) for i in sorted(fused, key=lambda i: (-round(fused[i], 6), first[i], i))[:n]]
+        level = {d: (lv, f) for d, lv, f, _ in registry_rows}
+        boost = lambda i: {1: 1.10, 2: 1.07, 3: 1.05, 4: 1.0, 5: 0.85}[level[by_id[i]["doc_id"]][0]] * (1 + 0.15 / (1 + math.log1p(max(0, (as_of - level[by_id[i]["doc_id"]][1]).days) / 365))) if by_id[i]["doc_id"] in level else 1.0  # noqa: E731, B023
+        hits = sorted([(i, round(s * boost(i), 6)) for i, s in hits], key=lambda x: -x[1])
+        old = "năm trước" in text
+        hits = sorted([(i, round(s * 0.25, 6) if by_id[i]["superseded"] and not old else s) for i, s in hits], key=lambda x: -x[1])
+        rows = [(i, s, "hit") for i, s in hits]
+        have = lambda: {i for i, *_ in rows}  # noqa: E731, B023
+        for i, s, _ in list(rows):
+            for x in by_id[i]["refs"][:3] if s >= 0.005 else []:
+                if x in by_id and x not in have():
+                    rows.append((x, round(s * 0.7, 6), "reference"))
+        seen = have()
+        for i, s, _ in list(rows):
+            found = [e for e in dict.fromkeys(exceptions.get(i, []))][:3]
+            for e in found:
+                if e not in seen:
+                    seen.add(e)
+                    rows.append((e, round(s * 0.65, 6), "exception"))
+        best = {}
+        for i, s, _ in rows:
+            if re.search(r"theo\s+quy\s+định", by_id[i]["text"]):
+                for x in chunks:
+                    if x["parent"] == by_id[i]["parent"] and 1 <= abs(x["number"] - by_id[i]["number"]) <= 2 and x["chunk_id"] not in have():
+                        best[x["chunk_id"]] = max(best.get(x["chunk_id"], 0), round(s * 0.6, 6))
+        rows += [(i, s, "sibling") for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))]
+        kids = []
+        for rank, (i, s, _) in enumerate(rows):
+            if by_id[i]["text"].rstrip().endswith(":"):
+                kids += [(-round(s * 0.85, 6), rank, x["number"], x["chunk_id"]) for x in chunks if x["parent_id"] == i and x["chunk_id"] not in have()]
+        rows += [(i, -s, "child") for s, _, _, i in sorted(kids)[:4]]
+        done = set()
+        for i, s, _ in list(rows):
+            for a in by_id[i]["amended_by"]:
+                if a not in done:
+                    done.add(a)
+                    rows += [(x["chunk_id"], round(s * 0.75, 6), "amendment") for x in [y for y in chunks if y["doc_id"] == a][:3] if x["chunk_id"] not in have()]
+        ended = {d for d, _, _, t in registry_rows if t and t < as_of}
+        want[qid] = [(i, round(s, 6), k) for i, s, k in rows if (qid, by_id[i]["doc_id"]) not in excluded and by_id[i]["doc_id"] not in ended and not by_id[i]["specific_entity"]]
+    columns = "chunk_id string, doc_id string, text string, v array<double>, refs array<string>, superseded boolean, parent string, number int, parent_id string, seq int, amended_by array<string>, specific_entity boolean"
+    got = search.search(
+        spark.createDataFrame(queries, "query_id long, text string, q array<double>"), spark.createDataFrame([tuple(x.values()) for x in chunks], columns), spark.createDataFrame(registry_rows, "doc_id string, legal_level int, effective_from date, effective_to date"), F.lit(as_of), n,
+        rules=spark.createDataFrame(rules_rows, "rule string, keyword string, doc_id string"), exceptions=spark.createDataFrame(list(exceptions.items()), "rule_chunk_id string, exception_chunk_ids array<string>"),
+        excluded=spark.createDataFrame(list(excluded), "query_id long, doc_id string"),
+    ).orderBy("query_id", "rank").collect()
+    found = {q: [(x.chunk_id, x.rrf_score, x.kind) for x in got if x.query_id == q] for q in want}
+    for q, rows in want.items():  # scores may differ in the last digit, where a binary fraction stands for a tie
+        assert [(i, k) for i, _, k in found[q]] == [(i, k) for i, _, k in rows]
+        assert all(abs(a[1] - b[1]) < 2.1e-6 for a, b in zip(found[q], rows))
+    assert {k for rows in want.values() for *_, k in rows} >= {"hit", "reference", "sibling", "child"}
