@@ -173,21 +173,38 @@ def test_coder_round_trip():
     coded = tokenfile.encode_blocks(blocks)
     back = tokenfile.decode_blocks(coded, [len(b) for b in blocks])
     assert all((a == b).all() for a, b in zip(blocks, back)) and len(coded[4]) < 200
+    hard = [r.permutation(65536)[:3000].astype(np.uint16), (np.arange(3000) * 40503 % 65536).astype(np.uint16)]  # nothing to predict
+    coded = tokenfile.encode_blocks(hard)
+    assert all((a == b).all() for a, b in zip(hard, tokenfile.decode_blocks(coded, [3000, 3000]))) and max(map(len, coded)) < tokenfile.ID_BYTES * 3000
 
 
 def test_token_file(spark, docs, none, rows):
+    """Whole texts, long ones, empty ones and rows without id, against the tokenizer itself."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    few = docs.where("length(text) < 5000 or text is null").where("doc_id is not null")
-    got = sorted(map(tuple, tokenfile.round_trip(few, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
-    tok, at, want = Tokenizer.from_file(path), 0, []
-    for i, t in sorted(((r[0], r[1]) for r in rows if r[0] is not None and len(r[1] or "") < 5000), key=lambda x: x[0]):
+    got = sorted(map(tuple, tokenfile.round_trip(docs.withColumn("part", F.lit("x")).withColumn("ids", F.lit(1)), path).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    tok, at, want, coded = Tokenizer.from_file(path), 0, [], []
+    for i, t in ((r[0], r[1]) for r in rows):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        coded.append((i is not None, i or 0, zlib.crc32(np.array(ids, "<u2").tobytes()), i, ids))
+    for *_, i, ids in sorted(coded, key=lambda x: x[:3]):
+        want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert got == want and tokenfile.round_trip(none, path).count() == 0
+    assert got == want and max(n for _, _, n, _ in want) > 2 * tokenfile.BLOCK and tokenfile.round_trip(none, path).count() == 0
+
+
+def test_every_space_and_control_character():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, pieces = Tokenizer.from_file(path), tokenfile._Pieces(path)
+    signs = [chr(c) for c in range(0x3100) if not chr(c).isprintable() or chr(c).isspace()] + list("\ufeff\ufffd")
+    for c in signs:
+        for t in (f"word{c}word", f"a, {c} b{c}{c}.", f"{c}x1{c}", c):
+            assert np.frombuffer(pieces.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_damaged_block_is_found(spark, docs, tmp_path):
