@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -142,7 +142,7 @@ def clean_law_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.when(at > 0, F.substring(short, F.lit(1), at - 1)).otherwise(short), "[ ,]+$", ""))
 
 
-# Abbreviations that a keyword query is widened by, and those that answers are compared by.
+# Abbreviations that a keyword query is widened by, those that answers are compared by, and phrases of one legal meaning.
 SYNONYMS = {
     "gtgt": "giá trị gia tăng",
     "tncn": "thu nhập cá nhân",
@@ -232,6 +232,13 @@ def citations(answer: Column) -> Column:
     return F.array_distinct(F.transform(F.arrays_zip(article.alias("a"), document.alias("d")), lambda x: F.concat_ws("#", x["d"], x["a"])))
 
 
+def numbered_citations(answers: DataFrame, answer_id: str = "answer_id", answer: str = "answer") -> DataFrame:
+    """Each answer's citations, numbered from 1 in order of first appearance: (answer_id, number, document, article)."""
+    each = answers.select(answer_id, F.posexplode(citations(F.col(answer))).alias("pos", "c"))
+    parts = F.split("c", "#")
+    return each.select(answer_id, (F.col("pos") + 1).alias("number"), F.get(parts, F.lit(0)).alias("document"), F.get(parts, F.lit(1)).alias("article"))
+
+
 # The parts of a Vietnamese syllable.
 _INITIALS = "ngh ch gh gi kh ng nh ph qu th tr b c d đ g h k l m n p r s t v x".split()
 _FINALS = ("ng", "nh", "ch", "c", "m", "n", "p", "t", "")

@@ -152,6 +152,17 @@ CASES: dict[str, Cases] = {
         [("Diéu 5 thuê suât 1O0 .", "Điều 5 thuế suất 100."), ("Chương IH và Mục TV", "Chương III và Mục IV"), ("l 5 câ nhân", "1 5 cá nhân"), ("Khoán 2 Ðiều 3", "Khoản 2 Điều 3")],
         lambda: {"r": text.fix_ocr(c("t"))},
     ),
+    "split_merged_words": Cases(
+        "t string",
+        "r VARCHAR",
+        [
+            ("thuếthunhậpcánhân phảinộp", "thuế thu nhập cá nhân phải nộp"),
+            ("Luậtnày quyđịnh về thuế", "Luật này quy định về thuế"),
+            ("hộkinhdoanh 02/TNDN và 5trieudong", "hộ kinh doanh 02/TNDN và 5trieudong"),
+            ("trường hợp nghịđịnh", "trường hợp nghị định"),
+        ],
+        lambda: {"r": text.fix_merged_words(c("t"))},
+    ),
     "source_dispatch": Cases("t string", "r VARCHAR", [("/a/B.DOCX", "docx"), ("x.doc", "doc"), ("y.Pdf", "pdf"), ("z.json", "json"), ("n.txt", "text")], lambda: {"r": readers.kind_of(c("t"))}),
     # numbers, dates, identifiers
     "currency_parse": Cases("t string", "r DOUBLE", [("1.500.000 đồng", 1500000.0), ("2,5 tỷ đ", 2.5e9), ("300 nghìn VND", 300000.0), ("đồng", None), ("12 triệu đồng", 1.2e7)], lambda: {"r": numbers.parse_currency(c("t"))}),

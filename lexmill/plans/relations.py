@@ -710,9 +710,10 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("list"), "n")
         counted = one if counted is None else counted.unionByName(one)
     other = new_table(spark, "registry")
-    rows = spark.createDataFrame([('{"doc_id":"a","name":"A","effective_from":"2026-01-01","extra":1}',), ('{"doc_id":"b","name":"B"}',), ('{"doc_id": 5, "name"',)], "value string")
-    rows.write.text(other)
-    listed = analytics.registry_list(spark.read.schema("doc_id string, name string, effective_from date, _corrupt_record string").json(other).where("doc_id is not null")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    rows = spark.createDataFrame([('[{"doc_id":"a","name":"A","effective_from":"2026-01-01","extra":1}, {"doc_id":"b","name":"B"}]',), ('{"doc_id": 5, "name"',)], "value string")
+    rows.repartition(2).write.text(other)
+    found = readers.read_registry_json(spark, other, "doc_id string, name string, effective_from date")
+    listed = analytics.registry_list(found.where("_corrupt_record is null and doc_id is not null")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     return counted.unionByName(listed.select(F.concat(F.lit("listed_"), "status").alias("list"), "n"))
 
 
@@ -730,6 +731,89 @@ def registry_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORY_SQL = "SELECT p_partkey AS doc_id, CAST(row_number() OVER (ORDER BY p_partkey % 4, p_partkey) AS INTEGER) AS place FROM part WHERE p_brand = 'Brand#13'"
 
 
+def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as word-processor files, one of them broken, scanned: their text and the rows of their tables."""
+    import io
+    import zipfile
+
+    folder = new_table(spark, "docx")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    words = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    for k, name in ((r[0], r[1]) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()):  # twenty-five rows
+        cells = "".join(f"<w:tr><w:tc>{words(a)}</w:tc><w:tc>{words(b)}</w:tc></w:tr>" for a, b in [("h", "k"), ("", ""), *[(name, i) for i in range(k % 3)]])
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{words("Điều 1 " + name)}<w:p/><w:tbl>{cells}</w:tbl></w:body></w:document>')
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.docx")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(data.getvalue() if k != 7 else b"broken"))
+        out.close()
+    rows = readers.read_office(spark, folder)
+    return rows.select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("int").alias("k"), "text", F.coalesce(F.size("tables"), F.lit(0)).alias("tables"), F.coalesce(F.size(F.try_element_at("tables", F.lit(1))["rows"]), F.lit(0)).alias("n_rows"), c("error").isNotNull().alias("bad"))
+
+
+DOCX_SQL = """
+SELECT CAST(n_nationkey AS INTEGER) AS k, CASE WHEN n_nationkey <> 7 THEN 'Điều 1. ' || n_name END AS text, CAST(CASE WHEN n_nationkey <> 7 AND n_nationkey % 3 > 0 THEN 1 ELSE 0 END AS INTEGER) AS tables,
+  CAST(CASE WHEN n_nationkey <> 7 THEN n_nationkey % 3 ELSE 0 END AS INTEGER) AS n_rows, n_nationkey = 7 AS bad FROM nation"""
+
+
+def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts with their lines in a table of pipes, taken out of the text."""
+    line = F.concat(F.lit("| "), c("l_linenumber"), F.lit(" | "), c("l_partkey"), F.when(c("l_linenumber") % 2 == 0, F.lit(" | x |")).otherwise(F.lit("|")))
+    texts = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("s")))), lambda x: x["s"]), "\n").alias("rows"))
+    made = texts.select(c("l_orderkey").alias("path"), F.concat(F.lit("before\n| no | part |\n|---|---|\n"), "rows", F.lit("\nafter\n|alone|")).alias("text"))
+    out = readers.split_tables(made.withColumn("path", c("path").cast("string")))
+    first = F.try_element_at("tables", F.lit(1))
+    return out.select("path", "text", F.size("tables").alias("n"), F.size(first["headers"]).alias("width"), F.size(first["rows"]).alias("n_rows"))
+
+
+PIPE_SQL = """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, 'before' || chr(10) || 'after' || chr(10) || '|alone|' AS text, CAST(1 AS INTEGER) AS n, CAST(CASE WHEN bool_or(l_linenumber % 2 = 0) THEN 3 ELSE 2 END AS INTEGER) AS width, CAST(count(*) AS INTEGER) AS n_rows FROM lineitem GROUP BY 1"""
+
+
+def table_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a table each; patches add a second one to some and try to add the first again to others."""
+    from lexmill.operators import parse
+
+    k = c("o_orderkey")
+    o = _orders(spark, sf_dir)
+    held = o.select(k.cast("string").alias("doc_id"), F.lit(0).alias("table_index"), F.lit(1).alias("page_number"), F.array(F.lit("h")).alias("headers"), F.array(F.array(c("o_orderpriority"))).alias("rows"))
+    value = F.to_json(F.struct(F.when(k % 3 == 0, 1).otherwise(0).alias("table_index"), F.lit(2).alias("page_number"), F.array(F.lit("new")).alias("headers"), F.array(F.array(c("o_orderstatus"))).alias("rows")))
+    patches = o.where("o_orderkey % 3 = 0 or o_orderkey % 5 = 0").select(k.cast("string").alias("doc_id"), F.lit(1).alias("op_seq"), F.lit("add_table").alias("op"), value.alias("value"))
+    return parse.add_tables(held, patches).select("doc_id", "table_index", "page_number", F.get("headers", F.lit(0)).alias("head"), F.get(F.get("rows", F.lit(0)), F.lit(0)).alias("cell"))
+
+
+PATCHES_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(0 AS INTEGER) AS table_index, CAST(1 AS INTEGER) AS page_number, 'h' AS head, o_orderpriority AS cell FROM orders
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 2, 'new', o_orderstatus FROM orders WHERE o_orderkey % 3 = 0"""
+
+
+def min_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user, started at least an hour apart, waits adding up."""
+    e = table(spark, sf_dir, "events").select(c("user_id").alias("key"), c("event_id").alias("seq"), (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("t"))
+    return state.min_interval(e, 3600.0).select("key", "seq", F.round("start").alias("start"))
+
+
+INTERVAL_SQL = """
+WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w(key, seq, n, start) AS (SELECT key, seq, n, t FROM e WHERE n = 1 UNION ALL SELECT e.key, e.seq, e.n, greatest(e.t, w.start + 3600.0) FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT key, seq, round(start)::DOUBLE AS start FROM w"""
+
+
+def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of orders with two citations, one repeated, numbered."""
+    from lexmill.functions.text import numbered_citations
+
+    k = c("o_orderkey")
+    answer = F.concat(F.lit("Theo Điều "), k % 9 + 1, F.lit(" của 68/2026/NĐ-CP, điều "), k % 4 + 1, F.lit(" Luật 109/2025/QH15, Điều "), k % 9 + 1, F.lit(" của 68/2026/NĐ-CP"))
+    return numbered_citations(_orders(spark, sf_dir).select(k.alias("answer_id"), answer.alias("answer")))
+
+
+CITED_SQL = """
+SELECT o_orderkey AS answer_id, CAST(1 AS INTEGER) AS number, '68/2026/NĐ-CP' AS document, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS article FROM orders
+UNION ALL SELECT o_orderkey, 2, '109/2025/QH15', CAST(o_orderkey % 4 + 1 AS VARCHAR) FROM orders"""
+
+
 # --- tools and table functions ---------------------------------------------------------------
 
 
@@ -779,7 +863,7 @@ PAIRS = [
     (chunk_checks, CHUNK_CHECKS_SQL), (ingest_gate, GATE_SQL), (snapshot_diff, DIFF_SQL), (parse_coverage, COVERAGE_SQL), (stage_checks, STAGE_SQL), (supersession_tags, TAGS_SQL), (annotation_run, ANNOTATION_SQL),
     (cache_store, CACHE_STORE_SQL), (retained_logs, RETAINED_SQL), (missing_facts, MISSING_SQL), (question_selection, SELECTION_SQL), (summed_counts, SUMMED_SQL), (page_kinds, PAGES_SQL), (best_tables, TABLES_SQL), (file_choice, FILES_SQL),
     (store_upsert, UPSERT_SQL), (store_lookup, LOOKUP_SQL), (document_export, EXPORT_SQL), (session_store, SESSION_SQL), (answer_log, LOG_SQL), (parsed_scan, PARSED_SQL), (manifest_scan, MANIFEST_SCAN_SQL), (registry_category, CATEGORY_SQL),
-    (tool_calls, TOOL_SQL), (table_functions, FUNCTION_SQL),
+    (docx_scan, DOCX_SQL), (pipe_tables, PIPE_SQL), (table_patches, PATCHES_SQL), (min_interval, INTERVAL_SQL), (citation_numbers, CITED_SQL), (tool_calls, TOOL_SQL), (table_functions, FUNCTION_SQL),
 ]
 QUERIES = [f for f, _ in PAIRS]
 SQL = {f.__name__: s for f, s in PAIRS}

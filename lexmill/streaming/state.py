@@ -208,6 +208,18 @@ def rate_gaps(calls: DataFrame, key: str, t: str, least: float = LEAST_GAP) -> D
     return calls.withColumn("wait", F.greatest(F.lit(0.0), F.coalesce(F.lit(least) - gap, F.lit(0.0))))
 
 
+def min_interval(calls: DataFrame, least: float = LEAST_GAP) -> DataFrame:
+    """When calls (key, seq, t in seconds) start if each waits for the least gap to the start before: (key, seq, start).
+
+    A start is the latest of what each earlier call, with a gap for every call
+    since, leaves free; that is a running maximum.
+    """
+    w = Window.partitionBy("key").orderBy("t", "seq")
+    rows = calls.withColumn("n__", F.row_number().over(w))
+    ahead = F.max(F.col("t") - F.col("n__") * least).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("key", "seq", (ahead + F.col("n__") * least).alias("start"))
+
+
 def day_of(ts: Column, offset: str = "17 hours") -> Column:
     """The tumbling day, in UTC+7, of a time stamp in a UTC session."""
     return F.window(ts, "1 day", "1 day", offset)
