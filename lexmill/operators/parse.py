@@ -174,13 +174,26 @@ def _with_ancestry(nodes: DataFrame) -> DataFrame:
 
 
 def finish_nodes(nodes: DataFrame) -> DataFrame:
-    """Second pass: titles that go on in the lead-in, texts of leaves joined, unfinished parents, cleaned content."""
+    """Second pass: titles that go on in the lead-in, texts of leaves joined, unfinished parents, cleaned content.
+
+    Where an article's title goes on, its breadcrumb and those of all nodes below
+    it get the whole title; a chapter's breadcrumb stays.
+    """
     below = F.lead("depth").over(Window.partitionBy("doc_id").orderBy("seq"))  # a node's first child follows it
     rows = nodes.withColumn("has_children", F.coalesce(below > F.col("depth"), F.lit(False)))
     lead = F.col("lead_in") != ""
     takes = F.col("kind").isin("chuong", "muc") & F.col("title").isNull() & lead
     goes_on = (F.col("kind") == "dieu") & F.col("has_children") & lead & ~F.rtrim("lead_in").endswith(":")
-    title = F.when(takes, F.col("lead_in")).when(goes_on, F.concat_ws(" ", "title", "lead_in")).otherwise(F.col("title"))
+    one_line = F.trim(F.regexp_replace("lead_in", r"\s*\n\s*", " "))
+    title = F.when(takes, one_line).when(goes_on, F.concat_ws(" ", F.trim("title"), one_line)).otherwise(F.col("title"))
+    label = lambda t: F.concat(F.lit("Điều "), "index", F.coalesce(F.concat(F.lit(": "), t), F.lit("")))
+    above = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    renamed = F.when(F.col("kind") == "dieu", F.struct("seq", F.when(goes_on, label(F.col("title"))).alias("old"), label(title).alias("new")))
+    rows = rows.withColumn("article", F.last(renamed, ignorenulls=True).over(above))
+    at = F.instr("breadcrumb", F.col("article.old"))
+    crumb = F.concat(F.substring("breadcrumb", F.lit(1), at - 1), F.col("article.new"), F.substring("breadcrumb", at + F.length("article.old"), F.length("breadcrumb")))
+    below_it = F.array_contains("path", F.col("article.seq")) & (at > 0)
+    rows = rows.withColumn("breadcrumb", F.when(F.coalesce(below_it, F.lit(False)), crumb).otherwise(F.col("breadcrumb"))).drop("article")
     rows = rows.withColumn("new_title", title).withColumn("lead_in", F.when(takes | goes_on, F.lit("")).otherwise(F.col("lead_in"))).drop("title").withColumnRenamed("new_title", "title")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     joined = F.concat_ws(" ", blank("body"), blank("lead_in"), blank("trailing"))
