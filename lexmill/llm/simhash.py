@@ -247,7 +247,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     key, row = fresh(docs, "text_key__"), fresh(docs, "doc_key__")
     marked = near_duplicates(docs.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c")).alias("doc_id"), "text"))
-    heads = cut(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("n", F.col("doc_id.b").alias(row), F.col("doc_id.c").alias(key)))
+    marked = cut(marked.select(F.col("doc_id.b").alias(row), F.col("doc_id.c").alias(key), (F.col("doc_id") == F.col("component_id")).alias("head")))
+    gone = cut(marked.where("not head").select(row, key).distinct())  # far fewer than what stays
     same = F.col("doc_id").eqNullSafe(F.col(row)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
-    kept = docs.join(hint_if_small(heads, 32), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if heads.where("n > 1").limit(1).count() else kept
+    kept = docs.join(hint_if_small(gone, 32), same, "left_anti")
+    repeated = marked.where("head").groupBy(row, key).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", key]).drop(key)
