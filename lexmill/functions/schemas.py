@@ -1,4 +1,4 @@
-"""Explicit schemas of the engine's tables; readers use them instead of inference, so a missing field is null."""
+"""Explicit schemas of the engine's tables; ``readers.read_rows`` reads by them instead of inference, so a missing field is null."""
 
 REFERENCE = "struct<text_match:string,target_id:string>"
 NODES = f"doc_id string, node_id string, parent_id string, path array<int>, depth int, seq int, node_type string, node_index string, title string, content string, lead_in string, trailing string, breadcrumb string, references array<{REFERENCE}>"

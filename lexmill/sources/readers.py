@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import schemas
+
 TABLE_TYPE = "array<struct<table_index:int,page_number:int,headers:array<string>,rows:array<array<string>>>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -248,6 +250,11 @@ def stream_log(rows: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
     return rows.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_rows(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Rows of one of the engine's tables (nodes, chunks, result, cache, patches, ...) from JSON lines; missing fields are null, others left out."""
+    return spark.read.schema(getattr(schemas, kind.upper())).json(path)
+
+
 def sessions(messages: DataFrame) -> DataFrame:
     """Conversations, the last one changed first: messages (conv_id, turn, role, text, ts)."""
     title = F.min_by(F.substring("text", 1, 60), F.when(F.col("role") == "user", F.col("turn")))

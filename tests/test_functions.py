@@ -118,3 +118,11 @@ def test_tools_tier(spark):
     rows = [([], "Thuế tài sản", False, "x" * 60), (["search_legal_docs"], "Thuế hộ kinh doanh", True, ""), (["search_legal_docs"], "Thuế tài sản", False, ""), (["other"], "Thuế tài sản", False, ""), (["other"], "?", False, "")]
     df = spark.createDataFrame(rows, "u array<string>, t string, c boolean, a string")
     assert [r.s for r in df.select(tier3_tools(F.col("u"), F.col("t"), F.col("c"), F.col("a")).alias("s")).collect()] == [0.3, 0.0, 1.0, 0.5, 0.8]
+
+
+def test_rows_are_read_by_schema(spark, tmp_path):
+    from lexmill.sources import readers
+
+    (tmp_path / "p.json").write_text('{"doc_id": "d", "op_seq": 2, "op": "set_field", "other": 1}\n{"doc_id": "e"}\n')
+    rows = readers.read_rows(spark, "patches", str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.op_seq, r.value) for r in rows] == [("d", 2, None), ("e", None, None)] and len(rows[0]) == 6
