@@ -37,4 +37,4 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_others_run(spark, name):
-    assert catalog.queries()[name](spark, SF).limit(5).collect() is not None
+    assert catalog.queries()[name](spark, SF).count() > 0  # their rows are held against plain versions in test_laws and test_operators
