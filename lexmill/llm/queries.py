@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontam, langid, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc
+from lexmill.llm import decontam, langid, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=16)
+    return rows.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_mixing, op3_simhash, op4_token_file, op5_secrets, op6_warc, op7_language_id, op8_decontamination, op9_exact_top_k, op10_toxicity)
+    own = (
+        op1_sharding, op2_mixing, op3_simhash, op4_token_file, op5_secrets, op6_warc, op7_language_id, op8_decontamination, op9_exact_top_k, op10_toxicity,
+        op11_whitening,
+    )
     return {f.__name__: f for f in own}
 
 
