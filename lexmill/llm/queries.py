@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontam, langid, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc, whitening
+from lexmill.llm import decontam, langid, merkle, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower_case = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), {"text": lower_case}, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sharding, op2_mixing, op3_simhash, op4_token_file, op5_secrets, op6_warc, op7_language_id, op8_decontamination, op9_exact_top_k, op10_toxicity,
-        op11_whitening,
+        op11_whitening, op12_merkle,
     )
     return {f.__name__: f for f in own}
 
@@ -103,5 +109,59 @@ FROM b
 """
 
 
+#: Levels of a group's tree and of the tree over groups that the SQL below spells out: 8^8 rows of a group, 8^3 groups.
+OP12_LEVELS = {"n": 8, "t": 3}
+
+
+def _op12_levels(kind: str) -> str:
+    """Levels of trees as common tables: a node's place, digest, count of its level, and what is left and right of it in its run."""
+    inside = "PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+    around = (
+        f"CASE WHEN c > 1 THEN coalesce(string_agg(d, '') OVER ({inside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l, "
+        f"CASE WHEN c > 1 THEN coalesce(string_agg(d, '') OVER ({inside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r"
+    )
+    out = []
+    for h in range(OP12_LEVELS[kind] + 1):
+        if h:
+            out.append(f"{kind}{h}_ AS (SELECT g, pos // 8 AS pos, CASE WHEN max(c) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE max(d) END AS d, (max(c) + 7) // 8 AS c FROM {kind}{h - 1} GROUP BY g, pos // 8)")
+        out.append(f"{kind}{h} AS (SELECT *, {around} FROM {kind}{h}_)")
+    return ",\n".join(out)
+
+
+def _op12_sql() -> str:
+    def h(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(strpos('0123456789', s) AS BIGINT) + 47), lambda a, b: " + _crc_step("xor(a, b)") + ", CAST(4294967295 AS BIGINT)), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [("n", i) for i in range(OP12_LEVELS["n"])] + [("t", i) for i in range(OP12_LEVELS["t"])]
+    joins = " ".join(f"JOIN {k}{i} AS {k}{i} ON {k}{i}.g = {'x.g' if k == 'n' else '0'} AND {k}{i}.pos = {'x.pos' if k == 'n' else 'x.g'} // {8**i}" for k, i in steps)
+    folds = ", ".join(f"f{at} AS (SELECT *, CASE WHEN l{at - 1} <> '' OR r{at - 1} <> '' OR one{at - 1} THEN sha256(l{at - 1} || y{at - 1} || r{at - 1}) ELSE y{at - 1} END AS y{at} FROM f{at - 1})" for at in range(1, len(steps) + 1))
+    paths = ", ".join(f"{k}{i}.l AS l{at}, {k}{i}.r AS r{at}, {k}{i}.c > 1 AS one{at}" for at, (k, i) in enumerate(steps))
+    proof = " || ".join(f"l{at} || r{at}" for at in range(len(steps)))
+    return f"""
+WITH h AS (SELECT doc_id, lang, {h("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {h(lower)} END AS forged FROM documents),
+x AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+n0_ AS (SELECT g, pos, leaf AS d, count(*) OVER (PARTITION BY g) AS c FROM x),
+{_op12_levels("n")},
+t0_ AS (SELECT 0 AS g, g AS pos, d, count(*) OVER () AS c FROM n{OP12_LEVELS["n"]}),
+{_op12_levels("t")},
+f0 AS (SELECT doc_id, leaf, coalesce(forged, leaf) AS y0, s.d AS subroot, e.d AS root, {paths} FROM x {joins} JOIN n{OP12_LEVELS["n"]} AS s ON s.g = x.g CROSS JOIN t{OP12_LEVELS["t"]} AS e),
+{folds}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, y{len(steps)} AS folded_root, y{len(steps)} = root AS verified FROM f{len(steps)}
+"""
+
+
+def _crc_step(first: str) -> str:
+    """CRC-32 of one more byte: eight shifts."""
+    out = first
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda v: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)[1]"
+    return out
+
+
+OP12_SQL = _op12_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op6_warc": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op12_merkle": OP12_SQL}
