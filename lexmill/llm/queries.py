@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontam, langid, merkle, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc, whitening
+from lexmill.llm import decontam, htmltext, langid, merkle, mixing, pivots, secrets, sharding, simhash, tokenfile, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +70,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sharding, op2_mixing, op3_simhash, op4_token_file, op5_secrets, op6_warc, op7_language_id, op8_decontamination, op9_exact_top_k, op10_toxicity,
-        op11_whitening, op12_merkle,
+        op11_whitening, op12_merkle, op13_html_text,
     )
     return {f.__name__: f for f in own}
 
