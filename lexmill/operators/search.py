@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from lexmill.functions.staging import BROADCAST_BYTES, byte_size, hint_if_small,
 from lexmill.functions.text import expand_synonyms, tokenize
 from lexmill.operators.classify import classify_scope
 
+if TYPE_CHECKING:
+    from lexmill.operators.postings import KeywordIndex
+
 # Constants of the ranking.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 60, 0.7, 0.3
@@ -48,12 +52,6 @@ def top(rows: DataFrame, k: int, *order: Column, key: str = "query_id", rank: st
 # --- keyword search --------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Term frequencies: (doc_id, dl, term, tf)."""
-    words = docs.select(doc_id, tokenize(F.coalesce(text, F.lit(""))).alias("w"))
-    return words.select(doc_id, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def term_weights(docs: DataFrame, terms: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
     """(term, idf) of ``terms`` (term), and the mean length of a document.
 
@@ -351,7 +349,7 @@ def _appended(results: DataFrame, more: DataFrame, kind: str, source: str | None
 
 def search(
     queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scope_docs: DataFrame | None = None, gate: str = "(?s).*",
-    exceptions: DataFrame | None = None, excluded: DataFrame | None = None, general: bool = True, vectors: DataFrame | None = None, within: DataFrame | None = None,
+    exceptions: DataFrame | None = None, excluded: DataFrame | None = None, general: bool = True, vectors: DataFrame | None = None, within: DataFrame | None = None, keywords: KeywordIndex | None = None,
 ) -> DataFrame:
     """The whole ranked query for a batch: (query_id, chunk_id, doc_id, rrf_score, rank, kind, source).
 
@@ -370,13 +368,20 @@ def search(
     supersession apply.
 
     Queries and chunks without a vector take part in the keyword pool alone;
-    ``vectors`` (chunk_id, v) are those of the chunks where a table holds them.
+    ``vectors`` (chunk_id, v) are those of the chunks where a table holds them;
+    ``keywords`` is a stored index of the chunks' texts, if there is one.
     """
+    from lexmill.operators import postings  # which ranks by this module's weights
+
     has = set(chunks.columns)
     vectors = chunks.select("chunk_id", "doc_id", "v") if vectors is None else vectors.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     able = None if within is None else within.join(chunks.select("chunk_id", "doc_id"), "doc_id").select("query_id", "chunk_id")
     vector = vector_top(queries.where("q is not null").select("query_id", "q"), vectors.where("v is not null").select("chunk_id", "v"), min(3 * n, 50), within=able)
-    words = bm25(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), 3 * n, doc_id="chunk_id", within=able)
+    asked = queries.select("query_id", "text")
+    if keywords is None:
+        words = bm25(asked, chunks.select("chunk_id", "text"), 3 * n, doc_id="chunk_id", within=able)
+    else:
+        words = postings.bm25_indexed(keywords, asked, 3 * n, within=able, doc_id="chunk_id")
     vector, words = staged(vector), staged(words)  # 3n rows a query
     scopes = None
     if within is None and rules is not None:
