@@ -25,14 +25,15 @@ class KeywordIndex:
     n: int
     average: float
     buckets: int
+    id_type: str
 
     def postings(self, spark: SparkSession) -> DataFrame:
         """(bucket, term, segment, most, ids, tfs, gains): a posting adds its gain for each unit of idf, and none of the block adds more than ``most``."""
-        return spark.read.parquet(f"{self.path}/postings")
+        return spark.read.schema(f"term string, segment int, most double, ids array<{self.id_type}>, tfs array<int>, gains array<double>, bucket int").parquet(f"{self.path}/postings")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(bucket, term, df, idf)."""
-        return spark.read.parquet(f"{self.path}/terms")
+        return spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{self.path}/terms")
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -74,7 +75,7 @@ def build_index(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id"
     gains = F.transform("p", lambda x: _gain(x["tf"], x["dl"], average))
     rows = blocks.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "segment", F.array_max(gains).alias("most"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), gains.alias("gains"))
     rows.repartitionByRange(parts, "bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment").write.partitionBy("bucket").parquet(f"{path}/postings")
-    return KeywordIndex(path, total, average, buckets)
+    return KeywordIndex(path, total, average, buckets, docs.schema[doc_id].dataType.simpleString())
 
 
 def bm25_indexed(index: KeywordIndex, queries: DataFrame, k: int, keep: DataFrame | None = None, within: DataFrame | None = None, widen: bool = True, doc_id: str = "doc_id", first: int = FIRST) -> DataFrame:
