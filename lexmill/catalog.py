@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import analytics, cases, checks, laws, relations, retrieval, trees
+from lexmill.plans import analytics, cases, checks, judging, laws, relations, retrieval, trees
 
-MODULES = (retrieval, analytics, trees, checks, cases, relations, laws)
+MODULES = (retrieval, analytics, trees, checks, cases, relations, laws, judging)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

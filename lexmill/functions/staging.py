@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,22 +91,74 @@ def met_in_blocks(rows: DataFrame, asked: DataFrame, row_key: Column, asked_key:
     return left.join(right, ["block__", "share__"]).drop("block__", "share__")
 
 
-#: Phrases that a block of them holds at most.
-PHRASES = 512
+#: Phrases that a block of them holds at most, and signs of a gram.
+PHRASES, GRAM = 512, 4
+_WORD = r"[\p{L}\p{N}_]+"
 
 
-def phrases_in(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """(columns of ``texts``, phrase): which distinct phrases each text holds, whatever the case.
+def _words(low: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)))
+
+
+def _grams(word: Column) -> Column:
+    """The distinct runs of GRAM signs in a word."""
+    return F.array_distinct(F.regexp_extract_all(word, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _by_blocks(texts: DataFrame, text: str, parts: DataFrame) -> DataFrame:
+    """(columns of ``texts``, part): the parts (part) that texts hold, every text held against every block of them."""
+    n = parts.count()
+    packed = parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(max(1, -(-n // PHRASES)))).alias("b__")).agg(F.collect_list("part").alias("ps__"))
+    wide = F.aggregate("ps__", F.lit(0), lambda s, p: s + F.octet_length(p) + 24)
+    met = met_in_blocks(texts, packed, F.xxhash64(text), F.col("b__"), wide)
+    return met.select(*texts.columns, F.explode(F.filter("ps__", lambda p: F.contains(F.col(text), p))).alias("part"))
+
 
-    Phrases are packed into blocks, and a text is held against a block in one
-    expression, so rows are as many as texts and blocks, not as pairs, before the
-    hits are taken out.
+def words_with(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, part): which words hold which parts of words.
+
+    A part stands at its rarest gram; words' grams are joined with these on
+    equality, and the whole part is looked for in what meets.  Parts shorter than
+    a gram are held against all words.
+    """
+    long = F.char_length("part") >= GRAM
+    grams = staged(vocabulary.where(F.char_length("word") >= GRAM).select("word", F.explode(_grams(F.col("word"))).alias("gram")))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    places = parts.where(long).select("part", F.explode(_grams(F.col("part"))).alias("gram")).join(often, "gram")
+    at = places.groupBy("part").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    found = grams.join(at, "gram").where(F.contains(F.col("word"), F.col("part"))).select("word", "part")
+    short = parts.where(~long)
+    return found if short.isEmpty() else found.unionByName(_by_blocks(vocabulary.select("word"), "word", short))
+
+
+def phrases_in(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """(columns of ``texts`` but the text, phrase): which distinct phrases each text holds, whatever the case.
+
+    A phrase stands at its longest word: where it occurs, that word is part of a
+    word of the text.  Which words of the whole vocabulary hold which of these is
+    found by the words' grams; texts' words are then joined on equality, and what
+    meets is held against the whole phrase.  The words are broadcast, in as many
+    blocks as their measured bytes ask for, and texts are not shuffled.  Phrases
+    without a word are held against every text; empty and null ones are in none.
     """
+    wide = texts.withColumns({"low__": F.lower(text), "row__": F.monotonically_increasing_id()})
+    own = [x for x in texts.columns if x != text]
     low = phrases.select(F.lower(phrase).alias("p")).where("p <> ''").distinct()
-    n = low.count()
-    block = F.pmod(F.xxhash64("p"), F.lit(max(1, -(-n // PHRASES))))
-    packed = low.groupBy(block.alias("b__")).agg(F.collect_list("p").alias("ps__"))
-    wide = F.aggregate("ps__", F.lit(0), lambda s, p: s + F.octet_length(p) + 24)
-    met = met_in_blocks(texts.withColumn("low__", F.lower(text)), packed, F.col("low__"), F.col("b__"), wide)
-    hits = met.withColumn("hits__", F.filter("ps__", lambda p: F.contains(F.col("low__"), p)))
-    return hits.select(*texts.columns, F.explode("hits__").alias("phrase"))
+    longest = F.array_max(F.transform(_words(F.col("p")), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    low = staged(low.select("p", longest.alias("part")))
+    vocabulary = staged(texts.select(F.explode(_words(F.lower(text))).alias("word")).distinct())
+    held = words_with(vocabulary, low.where("part is not null").select("part").distinct())
+    at = staged(held.join(hint_if_small(low, 48 + F.octet_length("p")), "part").groupBy("word").agg(F.collect_list("p").alias("ps__")))
+    size = byte_size(at, 64 + F.aggregate("ps__", F.lit(0), lambda s, p: s + F.octet_length(p) + 24))
+    blocks = max(1, -(-size // BROADCAST_BYTES))
+    each = wide.withColumn("word", F.explode(_words(F.col("low__"))))
+    hits = []
+    for b in range(blocks):
+        met = each.join(F.broadcast(at.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)), "word")
+        # a phrase that is one word, or a part of one, is there; longer ones are looked for
+        fits = F.filter("ps__", lambda p: F.contains(F.col("word"), p) | F.contains(F.col("low__"), p))
+        hits.append(met.select("row__", *own, F.explode(fits).alias("phrase")))
+    bare = low.where("part is null").select(F.col("p").alias("part"))
+    if not bare.isEmpty():
+        hits.append(_by_blocks(wide, "low__", bare).select("row__", *own, F.col("part").alias("phrase")))
+    return reduce(DataFrame.unionByName, hits).dropDuplicates(["row__", "phrase"]).drop("row__")

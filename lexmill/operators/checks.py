@@ -38,14 +38,16 @@ def verify_facts(facts: DataFrame, nodes: DataFrame, least: float = 0.6) -> Data
     0.8 times the share.  Facts by rule pass.
     """
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.length(t) > 3))
-    asked = staged(facts.where("source = 'llm'").select("value", terms.alias("terms")).distinct())
-    each = asked.select("value", F.size("terms").alias("n"), F.explode("terms").alias("phrase"))
-    held = phrases_in(nodes.select("node_id", "seq", "text"), "text", each, "phrase").select("node_id", "seq", "phrase")
-    met = staged(each.join(held, "phrase"))  # terms that nodes hold, fact by fact
-    every = met.groupBy("value", "n").agg(F.count_distinct("phrase").alias("met"))
-    node = met.groupBy("value", "node_id", "seq").agg(F.count(F.lit(1)).alias("own")).groupBy("value").agg(F.max_by("node_id", F.struct("own", -F.col("seq"))).alias("node"))
-    ratio = F.col("met") / F.greatest("n", F.lit(1))
-    good = every.where(ratio >= least).select("value", F.bround(0.8 * ratio, 2).alias("confidence")).join(node, "value")
+    # facts go by number: what is counted is far more than there are facts
+    asked = staged(facts.where("source = 'llm'").select("value", terms.alias("terms")).distinct().withColumn("fact", F.monotonically_increasing_id()))
+    each = hint_if_small(asked.select("fact", F.explode("terms").alias("phrase")), 24 + F.octet_length("phrase"))
+    held = staged(phrases_in(nodes.select("node_id", "seq", "text"), "text", asked.select(F.explode("terms").alias("phrase")), "phrase").select("node_id", "seq", "phrase"))
+    every = held.select("phrase").distinct().join(each, "phrase").groupBy("fact").agg(F.count(F.lit(1)).alias("met"))
+    own = held.join(each, "phrase").groupBy("fact", "node_id", "seq").agg(F.count(F.lit(1)).alias("own"))
+    node = own.groupBy("fact").agg(F.max_by("node_id", F.struct("own", -F.col("seq"))).alias("node"))
+    ratio = F.col("met") / F.greatest(F.size("terms"), F.lit(1))
+    found = asked.join(every, "fact").join(node, "fact")
+    good = found.where(ratio >= least).select("value", F.bround(0.8 * ratio, 2).alias("confidence"), "node")
     ruled = facts.where("source = 'regex'").select("*", F.lit(1.0).alias("confidence"))
     return ruled.unionByName(facts.where("source = 'llm'").join(good, "value").withColumn("evidence_node", F.coalesce("node", "evidence_node")).drop("node"))
 

@@ -74,16 +74,35 @@ def _guarded(fact: Column, answer: Column) -> Column:
     return (at > 0) & ~before.rlike(NEGATED)
 
 
+# Other ways to say a fact.
+FACT_SYNONYMS = {
+    "miễn": ["miễn thuế", "không phải nộp", "không nộp thuế", "được miễn"],
+    "0,5%": ["0.5%", "0,5 %", "0.5 %"],
+    "0,03%": ["0.03%", "0,03 %"],
+    "15,5 triệu": ["15.5 triệu", "15,500,000", "15.500.000"],
+    "6,2 triệu": ["6.2 triệu", "6,200,000", "6.200.000"],
+}
+
+
 def fact_in_answer(fact: Column, answer: Column) -> Column:
-    """True if an answer states a fact: as it is, unmarked, written out, paraphrased without negation, or as another form of a number."""
+    """True if an answer states a fact: as it is, unmarked, written out, paraphrased without negation, as another form of a number, or by a synonym.
+
+    Amounts that are no whole millions or billions are looked for with two places
+    of a million and one of a billion.
+    """
     low_f, low_a = F.trim(F.lower(fact)), F.lower(answer)
     para_f, para_a = plain_paraphrase(low_f), plain_paraphrase(low_a)
     plain = F.regexp_extract(low_f, r"^([\d.]+)\s*(?:vnd|vnđ|đồng|₫)?$", 1)
     value = F.replace(plain, F.lit("."), F.lit("")).try_cast("long")
     scaled = lambda unit, by: F.regexp_replace(F.regexp_extract(low_f, rf"^([\d,.]+)\s*{unit}$", 1), "[,.]", "").try_cast("long") * by
     grouped = lambda n: F.contains(answer, n.cast("string")) | F.contains(answer, F.format_number(n, 0))
-    millions = F.concat((value / 1_000_000).cast("long").cast("string"), F.lit(" triệu"))
-    billions = F.concat((value / 1_000_000_000).cast("long").cast("string"), F.lit(" tỷ"))
+
+
+    def scaled_down(unit: int, places: int, name: str) -> Column:
+        part = F.replace(F.format_string(f"%.{places}f", F.bround(value / unit, places)), F.lit("."), F.lit(","))
+        return (value >= unit) & F.contains(low_a, F.concat(F.when(value % unit == 0, F.floor(value / unit).cast("string")).otherwise(part), F.lit(f" {name}")))
+
+    said = F.try_element_at(F.create_map(*[x for k, v in FACT_SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), low_f)
     cases = [
         F.contains(low_a, low_f),
         F.contains(strip_markdown(low_a), low_f),
@@ -93,9 +112,10 @@ def fact_in_answer(fact: Column, answer: Column) -> Column:
         F.contains(low_f, F.lit("%")) & (F.contains(low_a, F.replace(low_f, F.lit(" "), F.lit(""))) | F.contains(low_a, F.replace(low_f, F.lit("%"), F.lit(" %")))),
         grouped(scaled("triệu", 1_000_000)),
         grouped(scaled("tỷ", 1_000_000_000)),
-        (value >= 1_000_000) & (value % 1_000_000 == 0) & F.contains(low_a, millions),
-        (value >= 1_000_000_000) & (value % 1_000_000_000 == 0) & F.contains(low_a, billions),
+        scaled_down(1_000_000, 2, "triệu"),
+        scaled_down(1_000_000_000, 1, "tỷ"),
         F.contains(answer, F.format_number(value, 0)),
+        F.exists(said, lambda x: F.contains(low_a, x)),
     ]
     out = F.lit(False)
     for c in cases:
@@ -189,9 +209,19 @@ def missing_facts(facts: DataFrame, retrieved: DataFrame, chunks: DataFrame, nod
     return out.select("question_id", "fact", kind.alias("lost_in"))
 
 
-def false_refusal(answer: Column, expected: Column, retrieved: Column, refusal: str = r"(?iu)không tìm thấy|không có thông tin|ngoài phạm vi") -> Column:
-    """True if an answer declines although an expected document was retrieved."""
-    return answer.rlike(refusal) & F.coalesce(F.arrays_overlap(expected, retrieved), F.lit(False))
+# What a refusal says, and the length from which an answer is none.
+REFUSALS = [
+    "không đủ cơ sở", "không có thông tin", "chưa thể xác định", "không tìm thấy quy định", "không có căn cứ",
+    "ngoài phạm vi", "chưa có quy định", "không thể trả lời", "không có căn cứ pháp lý",
+]
+REFUSAL_LENGTH = 250
+
+
+def false_refusal(answer: Column, expected: Column, retrieved: Column, tier4: Column) -> Column:
+    """True if a short answer declines, no fact is in it (tier 4 is 0 or null), and an expected document was retrieved."""
+    text = F.regexp_replace(F.lower(F.coalesce(answer, F.lit(""))), r"^\s+|\s+$", "")
+    declines = F.exists(F.array(*map(F.lit, REFUSALS)), lambda x: F.contains(text, x))
+    return (F.length(text) < REFUSAL_LENGTH) & declines & F.coalesce(F.arrays_overlap(expected, retrieved), F.lit(False)) & (tier4.isNull() | (tier4 == 0))
 
 
 def select_questions(

@@ -14,17 +14,18 @@ def latest_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, resets: DataFrame | None = None, max_rounds: int = 12) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, resets: DataFrame | None = None) -> DataFrame:
     """Nodes reached from seeds (query_id, node_id): (query_id, node_id, depth), the least depth of each.
 
     Every round joins the frontier with the edges (src, dst) and drops what was
-    reached at no greater depth.  An edge of ``resets`` (src, dst) leads to depth 0
-    again.  Only whether the frontier is empty comes to the driver; each round is
-    written to the shared folder, so that a lost executor costs one round.
+    reached at no greater depth, so loops end.  An edge of ``resets`` (src, dst)
+    leads to depth 0 again; with them rounds go on until nothing is new.  Only
+    whether the frontier is empty comes to the driver; each round is written to
+    the shared folder, so that a lost executor costs one round.
     """
     seen = seeds.select("query_id", "node_id", F.lit(0).alias("depth")).distinct()
-    frontier, rounds = seen, depth if resets is None else max_rounds
-    for _ in range(rounds):
+    frontier, rounds = seen, 0
+    while rounds < depth or resets is not None:
         step = frontier.where(F.col("depth") < depth).join(edges, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
         if resets is not None:
             jump = frontier.where(F.col("depth") < depth).join(resets, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), F.lit(0).alias("depth"))
@@ -32,9 +33,10 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2, resets: DataFrame
         step = step.groupBy("query_id", "node_id").agg(F.min("depth").alias("depth"))
         known = seen.withColumnRenamed("depth", "old")
         frontier = staged(step.join(known, ["query_id", "node_id"], "left").where(F.col("old").isNull() | (F.col("depth") < F.col("old"))).select("query_id", "node_id", "depth"))
-        if resets is not None and frontier.limit(1).count() == 0:
+        if frontier.isEmpty():
             break
         seen = staged(seen.unionByName(frontier).groupBy("query_id", "node_id").agg(F.min("depth").alias("depth")))
+        rounds += 1
     return seen
 
 
@@ -42,23 +44,24 @@ def resolve_external(targets: DataFrame, documents: DataFrame, nodes: DataFrame)
     """Targets outside a document to nodes of the corpus: documents (priority, keyword, doc_id).
 
     The first keyword found in the target names the document; of its nodes that end
-    like the target the shortest id is taken.
+    like the target (from an article on) the shortest id is taken.
     """
     low = F.lower("target_id")
     asked = targets.where(low.startswith("external_")).select("target_id").distinct()
-    met = phrases_in(asked, "target_id", documents, "keyword").select("target_id", F.col("phrase").alias("keyword"))
+    met = phrases_in(asked.withColumn("text", F.col("target_id")), "text", documents, "keyword").select("target_id", F.col("phrase").alias("keyword"))
     met = met.join(hint_if_small(documents.withColumn("keyword", F.lower("keyword")), 96), "keyword")
     first = met.groupBy("target_id").agg(F.min_by("doc_id", "priority").alias("of"))
     tail = F.regexp_extract(low, r"(_dieu_.*)$", 1)
     asked = first.withColumn("tail", tail).where("tail <> ''")
-    ids = nodes.select("doc_id", "node_id", F.lower("node_id").alias("low_id"))
-    fits = asked.join(ids, asked["of"] == ids["doc_id"]).where(F.col("low_id").endswith(F.col("tail")))
+    ends = F.regexp_extract_all(F.lower("node_id"), F.lit(r"(?=(_dieu_.*)$)"), F.lit(1))  # one for each article in the id
+    ids = nodes.select(F.col("doc_id").alias("of"), "node_id", F.explode(ends).alias("tail"))
+    fits = asked.join(ids, ["of", "tail"])
     return fits.groupBy("target_id").agg(F.min_by("node_id", F.struct(F.length("node_id"), "node_id")).alias("node_id"))
 
 
 def descendants(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """Nodes below (and at) given ones by their paths: tops (doc_id, seq)."""
-    return nodes.join(tops.withColumnRenamed("seq", "top"), "doc_id").where(F.array_contains("path", F.col("top")))
+    return nodes.withColumn("top", F.explode(F.array_distinct("path"))).join(tops.withColumnRenamed("seq", "top"), ["doc_id", "top"])
 
 
 def first_article(nodes: DataFrame, asked: DataFrame) -> DataFrame:

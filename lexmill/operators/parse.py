@@ -7,8 +7,10 @@ are resolved from the top down, so that a dropped orphan never becomes a parent.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -300,25 +302,76 @@ def merge_split_tables(tables: DataFrame) -> DataFrame:
     return merged.select("doc_id", (F.col("run") - 1).cast("int").alias("table_index"), "page_number", "headers", "rows", F.size("rows").alias("row_count"), F.size("headers").alias("col_count"))
 
 
-def apply_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
-    """Nodes with corrections applied: patches (doc_id, op_seq, op, node_id, field, value).
+PATCHED = ("title", "content", "lead_in")
+
 
-    set_field: the last value of each field holds; remove_node takes its subtree;
-    add_node puts a node behind another (value: its content, field: its id);
-    applying them again changes nothing.  Tables and references have functions of
-    their own.
+def _replay(rows: list[dict]) -> list[dict]:
+    """What a document's patches, one after the other, make of the nodes they name (rows of op ``base``).
+
+    A node's ``place`` tells what it stands below: its own id, or for an added one
+    that of the node behind which it stands.
+    """
+    nodes = {r["node_id"]: {**r, "alive": True, "origin": r["node_id"], "place": r["node_id"]} for r in rows if r["op"] == "base"}
+    tops: list[str] = []
+    for r in sorted((r for r in rows if r["op"] != "base"), key=lambda r: r["op_seq"]):
+        own = nodes.get(r["node_id"])
+        if r["op"] == "remove_node":
+            top = r["node_id"]
+            tops.append(top)
+            for node_id, n in nodes.items():
+                if node_id == top or node_id.startswith(f"{top}_") or n["place"].startswith(f"{top}_"):
+                    n["alive"] = False
+        elif own is None or not own["alive"]:
+            continue  # what is not there, or not any more, is not changed
+        elif r["op"] == "set_field" and r["field"] in PATCHED:
+            own[r["field"]] = r["value"]
+        elif r["op"] == "add_node" and r["field"] and not nodes.get(r["field"], {}).get("alive"):
+            end = min((n["seq"] for n in nodes.values() if n["alive"] and own["seq"] < n["seq"]), default=float("inf"))
+            seq = (own["seq"] + min(end, math.floor(own["seq"]) + 1)) / 2  # between it and what comes next
+            nodes[r["field"]] = {**own, "node_id": r["field"], "content": r["value"], "seq": seq}
+    kept = [{k: n[k] for k in ("node_id", "alive", "origin", "seq", *PATCHED)} for n in nodes.values()]
+    return kept + [{"node_id": t, "alive": None, "origin": None, "seq": None, **dict.fromkeys(PATCHED)} for t in tops]
+
+
+def apply_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """Nodes with corrections applied in the order of op_seq: patches (doc_id, op_seq, op, node_id, field, value).
+
+    set_field sets title, content or lead_in; remove_node takes its subtree (ids
+    that go on behind it); add_node puts a node behind another of the same parent
+    (value: its content, field: its id), with that one's other columns and, where
+    seq is a double, a seq between it and what follows.  Each sees what the ones
+    before it left: a node added behind an added one, fields set on an added node,
+    nothing done to a removed one.  Applying them again changes nothing.  Tables
+    and references have functions of their own.
+
+    Only a document's patches and the nodes they name meet in a task, never all
+    its nodes; these are joined with the outcome.
     """
-    gone = patches.where("op = 'remove_node'").select("doc_id", F.col("node_id").alias("top"))
-    cond = (nodes["doc_id"] == gone["doc_id"]) & ((nodes["node_id"] == gone["top"]) | nodes["node_id"].startswith(F.concat(gone["top"], F.lit("_"))))
-    kept = nodes.join(hint_if_small(gone, 128), cond, "left_anti")
-    sets = patches.where("op = 'set_field'").groupBy("doc_id", "node_id").pivot("field", ["title", "content", "lead_in"]).agg(F.max_by("value", "op_seq"))
-    both = kept.join(sets.select("doc_id", "node_id", *[F.col(c).alias(f"n_{c}") for c in ("title", "content", "lead_in")]), ["doc_id", "node_id"], "left")
-    out = both.select(*[F.coalesce(f"n_{c}", c).alias(c) if c in ("title", "content", "lead_in") else both[c] for c in nodes.columns])
-    new = patches.where("op = 'add_node'").select("doc_id", F.col("field").alias("new_id"), F.col("node_id").alias("after"), "value")
-    fresh = new.join(out.select("doc_id", F.col("node_id").alias("new_id")), ["doc_id", "new_id"], "left_anti")
-    added = fresh.join(out.withColumnRenamed("node_id", "after").drop("content"), ["doc_id", "after"])
-    added = added.withColumn("node_id", F.col("new_id")).withColumn("content", F.col("value")).withColumn("seq", F.col("seq") + 0.5 if dict(nodes.dtypes)["seq"] == "double" else F.col("seq")).select(*nodes.columns)
-    return out.unionByName(added)
+    node_type = lambda c: dict(nodes.dtypes)[c]
+    patches = patches.where("op in ('set_field', 'remove_node', 'add_node')").select("doc_id", F.col("op_seq").cast("int").alias("op_seq"), "op", "node_id", "field", F.col("value").cast("string").alias("value"))
+    named = patches.select("doc_id", "node_id").unionByName(patches.where("op = 'add_node'").select("doc_id", F.col("field").alias("node_id"))).distinct()
+    named = hint_if_small(staged(named), 128)
+    base = nodes.join(named, ["doc_id", "node_id"]).select("doc_id", F.lit(None).cast("int").alias("op_seq"), F.lit("base").alias("op"), "node_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.col("seq").cast("double").alias("seq"), *PATCHED)
+    rows = base.unionByName(patches, allowMissingColumns=True)
+    schema = f"doc_id {node_type('doc_id')}, node_id string, alive boolean, origin string, seq double, " + ", ".join(f"{c} string" for c in PATCHED)
+
+    def replay(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        out = _replay(group.to_pylist())
+        columns = [pa.array([key[0].as_py()] * len(out), group.schema.field("doc_id").type), pa.array([r["node_id"] for r in out], pa.string()), pa.array([r["alive"] for r in out], pa.bool_())]
+        columns += [pa.array([r["origin"] for r in out], pa.string()), pa.array([r["seq"] for r in out], pa.float64()), *[pa.array([r[c] for r in out], pa.string()) for c in PATCHED]]
+        return pa.Table.from_arrays(columns, ["doc_id", "node_id", "alive", "origin", "seq", *PATCHED])
+
+    outcome = staged(rows.groupBy("doc_id").applyInArrow(replay, schema))
+    tops = hint_if_small(outcome.where("alive is null").select("doc_id", F.col("node_id").alias("top")).distinct(), 128)
+    parts = F.split("node_id", "_")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    below = nodes.where(F.size(parts) > 1).select("doc_id", "node_id", F.explode(above).alias("top")).join(tops, ["doc_id", "top"], "left_semi").select("doc_id", "node_id").distinct()
+    kept = nodes.join(named, ["doc_id", "node_id"], "left_anti").join(below, ["doc_id", "node_id"], "left_anti")
+    found = outcome.where("alive").select("doc_id", F.col("origin").alias("node_id"), F.col("node_id").alias("as__"), *[F.col(c).alias(f"{c}__") for c in ("seq", *PATCHED)])
+    seq = F.col("seq__") if node_type("seq") == "double" else F.col("seq")
+    new = {"node_id": F.col("as__"), "seq": seq, **{c: F.col(f"{c}__") for c in PATCHED}}
+    changed = nodes.join(hint_if_small(found, 512), ["doc_id", "node_id"]).select(*[new.get(c, F.col(c)).alias(c) for c in nodes.columns])
+    return kept.unionByName(changed)
 
 
 TABLE_VALUE = "table_index int, page_number int, headers array<string>, rows array<array<string>>"

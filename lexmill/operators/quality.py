@@ -14,10 +14,16 @@ def _issues(rows: DataFrame, code: str, severity: Column | str, detail: Column)
 
 
 def duplicate_siblings(nodes: DataFrame) -> DataFrame:
-    """Second nodes of the same type and index below one parent: a warning if the id already has a count, else an error."""
+    """Second nodes of the same type and index (one without an index has no twin) below one parent.
+
+    A warning if the id ends in a count, as ids of flattened amendments do: what
+    follows its last clause is looked at, or else its last point, or else all of it.
+    """
+    tail = F.when(F.contains("node_id", F.lit("_khoan_")), F.substring_index("node_id", "_khoan_", -1)).when(F.contains("node_id", F.lit("_diem_")), F.substring_index("node_id", "_diem_", -1)).otherwise(F.col("node_id"))
+    nodes = nodes.where(F.coalesce(F.col("node_index").cast("string"), F.lit("")) != "")
     w = Window.partitionBy("doc_id", "parent_id", "node_type", "node_index").orderBy("seq")
     rows = nodes.withColumn("n__", F.row_number().over(w)).withColumn("first__", F.first("node_id").over(w)).where("n__ > 1")
-    return _issues(rows, "duplicate", F.when(F.col("node_id").rlike(r"_\d+_\d+$"), "warning").otherwise("error"), F.col("first__"))
+    return _issues(rows, "duplicate", F.when(tail.rlike(r"_\d+$"), "warning").otherwise("error"), F.col("first__"))
 
 
 def missing_ids(nodes: DataFrame) -> DataFrame:
@@ -47,9 +53,10 @@ def unsplit_references(edges: DataFrame) -> DataFrame:
     return _issues(edges.where(many), "unsplit", "warning", F.col("match"))
 
 
-def validate(nodes: DataFrame) -> DataFrame:
-    """All node checks."""
-    return reduce(DataFrame.unionByName, [f(nodes) for f in (duplicate_siblings, missing_ids, bad_breadcrumbs, bad_targets, empty_articles)])
+def validate(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """All node checks, and that of reference texts (doc_id, node_id, match) if there are any."""
+    found = [f(nodes) for f in (duplicate_siblings, missing_ids, bad_breadcrumbs, bad_targets, empty_articles)]
+    return reduce(DataFrame.unionByName, found if edges is None else [*found, unsplit_references(edges)])
 
 
 def stage_invariants(nodes: DataFrame) -> DataFrame:

@@ -372,12 +372,6 @@ CASES: dict[str, Cases] = {
         [(1.0, 1.0, 0.0, 1.0, True, True), (0.0, 1.0, 1.0, 1.0, True, False), (None, None, 0.5, None, False, False), (None, None, None, None, False, False), (1.0, 0.5, 0.5, 0.5, False, False)],
         lambda: {"r": evaluation.passed_all_tiers(c("a"), c("b"), c("d"), c("e")), "one_calc": evaluation.passed(evaluation.overall_score(c("a"), c("b"), c("e"), F.lit(1)), F.lit(True), c("a"))},
     ),
-    "false_refusals": Cases(
-        "a string, e array<string>, g array<string>",
-        "r BOOLEAN",
-        [("Không tìm thấy thông tin", ["d1"], ["d1", "d2"], True), ("Không tìm thấy", ["d1"], ["d2"], False), ("Theo Điều 5", ["d1"], ["d1"], False), ("ngoài phạm vi", ["d1"], [], False)],
-        lambda: {"r": evaluation.false_refusal(c("a"), c("e"), c("g"))},
-    ),
     "calculator_numbers": Cases("x double, y double, z double", "r VARCHAR", [(1.5, -3.0, 10.4, "2|10"), (None, 0.0, 2.5, "2"), (1e9, 7.0, 0.2, "1000000000|7|0"), (None, None, None, "")], lambda: {"r": _joined(evaluation.calculator_numbers([c("x"), c("y"), c("z")]))}),
     "annotation_check": Cases(
         "who array<string>, dom array<string>, kind string, f string, t string, conf double",

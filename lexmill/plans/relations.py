@@ -88,13 +88,13 @@ SELECT o_orderkey AS doc_id, CAST(o_orderkey % 3 AS VARCHAR) AS number, o_orderk
 
 
 def holds_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold the first sixteen characters of a test item."""
+    """Which documents hold a whole test item."""
     texts = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text")
-    phrases = table(spark, sf_dir, "benchmark").select(c("item_id").alias("phrase_id"), F.substring("text", 1, 16).alias("phrase"))
+    phrases = table(spark, sf_dir, "benchmark").select(c("item_id").alias("phrase_id"), c("text").alias("phrase"))
     return graph.holds_phrase(texts, phrases)
 
 
-PHRASE_SQL = "SELECT item_id AS phrase_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text[1:16]))"
+PHRASE_SQL = "SELECT item_id AS phrase_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))"
 
 
 def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +177,8 @@ SELECT value, seq, source FROM r WHERE n = 1"""
 
 
 def verify_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of the test items as facts of a model; documents bear them out or not."""
-    words = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"[^\p{L} ]", " "), " +"), 1, 4))
+    """Test items as facts of a model, word by word; documents bear them out or not."""
+    words = F.regexp_replace("text", r"[^\p{L} ]+", " ")
     facts = table(spark, sf_dir, "benchmark").select(words.alias("value")).distinct().withColumns({"source": F.lit("llm"), "evidence_node": F.lit("").cast("string")})
     ruled = spark.createDataFrame([("5 %", "regex", "n0")], "value string, source string, evidence_node string")
     nodes = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("node_id"), c("doc_id").alias("seq"), "text")
@@ -186,7 +186,7 @@ def verify_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERIFY_SQL = r"""
-WITH f AS (SELECT DISTINCT array_to_string(regexp_split_to_array(regexp_replace(text, '[^\p{L} ]', ' ', 'g'), ' +')[1:4], ' ') AS value FROM benchmark),
+WITH f AS (SELECT DISTINCT regexp_replace(text, '[^\p{L} ]+', ' ', 'g') AS value FROM benchmark),
 t AS (SELECT value, unnest(list_distinct(list_filter(regexp_extract_all(lower(value), '[\p{L}\p{N}_]+'), lambda x: length(x) > 3))) AS term FROM f),
 n AS (SELECT value, count(*) AS n FROM t GROUP BY 1),
 u AS (SELECT DISTINCT term FROM t),

@@ -192,6 +192,62 @@ w(query_id, node_id, depth) AS (SELECT node_id, node_id, 0 FROM geo WHERE parent
 SELECT query_id, node_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2"""
 
 
+def bfs_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each customer's nation along the nations: every second step leads to depth 0 again, so all later ones are reached."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    ahead = n.select(F.col("n_nationkey").cast("string").alias("src"), (F.col("n_nationkey") + 1).cast("string").alias("dst"), (F.col("n_nationkey") % 2).alias("odd")).where("n_nationkey < 24")
+    seeds = c.select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").cast("string").alias("node_id"))
+    return graph.expand(seeds, ahead.where("odd = 0").drop("odd"), 2, ahead.where("odd = 1").drop("odd"))
+
+
+RESETS_SQL = """
+SELECT c_custkey AS query_id, CAST(n_nationkey AS VARCHAR) AS node_id, CAST(CASE WHEN n_nationkey = c_nationkey OR n_nationkey % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS depth
+FROM customer JOIN nation ON n_nationkey >= c_nationkey"""
+
+
+def patch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of their lines: nodes added behind added ones, fields of added nodes, and what comes after a removal."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    doc, line = F.col("l_orderkey"), lambda x: F.concat_ws("_", "doc_id", F.lit(x))
+    nodes = li.select(doc.alias("doc_id"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("node_id"), F.col("l_linenumber").cast("double").alias("seq"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("content"), F.lit("").alias("lead_in"))
+    ops = [
+        (1, "add_node", "1", "a", "first"), (2, "add_node", "a", "b", "second"), (3, "set_field", "a", "title", "named"), (4, "remove_node", "2", None, None), (5, "set_field", "2", "content", "lost"),
+        (6, "add_node", "2", "c", "lost"), (7, "set_field", "1", "title", "once"), (8, "set_field", "1", "title", "twice"), (9, "remove_node", "b", None, None), (10, "add_node", "1", "b", "again"), (11, "set_field", "3", "lead_in", "so"),
+    ]
+    docs = li.select(doc.alias("doc_id")).distinct().where("doc_id % 4 <> 1")
+    with_id = lambda op, x: F.lit(x) if op != "add_node" else line(x)
+    each = [F.struct(F.lit(s).alias("op_seq"), F.lit(op).alias("op"), line(n).alias("node_id"), (F.lit(None).cast("string") if f is None else with_id(op, f)).alias("field"), F.lit(v).cast("string").alias("value")) for s, op, n, f, v in ops]
+    patches = docs.select("doc_id", F.inline(F.array(*each)))
+    return parse.apply_patches(nodes, patches).select("doc_id", "node_id", "title", "content", "lead_in", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("place"))
+
+
+REPLAY_SQL = """
+WITH l AS (SELECT l_orderkey AS doc_id, l_orderkey % 4 <> 1 AS p, l_linenumber AS n, max(l_returnflag) AS title, max(l_linestatus) AS content FROM lineitem GROUP BY l_orderkey, l_linenumber),
+r AS (SELECT doc_id, doc_id || '_' || n AS node_id, n AS spot, CASE WHEN p AND n = 1 THEN 'twice' ELSE title END AS title, content, CASE WHEN p AND n = 3 THEN 'so' ELSE '' END AS lead_in FROM l WHERE NOT (p AND n = 2)
+UNION ALL SELECT doc_id, doc_id || '_a', 1.5, 'named', 'first', '' FROM l WHERE p AND n = 1
+UNION ALL SELECT doc_id, doc_id || '_b', 1.25, 'twice', 'again', '' FROM l WHERE p AND n = 1)
+SELECT doc_id, node_id, title, content, lead_in, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS INTEGER) AS place FROM r"""
+
+
+def twin_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as clauses and points, several of one index below a parent: twins whose ids end in a count are warnings."""
+    li = table(spark, sf_dir, "lineitem")
+    n, k = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
+    kind = F.when(F.col("l_returnflag") == "R", "khoan").when(F.col("l_returnflag") == "A", "diem").otherwise("dieu")
+    count = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("_"), n)).otherwise(F.lit(""))
+    node = F.when(kind == "diem", F.concat(F.lit("d"), k, F.lit("_diem_a"), count)).when(kind == "khoan", F.concat(F.lit("d"), k, F.lit("_khoan_1"), count)).otherwise(F.concat(F.lit("d"), k, F.lit("x"), count))
+    nodes = li.select(k.alias("doc_id"), k.alias("parent_id"), kind.alias("node_type"), F.when(F.col("l_linenumber") == 5, "").otherwise(F.lit("1")).alias("node_index"), node.alias("node_id"), F.col("l_linenumber").alias("seq"))
+    found = quality.duplicate_siblings(nodes)
+    return found.select("doc_id", "node_id", "severity")
+
+
+TWINS_SQL = """
+WITH n AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS seq, CASE l_returnflag WHEN 'R' THEN 'khoan' WHEN 'A' THEN 'diem' ELSE 'dieu' END AS kind FROM lineitem WHERE l_linenumber <> 5),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) AS k FROM n)
+SELECT doc_id, 'd' || doc_id || CASE kind WHEN 'khoan' THEN '_khoan_1' WHEN 'diem' THEN '_diem_a' ELSE 'x' END || CASE WHEN seq % 2 = 0 THEN '_' || seq ELSE '' END AS node_id,
+       CASE WHEN seq % 2 = 0 THEN 'warning' ELSE 'error' END AS severity FROM w WHERE k > 1"""
+
+
 def impl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of up to three steps from key to a third of it."""
     c = table(spark, sf_dir, "customer")
@@ -204,12 +260,15 @@ WITH RECURSIVE w(root, doc_id, hop) AS (SELECT c_custkey, c_custkey, 0 FROM cust
 SELECT root, doc_id, CAST(min(hop) AS INTEGER) AS hop FROM w WHERE hop > 0 GROUP BY 1, 2"""
 
 
-QUERIES = [line_classify, guidance_sections, merge_split_tables, parse_tree, reference_detect, chunk_index, exception_index, patch_apply, validate_nodes, tree_metrics, chunk_tree, chunk_stats, bfs_expand, impl_chain]
+QUERIES = [line_classify, guidance_sections, merge_split_tables, parse_tree, reference_detect, chunk_index, exception_index, patch_apply, validate_nodes, tree_metrics, chunk_tree, chunk_stats, bfs_expand, bfs_resets, patch_replay, twin_nodes, impl_chain]
 SQL = {
     "line_classify": LINE_SQL,
     "guidance_sections": GUIDANCE_SQL,
     "merge_split_tables": MERGE_SQL,
     "patch_apply": PATCH_SQL,
+    "bfs_resets": RESETS_SQL,
+    "patch_replay": REPLAY_SQL,
+    "twin_nodes": TWINS_SQL,
     "validate_nodes": VALIDATE_SQL,
     "tree_metrics": METRICS_SQL,
     "chunk_tree": CHUNK_TREE_SQL,

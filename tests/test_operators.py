@@ -144,6 +144,80 @@ def test_expand_with_reset(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "x": 0, "y": 1, "z": 2}
 
 
+def test_long_chain_of_resets(spark):
+    """Every second edge of a long chain leads back to depth 0, so the whole chain is reached."""
+    seeds = spark.createDataFrame([(1, "0")], "query_id int, node_id string")
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(0, 30, 2)] + [("30", "0")], "src string, dst string")
+    jump = spark.createDataFrame([(str(i), str(i + 1)) for i in range(1, 30, 2)], "src string, dst string")
+    got = {r.node_id: r.depth for r in graph.expand(seeds, edges, 2, jump).collect()}
+    assert got == {str(i): i % 2 for i in range(31)}
+
+
+@pytest.mark.parametrize(
+    ("fact", "answer", "want"),
+    [
+        ("miễn", "không phải nộp", True), ("0,5%", "mức 0.5%", True), ("1.500.000.000 đồng", "khoảng 1,5 tỷ", True), ("15,5 triệu", "là 15.500.000", True),
+        ("15.250.000", "15,25 triệu", True), ("15.250.000", "15,2 triệu", False), ("999.000", "0,999 triệu", False), ("6,2 triệu", "6,3 triệu", False),
+    ],
+)
+def test_facts_by_other_forms(spark, fact, answer, want):
+    r = spark.createDataFrame([(fact, answer)], "f string, a string").select(evaluation.fact_in_answer(F.col("f"), F.col("a")).alias("y"))
+    assert r.first().y is want
+
+
+def test_false_refusal(spark):
+    rows = [
+        ("Không tìm thấy thông tin", ["d"], ["d"], 0.0, False), ("Không đủ cơ sở pháp lý", ["d"], ["d"], None, True), ("KHÔNG CÓ CĂN CỨ", ["d"], ["d"], 0.0, True), ("ngoài phạm vi " + "x" * 250, ["d"], ["d"], 0.0, False),
+        ("ngoài phạm vi", ["d"], ["e"], 0.0, False), ("ngoài phạm vi", [], ["d"], 0.0, False), ("ngoài phạm vi", ["d"], ["d"], 0.5, False), (None, ["d"], ["d"], 0.0, False), ("ngoài phạm vi", None, ["d"], 0.0, False),
+    ]
+    df = spark.createDataFrame(rows, "a string, e array<string>, g array<string>, t double, want boolean")
+    for r in df.select(evaluation.false_refusal(F.col("a"), F.col("e"), F.col("g"), F.col("t")).alias("y"), "want").collect():
+        assert r.y is r.want
+
+
+def test_twins_with_and_without_a_count(spark):
+    rows = [("d", "p", "diem", "a", "x_diem_a", 1), ("d", "p", "diem", "a", "x_diem_a_2", 2), ("d", "p", "diem", "a", "x_diem_a", 3), ("d", "q", "khoan", "1", "x_dieu_2_khoan_1", 1), ("d", "q", "khoan", "1", "x_dieu_2_khoan_1_2", 2), ("d", "q", "khoan", "", "x", 3), ("d", "q", "khoan", "", "y", 4)]
+    got = quality.duplicate_siblings(spark.createDataFrame(rows, "doc_id string, parent_id string, node_type string, node_index string, node_id string, seq int")).collect()
+    assert sorted((r.node_id, r.severity) for r in got) == [("x_diem_a", "error"), ("x_diem_a_2", "warning"), ("x_dieu_2_khoan_1_2", "warning")]
+
+
+def plain_replay(nodes, ops):
+    """A list in document order, changed by one patch after the other."""
+    rows = [dict(n) for n in nodes]
+    for op, node, field, value in ops:
+        at = next((i for i, r in enumerate(rows) if r["id"] == node), None)
+        if op == "remove_node":
+            rows = [r for r in rows if r["id"] != node and not r["id"].startswith(node + "_") and not r["of"].startswith(node + "_")]
+        elif at is not None and op == "set_field":
+            rows[at][field] = value
+        elif at is not None and not any(r["id"] == field for r in rows):
+            rows.insert(at + 1, {**rows[at], "id": field, "content": value})
+    return [(r["id"], r["title"], r["content"]) for r in rows]
+
+
+def test_patches_in_order(spark):
+    import random
+
+    ids = ["a", "a_1", "a_1_x", "a_2", "b", "b_1", "c"]
+    nodes = [{"id": i, "of": i, "title": "t", "content": i} for i in ids]
+    frame = spark.createDataFrame([(d, n["id"], float(i), n["title"], n["content"], "") for d in ("d0", "d1", "d2", "d3", "d4", "whole") for i, n in enumerate(nodes)], "doc_id string, node_id string, seq double, title string, content string, lead_in string")
+    want, patches = {("whole"): [(n["id"], "t", n["content"]) for n in nodes]}, []
+    for d in range(5):
+        dice = random.Random(d)
+        ops = []
+        for _ in range(14):
+            node = dice.choice([*ids, "n1", "n2", "gone"])
+            op = dice.choice(["set_field", "add_node", "add_node", "remove_node"])
+            ops.append((op, node, dice.choice(["n1", "n2", "a_1"]) if op == "add_node" else "title", f"v{dice.randrange(9)}"))
+        want[f"d{d}"] = plain_replay(nodes, ops)
+        patches += [(f"d{d}", i, *o) for i, o in enumerate(ops)]
+    p = spark.createDataFrame(patches, "doc_id string, op_seq int, op string, node_id string, field string, value string")
+    got = {}
+    for r in parse.apply_patches(frame, p).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append((r.node_id, r.title, r.content))
+    assert got == {d: rows for d, rows in want.items() if rows}
+
+
 def test_dialogue(spark):
     turns = [(1, 0, "user", "Tôi là hộ kinh doanh, thuế khoán thế nào?"), (1, 1, "assistant", "..."), (1, 2, "user", "Ngoài ra lương 20 triệu/tháng?"), (1, 3, "user", "Công ty bị xử phạt ra sao?"), (2, 0, "user", None)]
     got = {(r.conv_id, r.turn): r for r in state.dialogue_states(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
