@@ -215,6 +215,44 @@ def exception_factor(similarity: Column, upper: Column, lower: Column) -> Column
     return F.when(similarity >= upper, ALLOW).when(similarity <= lower, BLOCK).otherwise(SOFT)
 
 
+def rerank_with_intent(hits: DataFrame, annotations: DataFrame, intents: DataFrame) -> DataFrame:
+    """Hits with ``bonus`` and ``final_score``, ranked by the latter: rrf_score raised by what chunk and question share.
+
+    annotations (chunk_id, domains, activities, who, content, effective_from,
+    effective_to) are those of annotated chunks, the others get no bonus; intents
+    (query_id, domains, activities, who, requires_calculation, as_of).  A chunk
+    without dates counts as valid.
+    """
+    asked = intents.select("query_id", F.col("domains").alias("q_domains"), F.col("activities").alias("q_activities"), F.col("who").alias("q_who"), "requires_calculation", "as_of")
+    met = hits.join(annotations.withColumn("annotated", F.lit(True)), "chunk_id", "left").join(asked, "query_id", "left")
+    valid = F.coalesce(F.col("effective_from") <= F.col("as_of"), F.lit(True)) & F.coalesce(F.col("effective_to") >= F.col("as_of"), F.lit(True))
+    bonus = intent_bonus(F.col("domains"), F.col("activities"), F.col("who"), F.col("content"), valid, F.col("q_domains"), F.col("q_activities"), F.array("q_who"), F.coalesce("requires_calculation", F.lit(False)))
+    out = met.withColumn("bonus", F.when(F.col("annotated"), F.round(bonus, 3)).otherwise(0.0)).withColumn("final_score", F.round(F.col("rrf_score") * (1 + F.when(F.col("annotated"), bonus).otherwise(0.0)), 6))
+    return rerank(out.select(*hits.columns, "bonus", "final_score"), "final_score")
+
+
+def route_exceptions(hits: DataFrame, queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Hits with ``exception_tier``, ``exception_score`` and ``final_score``, ranked by the latter.
+
+    A superseded document that may be used by way of exception has an entry
+    (doc_id, description, upper, lower): the vector of what it is for, and
+    thresholds (see ``calibrate``).  A question (query_id, q) as near to it as
+    ``upper`` lets its chunks count in full, one no nearer than ``lower`` hardly,
+    one between them in part.  Hits of other documents, and of questions without a
+    vector, keep their score; rrf_score stays as it is.
+    """
+    had = F.col("final_score") if "final_score" in hits.columns else F.col("rrf_score")
+    wide = F.lit(64) + 8 * F.size("description")
+    met = hits.join(hint_if_small(entries, wide), "doc_id", "left").join(queries.select("query_id", "q"), "query_id", "left")
+    near = F.when(F.col("description").isNotNull() & F.col("q").isNotNull(), cosine(F.col("q"), F.col("description")))
+    met = met.withColumn("near__", near)
+    factor = F.when(F.col("near__").isNull(), 1.0).otherwise(exception_factor(F.col("near__"), F.col("upper"), F.col("lower")))
+    tier = F.when(F.col("near__").isNotNull(), F.when(F.col("near__") >= F.col("upper"), "allow").when(F.col("near__") <= F.col("lower"), "block").otherwise("soft"))
+    columns = [c for c in hits.columns if c != "final_score"]
+    out = met.select(*columns, F.round(had * factor, 6).alias("final_score"), tier.alias("exception_tier"), F.round("near__", 4).alias("exception_score"))
+    return rerank(out, "final_score")
+
+
 def boost_scope(hits: DataFrame, scopes: DataFrame, scope_docs: DataFrame, boost: float = 1.3, double: float = 1.5) -> DataFrame:
     """Lift hits of documents of a query's scopes: hits, (query_id, scopes), (scope, doc_id)."""
     each = scopes.select("query_id", F.explode("scopes").alias("scope"), (F.array_contains("scopes", "TMDT") & F.array_contains("scopes", "HKD")).alias("both"))
@@ -350,6 +388,7 @@ def _appended(results: DataFrame, more: DataFrame, kind: str, source: str | None
 def search(
     queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, n: int = 5, rules: DataFrame | None = None, scope_docs: DataFrame | None = None, gate: str = "(?s).*",
     exceptions: DataFrame | None = None, excluded: DataFrame | None = None, general: bool = True, vectors: DataFrame | None = None, within: DataFrame | None = None, keywords: KeywordIndex | None = None,
+    annotations: DataFrame | None = None, intents: DataFrame | None = None, entries: DataFrame | None = None,
 ) -> DataFrame:
     """The whole ranked query for a batch: (query_id, chunk_id, doc_id, rrf_score, rank, kind, source).
 
@@ -370,6 +409,11 @@ def search(
     Queries and chunks without a vector take part in the keyword pool alone;
     ``vectors`` (chunk_id, v) are those of the chunks where a table holds them;
     ``keywords`` is a stored index of the chunks' texts, if there is one.
+
+    With annotations and intents (see ``rerank_with_intent``), or with entries (see
+    ``route_exceptions``), hits also get a ``final_score`` behind supersession.
+    Scope and expansion go by rrf_score again, so it decides between equals only
+    and is given as a column of its own (null for what is expanded).
     """
     from lexmill.operators import postings  # which ranks by this module's weights
 
@@ -399,6 +443,11 @@ def search(
         hits = boost_authority(hits, registry, as_of)
         old = queries.select("query_id", speaks_of_old_law(F.col("text"), F.lit(None).cast("int")).alias("old"))
         hits = penalise_superseded(hits.join(old, "query_id"), F.col("old")).drop("old")
+    finals = None
+    if within is None and annotations is not None and intents is not None:
+        hits = finals = staged(rerank_with_intent(hits, annotations, intents))
+    if within is None and entries is not None:
+        hits = finals = staged(route_exceptions(hits, queries, entries))
     if scopes is not None:
         hits = boost_scope(hits, scopes, scope_docs)
     results = staged(hits.select("query_id", "chunk_id", "rrf_score", "rank", F.lit(FOUND).alias("kind"), F.lit(None).cast("string").alias("source")))
@@ -421,7 +470,11 @@ def search(
     out = drop_expired(out, registry, as_of)
     if "specific_entity" in has and within is None:
         out = drop_specific(out, F.lit(general))
-    return out.select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
+    columns = ["query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source"]
+    if finals is None:
+        return out.select(*columns)
+    scores = finals.select("query_id", "chunk_id", "final_score", F.lit(FOUND).alias("kind"))
+    return out.join(scores, ["query_id", "chunk_id", "kind"], "left").select(*columns, "final_score")
 
 
 def with_co_retrieval(results: DataFrame, queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, rules: DataFrame, n: int = 5, **options: object) -> DataFrame:

@@ -359,6 +359,58 @@ SELECT p_partkey, round(least(0.15, CASE WHEN p_partkey % 3 = 1 THEN 0.05 ELSE 0
  + CASE p_partkey % 4 WHEN 0 THEN 0.15 WHEN 1 THEN 0.075 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS bonus FROM part"""
 
 
+def exception_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors as hits of their labels' documents; labels of even number are superseded and described by their first vector."""
+    asked, items = _vectors(spark, sf_dir)
+    found = search.vector_top(asked, items.select("chunk_id", "v"), 10).join(items.select("chunk_id", F.col("label").alias("doc_id")), "chunk_id")
+    hits = found.select("query_id", "chunk_id", "doc_id", "rank", F.round(1 / (60 + F.col("rank")), 6).alias("rrf_score"))
+    entries = items.where("label % 2 = 0").groupBy(F.col("label").alias("doc_id")).agg(F.min_by("v", "chunk_id").alias("description"))
+    entries = entries.withColumns({"upper": F.lit(0.2), "lower": F.lit(-0.05)})
+    return search.route_exceptions(hits, asked, entries).select("query_id", "chunk_id", "final_score", "exception_tier", "rank")
+
+
+_DOT = lambda a, b: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+_COS = lambda a, b: f"({_DOT(a, b)} / (sqrt({_DOT(a, a)}) * sqrt({_DOT(b, b)})))"
+ROUTING_SQL = f"""
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS doc_id, q.embedding AS q, round({_COS("q.embedding", "c.embedding")}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
+e AS (SELECT label AS doc_id, arg_min(embedding, vec_id) AS d FROM embeddings WHERE label % 2 = 0 GROUP BY label),
+n AS (SELECT query_id, chunk_id, rank, round(1 / (60 + rank), 6) AS rrf_score, CASE WHEN d IS NOT NULL THEN {_COS("q", "d")} END AS near FROM h LEFT JOIN e USING (doc_id) WHERE rank <= 10),
+t AS (SELECT *, CASE WHEN near >= 0.2 THEN 'allow' WHEN near <= -0.05 THEN 'block' WHEN near IS NOT NULL THEN 'soft' END AS exception_tier FROM n),
+f AS (SELECT *, round(rrf_score * CASE exception_tier WHEN 'block' THEN 0.05 WHEN 'soft' THEN 0.35 ELSE 1.0 END, 6) AS final_score FROM t)
+SELECT query_id, chunk_id, final_score, exception_tier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rank, chunk_id) AS INTEGER) AS rank FROM f"""
+
+#: Evidence for the English conversations.
+EVIDENCE = {
+    "who": {"HKD": [("tion", 0.7), ("ing", 0.4)], "individual": [("ment|ness", 0.6), ("ly", 0.5)], "employer": [("^the", 1.0)]},
+    "activity": {"goods": [("er", 0.8)], "services": [("st", 0.8), ("nd", 0.3)], "rental": [("ou", 0.9)]},
+    "domain": {"HKD": [("an", 0.8), ("re", 0.3)], "PIT": [("en", 1.0)]},
+    "intent": {"calculate": [("\\?", 1.0), ("ble", 0.7)], "explain": [("th", 0.6)]},
+}
+
+
+def intent_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn is about, by weighted evidence, with the confidence of it."""
+    i = classify.query_intent(F.col("text"), EVIDENCE)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", i.alias("i"))
+    return rows.select("conv_id", "turn", "i.who", F.array_join("i.activities", "|").alias("activities"), F.array_join("i.domains", "|").alias("domains"), "i.intent", "i.requires_calculation", "i.year", "i.confidence")
+
+
+INTENT_BUILDER_SQL = """
+WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, regexp_extract(text, '(20[0-9][0-9])', 1) AS y FROM conversations),
+b AS (SELECT *, CAST(contains(t, 'tion') AS INT) * 0.7::DOUBLE + CAST(contains(t, 'ing') AS INT) * 0.4::DOUBLE AS w1, CAST(contains(t, 'ment') OR contains(t, 'ness') AS INT) * 0.6::DOUBLE + CAST(contains(t, 'ly') AS INT) * 0.5::DOUBLE AS w2, CAST(starts_with(t, 'the') AS INT) * 1.0::DOUBLE AS w3,
+  CAST(contains(t, 'er') AS INT) * 0.8::DOUBLE AS a1, CAST(contains(t, 'st') AS INT) * 0.8::DOUBLE + CAST(contains(t, 'nd') AS INT) * 0.3::DOUBLE AS a2, CAST(contains(t, 'ou') AS INT) * 0.9::DOUBLE AS a3,
+  CAST(contains(t, 'an') AS INT) * 0.8::DOUBLE + CAST(contains(t, 're') AS INT) * 0.3::DOUBLE AS d1, CAST(contains(t, 'en') AS INT) * 1.0::DOUBLE AS d2,
+  CAST(contains(t, '?') AS INT) * 1.0::DOUBLE + CAST(contains(t, 'ble') AS INT) * 0.7::DOUBLE AS i1, CAST(contains(t, 'th') AS INT) * 0.6::DOUBLE AS i2 FROM t),
+l AS (SELECT *, list_reverse(list_sort(list_filter([{'w': w1, 'p': 0, 'v': 'HKD'}, {'w': w2, 'p': -1, 'v': 'individual'}, {'w': w3, 'p': -2, 'v': 'employer'}], lambda x: x.w > 0))) AS who,
+  list_reverse(list_sort(list_filter([{'w': a1, 'p': 0, 'v': 'goods'}, {'w': a2, 'p': -1, 'v': 'services'}, {'w': a3, 'p': -2, 'v': 'rental'}], lambda x: x.w > 0))) AS act,
+  list_reverse(list_sort(list_filter([{'w': d1, 'p': 0, 'v': 'HKD'}, {'w': d2, 'p': -1, 'v': 'PIT'}], lambda x: x.w > 0))) AS dom,
+  list_reverse(list_sort(list_filter([{'w': i1, 'p': 0, 'v': 'calculate'}, {'w': i2, 'p': -1, 'v': 'explain'}], lambda x: x.w > 0))) AS int FROM b),
+c AS (SELECT *, list_transform([who, act, dom, list_transform(int, lambda x: x)], lambda f: CASE WHEN len(f) > 0 THEN (f[1].w - coalesce(f[2].w, 0)) / f[1].w * least(f[1].w, 1.0) ELSE 0.0 END) AS s FROM l)
+SELECT conv_id, turn, who[1].v AS who, array_to_string(list_transform(act, lambda x: x.v), '|') AS activities, array_to_string(list_transform(dom, lambda x: x.v), '|') AS domains, int[1].v AS intent,
+  coalesce(int[1].v, '') = 'calculate' AS requires_calculation, TRY_CAST(y AS INTEGER) AS year, round(list_sum(s) / 4, 4) AS confidence FROM c"""
+
+
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ranked query, for all test items over all documents; those without a vector are met by their words alone."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
@@ -370,7 +422,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
 
 
-QUERIES = [bm25_topk, bm25_topk_filtered, bm25_scan, keyword_index, vector_topk, vector_topk_filtered, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, search_batch]
+QUERIES = [bm25_topk, bm25_topk_filtered, bm25_scan, keyword_index, vector_topk, vector_topk_filtered, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, exception_routing, intent_builder, search_batch]
 SQL = {
     "bm25_topk": bm25_sql(10),
     "bm25_scan": bm25_sql(10),
@@ -395,4 +447,6 @@ SQL = {
     "ood_signal": OOD_SQL,
     "exception_router_calibrate": CALIBRATE_SQL,
     "intent_rerank": INTENT_SQL,
+    "exception_routing": ROUTING_SQL,
+    "intent_builder": INTENT_BUILDER_SQL,
 }
