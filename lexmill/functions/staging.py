@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes up to which a side of a join is broadcast.
@@ -91,6 +91,26 @@ def met_in_blocks(rows: DataFrame, asked: DataFrame, row_key: Column, asked_key:
     return left.join(right, ["block__", "share__"]).drop("block__", "share__")
 
 
+def running_counts(rows: DataFrame, keys: list[str], by: str, n: str) -> DataFrame:
+    """Rows with ``before__``: the sum of ``n`` over the rows of the same keys with a smaller ``by``.
+
+    Rows are dealt into ranges of keys and ``by``; each range gives one total for
+    each of its keys, these are summed up, and every range finishes its own rows.
+    So a key of any size is spread over tasks.  Keys may be null; no two rows may
+    agree in keys and ``by``.
+    """
+    ranged = staged(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys, by).withColumn("part__", F.spark_partition_id()))
+    totals = ranged.groupBy("part__", *keys).agg(F.sum(n).alias("sum__"))
+    earlier = Window.partitionBy(*keys).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a key
+    totals = totals.select(*[F.col(k).alias(f"{k}_k__") for k in keys], F.col("part__").alias("part_k__"), F.coalesce(F.sum("sum__").over(earlier), F.lit(0)).alias("base__"))
+    same = F.col("part__") == F.col("part_k__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_k__"))
+    inside = Window.partitionBy("part__", *keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn("own__", F.sum(n).over(inside) - F.col(n))
+    return own.join(hint_if_small(totals, 96), same).withColumn("before__", F.col("own__") + F.col("base__")).select(*rows.columns, "before__")
+
+
 #: Phrases that a block of them holds at most, and signs of a gram.
 PHRASES, GRAM = 512, 4
 _WORD = r"[\p{L}\p{N}_]+"

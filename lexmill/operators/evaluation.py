@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexmill.functions import numbers
-from lexmill.functions.staging import phrases_in
+from lexmill.functions.staging import hint_if_small, phrases_in, running_counts, staged
 from lexmill.functions.text import expand_abbreviations, plain_paraphrase, strip_markdown
 
 # Thresholds of the tiers and the pass rule.
@@ -148,22 +148,60 @@ def passed_all_tiers(t1: Column, t2: Column, t3: Column, t4: Column, least: floa
     return F.coalesce(_mean([t1, t2, t3, t4]) >= least, F.lit(False))
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation by group: the keys and a column for each name in ``shares``.
+
+    Values are counted first, then the counts are added up in their order by
+    ranges (``running_counts``); the values at the two ranks that a quantile lies
+    between are picked out.  No task holds all values of a group.  Null values do
+    not count; a group without others has no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n__"))
+    placed = staged(running_counts(counted, keys, value, "n__"))
+    sizes = placed.groupBy(*keys).agg(F.sum("n__").alias("all__")).select(*[F.col(k).alias(f"{k}_s__") for k in keys], "all__")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_s__"))
+    met = placed.join(hint_if_small(sizes, 96), same)
+    picked = {}
+    for name, share in shares.items():
+        at = (F.col("all__") - 1) * F.lit(share)
+        holds = lambda rank: (F.col("before__") <= rank) & (rank < F.col("before__") + F.col("n__"))
+        picked |= {f"{name}_l__": F.max(F.when(holds(F.floor(at)), F.col(value))), f"{name}_u__": F.max(F.when(holds(F.ceil(at)), F.col(value))), f"{name}_s__": F.max(at - F.floor(at))}
+    found = met.groupBy(*keys).agg(*[c.alias(n) for n, c in picked.items()])
+    return found.select(*keys, *[(F.col(f"{n}_l__") + (F.col(f"{n}_u__") - F.col(f"{n}_l__")) * F.col(f"{n}_s__")).alias(n) for n in shares])
+
+
 def report(results: DataFrame) -> DataFrame:
-    """One pass over all, each topic and each difficulty: counts, pass rate, tier means, latencies without errors."""
-    fine = F.when(F.col("error").isNull(), F.col("latency_ms"))
-    grouped = results.withColumn("fine", fine).groupingSets([[], ["topic"], ["difficulty"]], "topic", "difficulty")
-    return grouped.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("passed").cast("int")).alias("n_passed"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
-        F.round(F.avg("t1"), 6).alias("avg_t1"),
-        F.round(F.avg("t2"), 6).alias("avg_t2"),
-        F.min("fine").alias("min_ms"),
-        F.max("fine").alias("max_ms"),
-        F.bround(F.avg("fine")).cast("long").alias("avg_ms"),
-        numbers.percentile_rounded(F.col("fine"), 50).alias("p50_ms"),
-        numbers.percentile_rounded(F.col("fine"), 95).alias("p95_ms"),
-    )
+    """Over all, each topic and each difficulty: counts, pass rate, tier means and how many questions each applies to, errors,
+    compliance with the tools asked for, latencies without errors.
+
+    results (topic, difficulty, passed, score, t1, t2, latency_ms, error) and, where
+    they are there, t3, t4 and tool_compliance (compliant, tool_skipped or no_tool,
+    of questions that tier 1 applies to).
+    """
+    has = set(results.columns)
+    none = F.lit(None).cast("string")
+    one = lambda i, topic, difficulty: F.struct(F.lit(i).alias("set"), topic.alias("topic"), difficulty.alias("difficulty"))
+    sets = F.array(one(0, none, none), one(1, F.col("topic"), none), one(2, none, F.col("difficulty")))
+    rows = results.withColumn("fine", F.when(F.col("error").isNull(), F.col("latency_ms"))).withColumn("s", F.explode(sets)).drop("topic", "difficulty").select("*", "s.set", "s.topic", "s.difficulty")
+    keys = ["set", "topic", "difficulty"]
+    tiers = [t for t in ("t1", "t2", "t3", "t4") if t in has]
+    aggregates = [F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("int")).alias("n_passed"), F.round(F.avg("score"), 6).alias("avg_score"), F.count("error").alias("n_errors")]
+    aggregates += [F.round(F.avg(t), 6).alias(f"avg_{t}") for t in tiers] + [F.count(t).alias(f"n_{t}") for t in tiers]
+    if "tool_compliance" in has:
+        told = lambda kind: F.count(F.when((F.col("tool_compliance") == kind) & F.col("t1").isNotNull(), 1))
+        aggregates += [told("compliant").alias("n_compliant"), told("tool_skipped").alias("n_tool_skipped"), told("no_tool").alias("n_no_tool"), F.round(told("compliant") / F.nullif(F.count("t1"), F.lit(0)), 3).alias("compliance_rate")]
+    aggregates += [F.min("fine").alias("min_ms"), F.max("fine").alias("max_ms"), F.bround(F.avg("fine")).cast("long").alias("avg_ms")]
+    found = rows.groupBy(*keys).agg(*aggregates)
+    quantiles = exact_quantiles(rows, keys, "fine", {"p50_ms": 0.5, "p95_ms": 0.95}).select(*[F.col(k).alias(f"{k}_q") for k in keys], *[F.bround(p).cast("long").alias(p) for p in ("p50_ms", "p95_ms")])
+    same = (F.col("set") == F.col("set_q")) & F.col("topic").eqNullSafe(F.col("topic_q")) & F.col("difficulty").eqNullSafe(F.col("difficulty_q"))
+    return found.join(hint_if_small(quantiles, 128), same, "left").drop("set", *[f"{k}_q" for k in keys])
+
+
+def failed_questions(results: DataFrame, k: int = 20) -> DataFrame:
+    """The first k questions, by id, that did not pass."""
+    return results.where(~F.coalesce("passed", F.lit(False))).orderBy("question_id").limit(k)
 
 
 def merge_batches(batches: list[DataFrame], key: str = "question_id") -> DataFrame:

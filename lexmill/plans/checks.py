@@ -134,12 +134,23 @@ OVERALL_SQL = f"WITH {RESULTS_SQL} SELECT question_id, round(score, 6) AS score
 
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.report(_results(spark, sf_dir).withColumn("passed", F.col("score") >= 0.667))
+    told = F.element_at(F.array(*map(F.lit, ["compliant", "tool_skipped", "no_tool", "compliant"])), (F.col("question_id") % 4 + 1).cast("int"))
+    return evaluation.report(_results(spark, sf_dir).withColumns({"passed": F.col("score") >= 0.667, "tool_compliance": told}))
+
+
+def failed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.failed_questions(_results(spark, sf_dir)).select("question_id", F.round("score", 6).alias("score"), "error")
+
+
+FAILED_SQL = f"WITH {RESULTS_SQL} SELECT question_id, round(score, 6) AS score, CASE WHEN bad THEN 'timeout' END AS error FROM z WHERE NOT passed ORDER BY question_id LIMIT 20"
 
 
 REPORT_SQL = f"""
 WITH {RESULTS_SQL}
-SELECT topic, difficulty, count(*) AS n, CAST(sum(CASE WHEN score >= 0.667 THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, round(avg(score), 6) AS avg_score, round(avg(t1), 6) AS avg_t1, round(avg(t2), 6) AS avg_t2,
+SELECT topic, difficulty, count(*) AS n, CAST(sum(CASE WHEN score >= 0.667 THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, round(avg(score), 6) AS avg_score, round(avg(t1), 6) AS avg_t1, round(avg(t2), 6) AS avg_t2, round(avg(t4), 6) AS avg_t4,
+  count_if(bad) AS n_errors, count(t1) AS n_t1, count(t2) AS n_t2, count(t4) AS n_t4,
+  count_if(t1 IS NOT NULL AND question_id % 4 IN (0, 3)) AS n_compliant, count_if(t1 IS NOT NULL AND question_id % 4 = 1) AS n_tool_skipped, count_if(t1 IS NOT NULL AND question_id % 4 = 2) AS n_no_tool,
+  round(count_if(t1 IS NOT NULL AND question_id % 4 IN (0, 3)) / nullif(count(t1), 0), 3) AS compliance_rate,
   min(CASE WHEN NOT bad THEN latency_ms END) AS min_ms, max(CASE WHEN NOT bad THEN latency_ms END) AS max_ms, CAST(round_even(avg(CASE WHEN NOT bad THEN latency_ms END), 0) AS BIGINT) AS avg_ms,
   CAST(round_even(quantile_cont(CASE WHEN NOT bad THEN latency_ms END, 0.5), 0) AS BIGINT) AS p50_ms, CAST(round_even(quantile_cont(CASE WHEN NOT bad THEN latency_ms END, 0.95), 0) AS BIGINT) AS p95_ms
 FROM z GROUP BY GROUPING SETS ((), (topic), (difficulty))"""
@@ -313,7 +324,7 @@ WITH d AS (SELECT date_trunc('day', ts + INTERVAL 7 HOUR) - INTERVAL 7 HOUR AS d
 SELECT day_start, n, round(100 * p / n, 2) AS premium_percent, greatest(0, 400 - p) AS "left" FROM d"""
 
 
-QUERIES = [key_facts, fact_check, numeric_alignment, confidence_level, source_dedup, context_budget, citation_validate, overall_score, eval_report, tier2_citation, failure_classify, failure_shares, merge_batches, cache_lookup, law_staleness_asof, cache_ttl, next_purchase, dialogue_state, dialogue_windows, daily_counter, rate_gap, consecutive_errors, duplicate_calls, token_bucket, router_usage]
+QUERIES = [key_facts, fact_check, numeric_alignment, confidence_level, source_dedup, context_budget, citation_validate, overall_score, eval_report, failed_questions, tier2_citation, failure_classify, failure_shares, merge_batches, cache_lookup, law_staleness_asof, cache_ttl, next_purchase, dialogue_state, dialogue_windows, daily_counter, rate_gap, consecutive_errors, duplicate_calls, token_bucket, router_usage]
 SQL = {
     "key_facts": KEY_FACTS_SQL,
     "fact_check": FACT_SQL,
@@ -324,6 +335,7 @@ SQL = {
     "citation_validate": CITATION_SQL,
     "overall_score": OVERALL_SQL,
     "eval_report": REPORT_SQL,
+    "failed_questions": FAILED_SQL,
     "tier2_citation": TIER2_SQL,
     "failure_classify": FAILURE_SQL,
     "failure_shares": SHARES_SQL,

@@ -218,6 +218,22 @@ def test_patches_in_order(spark):
     assert got == {d: rows for d, rows in want.items() if rows}
 
 
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    dice = random.Random(3)
+    rows = [(g, dice.choice([None, *range(40)])) for g in (["hot"] * 500 + ["a", "b", None] * 7) for _ in range(3)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    got = {r.g: (r.p50, r.p95) for r in evaluation.exact_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    want = {}
+    for g in {g for g, _ in rows} - {"none"}:
+        held = [v for x, v in rows if x == g and v is not None]
+        want[g] = tuple(float(np.percentile(held, p)) for p in (50, 95))
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
 def test_dialogue(spark):
     turns = [(1, 0, "user", "Tôi là hộ kinh doanh, thuế khoán thế nào?"), (1, 1, "assistant", "..."), (1, 2, "user", "Ngoài ra lương 20 triệu/tháng?"), (1, 3, "user", "Công ty bị xử phạt ra sao?"), (2, 0, "user", None)]
     got = {(r.conv_id, r.turn): r for r in state.dialogue_states(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
