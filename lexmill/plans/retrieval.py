@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.staging import hint_if_small
-from lexmill.operators import classify, postings, search
+from lexmill.operators import classify, postings, search, vectors
 from lexmill.plans.common import table
 
 WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -91,6 +91,36 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_top(*_vectors(spark, sf_dir), 10, keep=F.col("label") == 1)
 
 
+_LISTS: dict[tuple[str, str], vectors.VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored index of the vectors, with their labels."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LISTS:
+        _LISTS[key] = vectors.build_vector_index(_vectors(spark, sf_dir)[1])
+    return _LISTS[key]
+
+
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_top_indexed(_vector_index(spark, sf_dir), _vectors(spark, sf_dir)[0], 10, exact=True)
+
+
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_top_indexed(_vector_index(spark, sf_dir), _vectors(spark, sf_dir)[0], 10, keep=F.col("label") == 1, exact=True)
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest the partial search finds for each query, and whether it is nine in ten of all."""
+    asked = _vectors(spark, sf_dir)[0]
+    some = vectors.vector_top_indexed(_vector_index(spark, sf_dir), asked, 10).select("query_id", "chunk_id")
+    met = vector_topk(spark, sf_dir).join(some.withColumn("found", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return met.agg(F.count(F.lit(1)).alias("nearest"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"))
+
+
+RECALL_SQL = "SELECT sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS nearest, true AS nine_in_ten FROM embeddings WHERE vec_id % 100 = 0"
+
+
 def vector_sql(keep: str = "true", k: int = 10) -> str:
     d = lambda a, b: f"list_dot_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
     return f"""
@@ -422,7 +452,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
 
 
-QUERIES = [bm25_topk, bm25_topk_filtered, bm25_scan, keyword_index, vector_topk, vector_topk_filtered, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, exception_routing, intent_builder, search_batch]
+QUERIES = [bm25_topk, bm25_topk_filtered, bm25_scan, keyword_index, vector_topk, vector_topk_filtered, vector_index_exact, vector_index_filtered, vector_index_recall, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, exception_routing, intent_builder, search_batch]
 SQL = {
     "bm25_topk": bm25_sql(10),
     "bm25_scan": bm25_sql(10),
@@ -430,6 +460,9 @@ SQL = {
     "bm25_topk_filtered": bm25_sql(5, "source = 'src1'"),
     "vector_topk": vector_sql(),
     "vector_topk_filtered": vector_sql("label = 1"),
+    "vector_index_exact": vector_sql(),
+    "vector_index_filtered": vector_sql("label = 1"),
+    "vector_index_recall": RECALL_SQL,
     "rrf_fusion": RRF_SQL,
     "authority_recency_boost": AUTHORITY_SQL,
     "supersession_penalty": SUPERSESSION_SQL,
