@@ -452,6 +452,25 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(items, chunks, reg, F.to_date(F.lit("2024-01-01")), vectors=v.select(F.concat(F.lit("c"), F.col("vec_id")).alias("chunk_id"), "v")).select("query_id", "chunk_id", "doc_id", "rrf_score", "rank", "kind", "source")
 
 
+#: Every step of the ranked query, one after the other, on plain tables.
+SEARCH_SQL = rf"""
+WITH lv(i, doc_id, level_factor, ended) AS (SELECT i, 'src' || i, CASE i % 5 + 1 WHEN 1 THEN 1.10 WHEN 2 THEN 1.07 WHEN 3 THEN 1.05 WHEN 4 THEN 1.0 ELSE 0.85 END::DOUBLE, i % 4 = 0 FROM range(0, 20) t(i)),
+ch AS (SELECT 'c' || doc_id AS chunk_id, 'c' || (doc_id + 1) AS ref, source AS doc_id, doc_id % 5 = 0 AS superseded FROM documents),
+vs AS (SELECT i.item_id AS query_id, 'c' || e.vec_id AS chunk_id, round({_COS("q.embedding", "e.embedding")}, 6) AS score FROM benchmark i JOIN embeddings q ON q.vec_id = i.item_id JOIN embeddings e ON true JOIN ch ON ch.chunk_id = 'c' || e.vec_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs),
+ks AS ({bm25_sql(1_000_000).replace("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'c' || doc_id)")}),
+u AS (SELECT query_id, chunk_id, 0 AS pool, rank, 0.7 / (60 + rank) AS share FROM vr WHERE rank <= 15 UNION ALL SELECT query_id, 'c' || doc_id, 1, rank, 0.3 / (60 + rank) FROM ks WHERE rank <= 15),
+f AS (SELECT query_id, chunk_id, round(sum(share)::DOUBLE, 6) AS s0, min(pool * 1000 + rank) AS first FROM u GROUP BY ALL),
+f5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s0 DESC, first, chunk_id) AS r0 FROM f),
+a AS (SELECT query_id, chunk_id, ch.doc_id, superseded, r0, round(s0 * coalesce(level_factor * (1 + 0.15 / (1 + ln(1 + date_diff('day', DATE '2020-01-01', DATE '2024-01-01') / 365))), 1.0), 6) AS s1 FROM f5 JOIN ch USING (chunk_id) LEFT JOIN lv ON lv.doc_id = ch.doc_id WHERE r0 <= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, r0, chunk_id) AS r1, CASE WHEN superseded THEN round(s1 * 0.25, 6) ELSE s1 END AS s2 FROM a),
+h AS (SELECT query_id, chunk_id, s2 AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, r1, chunk_id) AS rank FROM b),
+g AS (SELECT h.query_id, ch.ref AS chunk_id, h.chunk_id AS source, round(h.rrf_score * 0.7, 6) AS rrf_score, h.rank AS src FROM h JOIN ch USING (chunk_id) WHERE h.rrf_score >= 0.005 AND ch.ref IN (SELECT chunk_id FROM ch)),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY src) AS k FROM g WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM h)),
+e AS (SELECT query_id, chunk_id, source, rrf_score, (SELECT max(rank) FROM h WHERE h.query_id = g1.query_id) + row_number() OVER (PARTITION BY query_id ORDER BY src, chunk_id) AS rank FROM g1 WHERE k = 1),
+r AS (SELECT query_id, chunk_id, rrf_score, rank, '{search.FOUND}' AS kind, NULL AS source FROM h UNION ALL SELECT query_id, chunk_id, rrf_score, rank, '{search.REFERENCE}', source FROM e)
+SELECT query_id, chunk_id, ch.doc_id, rrf_score, CAST(rank AS INTEGER) AS rank, kind, source FROM r JOIN ch USING (chunk_id) WHERE ch.doc_id IS NULL OR ch.doc_id NOT IN (SELECT doc_id FROM lv WHERE ended)"""
+
 QUERIES = [bm25_topk, bm25_topk_filtered, bm25_scan, keyword_index, vector_topk, vector_topk_filtered, vector_index_exact, vector_index_filtered, vector_index_recall, rrf_fusion, authority_recency_boost, supersession_penalty, expired_filter, exclude_docs, scope_classify, scope_boost, query_classify, pre_route, topic_injection, sibling_expand, children_expand, reference_expand, amendment_expand, ood_signal, exception_router_calibrate, intent_rerank, exception_routing, intent_builder, search_batch]
 SQL = {
     "bm25_topk": bm25_sql(10),
@@ -480,6 +499,7 @@ SQL = {
     "ood_signal": OOD_SQL,
     "exception_router_calibrate": CALIBRATE_SQL,
     "intent_rerank": INTENT_SQL,
+    "search_batch": SEARCH_SQL,
     "exception_routing": ROUTING_SQL,
     "intent_builder": INTENT_BUILDER_SQL,
 }
