@@ -21,7 +21,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group, that of smallest doc_id.
 
     A row without doc_id stays only where its group has no other; repeated rows
-    give one; empty texts are near duplicates of one another.
+    give one; null and empty texts are near duplicates of one another; very long
+    texts are read whole; an empty table stays empty; other columns stay, whatever
+    their names.
     """
     return simhash.drop_near_duplicates(docs)
 
@@ -30,7 +32,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold no benchmark item.
 
     Null and empty texts hold none, nor does anything if the benchmark is empty;
-    rows are judged by their own text, repeated ones alike.
+    very long texts are read whole; rows are judged by their own text, repeated
+    ones alike; an empty table stays empty; other columns stay, whatever their
+    names.
     """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,13 +42,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those that it does not take, and texts without words, go.
 
-    A null source is a source of its own, ranked last.
+    A null source is a source of its own, ranked last.  Null and empty texts have
+    no words and go; very long texts are counted whole, and one that exceeds what
+    is open of its source's target may not be taken.  Repeated rows are one
+    document, taken as often as all of them together; ties in the seeded order go
+    by doc_id and text.  An empty table stays empty; other columns stay, whatever
+    their names.
     """
     return mixing.apply_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in contiguous shards of near equal bytes, in doc_id order, null first; equal rows may be parted."""
+    """The mix in contiguous shards of near equal bytes, in doc_id order, null first; equal rows may be parted.
+
+    A null or empty text has its row's overhead as size; a very long one may fill
+    a shard by itself; an empty table gives no rows; the columns are those of
+    ``shard_documents``, so other columns end here.
+    """
     return sharding.shard_documents(docs)
 
 
