@@ -47,7 +47,7 @@ def verify_facts(facts: DataFrame, nodes: DataFrame, least: float = 0.6) -> Data
     node = own.groupBy("fact").agg(F.max_by("node_id", F.struct("own", -F.col("seq"))).alias("node"))
     ratio = F.col("met") / F.greatest(F.size("terms"), F.lit(1))
     found = asked.join(every, "fact").join(node, "fact")
-    good = found.where(ratio >= least).select("value", F.bround(0.8 * ratio, 2).alias("confidence"), "node")
+    good = found.where(ratio >= least).select("value", (F.bround(0.8 * ratio * 100) / 100).alias("confidence"), "node")
     ruled = facts.where("source = 'regex'").select("*", F.lit(1.0).alias("confidence"))
     return ruled.unionByName(facts.where("source = 'llm'").join(good, "value").withColumn("evidence_node", F.coalesce("node", "evidence_node")).drop("node"))
 

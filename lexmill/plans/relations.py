@@ -194,7 +194,7 @@ h AS (SELECT doc_id, term FROM documents JOIN u ON contains(lower(text), term)),
 m AS (SELECT value, doc_id, count(*) AS own FROM t JOIN h USING (term) GROUP BY 1, 2),
 b AS (SELECT value, arg_max(doc_id, (own, -doc_id)) AS node FROM m GROUP BY 1),
 e AS (SELECT value, count(DISTINCT term) AS met FROM t JOIN h USING (term) GROUP BY 1)
-SELECT value, 'llm' AS source, round_even(0.8 * met / n, 2)::DOUBLE AS confidence, CAST(node AS VARCHAR) AS evidence_node FROM e JOIN n USING (value) JOIN b USING (value) WHERE met / n >= 0.6
+SELECT value, 'llm' AS source, (round_even(0.8 * (met / n) * 100, 0) / 100)::DOUBLE AS confidence, CAST(node AS VARCHAR) AS evidence_node FROM e JOIN n USING (value) JOIN b USING (value) WHERE met / n >= 0.6
 UNION ALL SELECT '5 %', 'regex', 1.0, 'n0'"""
 
 
