@@ -14,14 +14,14 @@ from lexmill.operators.classify import first_label, holds_any
 STATE_SCHEMA = "conv_id long, turn long, entity_type string, tax_type string, income_info string, scenario string, turn_count int, intent string"
 
 
-def turn_signals(turns: DataFrame, entities: dict[str, list[str]] = rules.ENTITIES, taxes: dict[str, list[str]] = rules.TAXES, goes_on: list[str] = rules.CONTINUES) -> DataFrame:
-    """What each user turn says: entity, tax, income, scenario, and whether it goes on from before.
+def turn_signals(turns: DataFrame, entities: dict[str, list[str]] = rules.ENTITIES, taxes: dict[str, list[str]] = rules.TAXES, goes_on: list[str] = rules.CONTINUES, keep: list[str] = []) -> DataFrame:
+    """What each user turn says: entity, tax, income, scenario, and whether it goes on from before; ``keep`` names columns that stay.
 
     All pattern work is done here, in columns; the fold only sees short values.
     """
     text = F.coalesce("text", F.lit(""))
     return turns.where("role = 'user'").select(
-        "conv_id", "turn", first_label(text, entities).alias("entity"), first_label(text, taxes).alias("tax"), numbers.income_slot(text).alias("income"), numbers.dependents_slot(text).alias("scenario"), holds_any(F.lower(text), goes_on).alias("refs_prev"),
+        "conv_id", "turn", first_label(text, entities).alias("entity"), first_label(text, taxes).alias("tax"), numbers.income_slot(text).alias("income"), numbers.dependents_slot(text).alias("scenario"), holds_any(F.lower(text), goes_on).alias("refs_prev"), *keep,
     )
 
 
@@ -56,24 +56,27 @@ def _rows(pdf: pd.DataFrame) -> Iterator:
 COLUMNS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 
 
-def dialogue_states(turns: DataFrame, **tables: dict[str, list[str]]) -> DataFrame:
+def dialogue_states(turns: DataFrame, order: list[str] = ["turn"], within: list[str] = [], **tables: dict[str, list[str]]) -> DataFrame:
     """The tracker's state after every user turn, by windows over each conversation.
 
+    Turns go by ``order``; ``within`` names columns that part a conversation further.
+
     A turn that starts anew names both entity and tax, so what was known of these
     before never depends on earlier starts: the turns that start anew are found
     first, and the other slots are kept from each start on.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    kept = [c for c in (*order, *within) if c != "turn"]
+    w = Window.partitionBy("conv_id", *within).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     was = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
     slots = ("entity", "tax", "income", "scenario")
-    rows = turn_signals(turns, **tables).withColumns({f"was_{c}": was(c, before) for c in slots})
+    rows = turn_signals(turns, keep=kept, **tables).withColumns({f"was_{c}": was(c, before) for c in slots})
     empty = F.coalesce(*[F.col(f"was_{c}") for c in slots]).isNull()
     other = lambda c: F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"was_{c}"))
     anew = ~F.col("refs_prev") & ~empty & other("tax") & other("entity")
     intent = F.when(anew, "new_topic").when(F.col("refs_prev"), "continuation").when(empty, "new").when(F.coalesce("tax", "entity").isNotNull(), "continuation").otherwise("clarification")
     rows = rows.withColumn("intent", intent).withColumn("topic", F.sum(anew.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("conv_id", "topic").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("conv_id", *within, "topic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     known = [was(c, own).alias(name) for c, name in zip(slots, ("entity_type", "tax_type", "income_info", "scenario"))]
     return rows.select("conv_id", "turn", *known, F.count(F.lit(1)).over(own).cast("int").alias("turn_count"), "intent")
 
