@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import analytics, cases, checks, documents, judging, laws, relations, retrieval, trees
+from lexmill.plans import analytics, cases, checks, documents, judging, laws, relations, retrieval, rulesets, trees
 
-MODULES = (retrieval, analytics, trees, checks, cases, relations, laws, judging, documents)
+MODULES = (retrieval, analytics, trees, checks, cases, relations, laws, judging, documents, rulesets)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -67,6 +67,35 @@ def fact_recall(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.withColumn("passes", (F.col("recall") >= 0.75))
 
 
+# Facts whose absence is critical, and what a set of cases has to reach.
+CRITICAL = r"(?iu)\d+(?:[.,]\d+)?\s*(?:%|triệu|tỷ|nghìn|ngày|tháng|năm)"
+GATE_RECALL, GATE_MISSES = 0.75, 0.1
+
+
+def critical_misses(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(case_id, critical_missed): how many wanted facts (case_id, fact) with a rate, an amount or a time no found one (case_id, value) covers."""
+    grave = wanted.where(F.col("fact").rlike(CRITICAL)).select("case_id", "fact").distinct()
+    pair = grave.join(found.select("case_id", "value"), "case_id", "left")
+    hit = F.contains(F.lower("value"), F.lower("fact")) | F.contains(F.lower("fact"), F.lower("value"))
+    missed = pair.groupBy("case_id", "fact").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("h")).where("h = 0").groupBy("case_id").agg(F.count(F.lit(1)).alias("critical_missed"))
+    cases = wanted.select("case_id").distinct()
+    return cases.join(missed, "case_id", "left").select("case_id", F.coalesce("critical_missed", F.lit(0)).alias("critical_missed"))
+
+
+def recall_gate(cases: DataFrame, *by: str) -> DataFrame:
+    """Means of recall and precision, the rate of cases with a critical miss, how many are good, fair or bad, and whether all pass: cases (recall, precision, critical_missed).
+
+    For each value of the ``by`` columns; without them one row, also of no cases (which do not pass).
+    """
+    n, missed = F.count(F.lit(1)), F.count_if(F.col("critical_missed") > 0)
+    recall, rate = F.avg("recall"), missed / F.nullif(n, F.lit(0))
+    return cases.groupBy(*by).agg(
+        n.alias("n"), recall.alias("recall"), F.avg("precision").alias("precision"), rate.alias("critical_rate"), F.count_if(F.col("recall") >= 0.75).alias("good"),
+        F.count_if((F.col("recall") >= 0.5) & (F.col("recall") < 0.75)).alias("fair"), F.count_if(F.col("recall") < 0.5).alias("bad"),
+        F.coalesce((recall >= GATE_RECALL) & (rate < GATE_MISSES), F.lit(False)).alias("passes"),
+    )
+
+
 # Fixed value: a number with its unit, as answers write it.
 NUMBER = r"(?iu)(\d{1,3}(?:[.,]\d{3})*(?:\.\d+)?)\s*(tỷ|triệu|nghìn|ngàn|%|đồng|vnd)?"
 
@@ -248,6 +277,20 @@ def bad_transitions(log: DataFrame, allowed: dict[str, list[str]] = TRANSITIONS)
     return log.withColumn("previous", before).where(F.col("previous").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(table, F.col("previous")), F.col("stage")), F.lit(False)))
 
 
+def after_fact_check(passed: Column, issues: Column, regenerated: Column) -> Column:
+    """What follows a fact check: struct(next, degrade_level).
+
+    A check that passed, or that only warns, is done with the whole answer (level
+    1).  Critical issues (array of key_fact, severity) ask for one new draft; after
+    it the answer goes out with a caveat (level 2).  No check at all gives an
+    explanation only (level 3).
+    """
+    grave = F.exists(F.coalesce(issues, F.array().cast("array<struct<key_fact: string, severity: string>>")), lambda i: i["severity"] == "critical")
+    again = ~passed & grave & (F.coalesce(regenerated, F.lit(0)) == 0)
+    level = F.when(passed.isNull(), 3).when(again, None).when(~passed & grave, 2).otherwise(1)
+    return F.struct(F.when(passed.isNotNull() & again, "GENERATOR").otherwise("DONE").alias("next"), level.cast("int").alias("degrade_level"))
+
+
 def event_frame(stage: Column, payload: Column) -> Column:
     """A server-sent event as text."""
     return F.concat(F.lit("event: "), stage, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))

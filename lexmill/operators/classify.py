@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions import rules
+from lexmill.functions import rules, search_rules
 
 
 def holds_any(text: Column, words: list[str]) -> Column:
@@ -78,6 +78,15 @@ def all_of(text: Column, groups: list[list[str]]) -> Column:
     return reduce(lambda a, b: a & b, [holds_any(low, g) for g in groups])
 
 
+def situations(text: Column) -> Column:
+    """What a question speaks of: struct(multi_income, online, penalty, accounting, late_payment); a null text of nothing."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.struct(
+        (holds_any(low, search_rules.SALARY_WORDS) & holds_any(low, search_rules.BUSINESS_WORDS)).alias("multi_income"), holds_any(low, search_rules.ONLINE_WORDS).alias("online"),
+        holds_any(low, search_rules.PENALTY_WORDS).alias("penalty"), holds_any(low, search_rules.ACCOUNTING_WORDS).alias("accounting"), holds_any(low, search_rules.LATE_WORDS).alias("late_payment"),
+    )
+
+
 def first_label(text: Column, table: dict[str, list[str]]) -> Column:
     """The first label, by priority, with a word in the text."""
     low = F.lower(text)

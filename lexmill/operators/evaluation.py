@@ -25,6 +25,36 @@ def tier1_numbers(wanted: Column, answer: Column) -> Column:
     return F.when(share >= 0.8, 1.0).when(share >= 0.5, 0.5).when(share.isNotNull(), 0.2)
 
 
+# Fixed value: what an expected text is held to.
+EXPECTED_TOKENS = r"\d+(?:[.,]\d+)?%|miễn thuế|không chịu"
+
+
+def tier1(needs_calculation: Column, values: Column, expected: Column, used: Column, tool_numbers: Column, answer: Column) -> Column:
+    """First tier: struct(score, compliance).
+
+    Null where nothing is to be calculated.  Expected values (array of double) above
+    ten thousand go by ``tier1_numbers``; else an expected text by its percentages
+    and exemptions (1 from 0.6 of them in the answer, 0.5 from 0.3, else 0.2; a text
+    without any: 1).  Without either, no calculator among the tools used gives 0, a
+    calculator's number (array of long) in the answer 1, and none of them 0.5.
+    Compliance: whether a calculator was used, where it was wanted.
+    """
+    of = lambda a, kind: F.coalesce(a, F.array().cast(kind))
+    said = F.coalesce(answer, F.lit(""))
+    wanted = F.transform(F.filter(of(values, "array<double>"), lambda v: v > 10_000), lambda v: F.bround(v).cast("long"))
+    tokens = F.regexp_extract_all(F.lower(expected), F.lit(EXPECTED_TOKENS), F.lit(0))
+    share = F.coalesce(F.size(F.filter(tokens, lambda t: F.contains(F.lower(said), t))) / F.nullif(F.size(tokens), F.lit(0)), F.lit(1.0))
+    by_text = F.when(share >= 0.6, 1.0).when(share >= 0.3, 0.5).otherwise(0.2)
+    calculated = F.arrays_overlap(of(used, "array<string>"), F.array(*map(F.lit, CALCULATORS)))
+    given = numbers.amounts(said)
+    by_tool = F.when(~calculated, 0.0).when(F.exists(of(tool_numbers, "array<bigint>"), lambda n: numbers.number_found(n, given)), 1.0).otherwise(0.5)
+    has_numbers, has_text = F.size(wanted) > 0, F.coalesce(expected, F.lit("")) != ""
+    score = F.when(has_numbers, tier1_numbers(wanted, said)).when(has_text, by_text).otherwise(by_tool)
+    compliance = F.when(calculated, "compliant").when(has_numbers | has_text, "tool_skipped").otherwise("no_tool")
+    applies = F.coalesce(needs_calculation, F.lit(False))
+    return F.struct(F.when(applies, score).alias("score"), F.when(applies, compliance).alias("compliance"))
+
+
 def tier2_citations(expected: Column, cited: Column) -> Column:
     """Recall of expected documents times what precision below a half leaves; null without expected ones."""
     e, c = F.array_distinct(expected), F.array_distinct(cited)
@@ -333,6 +363,12 @@ def token_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def type_stats(chunks: DataFrame) -> DataFrame:
+    """``token_stats`` with the counts of articles, clauses and points: chunks (chunk_type, chars, n_refs)."""
+    kinds = chunks.agg(*[F.count_if(F.col("chunk_type") == k).alias(f"n_{k}") for k in ("dieu", "khoan", "diem")])
+    return token_stats(chunks).join(F.broadcast(kinds), F.lit(True))  # one row each
+
+
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Best similarity, 0 to 100, of the shorter text with a window of the longer one of its length."""

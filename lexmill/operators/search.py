@@ -8,9 +8,10 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import search_rules
 from lexmill.functions.staging import BROADCAST_BYTES, byte_size, hint_if_small, met_in_blocks, phrases_in, shuffle_partitions, staged
 from lexmill.functions.text import expand_synonyms, tokenize
-from lexmill.operators.classify import classify_scope
+from lexmill.operators.classify import classify_scope, holds_any
 
 if TYPE_CHECKING:
     from lexmill.operators.postings import KeywordIndex
@@ -480,28 +481,45 @@ def search(
 def with_co_retrieval(results: DataFrame, queries: DataFrame, chunks: DataFrame, registry: DataFrame, as_of: Column, rules: DataFrame, n: int = 5, **options: object) -> DataFrame:
     """Results with what co-retrieval rules add: for each rule that fires, the k best of its target, before or behind the others.
 
-    queries hold doc_filter as well; rules (when_filter, keywords, target, k, place).
+    queries hold doc_filter as well; rules as ``co_retrieve`` takes them.  What is put
+    before or behind goes by the rules' turn.
     """
     found = results.groupBy("query_id").agg(F.collect_set("doc_id").alias("found_docs"))
     base = queries.select("query_id", "text", "doc_filter").join(found, "query_id", "left").withColumn("found_docs", F.coalesce("found_docs", F.array().cast("array<string>")))
     asked = staged(co_retrieve(base, rules))
     more = search(queries, chunks, registry, as_of, n, within=asked.select("query_id", F.col("target").alias("doc_id")).distinct(), **options).where(F.col("kind") == FOUND)
-    best = more.join(asked.select("query_id", F.col("target").alias("doc_id"), "k", "place"), ["query_id", "doc_id"]).withColumn("n__", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))).where("n__ <= k")
-    both = results.select("*", F.lit(1).alias("o__"), F.lit(0).alias("n__")).unionByName(best.select(*results.columns, F.when(F.col("place") == "prepend", 0).otherwise(2).alias("o__"), "n__"))
-    order = Window.partitionBy("query_id").orderBy("o__", "n__", "rank", "doc_id", "chunk_id")
-    return both.withColumn("rank", F.row_number().over(order)).drop("o__", "n__")
+    best = more.join(asked.select("query_id", F.col("target").alias("doc_id"), "k", "place", "turn").distinct(), ["query_id", "doc_id"]).withColumn("n__", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))).where("n__ <= k")
+    both = results.select("*", F.lit(1).alias("o__"), F.lit(0).alias("turn__"), F.lit(0).alias("n__")).unionByName(best.select(*results.columns, F.when(F.col("place") == "prepend", 0).otherwise(2).alias("o__"), F.col("turn").alias("turn__"), "n__"))
+    order = Window.partitionBy("query_id").orderBy("o__", "turn__", "n__", "rank", "doc_id", "chunk_id")
+    return both.withColumn("rank", F.row_number().over(order)).drop("o__", "turn__", "n__")
 
 
 def co_retrieve(base: DataFrame, rules: DataFrame) -> DataFrame:
-    """Sub-searches that co-retrieval rules ask for: base (query_id, text, doc_filter, found_docs), rules (when_filter, keywords, target, k, place).
+    """Sub-searches that co-retrieval rules ask for: base (query_id, text, doc_filter, found_docs), rules (when_filter, keywords, target, k, place and, where they have an order, turn).
 
-    A rule fires if its filter is the query's, a keyword (if it has any) is in the
-    text and its target was not found.
+    A rule fires if its filter is the query's (a rule without one: if the query has
+    none), a keyword (if it has any) is in the text and its target was not found.
     """
     low = F.lower(F.col("text"))
     fires = (F.size("keywords") == 0) | F.exists("keywords", lambda w: F.contains(low, w))
-    met = base.join(hint_if_small(rules, 256), F.col("doc_filter") == F.col("when_filter")).where(fires & ~F.array_contains("found_docs", F.col("target")))
-    return met.select("query_id", "text", "target", "k", "place")
+    met = base.join(hint_if_small(rules, 256), F.col("doc_filter").eqNullSafe(F.col("when_filter"))).where(fires & ~F.array_contains("found_docs", F.col("target")))
+    turn = F.col("turn") if "turn" in rules.columns else F.lit(0)
+    return met.select("query_id", "text", "target", "k", "place", turn.alias("turn"))
+
+
+def search_terms(text: Column, top_k: Column, doc_filter: Column, excluded: Column) -> Column:
+    """How a question is searched: struct(top_k, doc_filter, excluded, is_empty).
+
+    One to ten results are asked for.  The decree on penalties is left out of every
+    search but one within it, and that one gives nothing unless the question speaks
+    of penalties.  Without a text, filter or exclusions: nothing is taken from these.
+    """
+    own = F.coalesce(F.upper(doc_filter) == search_rules.PENALTY_ONLY, F.lit(False))
+    given = F.coalesce(excluded, F.array().cast("array<string>"))
+    kept_out = F.when(own | F.array_contains(given, search_rules.PENALTY_ONLY), given).otherwise(F.concat(given, F.array(F.lit(search_rules.PENALTY_ONLY))))
+    asked = F.greatest(F.lit(search_rules.FEWEST), F.least(F.coalesce(top_k, F.lit(5)), F.lit(search_rules.MOST)))
+    speaks = holds_any(F.lower(F.coalesce(text, F.lit(""))), search_rules.PENALTY_WORDS)
+    return F.struct(asked.cast("int").alias("top_k"), F.nullif(doc_filter, F.lit("")).alias("doc_filter"), kept_out.alias("excluded"), (own & ~speaks).alias("is_empty"))
 
 
 def resolve_filter(asked: Column, known: list[str]) -> Column:
