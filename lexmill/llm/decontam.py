@@ -7,6 +7,9 @@ partitioned by size too: a document can only hold items of the partitions that
 need no more shingles than it has, and its sketch is what it has of hashes below
 the highest cut-off among those.  Long documents are thus met by a share of their
 shingles that follows the similarity, short ones are not searched for large items.
+With many items a cut-off nears the top of the hash range, so what is below it
+also has to pass a sieve: one bit for each value that a sketch hash has modulo
+SIEVE.  It holds every sketch hash, so nothing is lost, and its size is fixed.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from lexmill.llm.common import cut, fresh, hint_if_small
 WORDS, SIMILARITY = 5, 0.8
 #: Hashes that an item's sketch holds beyond those that a text may lack: so many hits, and one more, make a candidate.
 SPARE = 1
+#: Bits of the sieve (2 MB), a power of two.
+SIEVE = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -80,33 +85,53 @@ def size_partitions(sketches: DataFrame) -> list[tuple[int, int, int, int]]:
     return sorted(tuple(r) for r in rows)
 
 
-def document_sketches(docs: DataFrame, partitions: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(text_key, len, windows, hash): of each text, per shingle length, the distinct hashes up to the cut-off of its size.
+def sieve_of(sketches: DataFrame) -> DataFrame:
+    """One row (bits): the sieve of all sketch hashes, SIEVE / 64 longs in order."""
+    hashes = sketches.select(F.explode("sketch").alias("h"))
+    met = hashes.groupBy(_sieve_word(F.col("h")).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("word"))
+    words = sketches.sparkSession.range(SIEVE // 64).select(F.col("id").cast("int").alias("id")).join(met, "id", "left")
+    return words.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).getField("word").alias("bits"))
+
+
+def _sieve_word(h: Column) -> Column:
+    return F.shiftright(h.bitwiseAND(SIEVE - 1), 6).cast("int")
+
+
+def _sieved(bits: Column, h: Column) -> Column:
+    return F.getbit(F.get(bits, _sieve_word(h)), h.bitwiseAND(63).cast("int")) == 1
+
+
+def document_sketches(docs: DataFrame, partitions: list[tuple[int, int, int, int]], sieve: DataFrame) -> DataFrame:
+    """(text_key, len, windows, hash): of each text, per shingle length, the distinct hashes up to the cut-off of its size that pass the sieve.
 
     One pass over the texts: words are found once, and all lengths come from them.
     """
 
-    def of(words: Column) -> Column:
+    def of(words: Column, bits: Column) -> Column:
         all_of = []
         for length in sorted({p[0] for p in partitions}):
             windows = F.size(words) - length + 1
             cutoff = F.lit(None).cast("long")
             for _, _, need, value in (p for p in partitions if p[0] == length):
                 cutoff = F.greatest(cutoff, F.when(windows >= need, F.lit(value)))  # greatest skips nulls
-            low = F.array_distinct(F.filter(_windows(words, length, _hash(length)), lambda h: h <= cutoff))
+            low = F.array_distinct(F.filter(_windows(words, length, _hash(length)), lambda h: (h <= cutoff) & _sieved(bits, h)))
             own = F.when(cutoff.isNotNull(), low)
             all_of.append(F.struct(F.lit(length).alias("len"), windows.alias("windows"), own.alias("low")))
         return F.array(*all_of)
 
-    rows = docs.select(F.xxhash64("text").alias("text_key"), F.explode(_for(words_of(F.col("text")), of)).alias("s"))
+    # the sieve's column falls together with its only use, so no row carries it
+    sieved = docs.select("text", sieve.scalar().alias("bits"))
+    found = _for(F.col("bits"), lambda b: _for(words_of(F.col("text")), lambda w: of(w, b)))
+    rows = sieved.select(F.xxhash64("text").alias("text_key"), found.alias("all"))
+    rows = rows.select("text_key", F.explode_outer("all").alias("s"))  # never empty; a plain explode tests that first, at the price of a second pass
     return rows.select("text_key", "s.len", "s.windows", F.explode("s.low").alias("hash"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs of a document and a test item whose shingles it holds to at least ``similarity``.
 
-    Search: documents' sketches, cut at the cut-off of their size, meet the items'
-    sketches; pairs with as many common hashes as the item asks for are candidates.
+    Search: documents' sketches, cut at the cut-off of their size and sieved, meet the
+    items' sketches; pairs with as many common hashes as the item asks for are candidates.
     Candidates are then verified on the shingles themselves.  The sketch bounds
     make the search lossless: every document is hashed whole.
 
@@ -127,7 +152,7 @@ def contained_items(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     if not partitions:
         return docs.select("doc_id").withColumns({"item_id": F.lit(None).cast("long"), "n_shingles": F.lit(0), "matched": F.lit(0), "containment": F.lit(0.0)}).where("false")
     keyed = hint_if_small(sketches.select("item_key", "len", "need", "hits", F.explode("sketch").alias("hash")))
-    met = document_sketches(docs, partitions).join(keyed, ["len", "hash"]).where("windows >= need")
+    met = document_sketches(docs, partitions, sieve_of(sketches)).join(keyed, ["len", "hash"]).where("windows >= need")
     common = met.select("text_key", "item_key", "hits", "hash").distinct().groupBy("text_key", "item_key", "hits").agg(F.count(F.lit(1)).alias("n"))
     candidates = cut(common.where("n >= hits").select("text_key", "item_key"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))

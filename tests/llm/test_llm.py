@@ -653,3 +653,24 @@ def test_pipeline_stages(spark, tmp_path):
         assert r[3] == min(39, (2 * at + r[1]) * 40 // (2 * total))
         at += r[1]
     assert sorted(map(str, seen["sharding"])) == sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_sieve_holds_every_sketch_hash_and_little_else(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)], "item_id long, text string")
+    sketches = decontam.item_sketches(items)
+    bits = decontam.sieve_of(sketches).first().bits
+    assert len(bits) == decontam.SIEVE // 64
+
+    def passes(h):
+        slot = h % decontam.SIEVE
+        return bool(bits[slot >> 6] >> (slot & 63) & 1)
+
+    held = {h for r in sketches.collect() for h in r.sketch}
+    assert all(map(passes, held))
+    strange = [r.h for r in spark.range(4000).select(F.xxhash64("id").alias("h")).collect()]
+    assert sum(map(passes, strange)) < 40
+    assert decontam.sieve_of(sketches.limit(0)).first().bits == [0] * (decontam.SIEVE // 64)
+    docs = spark.createDataFrame([(1, "a b c " + " ".join(f"w3x{j}" for j in range(12)) + " d e"), (2, "w3x0 w3x1 w3x2 w3x3 w3x4 other words"), (3, None)], "doc_id long, text string")
+    rows = decontam.document_sketches(docs, decontam.size_partitions(sketches), decontam.sieve_of(sketches))
+    assert {r.hash for r in rows.collect()} <= held
+    assert [(r.doc_id, r.item_id) for r in decontam.contained_items(docs, items).collect()] == [(1, 3)]
