@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, shuffle_partitions
 
 #: Whole numbers are floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 64, 1_000_000
@@ -19,8 +19,8 @@ SCALE, OFFSET = 64, 1_000_000
 TOLERANCE, ROUNDING = 1e-12, 1e-14
 #: Passes of one Chebyshev cycle, and passes after which the block is doubled.
 CYCLE, PATIENCE = 8, 120
-#: Bytes of a slab of rows, and of the partial products that the driver adds up.
-SLAB_BYTES, GATHER_BYTES = 1 << 20, 64 << 20
+#: Bytes of a slab of rows, of the slabs that a task of a pass reads, and of the partial products that the driver adds up.
+SLAB_BYTES, TASK_BYTES, GATHER_BYTES = 1 << 20, 2 << 20, 64 << 20
 
 
 @dataclass
@@ -95,8 +95,10 @@ def _floors(column: pa.ListArray, width: int) -> np.ndarray:
 class FitList:
     """Each distinct vector once, as slabs of whole numbers in the shared folder, and what passes over it give."""
 
-    def __init__(self, distinct: DataFrame, width: int, dtype: str) -> None:
+    def __init__(self, distinct: DataFrame, width: int, dtype: str, most_rows: int) -> None:
         self.width, self.dtype = width, dtype
+        # every pass starts all tasks again, so there are as many as the bytes ask for, not as the shuffle has partitions
+        tasks = max(1, min(shuffle_partitions(distinct.sparkSession), -(-most_rows * width * np.dtype(dtype).itemsize // TASK_BYTES)))
         most = max(1, SLAB_BYTES // (max(1, width) * np.dtype(dtype).itemsize))
 
         def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,7 @@ class FitList:
                 for lo in range(0, len(rows), most):
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(rows[lo : lo + most])], pa.binary()), pa.array([len(rows[lo : lo + most])], pa.int64())], ["slab", "n"])
 
-        self.slabs = cut(distinct.mapInArrow(slabs, "slab binary, n long"))
+        self.slabs = cut(distinct.coalesce(tasks).mapInArrow(slabs, "slab binary, n long"))
         self.tasks = self.slabs.rdd.getNumPartitions()
         self._add_up()
 
@@ -178,8 +180,9 @@ def whiten(vectors: DataFrame, k: int = 16, vec_id: str = "vec_id", embedding: s
     Other columns are not read.  Equal eigenvalues leave their components free to
     turn within their space.
 
-    Distinct vectors are written once to the shared folder, packed.  Each pass of
-    the iteration reads them and returns one small product for each task.
+    Distinct vectors are written once to the shared folder, packed, in as many
+    partitions as their bytes ask for.  Each pass of the iteration reads them and
+    returns one small product for each task.
 
     Returns vec_id, component (from 1), n, deviation (sum of (n x - S)^2), whitened,
     explained (share of the trace), identity_error (largest entry of the whitened
@@ -203,7 +206,7 @@ def whiten(vectors: DataFrame, k: int = 16, vec_id: str = "vec_id", embedding: s
             x = np.ascontiguousarray(_floors(batch.column(0), width).astype(dtype))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    fit = FitList(rows.select("v").mapInArrow(pack, "x binary").distinct(), width, dtype)
+    fit = FitList(rows.select("v").mapInArrow(pack, "x binary").distinct(), width, dtype, count)
     found = subspace_iteration(fit.product, width, k, block)
     real = found.values > 8 * width * np.finfo(np.float64).eps * max(found.values[0], 0)
     values, axes = found.values[real], found.vectors[:, real]

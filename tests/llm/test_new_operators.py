@@ -71,6 +71,25 @@ def test_many_partial_products_are_added_on_executors(spark, monkeypatch):
     assert sorted((r.vec_id, r.component, round(r.whitened, 8)) for r in whitening.whiten(vectors(spark, rows), k=2).collect()) == want
 
 
+def test_passes_have_as_many_tasks_as_the_bytes_ask_for(spark, monkeypatch):
+    rows = [(i, [float(c) for c in np.random.default_rng(i).standard_normal(6)]) for i in range(60)] + [(100 + i, [1.0] * 6) for i in range(60)]
+    parts, cut = [], whitening.cut
+    monkeypatch.setattr(whitening, "cut", lambda df: (out := cut(df), parts.append(out.rdd.getNumPartitions()))[0])
+    held = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        few = sorted((r.vec_id, r.component, r.n, r.deviation, round(r.whitened, 8)) for r in whitening.whiten(vectors(spark, rows), k=2).collect())
+        monkeypatch.setattr(whitening, "TASK_BYTES", 1)  # as if there were many bytes; their products are added up on executors
+        monkeypatch.setattr(whitening, "GATHER_BYTES", 1)
+        many = sorted((r.vec_id, r.component, r.n, r.deviation, round(r.whitened, 8)) for r in whitening.whiten(vectors(spark, rows), k=2).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts == [1, 37] and few == many and {r[2] for r in few} == {61}
+
+
 @pytest.mark.parametrize("gap", [1.5, 1.01, 1.00001])
 def test_subspace_iteration_certifies(gap):
     dice = np.random.default_rng(1)
