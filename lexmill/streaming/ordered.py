@@ -21,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmill.streaming import state
+from lexmill.streaming.state import _next, _out  # by name: a fold travels with what it names, and not with whole modules and what they hold
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -103,8 +104,8 @@ def _millis(ts: Column) -> Column:
 
 def _tracked(known: tuple | None, row: dict) -> tuple[tuple, tuple]:
     names = ("entity", "tax", "income", "scenario", "count")
-    after, intent = state._next(dict(zip(names, known)) if known else {}, _Row(row))
-    return tuple(after[n] for n in names), state._out(row["conv_id"], row["turn"], after, intent)
+    after, intent = _next(dict(zip(names, known)) if known else {}, _Row(row))
+    return tuple(after[n] for n in names), _out(row["conv_id"], row["turn"], after, intent)
 
 
 class _Row:

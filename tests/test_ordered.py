@@ -4,7 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from lexmill.functions import numbers
 from lexmill.streaming import ordered
 
 T0 = dt.datetime(2026, 1, 5, 8, 0, 0)
@@ -78,3 +81,9 @@ def test_cache_entries_live_for_their_time(spark, store, tmp_path):
     assert sorted(x for x in got if x[0] != "end") == sorted(want)
     assert {x[2] for x in want} == {True, False}
     assert q.lastProgress["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) >= 0
+
+
+def test_a_fold_travels_after_functions_were_used(spark):
+    numbers.canonical_amount(F.lit("x"))  # holds a handle of the driver from here on
+    for step in (ordered._tracked, ordered._cached):
+        cloudpickle.dumps(step)
