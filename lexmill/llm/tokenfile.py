@@ -21,12 +21,15 @@ times the length, a code took 5 % less room and three times as long.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -285,25 +288,55 @@ def _active(size: np.ndarray) -> list[int]:
 
 #: Signs that can end a word; behind letters they are a piece of their own in the vocabulary's splitting.
 SIGNS = ".,;:!?"
+#: Bytes of text whose words are looked up together, and words whose ids are laid out together.
+TEXT_BYTES, LAYOUT = 16 << 20, 1 << 20
 
+#: Letters that lower-casing and composition leave one for one (without those that are only look-alikes of letters).
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Words of such letters and printable ASCII, where no apostrophe makes a piece of its own, and their pieces in lower case.
+_PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: The splitting that the short cuts below are made for.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
-#: Separators that str.split() takes for white space and the vocabulary for signs; parts between Unicode's White_Space.
-_CONTROL = re.compile("[\x1c-\x1f]")
-_PART = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+def _byte_signs() -> dict[int, str]:
+    """The signs by which byte-level vocabularies write bytes: visible ones stand for themselves."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in seen)}
 
-def _parts(text: str) -> list[str]:
-    """The parts of a text between the tokenizer's white space."""
-    return _PART.findall(text) if _CONTROL.search(text) else text.split()
+
+def _lay_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` with numbers ``at``, one behind the other."""
+    out = []
+    for lo in range(0, len(at), LAYOUT):
+        some = at[lo : lo + LAYOUT]
+        n = sizes[some]
+        before = np.cumsum(n) - n
+        out.append(flat[np.repeat(starts[some] - before, n) + np.arange(int(n.sum()))])
+    return np.concatenate(out) if out else flat[:0]
+
+
+def _runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of parts one behind the other, where each starts, and how many it has."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+    return np.frombuffer(b"".join(parts), "<u2"), np.cumsum(sizes) - sizes, sizes
 
 
 class _Pieces:
-    """Ids, as bytes of 16-bit integers, of the parts of a text between white space.
+    """Ids, as bytes of 16-bit integers, of whole texts.
 
     The vocabulary's splitting never joins what white space parts, so a text's ids
-    are those of its parts one after the other.  A part of letters alone is one
-    piece and ends with an id that carries the end-of-word mark; many of them are
-    encoded as one text and told apart by that mark.
+    are those of its parts one after the other.  Texts are parted at ASCII's white
+    space and each distinct part is encoded once.  Most are letters with signs
+    behind them: the letters, in lower case, are one piece, which the library's
+    model encodes without normalising and splitting it again; so are the pieces of
+    other parts of Latin letters and ASCII.  All other parts, and all texts of a
+    vocabulary with other steps, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 1 << 19) -> None:
@@ -313,49 +346,80 @@ class _Pieces:
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << ID_BITS:
             raise ValueError("ids must be below 65536")
-        self.ends = np.zeros(1 << ID_BITS, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        steps = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in steps["added_tokens"]]  # these are found in texts before any splitting
+        self.parted = all(steps[k] == v for k, v in _STEPS.items()) and all(added) and not any(re.search(r"\s", t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.known: dict[str, bytes] = {}
         self.most = most
 
-    def learn(self, parts: set[str]) -> None:
-        """Put the ids of parts into ``known``; beyond a bound what was known is given up first."""
-        if len(self.known) + len(parts) > self.most:
-            self.known.clear()
-        letters, rest, joined = set(), [], []
-        for p in parts:
-            stem = p.rstrip(SIGNS)
-            if not stem.isalpha():
-                rest.append(p)
-                continue
-            letters.add(stem)
-            if len(stem) < len(p):
-                joined.append((p, stem, p[len(stem) :]))
-        rest += {sign for *_, sign in joined if sign not in self.known}
-        self._one_by_one(rest)
-        todo = [w for w in letters if w not in self.known]
-        for lo in range(0, len(todo), 4096):
-            some = todo[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(some):
-                self._one_by_one(some)
-                continue
-            raw, at = ids.tobytes(), (2 * at).tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *at], at))
-        self.known.update((p, self.known[stem] + self.known[sign]) for p, stem, sign in joined)
-
-    def _one_by_one(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), 4096):
-            some = parts[lo : lo + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """By the whole tokenizer."""
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 4096):
+            out += [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece in lower case; beyond a bound what was known is given up first."""
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+            ids = self.known[piece] = array("H", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return ids
+
+    def _others(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are not letters with signs behind them."""
+        out = [b"".join(map(self._piece, _PIECE.findall(p.lower()))) if _PLAIN.fullmatch(p) and not self.added.search(p) else None for p in parts]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(left, self._whole([parts[i] for i in left])):
+            out[i] = ids
+        return out
+
+    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of ids of distinct parts."""
+        stems = pc.utf8_rtrim(parts, SIGNS)
+        easy = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
+        if self.added.pattern != "(?!)":
+            easy = pc.and_not(easy, pc.match_substring_regex(parts, self.added.pattern))
+        words = pc.utf8_lower(stems.filter(easy)).dictionary_encode()
+        ends = pc.extract_regex(parts.filter(easy), f"(?P<s>[{SIGNS}]*)$").field("s").dictionary_encode()
+        others = parts.filter(pc.invert(easy)).to_pylist()
+        runs = [self._piece(w) for w in words.dictionary.to_pylist()]
+        n_words = len(runs)
+        runs += [self._piece(s) if s else b"" for s in ends.dictionary.to_pylist()]
+        n_easy = len(runs)
+        runs += [*self._others(others), b""]
+        flat, starts, sizes = _runs(runs)
+        easy = easy.to_numpy(zero_copy_only=False)
+        two = np.full((len(parts), 2), len(runs) - 1)
+        two[easy, 0], two[easy, 1] = words.indices.to_numpy(), n_words + ends.indices.to_numpy()
+        two[~easy, 0] = n_easy + np.arange(len(others))
+        both = sizes[two].sum(axis=1)
+        return _lay_out(flat, starts, sizes, two.ravel()), np.cumsum(both) - both, both
+
+    def encode_all(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one behind the other, each with ``tail`` behind it, and where each one ends."""
+        texts, n = pc.fill_null(texts, ""), len(texts)
+        if not self.parted:
+            flat, starts, sizes = _runs([ids + tail for ids in self._whole(texts.to_pylist())])
+            return flat, starts + sizes
+        cut_up = pc.ascii_split_whitespace(texts)
+        stream = cut_up.flatten().dictionary_encode()
+        flat, starts, sizes = self._distinct(stream.dictionary)
+        end, count = np.frombuffer(tail, "<u2"), cut_up.value_lengths().to_numpy().astype(np.int64)
+        at = np.full(len(stream) + n, len(sizes))
+        is_part = np.ones(len(at), bool)
+        is_part[np.cumsum(count + 1) - 1] = False
+        at[is_part] = stream.indices.to_numpy()
+        flat, starts, sizes = np.concatenate([flat, end]), np.append(starts, len(flat)), np.append(sizes, len(end))
+        return _lay_out(flat, starts, sizes, at), np.cumsum(sizes[at])[np.cumsum(count + 1) - 1]
 
     def encode(self, text: str | None) -> bytes:
-        parts = _parts(text) if text else []
-        if any(p not in self.known for p in parts):
-            self.learn(set(parts))
-        return b"".join([self.known[p] for p in parts])
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def _tokenize(path: str, end_id: int):
@@ -364,13 +428,16 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, tail = _Pieces(path), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out: list[bytes] = []
-            for lo in range(0, len(texts), 256):  # parts of some texts are learnt together
-                some = texts[lo : lo + 256]
-                pieces.learn({p for t in some if t for p in _parts(t) if p not in pieces.known})
-                out += [pieces.encode(t) + tail for t in some]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "part", "ids"])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_BYTES, side="right")))
+                some = batch.slice(lo, hi - lo)
+                ids, ends = pieces.encode_all(some.column(1), tail)
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), coded], ["doc_id", "part", "ids"])
+                lo = hi
 
     return run
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -235,6 +236,26 @@ def test_token_file_control_characters():
         assert np.frombuffer(pieces.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_parts_are_encoded_once_and_as_whole_texts_are():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, pieces = Tokenizer.from_file(path), tokenfile._Pieces(path, most=20)
+    r = random.Random(3)
+    parts = ["In", "in", "IN,", "été.", "ÉTÉ?!", "Straße", "Ÿ", "e\u0301t", "don't", "we'll.", "'s", "x1y22", "a.b@c.de", "(716)", "+1", "under_score", "Пётр,", "東京", "ﬁne", "µm", "aªb", "İx", "ΣΑΣ", "½", "<|endoftext|>", "a<|endoftext|>,b", ".", ",.;", "\x1c", "a\x00b", "\u00ad", "´", "×", "¡hola!", "🙂ok", "a\u200db"]
+    texts = [r.choice(["", " ", "\n"]) + r.choice([" ", "\t\r\n", "\u00a0", "  "]).join(r.choice(parts) for _ in range(r.randrange(0, 9))) for _ in range(400)] + parts + [None, "", "word " * 3000]
+    flat, ends = pieces.encode_all(pa.array(texts), np.array([2], "<u2").tobytes())
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist() and flat.tolist() == [i for w in want for i in w]
+    asked = []
+    pieces.model = type("Counted", (), {"tokenize": lambda self, w, m=pieces.model: (asked.append(w), m.tokenize(w))[1]})()
+    pieces.known.clear()
+    pieces.encode_all(pa.array(["Tanrelo tanrelo, TANRELO. " * 50] * 20))
+    assert sorted(asked) == [",", ".", "tanrelo"]
+    assert pieces.encode_all(pa.array([], pa.string()))[0].tolist() == []
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     r = random.Random(17)
