@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, new_table, shuffle_partitions
 
-#: Ids in a block, lanes that are coded at once, and slots of a context table.
-BLOCK, LANES, SLOTS = 4096, 1536, 4096
+#: Ids in a block, lanes that are coded at once, and slots of a context table with the bits of their numbers.
+BLOCK, LANES, SLOT_BITS = 4096, 2560, 12
+SLOTS = 1 << SLOT_BITS
 #: Bits of a probability, and how fast counters move (a power of two).
 PBITS, RATE = 12, 4
 ID_BITS = 16
@@ -89,10 +90,12 @@ class _Coder:
             self.room, self.buf = wide.shape[1], wide.ravel()
 
     def take(self, lane: np.ndarray | slice) -> list[np.ndarray]:
-        return [self.low[lane], self.range[lane], self.code[lane], self.at[lane]]
+        return [self.low[lane], self.range[lane], self.code[lane] if self.reads else self.code, self.at[lane]]
 
     def put(self, lane: np.ndarray, state: list[np.ndarray]) -> None:
-        self.low[lane], self.range[lane], self.code[lane], self.at[lane] = state
+        self.low[lane], self.range[lane], self.at[lane] = state[0], state[1], state[3]
+        if self.reads:
+            self.code[lane] = state[2]
 
     def settle(self, state: list[np.ndarray]) -> None:
         low, width, code, at = state
@@ -126,7 +129,8 @@ class _Coder:
         unit = width >> np.uint64(CBITS)
         if value is None:
             target = np.minimum((code - low) // unit, np.uint64((1 << CBITS) - 1)).astype(np.int16)
-            value = (cum <= target[:, None]).sum(axis=1) - 1
+            below = np.bitwise_count((cum <= target[:, None]).view(np.uint64))  # sixteen answers as two words
+            value = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
         row = np.arange(0, 16 * len(value), 16) + value
         flat = cum.ravel()
         start = flat[row]
@@ -148,23 +152,44 @@ _EVEN = (np.arange(16) * (1 << CBITS) // 16).astype(np.int16)
 _GOAL = np.array([[j * 8 if j <= s else (1 << CBITS) - (16 - j) * 8 for j in range(16)] for s in range(16)], np.int16)
 
 
+_TABLE = np.dtype("V32")
+
+
+def _shares(tables: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return tables.take(at).view(np.int16).reshape(-1, 16)
+
+
+def _put_shares(tables: np.ndarray, at: np.ndarray, cum: np.ndarray, goal: np.ndarray) -> None:
+    """Shares ``cum``, from places ``at``, towards their goals; changes ``goal``."""
+    goal -= cum
+    goal >>= SHARE_RATE
+    goal += cum
+    tables[at] = goal.reshape(-1).view(_TABLE).reshape(at.shape)
+
+
 class _Model:
-    """Predictions and counters of each lane, in flat tables; the same for writer and reader."""
+    """Predictions and counters of each lane, in flat tables; the same for writer and reader.
+
+    What several orders have alike stands in one table, so that one move serves them all.
+    """
 
     def __init__(self, lanes: int) -> None:
-        half = 1 << (PBITS + 3)
-        self.guess2, self.guess1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.trust2, self.trust1 = np.zeros(lanes * SLOTS, np.uint8), np.zeros(lanes * SLOTS, np.uint8)
-        #: Chance that a guess holds, by its confidence (0 to 7) and whether both agree.
-        self.hold2, self.hold1 = np.full(lanes * 16, half, np.uint16), np.full(lanes * 16, half, np.uint16)
+        lane = np.arange(lanes, dtype=np.int64)
+        #: Order 2, order 1: the predicted id, and above its sixteen bits its confidence (0 to 7).
+        self.guess = np.zeros(2 * lanes * SLOTS, np.uint32)
+        self.slot = np.stack([lane, lane + lanes]) * SLOTS
+        #: Order 2, 0, 1: chance that a guess holds; by its confidence and whether both agree, or by how usual its first digit is.
+        self.hold = np.full(3 * lanes * 16, 1 << (PBITS + 3), np.uint16)
+        self.row = np.stack([lane, lane + lanes, lane + 2 * lanes]) * 16
         #: Order-0: shares of each four bits, behind those before.
-        self.share = np.tile(_EVEN, (lanes * NODES, 1))
-        #: First digit behind the last id and the last two.
-        self.share1, self.share2 = np.tile(_EVEN, (lanes * MIXED, 1)), np.tile(_EVEN, (lanes * MIXED, 1))
-        #: Chance that a guess holds, by how usual its first digit is.
-        self.hold0, self.first = np.full(lanes * 16, half, np.uint16), np.arange(lanes, dtype=np.int64) * NODES * 16
+        self.share = np.tile(_EVEN, lanes * NODES)
+        self.first = lane * NODES
+        #: First digit behind the last two ids, and the last one.
+        shares = np.tile(_EVEN, 2 * lanes * MIXED)
+        self.behind = np.stack([lane, lane + lanes]) * MIXED
+        #: These by tables of sixteen, which numpy moves as one value each.
+        self.tables, self.mixed = self.share.view(_TABLE), shares.view(_TABLE)
         self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.slot = np.arange(lanes, dtype=np.int64) * SLOTS
 
 
 def _move(table: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) -> None:
@@ -174,72 +199,73 @@ def _move(table: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) ->
 
 def _chance(p16: np.ndarray) -> np.ndarray:
     p = (p16 >> (16 - PBITS)).astype(np.uint64)
-    return np.minimum(np.maximum(p, np.uint64(1)), np.uint64((1 << PBITS) - 1), out=p)
+    return np.minimum(np.maximum(p, np.uint64(1), out=p), np.uint64((1 << PBITS) - 1), out=p)
+
+
+_LOW, _ONE = np.uint32(65535), np.uint32(1 << 16)
 
 
 def _advance(m: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
     """Code the next id of the first ``n`` lanes, or find it."""
-    last, last2 = m.last[:n], m.last2[:n]
-    h2 = m.slot[:n] + (((last * np.uint32(40503)) ^ (last2 * np.uint32(2654435761))) >> np.uint32(20))
-    h1 = m.slot[:n] + ((last * np.uint32(2654435761)) >> np.uint32(20))
-    g2, g1, t2, t1 = m.guess2[h2], m.guess1[h1], m.trust2[h2], m.trust1[h1]
+    spread = m.last[:n] * np.uint32(2654435761)
+    h = np.stack([(m.last[:n] * np.uint32(40503)) ^ (m.last2[:n] * np.uint32(2654435761)), spread]) >> np.uint32(32 - SLOT_BITS)
+    at_guess = m.slot[:, :n] + h
+    known = m.guess.take(at_guess)
+    guess, trust = known & _LOW, known >> np.uint32(16)
+    (g2, g1), (t2, t1) = guess, trust
     agree = g2 == g1
-    row = (m.slot[:n] >> 8) + agree * 8  # SLOTS is 16 * 256: sixteen counters for each lane
-    a2, a1 = row + t2, row + t1
-    p2, p1 = m.hold2[a2], m.hold1[a1]
     # does the order-2 guess hold? order 2 and 1 vote by confidence, order 0 by the share of the guess's first digit
-    w2, w1 = 2 + 2 * t2.astype(np.uint32), np.where(agree, 1 + t1, 0).astype(np.uint32)
-    flat, digit = m.share.ravel(), (g2 >> 12).astype(np.int64)
-    at = m.first[:n] + digit
-    usual = np.where(digit == 15, np.int16(1 << CBITS), flat.take(at + 1, mode="clip")) - flat.take(at)
-    a0 = (m.slot[:n] >> 8) + (usual >> (CBITS - 4))
-    p0 = m.hold0[a0]
+    digit = g2 >> np.uint32(12)
+    at = m.first[:n] * 16 + digit
+    usual = np.where(digit == 15, np.int16(1 << CBITS), m.share.take(at + 1, mode="clip")) - m.share.take(at)
+    at_hold = m.row[:, :n] + np.stack([t2 + agree * np.uint32(8), (usual >> (CBITS - 4)).astype(np.uint32), t1 + agree * np.uint32(8)])
+    holds = m.hold.take(at_hold)
+    w2, w1 = 2 + 2 * t2, (1 + t1) * agree
     every = coder.take(slice(0, n))
     coder.settle(every)
-    hit = coder.bit(every, _chance((p2 * w2 + p1 * w1 + p0) // (w2 + w1 + np.uint32(1))), None if ids is None else ids == g2)
-    _move(m.hold2, a2, p2, hit)
-    _move(m.hold0, a0, p0, hit)
+    hit = coder.bit(every, _chance((holds[0] * w2 + holds[2] * w1 + holds[1]) // (w2 + w1 + np.uint32(1))), None if ids is None else ids == g2)
+    _move(m.hold, at_hold[:2], holds[:2], hit)
     got = np.where(hit, g2, 0).astype(np.int64) if ids is None else ids.copy()
     # does the order-1 guess, if it is another one?
     left = np.flatnonzero(~(hit | agree))
     missed = ~hit
     if len(left):
         state = coder.take(left)
-        p = p1[left]
-        hit1 = coder.bit(state, _chance(p), None if ids is None else ids[left] == g1[left])
+        p, g = holds[2].take(left), g1.take(left)
+        hit1 = coder.bit(state, _chance(p), None if ids is None else ids.take(left) == g)
         coder.put(left, state)
-        _move(m.hold1, a1[left], p, hit1)
-        got[left[hit1]] = g1[left[hit1]]
-        missed[left[hit1]] = False
+        _move(m.hold, at_hold[2].take(left), p, hit1)
+        right = left[hit1]
+        got[right] = g[hit1]
+        missed[right] = False
     # else the id itself, four bits at a time: the first four by all orders, the others by order 0
     rest = np.flatnonzero(missed)
     if len(rest):
-        state, base = coder.take(rest), rest * NODES
+        state, base = coder.take(rest), m.first.take(rest)
         coder.settle(state)
-        value, found = None if ids is None else ids[rest], np.zeros(len(rest), np.int64)
+        value, found = None if ids is None else ids.take(rest), np.zeros(len(rest), np.int64)
         for shift, first, mask in DIGITS:
-            at = base + first + ((found if shift else (found * 40503) >> 3) & mask)
-            cum = mixed = m.share.take(at, axis=0)
+            at = base + ((found if shift else (found * 40503) >> 3) & mask) + first
+            cum = mixed = _shares(m.tables, at)
             if shift == 12:
-                at1, at2 = rest * MIXED + (h1[rest] & 255), rest * MIXED + (h2[rest] & 255)
-                cum1, cum2 = m.share1.take(at1, axis=0), m.share2.take(at2, axis=0)
-                mixed = (cum >> 1) + (cum1 >> 2) + (cum2 >> 2)
+                at_mixed = m.behind.take(rest, axis=1) + (h.take(rest, axis=1) & np.uint32(MIXED - 1))
+                more = _shares(m.mixed, at_mixed).reshape(2, -1, 16)
+                mixed = (cum >> 1) + (more[0] >> 2) + (more[1] >> 2)
             digit = coder.symbol(state, mixed, None if value is None else (value >> shift) & 15)
             goal = _GOAL.take(digit, axis=0)
-            m.share[at] = cum + ((goal - cum) >> SHARE_RATE)
             if shift == 12:
-                m.share1[at1], m.share2[at2] = cum1 + ((goal - cum1) >> SHARE_RATE), cum2 + ((goal - cum2) >> SHARE_RATE)
+                _put_shares(m.mixed, at_mixed, more, np.stack([goal, goal]))
+            _put_shares(m.tables, at, cum, goal)
             found = found * 16 + digit
             if shift == 8:
                 coder.settle(state)
         coder.put(rest, state)
         got[rest] = found
-    got16 = got.astype(np.uint16)
-    for guess, trust, h, g, t in ((m.guess2, m.trust2, h2, g2, t2), (m.guess1, m.trust1, h1, g1, t1)):
-        right = g == got16
-        trust[h] = np.where(right, np.minimum(t + 1, 7), t >> 1)
-        guess[h] = np.where(right | (t > 1), g, got16)
-    m.last2[:n], m.last[:n] = last.copy(), got
+    got32 = got.astype(np.uint32)
+    # a right guess is trusted more, a wrong one less, and one that was little trusted gives way
+    less = np.where(trust > 1, guess, got32) | ((trust >> np.uint32(1)) << np.uint32(16))
+    m.guess[at_guess] = np.where(guess == got32, known + (trust < 7) * _ONE, less)
+    m.last2[:n], m.last[:n] = m.last[:n], got32
     return got
 
 

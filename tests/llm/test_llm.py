@@ -179,6 +179,17 @@ def test_coder_round_trip():
     assert all((a == b).all() for a, b in zip(hard, tokenfile.decode_blocks(coded, [3000, 3000]))) and max(map(len, coded)) < tokenfile.ID_BYTES * 3000
 
 
+def test_a_block_is_coded_alike_beside_any_others(monkeypatch):
+    r = np.random.default_rng(2)
+    blocks = [(r.zipf(1.3, n) % 49408).astype(np.uint16) for n in (900, 40, 1, 0, 900, 333, 700, 512)]
+    want = tokenfile.encode_blocks(blocks)
+    for lanes in (1, 3):
+        monkeypatch.setattr(tokenfile, "LANES", lanes)
+        assert tokenfile.encode_blocks(blocks) == want
+        assert all((a == b).all() for a, b in zip(blocks, tokenfile.decode_blocks(want, [len(b) for b in blocks])))
+    assert tokenfile._Model(1).guess.nbytes == 8 * tokenfile.SLOTS  # one value for a guess and its confidence, one table for both orders
+
+
 def test_token_file(spark, docs, none, rows):
     """Whole texts, long ones, empty ones and rows without id, against the tokenizer itself."""
     import public_tokenizers
