@@ -460,6 +460,8 @@ def _tokenize(path: str, end_id: int):
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_BYTES, side="right")))
                 some = batch.slice(lo, hi - lo)
                 ids, ends = pieces.encode_all(some.column(1), tail)
+                if 2 * len(ids) >= 1 << 31:  # more than a binary column can point to; only a single text can come to that
+                    raise OverflowError("the ids of a text take more than 2 GB")
                 offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
                 coded = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), coded], ["doc_id", "part", "ids"])
