@@ -1,22 +1,25 @@
 """Token-id files: an adaptive context-mixing range coder over whole corpora.
 
 File format.  A token file is a table of blocks.  A block holds the ids of whole
-or parts of documents in ascending order and is coded by itself: its models and
+or parts of documents in ascending order and is coded by itself: its model and
 its coder start anew, and it carries a CRC-32 of its ids (little-endian unsigned
-32-bit), so a damaged block is found and costs no other block.
+32-bit), so a damaged block is found and costs no other block.  The first block
+of a part has 4,096 ids and each next one sixteen times as many, up to a million:
+short parts keep several blocks, long ones get blocks that can be coded fast.
 
 Model.  For each id, an order-2 and an order-1 context (the hash of the last two
-ids, the last id) each predict one id with a confidence.  Whether the order-2
-prediction holds is coded with the mean of what three adaptive counters say: those
-of both contexts by their confidence, and one of order 0 by how usual the first
-digit of the predicted id is.  An id that no context predicts is coded four bits at
-a time by adaptive shares: the first digit by a mix of order 0, 1 and 2, the others
-by order 0 behind the digits before.  All decisions drive one carry-less range
-coder for each block.
-
-Many blocks of a task are coded in lock step, as lanes of numpy arrays.  Blocks are
-short because their number makes the lanes: at a quarter of the blocks, of four
-times the length, a code took 5 % less room and three times as long.
+ids, the last id) each predict one id with a confidence, and order 0 gives every id
+a share by how often it has come.  The three are mixed with weights that depend on
+both confidences and on whether the predictions agree, and that are learnt by
+counting how often each order was right.  An id that the block has not had yet is
+coded by order 0's share for new ids and by its sixteen bits.  All decisions drive
+carry-less range coders.
+
+A block is cut into streams of up to 512 ids, each with a coder of its own, which
+go forward in lock step as lanes of numpy arrays.  All streams of a block share one
+model, so it learns from all of them.  It stands still for a round of steps and then
+learns what the round has brought: rounds of one step at first, of up to 64 later.
+So writer and reader know the same, and tables are rebuilt a few times in a block.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,287 +39,271 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, new_table, shuffle_partitions
 
-#: Ids in a block, lanes that are coded at once, and slots of a context table with the bits of their numbers.
-BLOCK, LANES, SLOT_BITS = 4096, 2560, 12
+#: Ids in the first block of a part, in the largest one, and how many times as many the next one has; documents in a block.
+BLOCK, MOST, GROWTH, DOCS = 4096, 1 << 20, 16, 1 << 16
+#: Ids in a stream, streams that are coded at once, and steps in a round at most.
+STREAM, LANES, ROUND = 512, 2048, 64
+#: Bits of an id, of the slots of a context's table, of a mixing weight, and of the sum of order 0's shares.
+ID_BITS, SLOT_BITS, PBITS, CBITS = 16, 16, 12, 16
 SLOTS = 1 << SLOT_BITS
-#: Bits of a probability, and how fast counters move (a power of two).
-PBITS, RATE = 12, 4
-ID_BITS = 16
-#: Bits of the sum of the shares of four bits, how fast they move, and the bounds of the coder's interval.
-CBITS, SHARE_RATE = 14, 4
+#: Mixing weights: by confidence of order 2 (0 to 7) and of order 1, and by whether both predict the same.
+MIXES = 128
+#: The bounds of the coder's interval.
 TOP, BOTTOM, WORD = 1 << 32, 1 << 28, np.uint64(32)
-#: The four digits of an id: their shift, the first of their tables, and the bits before them that choose the table; the
-#: last digit shares tables by a hash, which took 0.2 % more room and an eighth of the memory.
-DIGITS = ((12, 0, 0), (8, 1, 15), (4, 17, 255), (0, 273, 511))
-NODES = 273 + 512
-#: Tables of the first digit by the last id and by the last two, for each lane.
-MIXED = 256
-#: Bytes that a coded id may take at most: two decisions of twelve bits and four digits of eleven.
-ID_BYTES = 9
-#: Ids between two looks at how full the lanes are.
-STRIDE = 256
+#: Bytes that a coded id may take at most: a word at each of two settlings.
+ID_BYTES = 8
+
+_HALF, _WEIGHT, _SHARE, _RAW = np.uint64(0xFFFFFFFF), np.uint64(PBITS), np.uint64(CBITS), np.uint64(ID_BITS)
+_LOW, _ONE = np.uint32(65535), np.uint32(1 << 16)
 
 
 class _Coder:
-    """Range coding, one decision at a time for many lanes, without carries.
+    """Range coders of many streams, without carries.
 
     The interval is (low, low + range) of 64 bits.  Its leading 32 bits go out
     once they are settled, or once the range has become too small, which is then
     cut so that they settle.  Between two calls of ``settle`` decisions may take
-    28 bits.
+    28 bits; so each call moves a word at most.
     """
 
-    def __init__(self, lanes: int, data: list[bytes] | None, room: int) -> None:
+    def __init__(self, lanes: int, steps: int, data: bytes | None = None) -> None:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
         self.code = np.zeros(lanes, np.uint64)
         self.reads = data is not None
-        self.room = max(map(len, data), default=0) // 4 + 8 if data is not None else room // 4 + 8
-        self.buf = np.zeros(lanes * self.room, np.uint32)
-        for i, d in enumerate(data or ()):
-            self.buf[i * self.room : i * self.room + len(d) // 4] = np.frombuffer(d, ">u4")
-        self.at = np.arange(lanes) * self.room
-        if data is not None:
+        self.room = ID_BYTES // 4 * steps + 2
+        if data is None:
+            self.buf, self.at = np.zeros(lanes * self.room, np.uint32), np.arange(lanes) * self.room
+        else:
+            sizes = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+            self.buf = np.frombuffer(data, ">u4", offset=2 * lanes).astype(np.uint32)
+            self.end = np.cumsum(sizes)
+            self.at = self.end - sizes
             for _ in range(2):
-                self.code = (self.code << WORD) | self.buf[self.at]
-                self.at += 1
-
-    def make_room(self, words: int) -> None:
-        """See to it that each lane can take so many words more."""
-        lanes = np.arange(len(self.at))
-        if len(lanes) and int((self.at - lanes * self.room).max()) + words > self.room:
-            wide = np.zeros((len(lanes), 2 * self.room + words), np.uint32)
-            wide[:, : self.room] = self.buf.reshape(len(lanes), self.room)
-            self.at += lanes * (wide.shape[1] - self.room)
-            self.room, self.buf = wide.shape[1], wide.ravel()
-
-    def take(self, lane: np.ndarray | slice) -> list[np.ndarray]:
-        return [self.low[lane], self.range[lane], self.code[lane] if self.reads else self.code, self.at[lane]]
-
-    def put(self, lane: np.ndarray, state: list[np.ndarray]) -> None:
-        self.low[lane], self.range[lane], self.at[lane] = state[0], state[1], state[3]
-        if self.reads:
-            self.code[lane] = state[2]
+                self.code = (self.code << WORD) | self._next(slice(None))
+
+    def _next(self, lane: np.ndarray | slice) -> np.ndarray:
+        """The next word of streams; behind their ends there are zeros."""
+        at = self.at[lane]
+        words = np.where(at < self.end[lane], self.buf.take(at, mode="clip"), 0)
+        self.at[lane] = at + 1
+        return words
 
-    def settle(self, state: list[np.ndarray]) -> None:
-        low, width, code, at = state
+    def settle(self, lane: slice | np.ndarray) -> None:
+        low, width = self.low[lane], self.range[lane]
         out = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
-        while len(out):
-            lo, w, where = low[out], width[out], at[out]
-            w = np.where((lo ^ (lo + w)) >= TOP, (np.uint64(0) - lo) & np.uint64(BOTTOM - 1), w)
-            if self.reads:
-                code[out] = (code[out] << WORD) | self.buf.take(where, mode="clip")
-            else:
-                self.buf[where] = lo >> WORD
-            at[out] = where + 1
-            lo, w = lo << WORD, w << WORD
-            low[out], width[out] = lo, w
-            out = out[((lo ^ (lo + w)) < TOP) | (w < BOTTOM)]
-
-    def bit(self, state: list[np.ndarray], p1: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code a yes or no, or find it, in place; p1: chance of yes, in 1..4095 of 4096."""
-        low, width, code, _ = state
-        bound = (width >> np.uint64(PBITS)) * p1
-        if bit is None:
-            bit = code - low < bound
-        low += np.where(bit, np.uint64(0), bound)
-        np.subtract(width, bound, out=bound, where=~bit)
-        width[:] = bound
-        return bit
-
-    def symbol(self, state: list[np.ndarray], cum: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Code one of sixteen, or find it, in place; cum: rows of starts of the shares of 2^CBITS, the first one 0."""
-        low, width, code, _ = state
-        unit = width >> np.uint64(CBITS)
+        if not len(out):
+            return
+        out = out + lane.start if isinstance(lane, slice) else lane[out]
+        lo, w = self.low[out], self.range[out]
+        w = np.where((lo ^ (lo + w)) >= TOP, (np.uint64(0) - lo) & np.uint64(BOTTOM - 1), w)
+        if self.reads:
+            self.code[out] = (self.code[out] << WORD) | self._next(out)
+        else:
+            at = self.at[out]
+            self.buf[at] = lo >> WORD
+            self.at[out] = at + 1
+        self.low[out], self.range[out] = lo << WORD, w << WORD
+
+    def raw(self, lane: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        """Code sixteen bits of some streams, or find them."""
+        self.settle(lane)
+        unit = self.range[lane] >> _RAW
         if value is None:
-            target = np.minimum((code - low) // unit, np.uint64((1 << CBITS) - 1)).astype(np.int16)
-            below = np.bitwise_count((cum <= target[:, None]).view(np.uint64))  # sixteen answers as two words
-            value = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
-        row = np.arange(0, 16 * len(value), 16) + value
-        flat = cum.ravel()
-        start = flat[row]
-        end = np.where(value == 15, np.int16(1 << CBITS), flat.take(row + 1, mode="clip"))
-        low += unit * start.astype(np.uint64)
-        np.multiply(unit, (end - start).astype(np.uint64), out=width)
+            value = np.minimum((self.code[lane] - self.low[lane]) // unit, np.uint64((1 << ID_BITS) - 1))
+        self.low[lane] += unit * value
+        self.range[lane] = unit
         return value
 
-    def finish(self) -> list[bytes]:
-        out = []
-        for i, low in enumerate(self.low.tolist()):
-            words = [*self.buf[i * self.room : self.at[i]].tolist(), low >> 32, low & 0xFFFFFFFF]
-            out.append(np.array(words, ">u4").tobytes())
-        return out
-
-
-#: Where shares start, at first and for a table in which one symbol has nearly all: the goals that shares move to.
-_EVEN = (np.arange(16) * (1 << CBITS) // 16).astype(np.int16)
-_GOAL = np.array([[j * 8 if j <= s else (1 << CBITS) - (16 - j) * 8 for j in range(16)] for s in range(16)], np.int16)
-
-
-_TABLE = np.dtype("V32")
-
-
-def _shares(tables: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return tables.take(at).view(np.int16).reshape(-1, 16)
-
-
-def _put_shares(tables: np.ndarray, at: np.ndarray, cum: np.ndarray, goal: np.ndarray) -> None:
-    """Shares ``cum``, from places ``at``, towards their goals; changes ``goal``."""
-    goal -= cum
-    goal >>= SHARE_RATE
-    goal += cum
-    tables[at] = goal.reshape(-1).view(_TABLE).reshape(at.shape)
+    def finish(self) -> bytes:
+        """How many words each stream has, and the words; where one suffices to end a stream, the other is left out."""
+        self.settle(slice(0, len(self.low)))
+        short = self.range >= TOP
+        self.buf[self.at] = np.where(short, self.low + np.uint64(TOP - 1), self.low) >> WORD
+        self.buf[self.at + 1] = self.low & _HALF
+        sizes = self.at + 2 - short - np.arange(len(self.at)) * self.room
+        used = np.arange(self.room) < sizes[:, None]
+        return sizes.astype("<u2").tobytes() + self.buf.reshape(-1, self.room)[used].astype(">u4").tobytes()
 
 
 class _Model:
-    """Predictions and counters of each lane, in flat tables; the same for writer and reader.
-
-    What several orders have alike stands in one table, so that one move serves them all.
-    """
+    """What all streams of a block have taught so far; the same for writer and reader."""
 
-    def __init__(self, lanes: int) -> None:
-        lane = np.arange(lanes, dtype=np.int64)
+    def __init__(self, streams: int, steps: int = 0) -> None:
+        #: Ids by step, behind two rows of zeros.
+        self.ids = np.zeros((steps + 2, streams), np.int64)
         #: Order 2, order 1: the predicted id, and above its sixteen bits its confidence (0 to 7).
-        self.guess = np.zeros(2 * lanes * SLOTS, np.uint32)
-        self.slot = np.stack([lane, lane + lanes]) * SLOTS
-        #: Order 2, 0, 1: chance that a guess holds; by its confidence and whether both agree, or by how usual its first digit is.
-        self.hold = np.full(3 * lanes * 16, 1 << (PBITS + 3), np.uint16)
-        self.row = np.stack([lane, lane + lanes, lane + 2 * lanes]) * 16
-        #: Order-0: shares of each four bits, behind those before.
-        self.share = np.tile(_EVEN, lanes * NODES)
-        self.first = lane * NODES
-        #: First digit behind the last two ids, and the last one.
-        shares = np.tile(_EVEN, 2 * lanes * MIXED)
-        self.behind = np.stack([lane, lane + lanes]) * MIXED
-        #: These by tables of sixteen, which numpy moves as one value each.
-        self.tables, self.mixed = self.share.view(_TABLE), shares.view(_TABLE)
-        self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-
-def _move(table: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) -> None:
-    """Counters ``p``, from places ``at``, towards what has happened."""
-    table[at] = np.where(bit, p + ((np.uint16(65535) - p) >> np.uint16(RATE)), p - (p >> np.uint16(RATE)))
-
-
-def _chance(p16: np.ndarray) -> np.ndarray:
-    p = (p16 >> (16 - PBITS)).astype(np.uint64)
-    return np.minimum(np.maximum(p, np.uint64(1), out=p), np.uint64((1 << PBITS) - 1), out=p)
-
-
-_LOW, _ONE = np.uint32(65535), np.uint32(1 << 16)
-
-
-def _advance(m: _Model, coder: _Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code the next id of the first ``n`` lanes, or find it."""
-    spread = m.last[:n] * np.uint32(2654435761)
-    h = np.stack([(m.last[:n] * np.uint32(40503)) ^ (m.last2[:n] * np.uint32(2654435761)), spread]) >> np.uint32(32 - SLOT_BITS)
-    at_guess = m.slot[:, :n] + h
-    known = m.guess.take(at_guess)
-    guess, trust = known & _LOW, known >> np.uint32(16)
-    (g2, g1), (t2, t1) = guess, trust
-    agree = g2 == g1
-    # does the order-2 guess hold? order 2 and 1 vote by confidence, order 0 by the share of the guess's first digit
-    digit = g2 >> np.uint32(12)
-    at = m.first[:n] * 16 + digit
-    usual = np.where(digit == 15, np.int16(1 << CBITS), m.share.take(at + 1, mode="clip")) - m.share.take(at)
-    at_hold = m.row[:, :n] + np.stack([t2 + agree * np.uint32(8), (usual >> (CBITS - 4)).astype(np.uint32), t1 + agree * np.uint32(8)])
-    holds = m.hold.take(at_hold)
-    w2, w1 = 2 + 2 * t2, (1 + t1) * agree
-    every = coder.take(slice(0, n))
-    coder.settle(every)
-    hit = coder.bit(every, _chance((holds[0] * w2 + holds[2] * w1 + holds[1]) // (w2 + w1 + np.uint32(1))), None if ids is None else ids == g2)
-    _move(m.hold, at_hold[:2], holds[:2], hit)
-    got = np.where(hit, g2, 0).astype(np.int64) if ids is None else ids.copy()
-    # does the order-1 guess, if it is another one?
-    left = np.flatnonzero(~(hit | agree))
-    missed = ~hit
-    if len(left):
-        state = coder.take(left)
-        p, g = holds[2].take(left), g1.take(left)
-        hit1 = coder.bit(state, _chance(p), None if ids is None else ids.take(left) == g)
-        coder.put(left, state)
-        _move(m.hold, at_hold[2].take(left), p, hit1)
-        right = left[hit1]
-        got[right] = g[hit1]
-        missed[right] = False
-    # else the id itself, four bits at a time: the first four by all orders, the others by order 0
-    rest = np.flatnonzero(missed)
-    if len(rest):
-        state, base = coder.take(rest), m.first.take(rest)
-        coder.settle(state)
-        value, found = None if ids is None else ids.take(rest), np.zeros(len(rest), np.int64)
-        for shift, first, mask in DIGITS:
-            at = base + ((found if shift else (found * 40503) >> 3) & mask) + first
-            cum = mixed = _shares(m.tables, at)
-            if shift == 12:
-                at_mixed = m.behind.take(rest, axis=1) + (h.take(rest, axis=1) & np.uint32(MIXED - 1))
-                more = _shares(m.mixed, at_mixed).reshape(2, -1, 16)
-                mixed = (cum >> 1) + (more[0] >> 2) + (more[1] >> 2)
-            digit = coder.symbol(state, mixed, None if value is None else (value >> shift) & 15)
-            goal = _GOAL.take(digit, axis=0)
-            if shift == 12:
-                _put_shares(m.mixed, at_mixed, more, np.stack([goal, goal]))
-            _put_shares(m.tables, at, cum, goal)
-            found = found * 16 + digit
-            if shift == 8:
-                coder.settle(state)
-        coder.put(rest, state)
-        got[rest] = found
-    got32 = got.astype(np.uint32)
-    # a right guess is trusted more, a wrong one less, and one that was little trusted gives way
-    less = np.where(trust > 1, guess, got32) | ((trust >> np.uint32(1)) << np.uint32(16))
-    m.guess[at_guess] = np.where(guess == got32, known + (trust < 7) * _ONE, less)
-    m.last2[:n], m.last[:n] = m.last[:n], got32
-    return got
-
-
-def _by_length(sizes: list[int]) -> list[np.ndarray]:
-    """Numbers of blocks, longest first, in as few equal groups as hold at most LANES, which are coded together."""
-    order = np.argsort(-np.asarray(sizes, np.int64), kind="stable")
-    return [g for g in np.array_split(order, -(-len(order) // LANES)) if len(g)] if len(order) else []
+        self.guess = np.zeros(2 * SLOTS, np.uint32)
+        #: How often order 2 held, order 1 instead, neither; and the weight of order 2 and (upper half) of both together.
+        self.held = np.zeros((MIXES, 3), np.int64)
+        self.mix = np.zeros(MIXES, np.uint64)
+        #: Order 0: counts of ids, the ids seen, each id's number among these (others: that of a new id), what number has a
+        #: share's slot, and where (upper half) a number's share starts and how wide it is.
+        self.count = np.zeros(1 << ID_BITS, np.int64)
+        self.seen, self.symbol = 0, np.zeros(1, np.uint32)
+        self.rank = np.zeros(1 << ID_BITS, np.int64)
+        self.slot = np.zeros(1 << CBITS, np.uint16)
+        self.part = np.array([1 << CBITS], np.uint64)
+
+    def look(self, last2: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places of both contexts, what stands there, the predicted ids, and which weights hold."""
+        at2, at1 = (last * 40503 + last2 * 25173) & (SLOTS - 1), last + SLOTS
+        k2, k1 = self.guess.take(at2, mode="clip"), self.guess.take(at1, mode="clip")
+        g2, g1 = k2 & _LOW, k1 & _LOW
+        mix = ((k2 >> np.uint32(16)) << np.uint32(4)) | ((k1 >> np.uint32(16)) << np.uint32(1)) | (g2 == g1)
+        return at2, at1, k2, k1, g2, g1, mix.astype(np.int64)
+
+    def learn(self, got: np.ndarray, looked: tuple[np.ndarray, ...]) -> None:
+        """What the ids of a round teach, in the order of its steps."""
+        at2, at1, k2, k1, g2, g1, mix = looked
+        got32 = got.astype(np.uint32)
+        right2, right1 = g2 == got32, g1 == got32
+        # a right guess is trusted more, a wrong one less, and one that was little trusted gives way
+        for at, known, guess, right in ((at2, k2, g2, right2), (at1, k1, g1, right1)):
+            trust = known >> np.uint32(16)
+            less = np.where(trust > 1, guess, got32) | ((trust >> np.uint32(1)) << np.uint32(16))
+            self.guess[at] = np.where(right, known + (trust < 7) * _ONE, less)  # of several for a place the last one stays
+        # weights: by what the last rounds have shown, where little is known by what all confidences have together
+        self.held -= self.held >> 1
+        self.held += np.bincount(3 * mix + np.where(right2, 0, 2 - right1.astype(np.int64)), minlength=3 * MIXES).reshape(MIXES, 3)
+        alike, top = self.held.reshape(-1, 2, 3).sum(axis=0), (1 << PBITS) - 1
+        usual = np.tile(2 * top * alike // (alike.sum(axis=1, keepdims=True) + 1), (MIXES // 2, 1))
+        weight = (self.held * top + usual)[:, :2] // (self.held.sum(axis=1, keepdims=True) + 2)
+        self.mix = (weight[:, 0] | weight.sum(axis=1) << 32).astype(np.uint64)
+        # order 0: every id seen has a share, and new ones together have one by how many the round had
+        more = np.bincount(got, minlength=1 << ID_BITS)
+        new = int(more[self.count == 0].sum())
+        self.count += more
+        ids = np.flatnonzero(self.count)
+        count, n = self.count[ids], len(ids)
+        free = max(0, (1 << CBITS) - n - 1)
+        escape = min(free // 2, free * new // len(got))
+        share = 1 + count * (free - escape) // int(count.sum())
+        left = (1 << CBITS) - int(share.sum())
+        share[count.argmax()] += max(0, left - 1 - escape)
+        share = np.append(share, min(left, 1 + escape))
+        self.part = ((np.cumsum(share) - share) << 32 | share).astype(np.uint64)
+        self.slot = np.repeat(np.arange(n + 1).astype(np.uint16), share)
+        self.seen, self.symbol = n, np.append(ids, 0).astype(np.uint32)
+        self.rank[:] = n
+        self.rank[ids] = np.arange(n)
+
+    def round(self, lo: int, hi: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Ids of some steps and what the model says before them."""
+        last2, last, got = (self.ids[lo + i : hi + i].ravel() for i in range(3))
+        return got, self.look(last2, last)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Streams and steps of a block; the last streams may end in zeros that no one reads."""
+    streams = -(-n // STREAM)
+    return streams, -(-n // streams)
+
+
+def _rounds(steps: int) -> Iterator[tuple[int, int]]:
+    lo = 0
+    while lo < steps:
+        hi = min(lo + max(1, min(lo, ROUND)), steps)
+        yield lo, hi
+        lo = hi
+
+
+def _lanes(streams: int) -> list[slice]:
+    return [slice(lo, min(lo + LANES, streams)) for lo in range(0, streams, LANES)]
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    if not len(ids):
+        return b""
+    streams, steps = _shape(len(ids))
+    m, coder = _Model(streams, steps), _Coder(streams, steps)
+    m.ids[2:] = np.pad(ids, (0, streams * steps - len(ids))).reshape(streams, steps).T
+    for lo, hi in _rounds(steps):
+        got, looked = m.round(lo, hi)
+        *_, g2, g1, mix = looked
+        weight, rank = m.mix.take(mix), m.rank.take(got)
+        part, w2, both = m.part.take(rank), weight & _HALF, weight >> WORD
+        by2 = (g2 == got) & (w2 > 0)
+        plain = ~(by2 | (g1 == got) & (both > w2))
+        # where the order that gives the id starts among the three, how wide it is, and order 0's share of it
+        start, wide = np.where(plain, both, np.where(by2, 0, w2)), np.where(by2, w2, both - w2)
+        inner, share, new = np.where(plain, part >> WORD, 0), part & _HALF, plain & (rank == m.seen)
+        start, wide, inner, share, plain, new, value = (x.reshape(hi - lo, streams) for x in (start, wide, inner, share, plain, new, got.astype(np.uint64)))
+        any_new = new.any(axis=1)
+        for lane in _lanes(streams):
+            low, width = coder.low[lane], coder.range[lane]
+            for t in range(hi - lo):
+                coder.settle(lane)
+                unit = width >> _WEIGHT
+                at = unit * start[t, lane]
+                low += at
+                rest = (width - at) >> _SHARE
+                low += rest * inner[t, lane]
+                np.multiply(unit, wide[t, lane], out=width)
+                np.copyto(width, rest * share[t, lane], where=plain[t, lane])
+                if any_new[t]:
+                    few = np.flatnonzero(new[t, lane]) + lane.start
+                    coder.raw(few, value[t, few])
+        m.learn(got, looked)
+    return coder.finish()
+
+
+def _decode(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint16)
+    streams, steps = _shape(n)
+    m, coder = _Model(streams, steps), _Coder(streams, steps, data)
+    for lo, hi in _rounds(steps):
+        for lane in _lanes(streams):
+            low, width, code = coder.low[lane], coder.range[lane], coder.code[lane]
+            for t in range(lo, hi):
+                *_, g2, g1, mix = m.look(m.ids[t, lane], m.ids[t + 1, lane])
+                weight = m.mix.take(mix, mode="clip")
+                coder.settle(lane)
+                unit = width >> _WEIGHT
+                w2, both = unit * (weight & _HALF), unit * (weight >> WORD)
+                at = code - low
+                guessed, by2 = at < both, at < w2
+                at -= both
+                rest = (width - both) >> _SHARE
+                rank = m.slot.take((at // rest).view(np.int64), mode="clip").astype(np.int64)  # of guessed ones any, not used
+                part = m.part.take(rank, mode="clip")
+                skip = rest * (part >> WORD)
+                skip += both
+                np.copyto(skip, w2, where=guessed)
+                np.copyto(skip, 0, where=by2)
+                low += skip
+                np.multiply(rest, part & _HALF, out=width)
+                both -= w2
+                np.copyto(width, both, where=guessed)
+                np.copyto(width, w2, where=by2)
+                got = m.symbol.take(rank, mode="clip")
+                np.copyto(got, g1, where=guessed)
+                np.copyto(got, g2, where=by2)
+                new = rank == m.seen
+                new &= ~guessed
+                if new.any():
+                    few = np.flatnonzero(new)
+                    got[few] = coder.raw(few + lane.start, None)
+                m.ids[t + 2, lane] = got
+        m.learn(*m.round(lo, hi))
+    return m.ids[2:].T.ravel()[:n].astype(np.uint16)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Code arrays of ids below 65536, each by itself."""
-    out: list[bytes] = [b""] * len(blocks)
-    for group in _by_length([len(b) for b in blocks]):
-        size = np.array([len(blocks[i]) for i in group])
-        ids = np.zeros((int(size[0]), len(group)), np.uint16)
-        for k, i in enumerate(group):
-            ids[: size[k], k] = blocks[i]
-        model, coder = _Model(len(group)), _Coder(len(group), None, 2 * int(size[0]) + 64)
-        for t, n in enumerate(_active(size)):
-            if t % STRIDE == 0:
-                coder.make_room(STRIDE * ID_BYTES // 4 + 8)
-            _advance(model, coder, n, ids[t, :n].astype(np.int64))
-        for i, data in zip(group, coder.finish()):
-            out[i] = data
-    return out
+    return [_encode(b) for b in blocks]
 
 
 def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The arrays that ``encode_blocks`` has coded."""
-    out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(data)
-    for group in _by_length(sizes):
-        size = np.array([sizes[i] for i in group])
-        ids = np.zeros((int(size[0]), len(group)), np.uint16)
-        model, coder = _Model(len(group)), _Coder(len(group), [data[i] for i in group], 0)
-        for t, n in enumerate(_active(size)):
-            ids[t, :n] = _advance(model, coder, n, None)
-        for k, i in enumerate(group):
-            out[i] = ids[: size[k], k].copy()
-    return out
-
+    return [_decode(d, n) for d, n in zip(data, sizes)]
 
-def _active(size: np.ndarray) -> list[int]:
-    """How many of the lanes, sorted by falling size, still have an id at each step."""
-    return (len(size) - np.searchsorted(np.sort(size), np.arange(int(size[0])), side="right")).tolist()
 
-
-#: Signs that can end a word; behind letters they are a piece of their own in the vocabulary's splitting.
-SIGNS = ".,;:!?"
-#: Bytes of text whose words are looked up together, and words whose ids are laid out together.
-TEXT_BYTES, LAYOUT = 16 << 20, 1 << 20
+#: Signs that can end a word; behind letters they are a piece of their own in the vocabulary's splitting (an apostrophe may not be).
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: Signs of a word's end at most, where it is looked up by itself; bytes of text whose words are looked up together.
+ENDING, TEXT_BYTES = 8, 16 << 20
 
 #: Letters that lower-casing and composition leave one for one (without those that are only look-alikes of letters).
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -336,21 +324,22 @@ def _byte_signs() -> dict[int, str]:
     return {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in seen)}
 
 
-def _lay_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` with numbers ``at``, one behind the other."""
-    out = []
-    for lo in range(0, len(at), LAYOUT):
-        some = at[lo : lo + LAYOUT]
-        n = sizes[some]
-        before = np.cumsum(n) - n
-        out.append(flat[np.repeat(starts[some] - before, n) + np.arange(int(n.sum()))])
-    return np.concatenate(out) if out else flat[:0]
+def _lay_out(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` with numbers ``at``, one behind the other, and where each one starts and the last one ends."""
+    offsets = np.append(0, 2 * np.cumsum(sizes))
+    runs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    taken = runs.take(pa.array(at))
+    bounds = np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1) // 2
+    return np.frombuffer(taken.buffers()[2] or b"", "<u2", int(bounds[-1])), bounds
+
 
+def _runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts one behind the other, and how many each has."""
+    return np.frombuffer(b"".join(parts), "<u2"), np.fromiter(map(len, parts), np.int64, len(parts)) // 2
 
-def _runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of parts one behind the other, where each starts, and how many it has."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-    return np.frombuffer(b"".join(parts), "<u2"), np.cumsum(sizes) - sizes, sizes
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class _Pieces:
@@ -376,6 +365,7 @@ class _Pieces:
         added = [t["content"] for t in steps["added_tokens"]]  # these are found in texts before any splitting
         self.parted = all(steps[k] == v for k, v in _STEPS.items()) and all(added) and not any(re.search(r"\s", t) for t in added)
         self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        self.apart = all(re.search(f"[{re.escape(SIGNS)}].*[A-Za-z]", t) for t in added)  # then letters with signs behind them hold none
         self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.known: dict[str, bytes] = {}
         self.most = most
@@ -387,62 +377,72 @@ class _Pieces:
             out += [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece in lower case; beyond a bound what was known is given up first."""
-        ids = self.known.get(piece)
-        if ids is None:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces in lower case; beyond a bound what was known is given up first."""
+        out = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        tokenize, number = self.model.tokenize, attrgetter("id")
+        for i in new:
+            piece = pieces[i]
             if len(self.known) >= self.most:
                 self.known.clear()
-            seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
-            ids = self.known[piece] = array("H", [t.id for t in self.model.tokenize(seen)]).tobytes()
-        return ids
+            ids = self.known.get(piece)  # it may have come twice
+            if ids is None:
+                seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+                ids = self.known[piece] = array("H", map(number, tokenize(seen))).tobytes()
+            out[i] = ids
+        return out
 
     def _others(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that are not letters with signs behind them."""
-        out = [b"".join(map(self._piece, _PIECE.findall(p.lower()))) if _PLAIN.fullmatch(p) and not self.added.search(p) else None for p in parts]
+        out = [b"".join(self._pieces(_PIECE.findall(p.lower()))) if _PLAIN.fullmatch(p) and not self.added.search(p) else None for p in parts]
         left = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(left, self._whole([parts[i] for i in left])):
             out[i] = ids
         return out
 
-    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The runs of ids of distinct parts."""
         stems = pc.utf8_rtrim(parts, SIGNS)
-        easy = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
-        if self.added.pattern != "(?!)":
+        extra = pc.subtract(pc.binary_length(parts), pc.binary_length(stems))
+        easy = pc.and_(pc.match_substring_regex(stems, f"^[{_LETTERS}]+$"), pc.less_equal(extra, ENDING))
+        if not self.apart:
             easy = pc.and_not(easy, pc.match_substring_regex(parts, self.added.pattern))
         words = pc.utf8_lower(stems.filter(easy)).dictionary_encode()
-        ends = pc.extract_regex(parts.filter(easy), f"(?P<s>[{SIGNS}]*)$").field("s").dictionary_encode()
-        others = parts.filter(pc.invert(easy)).to_pylist()
-        runs = [self._piece(w) for w in words.dictionary.to_pylist()]
-        n_words = len(runs)
-        runs += [self._piece(s) if s else b"" for s in ends.dictionary.to_pylist()]
-        n_easy = len(runs)
-        runs += [*self._others(others), b""]
-        flat, starts, sizes = _runs(runs)
-        easy = easy.to_numpy(zero_copy_only=False)
-        two = np.full((len(parts), 2), len(runs) - 1)
-        two[easy, 0], two[easy, 1] = words.indices.to_numpy(), n_words + ends.indices.to_numpy()
-        two[~easy, 0] = n_easy + np.arange(len(others))
-        both = sizes[two].sum(axis=1)
-        return _lay_out(flat, starts, sizes, two.ravel()), np.cumsum(both) - both, both
+        runs = self._pieces(_strings(words.dictionary))
+        two = np.zeros((len(parts), 2), np.int64)
+        easy, extra = easy.to_numpy(zero_copy_only=False), extra.to_numpy()
+        two[easy, 0] = words.indices.to_numpy()
+        two[:, 1] = len(runs)
+        runs.append(b"")
+        for n in range(1, ENDING + 1):
+            some = np.flatnonzero(easy & (extra == n))
+            if len(some):
+                ends = pc.utf8_slice_codeunits(parts.take(pa.array(some)), -n).dictionary_encode()
+                two[some, 1] = len(runs) + ends.indices.to_numpy()
+                runs += self._pieces(ends.dictionary.to_pylist())
+        others = _strings(parts.filter(pa.array(~easy)))
+        two[~easy, 0] = len(runs) + np.arange(len(others))
+        flat, bounds = _lay_out(*_runs(runs + self._others(others)), two.ravel())
+        return flat, np.diff(bounds[::2])
 
     def encode_all(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) one behind the other, each with ``tail`` behind it, and where each one ends."""
         texts, n = pc.fill_null(texts, ""), len(texts)
         if not self.parted:
-            flat, starts, sizes = _runs([ids + tail for ids in self._whole(texts.to_pylist())])
-            return flat, starts + sizes
+            flat, sizes = _runs([ids + tail for ids in self._whole(texts.to_pylist())])
+            return flat, np.cumsum(sizes)
         cut_up = pc.ascii_split_whitespace(texts)
         stream = cut_up.flatten().dictionary_encode()
-        flat, starts, sizes = self._distinct(stream.dictionary)
-        end, count = np.frombuffer(tail, "<u2"), cut_up.value_lengths().to_numpy().astype(np.int64)
+        flat, sizes = self._distinct(stream.dictionary)
+        last = np.cumsum(cut_up.value_lengths().to_numpy().astype(np.int64) + 1)
         at = np.full(len(stream) + n, len(sizes))
         is_part = np.ones(len(at), bool)
-        is_part[np.cumsum(count + 1) - 1] = False
+        is_part[last - 1] = False
         at[is_part] = stream.indices.to_numpy()
-        flat, starts, sizes = np.concatenate([flat, end]), np.append(starts, len(flat)), np.append(sizes, len(end))
-        return _lay_out(flat, starts, sizes, at), np.cumsum(sizes[at])[np.cumsum(count + 1) - 1]
+        end = np.frombuffer(tail, "<u2")
+        flat, bounds = _lay_out(np.concatenate([flat, end]), np.append(sizes, len(end)), at)
+        return flat, bounds[last]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
@@ -472,32 +472,25 @@ def _tokenize(path: str, end_id: int):
 
 def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents, sorted by part and doc_id, to blocks.  A block names its documents and their ids in it."""
-    part, number, held = None, 0, []
+    part, number = None, 0
     ids: list[np.ndarray] = []
     docs: list[tuple[int | None, int, bool]] = []
     room = BLOCK
 
-    def close() -> None:
+    def close() -> Iterator[pa.RecordBatch]:
         nonlocal ids, docs, room, number
         if docs:
-            held.append((part, number, docs, np.concatenate(ids) if ids else np.empty(0, np.uint16)))
+            own = np.concatenate(ids)
+            row = {"part": part, "block": number, "doc_ids": [d[0] for d in docs], "counts": [d[1] for d in docs], "last": [d[2] for d in docs]}
+            yield pa.RecordBatch.from_pylist([row | {"ids_crc32": zlib.crc32(own.astype("<u4").tobytes()), "payload": encode_blocks([own])[0]}], schema=BLOCK_ARROW)
             number += 1
-        ids, docs, room = [], [], BLOCK
-
-    def flush() -> pa.RecordBatch:
-        data = encode_blocks([h[3] for h in held])
-        rows = [
-            {"part": p, "block": n, "doc_ids": [d[0] for d in ds], "counts": [d[1] for d in ds], "last": [d[2] for d in ds], "ids_crc32": zlib.crc32(v.astype("<u4").tobytes()), "payload": data[i]}
-            for i, (p, n, ds, v) in enumerate(held)
-        ]
-        held.clear()
-        return pa.RecordBatch.from_pylist(rows, schema=BLOCK_ARROW)
+        ids, docs, room = [], [], min(BLOCK * GROWTH**number, MOST)
 
     for batch in batches:
         for doc, p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if p != part:
-                close()
-                part, number = p, 0
+                yield from close()
+                part, number, room = p, 0, BLOCK
             own = np.frombuffer(raw.as_buffer(), "<u2")
             at = 0
             while at < len(own):
@@ -506,13 +499,9 @@ def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 docs.append((doc, take, at + take == len(own)))
                 at += take
                 room -= take
-                if not room:
-                    close()
-            if len(held) >= 2 * LANES:  # coded in equal shares; what is left at the end makes two of them at most
-                yield flush()
-    close()
-    if held:
-        yield flush()
+                if not room or len(docs) == DOCS:
+                    yield from close()
+    yield from close()
 
 
 BLOCK_SCHEMA = "part int, block long, doc_ids array<long>, counts array<int>, last array<boolean>, ids_crc32 long, payload binary"
@@ -539,25 +528,24 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     part = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
     coded = docs.select("doc_id", "text", part.cast("int").alias("part")).mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, part int, ids binary")
     sorted_rows = coded.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "doc_id", F.crc32("ids"))
-    sorted_rows.mapInArrow(_write_blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    # a row takes up to a megabyte, so the writer looks at what it holds behind every few
+    options = {"compression": "none", "parquet.page.size.row.check.min": 4, "parquet.block.size": 32 << 20}
+    sorted_rows.mapInArrow(_write_blocks, BLOCK_SCHEMA).write.options(**options).parquet(path)
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bounds = np.linspace(0, batch.num_rows, -(-batch.num_rows // LANES) + 1).astype(int).tolist()  # equal shares, so that no few blocks are left over
-        for lo, hi in zip(bounds, bounds[1:]):
-            rows = batch.slice(lo, hi - lo).to_pylist()
-            decoded = decode_blocks([r["payload"] for r in rows], [sum(r["counts"]) for r in rows])
-            out: dict[str, list] = {"part": [], "block": [], "piece": [], "doc_id": [], "n": [], "last": [], "ids": []}
-            for r, ids in zip(rows, decoded):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != r["ids_crc32"]:
-                    raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
-                at = 0
-                for piece, (doc, n, last) in enumerate(zip(r["doc_ids"], r["counts"], r["last"])):
-                    for key, v in zip(out, (r["part"], r["block"], piece, doc, n, last, ids[at : at + n].astype("<u2").tobytes())):
-                        out[key].append(v)
-                    at += n
-            yield pa.RecordBatch.from_pydict(out, schema=PIECE_ARROW)
+        for i in range(batch.num_rows):
+            r = {name: batch.column(name)[i] for name in batch.schema.names}
+            part, block, counts = r["part"].as_py(), r["block"].as_py(), r["counts"].values
+            ends = np.cumsum(counts.to_numpy())
+            ids = decode_blocks([r["payload"].as_py()], [int(ends[-1])])[0]
+            if zlib.crc32(ids.astype("<u4").tobytes()) != r["ids_crc32"].as_py():
+                raise ValueError(f"block {block} of part {part} is damaged")
+            n, offsets = len(counts), np.append(0, 2 * ends).astype(np.int32)
+            own = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+            place = [np.full(n, part, np.int32), np.full(n, block, np.int64), np.arange(n, dtype=np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, place), r["doc_ids"].values, counts, r["last"].values, own], schema=PIECE_ARROW)
 
 
 PIECE_SCHEMA = "part int, block long, piece int, doc_id long, n int, last boolean, ids binary"

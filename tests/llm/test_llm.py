@@ -190,6 +190,54 @@ def test_a_block_is_coded_alike_beside_any_others(monkeypatch):
     assert tokenfile._Model(1).guess.nbytes == 8 * tokenfile.SLOTS  # one value for a guess and its confidence, one table for both orders
 
 
+def test_blocks_grow_and_their_streams_share_a_model(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [(r.zipf(1.4, n) % 3000).astype("<u2") for n in (0, 5000, 100_000, 3, 150_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 1, 2, 3, 4], pa.int64()), pa.array([0, 0, 0, 0, 0], pa.int32()), pa.array([t.tobytes() for t in texts], pa.binary())], ["doc_id", "part", "ids"])
+    settled, settle = [], tokenfile._Coder.settle
+    monkeypatch.setattr(tokenfile._Coder, "settle", lambda self, lane: (settled.append(isinstance(lane, slice)), settle(self, lane))[1])
+    blocks = pa.Table.from_batches(tokenfile._write_blocks(iter([batch])))
+    sizes = [sum(n) for n in blocks["counts"].to_pylist()]
+    assert sizes == [4096, 65536, 185371] and sum(settled) < 3 * (tokenfile.STREAM + 2)  # a step of a block serves all its streams
+    share = np.bincount(np.concatenate(texts)) / sum(sizes)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert sum(map(len, blocks["payload"].to_pylist())) < 1.2 * sum(sizes) / 8 * entropy  # of independent ids, on which contexts are lost
+    pieces = pa.Table.from_batches(tokenfile._read_blocks(iter(blocks.to_batches()))).to_pylist()
+    assert b"".join(p["ids"] for p in pieces) == np.concatenate(texts).tobytes()
+    assert [(p["doc_id"], p["n"], p["last"], p["block"], p["piece"]) for p in pieces] == [(1, 4096, False, 0, 0), (1, 904, True, 1, 0), (2, 64632, False, 1, 1), (2, 35368, True, 2, 0), (3, 3, True, 2, 1), (4, 150000, True, 2, 2)]
+
+
+def test_blocks_of_many_short_documents(monkeypatch):
+    monkeypatch.setattr(tokenfile, "DOCS", 10)
+    monkeypatch.setattr(tokenfile, "MOST", 5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(35), pa.int64()), pa.array([0] * 20 + [1] * 15, pa.int32()), pa.array([b"\x02\x00"] * 35)], ["doc_id", "part", "ids"])
+    blocks = pa.Table.from_batches(tokenfile._write_blocks(iter([batch])))
+    assert [(r["part"], r["block"], len(r["counts"])) for r in blocks.to_pylist()] == [(0, 0, 10), (0, 1, 10), (1, 0, 10), (1, 1, 5)]
+    assert pa.Table.from_batches(tokenfile._read_blocks(iter(blocks.to_batches())))["doc_id"].to_pylist() == list(range(35))
+
+
+def test_all_ids_in_one_block():
+    ids = np.tile(np.random.default_rng(5).permutation(65536).astype(np.uint16), 2)  # every share is taken, none is left for new ids
+    coded = tokenfile.encode_blocks([ids])
+    assert (tokenfile.decode_blocks(coded, [len(ids)])[0] == ids).all()
+
+
+def test_words_with_signs_behind_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, pieces = Tokenizer.from_file(path), tokenfile._Pieces(path)
+    ends = ["", *tokenfile.SIGNS, "'", "***", ".%%%", "&&&.", "_", "__", "<|", "|>", ">=", "`~", "!'", "'!", "#" * 8, "#" * 9, "." * 40]
+    texts = [w + e for w in ("Über", "word", "straße", "x") for e in ends]
+    whole = []
+    pieces._others = lambda parts, others=pieces._others: (whole.extend(parts), others(parts))[1]
+    flat, ends = pieces.encode_all(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert flat[ends[i - 1] if i else 0 : ends[i]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert all("'" in t or len(t) - len(t.rstrip(tokenfile.SIGNS)) > tokenfile.ENDING for t in whole)  # a run of signs behind letters is looked up by itself
+
+
 def test_token_file(spark, docs, none, rows):
     """Whole texts, long ones, empty ones and rows without id, against the tokenizer itself."""
     import public_tokenizers
