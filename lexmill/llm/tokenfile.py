@@ -533,23 +533,41 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     sorted_rows.mapInArrow(_write_blocks, BLOCK_SCHEMA).write.options(**options).parquet(path)
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """For each block part, block, piece, doc_id, n and last of its pieces, their ends, and all ids (32-bit)."""
     for batch in batches:
         for i in range(batch.num_rows):
             r = {name: batch.column(name)[i] for name in batch.schema.names}
             part, block, counts = r["part"].as_py(), r["block"].as_py(), r["counts"].values
-            ends = np.cumsum(counts.to_numpy())
-            ids = decode_blocks([r["payload"].as_py()], [int(ends[-1])])[0]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != r["ids_crc32"].as_py():
+            ends, n = np.cumsum(counts.to_numpy()), len(counts)
+            ids = decode_blocks([r["payload"].as_py()], [int(ends[-1])])[0].astype("<u4")
+            if zlib.crc32(ids) != r["ids_crc32"].as_py():
                 raise ValueError(f"block {block} of part {part} is damaged")
-            n, offsets = len(counts), np.append(0, 2 * ends).astype(np.int32)
-            own = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
             place = [np.full(n, part, np.int32), np.full(n, block, np.int64), np.arange(n, dtype=np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, place), r["doc_ids"].values, counts, r["last"].values, own], schema=PIECE_ARROW)
+            yield [*map(pa.array, place), r["doc_ids"].values, counts, r["last"].values], ends, ids
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns, ends, ids in _decoded(batches):
+        offsets = np.append(0, 2 * ends).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+        yield pa.RecordBatch.from_arrays([*columns, own], schema=PIECE_ARROW)
+
+
+def _read_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with the checksum of their ids, where they are whole documents for certain, else with the ids."""
+    for columns, ends, ids in _decoded(batches):
+        crc, own = [], []
+        for i, (lo, hi, last) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), columns[5].to_pylist())):
+            whole = i > 0 and last
+            crc.append(zlib.crc32(ids[lo:hi]) if whole else None)
+            own.append(None if whole else ids[lo:hi].astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary()), pa.array(crc, pa.int64())], schema=SUM_ARROW)
 
 
 PIECE_SCHEMA = "part int, block long, piece int, doc_id long, n int, last boolean, ids binary"
 PIECE_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("piece", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("last", pa.bool_()), ("ids", pa.binary())])
+SUM_SCHEMA, SUM_ARROW = PIECE_SCHEMA + ", crc long", PIECE_ARROW.append(pa.field("crc", pa.int64()))
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -562,14 +580,14 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _join_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document from pieces in order: crc32 runs on over pieces, whole documents are never held."""
+    """One row a document from pieces in order: crc32 runs on over pieces, documents of several blocks are never held."""
     crc, n, start = 0, 0, None
     for batch in batches:
         out: dict[str, list] = {"part": [], "first_block": [], "first_piece": [], "doc_id": [], "n_tokens": [], "ids_crc32": []}
         c = batch.to_pydict()
-        for part, block, piece, doc, m, last, ids in zip(*(c[k] for k in ("part", "block", "piece", "doc_id", "n", "last", "ids"))):
+        for part, block, piece, doc, m, last, ids, whole in zip(*(c[k] for k in ("part", "block", "piece", "doc_id", "n", "last", "ids", "crc"))):
             start = start or (block, piece)
-            crc, n = zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes(), crc), n + m
+            crc, n = zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"), crc) if whole is None else whole, n + m
             if last:
                 for key, v in zip(out, (part, *start, doc, n, crc)):
                     out[key].append(v)
@@ -581,8 +599,12 @@ DOC_ARROW = pa.schema([("part", pa.int32()), ("first_block", pa.int64()), ("firs
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document of a token file."""
-    ordered = read_token_file(spark, path).repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "block", "piece")
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document of a token file.
+
+    Ids are summed up where their block is decoded; only those of documents that may cross blocks are moved.
+    """
+    pieces = spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(_read_sums, SUM_SCHEMA)
+    ordered = pieces.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "block", "piece")
     each = cut(ordered.mapInArrow(_join_crc, "part int, first_block long, first_piece int, doc_id long, n_tokens long, ids_crc32 long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = each.groupBy("part").agg(F.sum("n_tokens").alias("own")).select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))

@@ -216,6 +216,18 @@ def test_blocks_of_many_short_documents(monkeypatch):
     assert pa.Table.from_batches(tokenfile._read_blocks(iter(blocks.to_batches())))["doc_id"].to_pylist() == list(range(35))
 
 
+def test_ids_of_whole_documents_are_not_moved():
+    """Documents that end with a block, start with one, fill several or lie inside one."""
+    r = np.random.default_rng(6)
+    texts = [r.integers(0, 49408, n).astype("<u2") for n in (4096, 5, 1, 65531, 1, 70_000, 8, 1, 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([0] * 7 + [1, 1], pa.int32()), pa.array([t.tobytes() for t in texts], pa.binary())], ["doc_id", "part", "ids"])
+    sums = list(tokenfile._read_sums(tokenfile._write_blocks(iter([batch]))))
+    moved = [(p["doc_id"], p["n"]) for b in sums for p in b.to_pylist() if p["ids"] is not None]
+    assert moved == [(0, 4096), (1, 5), (3, 65530), (3, 1), (7, 1)]  # the first of a block, as it may have begun before, and what goes on
+    got = [(d["doc_id"], d["n_tokens"], d["ids_crc32"]) for b in tokenfile._join_crc(iter(sums)) for d in b.to_pylist()]
+    assert got == [(i, len(t), zlib.crc32(t.astype("<u4").tobytes())) for i, t in enumerate(texts)]
+
+
 def test_all_ids_in_one_block():
     ids = np.tile(np.random.default_rng(5).permutation(65536).astype(np.uint16), 2)  # every share is taken, none is left for new ids
     coded = tokenfile.encode_blocks([ids])
