@@ -303,7 +303,7 @@ def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 #: Signs that can end a word; behind letters they are a piece of their own in the vocabulary's splitting (an apostrophe may not be).
 SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Signs of a word's end at most, where it is looked up by itself; bytes of text whose words are looked up together.
-ENDING, TEXT_BYTES = 8, 16 << 20
+ENDING, TEXT_BYTES = 8, 32 << 20
 
 #: Letters that lower-casing and composition leave one for one (without those that are only look-alikes of letters).
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
