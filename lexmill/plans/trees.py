@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.staging import staged
 from lexmill.operators import chunks, graph, parse, quality
 from lexmill.plans.common import table
 
@@ -87,20 +86,18 @@ def reference_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = staged(parse.finish_nodes(parse.build_nodes(_legal_texts(spark, sf_dir))))
-    return staged(chunks.node_chunks(nodes, nodes.select("doc_id").distinct().withColumn("document_number", F.lit("1/2025/QH15"))))
+    nodes = parse.finish_nodes(parse.build_nodes(_legal_texts(spark, sf_dir)))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id")).distinct()
+    return chunks.node_chunks(nodes, docs.withColumn("document_number", F.lit("1/2025/QH15")))
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the made texts with what they refer to."""
-    made = _made_chunks(spark, sf_dir)
-    refs = chunks.chunk_references(made)
-    return made.join(refs, ["doc_id", "chunk_id"], "left").select("doc_id", "chunk_id", "kind", "text", F.array_join("refs", "|").alias("refs"))
+    return chunks.with_references(_made_chunks(spark, sf_dir)).select("doc_id", "chunk_id", "kind", "text", F.array_join("refs", "|").alias("refs"))
 
 
 def exception_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _made_chunks(spark, sf_dir)
-    return chunks.exception_index(made).select("rule_chunk_id", F.array_join("exception_chunk_ids", "|").alias("exceptions"))
+    return chunks.exception_index(_made_chunks(spark, sf_dir)).select("rule_chunk_id", F.array_join("exception_chunk_ids", "|").alias("exceptions"))
 
 
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
