@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,22 +123,88 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+#: Bytes of vectors that a task meets on either side, and lengths between which products neither vanish nor overflow.
+SIDE_BYTES, SHORT, LONG = 16 << 20, 1e-150, 1e150
+
+
+def measurable(length: Column) -> Column:
+    """True of vectors whose products are numbers: not null, of length zero, or beyond what a double holds."""
+    return F.coalesce((length > SHORT) & (length < LONG), F.lit(False))
+
+
+def nearest_of(items: DataFrame, queries: DataFrame, keys: list[str], k: int, item_id: str) -> DataFrame:
+    """(query_id, item, score) of items (keys, item_id, v, v_len) and queries (keys, query_id, q, q_len) that agree in ``keys``: at least the k nearest of each query and group, with scores as ``dot`` gives them.
+
+    Both sides of a group meet in one task as matrices.  Their product tells which
+    items can be among the k nearest when scores are rounded to six digits; only
+    these are scored as ``dot`` does it, in the order of the components.  Of equal
+    scores the k smallest ids stay.  All vectors are of one width and measurable.
+    """
+    types = dict(items.dtypes) | dict(queries.dtypes)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by(item_id)
+        ids, asked = left[item_id].combine_chunks(), right["query_id"].combine_chunks()
+        out: list[pa.Table] = []
+        if len(ids) and len(asked):
+            matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+            v, q, v_len, q_len = matrix(left, "v"), matrix(right, "q"), left["v_len"].to_numpy(), right["q_len"].to_numpy()
+            unit = (v / v_len[:, None]).T
+            step = max(1, (4 << 20) // len(ids))
+            for a in range(0, len(asked), step):
+                near = (q[a : a + step] / q_len[a : a + step, None]) @ unit
+                floor = np.partition(near, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(near), -2.0)
+                row, item = np.nonzero(near >= floor[:, None] - 2e-6)
+                total = np.zeros(len(row))
+                for d in range(v.shape[1]):  # one component after the other, as ``dot`` adds them
+                    total += q[a + row, d] * v[item, d]
+                score = total / (q_len[a + row] * v_len[item])
+                order = np.lexsort((item, -score, row))  # items lie by id
+                row, item, score = row[order], item[order], score[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (score[1:] != score[:-1])
+                place = np.arange(len(row))
+                keep = place - np.maximum.accumulate(np.where(fresh, place, 0)) < k
+                out.append(pa.table({"query_id": asked.take(pa.array(a + row[keep])), item_id: ids.take(pa.array(item[keep])), "score": score[keep]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": asked.slice(0, 0), item_id: ids.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    schema = f"query_id {types['query_id']}, `{item_id}` {types[item_id]}, score double"
+    return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, schema)
+
+
 def vector_top(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id", keep: Column | None = None, within: DataFrame | None = None) -> DataFrame:
     """The k nearest items of each query by cosine: queries (query_id, q), items (item_id, v).
 
-    A stated set of queries meets all items in one pass over the items, in blocks
-    where the queries are many; lengths are found once for each vector, and each
-    task keeps k rows a query before anything is shuffled.  ``within`` (query_id,
-    item_id) names what each query may find.
+    A stated set of queries meets all items: both are dealt into shares of bounded
+    bytes, and each pair of shares is multiplied in one task, which gives the
+    nearest of its share (``nearest_of``).  Vectors of another width than most
+    queries, null, zero or beyond bounds are held against the others one by one.
+    ``within`` (query_id, item_id) names what each query may find.
     """
     pool = (items if keep is None else items.where(keep)).select(item_id, "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("v_len"))
     asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("q_len"))
-    if within is None:
-        met = met_in_blocks(pool, asked, F.col(item_id), F.col("query_id"), 64 + 8 * F.size("q"))
-    else:
-        met = pool.join(within.select("query_id", item_id), item_id).join(asked, "query_id")
     score = dot(F.col("q"), F.col("v")) / F.nullif(F.col("q_len") * F.col("v_len"), F.lit(0.0))
-    scored = met.select("query_id", item_id, F.round(score, 6).alias("score"))
+    one_by_one = lambda met: met.select("query_id", item_id, score.alias("score"))
+    if within is not None:
+        scored = one_by_one(pool.join(within.select("query_id", item_id), item_id).join(asked, "query_id"))
+    else:
+        width = asked.agg(F.mode(F.when(measurable(F.col("q_len")), F.size("q")))).first()[0] or 0
+        fine_q, fine_v = measurable(F.col("q_len")) & (F.size("q") == width), measurable(F.col("v_len")) & (F.size("v") == width)
+        n_q, odd_q = asked.agg(F.count_if(fine_q), F.count_if(~fine_q)).first()
+        n_v, odd_v = pool.agg(F.count_if(fine_v), F.count_if(~fine_v)).first()
+        wide = 16 + 8 * width
+        blocks, shares = max(1, -(-n_q * wide // SIDE_BYTES)), max(shuffle_partitions(items.sparkSession), -(-n_v * wide // SIDE_BYTES))
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = pool.where(fine_v).withColumn("share__", dealt(item_id, shares)).withColumn("block__", every(blocks))
+        right = asked.where(fine_q).withColumn("block__", dealt("query_id", blocks)).withColumn("share__", every(shares))
+        scored = nearest_of(left, right, ["share__", "block__"], k, item_id)
+        by_one = lambda v, q: one_by_one(met_in_blocks(v, q, F.col(item_id), F.col("query_id"), 64 + 8 * F.size("q")))
+        if odd_v:
+            scored = scored.unionByName(by_one(pool.where(~fine_v), asked))
+        if odd_q:
+            scored = scored.unionByName(by_one(pool.where(fine_v), asked.where(~fine_q)))
+    scored = scored.withColumn("score", F.round("score", 6))
     return top(scored, k, F.desc("score"), F.col(item_id)).select("query_id", item_id, "rank", "score")
 
 

@@ -45,3 +45,23 @@ def test_empty_vector_index(spark, tables):
     items, queries = tables
     index = vectors.build_vector_index(items.where("false"))
     assert vectors.vector_top_indexed(index, queries, 3, exact=True).collect() == []
+
+
+def test_nearest_are_scored_as_dot_scores_them(spark):
+    """Scores of the matrix search are those of ``dot`` to the last bit; copies, vectors that cannot be measured and few items keep their order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(40)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0, 2.0]), (2003, [1.0, None] + [0.0] * 6), (2004, [1e200] * 8)]
+    items = spark.createDataFrame(rows, "chunk_id long, v array<double>")
+    queries = items.where("chunk_id % 10 = 7 or chunk_id > 1999").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    for k in (3, 400):
+        score = F.round(search.cosine(F.col("q"), F.col("v")), 6)
+        every = queries.crossJoin(items).select("query_id", "chunk_id", score.alias("score"))
+        want = search.top(every, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "rank", "score")
+        found = search.vector_top(queries, items, k)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
