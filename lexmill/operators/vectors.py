@@ -132,14 +132,29 @@ def vector_top_indexed(index: VectorIndex, queries: DataFrame, k: int, keep: Col
 
     pairs = staged(asked.mapInArrow(nearest, f"query_id {id_type}, list int, place int, bound double"))
     asked = staged(asked.withColumn("q_len", F.sqrt(search.dot(F.col("q"), F.col("q")))))
+    n_q, odd_q = asked.agg(F.count(F.lit(1)), F.count_if(~search.measurable(F.col("q_len")))).first()
 
     def scored(some: DataFrame) -> DataFrame:
         lists = [r.list for r in some.select("list").distinct().collect()]  # LISTS numbers at most: folders to open
         pool = index.items(spark).where(F.col("list").isin(lists))
         pool = (pool if keep is None else pool.where(keep)).select(index.item_id, "v", "v_len", "list")
-        met = pool.join(hint_if_small(some.select("query_id", "list").join(asked, "query_id"), 64 + 8 * F.size("q")), "list")
+        wanted = some.select("query_id", "list").join(asked, "query_id")
+        fine_v, fine_q = search.measurable(F.col("v_len")), search.measurable(F.col("q_len"))
+        # lists and queries that are many are dealt into shares; a task meets one share of one list and one of the queries that read it
+        sizes = pool.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if(~fine_v).alias("odd")).agg(F.max("n"), F.sum("odd")).first()
+        shares = max(1, -(-(sizes[0] or 0) * (16 + 8 * width) // search.SIDE_BYTES))
+        blocks = max(1, -(-n_q * (16 + 8 * width) // search.SIDE_BYTES))
+        dealt, every = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = pool.where(fine_v).withColumn("share__", dealt(index.item_id, shares)).withColumn("block__", every(blocks))
+        right = wanted.where(fine_q).withColumn("block__", dealt("query_id", blocks)).withColumn("share__", every(shares))
+        found = search.nearest_of(left, right, ["list", "share__", "block__"], k, index.item_id)
         score = search.dot(F.col("q"), F.col("v")) / F.nullif(F.col("q_len") * F.col("v_len"), F.lit(0.0))
-        return search.top(met.select("query_id", index.item_id, F.round(score, 6).alias("score")), k, F.desc("score"), F.col(index.item_id))
+        one_by_one = lambda v, q: v.join(hint_if_small(q, 64 + 8 * F.size("q")), "list").select("query_id", index.item_id, score.alias("score"))
+        if sizes[1]:
+            found = found.unionByName(one_by_one(pool.where(~fine_v), wanted))
+        if odd_q:
+            found = found.unionByName(one_by_one(pool.where(fine_v), wanted.where(~fine_q)))
+        return search.top(found.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col(index.item_id))
 
     best = scored(pairs.where(F.col("place") < first))
     if exact:
