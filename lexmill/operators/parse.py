@@ -8,6 +8,7 @@ are resolved from the top down, so that a dropped orphan never becomes a parent.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -313,6 +314,8 @@ def merge_split_tables(tables: DataFrame) -> DataFrame:
 
 
 PATCHED = ("title", "content", "lead_in")
+#: Documents whose patches are replayed at a time.
+DOCUMENTS = 512
 
 
 def _replay(rows: list[dict]) -> list[dict]:
@@ -365,13 +368,19 @@ def apply_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     rows = base.unionByName(patches, allowMissingColumns=True)
     schema = f"doc_id {node_type('doc_id')}, node_id string, alive boolean, origin string, seq double, " + ", ".join(f"{c} string" for c in PATCHED)
 
-    def replay(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        out = _replay(group.to_pylist())
-        columns = [pa.array([key[0].as_py()] * len(out), group.schema.field("doc_id").type), pa.array([r["node_id"] for r in out], pa.string()), pa.array([r["alive"] for r in out], pa.bool_())]
-        columns += [pa.array([r["origin"] for r in out], pa.string()), pa.array([r["seq"] for r in out], pa.float64()), *[pa.array([r[c] for r in out], pa.string()) for c in PATCHED]]
-        return pa.Table.from_arrays(columns, ["doc_id", "node_id", "alive", "origin", "seq", *PATCHED])
+    names = ["doc_id", "node_id", "alive", "origin", "seq", *PATCHED]
 
-    outcome = staged(rows.groupBy("doc_id").applyInArrow(replay, schema))
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, DOCUMENTS):  # most documents have few patches, so a call for each would cost more than they do
+                some = batch.slice(a, DOCUMENTS)
+                out = [(d, r) for d, each in zip(range(some.num_rows), some.column(1).to_pylist(), strict=True) for r in _replay(each)]
+                columns = [some.column(0).take(pa.array([d for d, _ in out], pa.int64())), pa.array([r["node_id"] for _, r in out], pa.string()), pa.array([r["alive"] for _, r in out], pa.bool_())]
+                columns += [pa.array([r["origin"] for _, r in out], pa.string()), pa.array([r["seq"] for _, r in out], pa.float64()), *[pa.array([r[c] for _, r in out], pa.string()) for c in PATCHED]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*[x for x in rows.columns if x != "doc_id"])).alias("rows"))
+    outcome = staged(grouped.mapInArrow(replay, schema))
     tops = hint_if_small(outcome.where("alive is null").select("doc_id", F.col("node_id").alias("top")).distinct(), 128)
     parts = F.split("node_id", "_")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))

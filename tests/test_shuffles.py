@@ -48,3 +48,15 @@ def test_nothing_is_written_in_between(spark, monkeypatch):
         monkeypatch.setattr(module, "staged", no)
     for query in (laws.law_nodes, laws.law_references, laws.law_index, laws.law_exceptions, laws.law_places, laws.law_full_texts, laws.law_texts_of, trees.chunk_index, trees.exception_index):
         query(spark, SF)
+
+
+def test_patches_are_replayed_by_batches_of_documents(spark, monkeypatch):
+    """One call of Python serves many documents; each still sees its own patches only."""
+    plans = []
+    monkeypatch.setattr(parse, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    rows = [(d, f"{d}_{n}", float(n), "t", "c", "") for d in range(1500) for n in (1, 2)]
+    found = spark.createDataFrame(rows, "doc_id long, node_id string, seq double, title string, content string, lead_in string")
+    patches = spark.createDataFrame([(d, 1, "set_field", f"{d}_1", "title", f"new {d}") for d in range(1500)] + [(7, 2, "remove_node", "7_2", None, None)], "doc_id long, op_seq int, op string, node_id string, field string, value string")
+    got = {(r.doc_id, r.node_id): r.title for r in parse.apply_patches(found, patches).collect()}
+    assert got == {(d, f"{d}_{n}"): f"new {d}" if n == 1 else "t" for d in range(1500) for n in (1, 2) if (d, n) != (7, 2)}
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroupsInArrow" in p for p in plans)
